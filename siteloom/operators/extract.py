@@ -9,12 +9,17 @@ from siteloom.functions.selectors import compile_selectors
 from siteloom.functions.text import blank_to_null, collapse
 from siteloom.functions.urls import DEAD_PREFIXES_IN_ITEM, resolve_url, starts_with_any
 from siteloom.operators.parse import text_of
-from siteloom.operators.select import candidates, first_below, settle
+from siteloom.operators.select import DOCUMENT, candidates, first_below, settle, steps_sizes
+from siteloom.operators.skew import spread_join
+from siteloom.sources.pages import lookup
 
 # Numbers of the selectors of a level: 0 items, -1 drill link, -2 any link; the p-th field has its
 # container at 2p+1 and its own selector at 2p+2.
 _ITEM, _DRILL, _ANY_LINK = 0, -1, -2
 
+# Item selector that stands for the page as one item.
+WHOLE_PAGE = ":document"
+
 # Tasks on one page that are handled together; a page asked for by more is split.
 _TASKS_PER_PART = 256
 
@@ -49,13 +54,20 @@ def compile_levels(levels: DataFrame) -> DataFrame:
         ),
     )
     unused = F.col("is_final_level") & F.col("sel").isin(_DRILL, _ANY_LINK)
+    whole = F.col("selector") == WHOLE_PAGE
     steps = compile_selectors(
-        fields.select("plan_id", "level", "is_final_level", F.inline(listed)).where((F.col("selector") != "") & ~unused)
+        fields.select("plan_id", "level", "is_final_level", F.inline(listed))
+        .where((F.col("selector") != "") & ~unused)
+        .withColumn("css", F.when(whole, "html").otherwise(F.col("selector"))),
+        "css",
     ).select(
         "plan_id",
         "level",
         F.transform(
-            "steps", lambda s: s.withField("sel", F.col("sel")).withField("attribute", F.col("attribute"))
+            "steps",
+            lambda s: s.withField("sel", F.col("sel"))
+            .withField("attribute", F.col("attribute"))
+            .withField("test", s["test"].withField("tag", F.when(whole, DOCUMENT).otherwise(s["test"]["tag"]))),
         ).alias("steps"),
     )
     grouped = steps.groupBy("plan_id", "level").agg(F.flatten(F.collect_list("steps")).alias("steps"))
@@ -192,3 +204,39 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int]) ->
         .withColumn("drill_url", F.when(F.col("drills"), resolve_url(F.col("url"), href)))
         .select("plan_id", "url", "page_id", "item", refilled.alias("fields"), "drill_url")
     )
+
+
+def sample_values(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+    """A value for each field of a level, from its own page: ``plan_id, level, name, sample_value``.
+
+    On a catalog page the first item is looked at, on any other page (or where no item is found)
+    the whole page.
+    """
+    keyed = levels.withColumn("is_final_level", F.lit(True))
+    by_item = keyed.where(F.col("is_catalog") & (F.col("item_container_selector") != ""))
+    first = _first_items(by_item, docs, index)
+    rest = keyed.join(first.select("plan_id", "level").distinct(), ["plan_id", "level"], "left_anti")
+    whole = _first_items(rest.withColumn("item_container_selector", F.lit(WHOLE_PAGE)), docs, index)
+    return (
+        first.unionByName(whole)
+        .select("plan_id", "level", F.explode("fields").alias("name", "value"))
+        .where(F.col("value").isNotNull())
+        .select("plan_id", "level", "name", F.substring("value", 1, 200).alias("sample_value"))
+    )
+
+
+def _first_items(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+    # a level has one page, so (plan, level) takes the place of the plan
+    both = F.to_json(F.struct("plan_id", "level"))
+    compiled = compile_levels(
+        levels.withColumn("key", both).drop("plan_id").withColumnRenamed("key", "plan_id").withColumn(
+            "drill_down_link_selector", F.lit(None).cast("string")
+        )
+    )
+    pages = split_tasks(lookup(compiled.select("plan_id", F.col("sample_url").alias("url")).where("url != ''"), index))
+    tasks = spread_join(pages, compiled.drop("level", "sample_url"), "plan_id")
+    items = extract_items(tasks, docs, steps_sizes(compiled))
+    first = items.groupBy("plan_id").agg(F.min_by("fields", "item").alias("fields"))
+    kinds = levels.select("plan_id", "level").schema
+    key = F.from_json(F.col("plan_id"), kinds)
+    return first.select(key["plan_id"].alias("plan_id"), key["level"].alias("level"), "fields")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siteloom.functions.selectors import compile_selectors, step_holds
 
 _FAR = 2147483647
+DOCUMENT = "[document]"
 
 
 def candidates(
@@ -30,11 +31,13 @@ def candidates(
     named in ``reads``.
     """
     wide = [*keys, "texts", *reads]
-    nodes = tasks.select(*wide, "steps", F.posexplode("elems").alias("node", "e")).where("node > 0")
+    nodes = tasks.select(*wide, "steps", F.posexplode("elems").alias("node", "e"))
     pairs = nodes.select(*wide, "node", "e", F.explode("steps").alias("s"))
     e, s = F.col("e"), F.col("s")
     extra = payload(e, s) if payload else {}
-    return pairs.where(step_holds(s, F.col("node"), e, F.col("texts"))).select(
+    # the document itself is no element; only a whole-page scope asks for it by name
+    real = (F.col("node") > 0) | (s["test"]["tag"] == DOCUMENT)
+    return pairs.where(real & step_holds(s, F.col("node"), e, F.col("texts"))).select(
         *keys,
         s["sel"].alias("sel"),
         s["alt"].alias("alt"),

@@ -36,7 +36,7 @@ LEVEL_DEFAULTS = {"level": 1, "url": "", "is_catalog": False, "confidence": 0.0,
 PLAN_DEFAULTS = {"id": "", "root_url": "", "item_name": "Item", "nesting_depth": 1}
 
 
-def struct_type(ddl: str) -> T.DataType:
+def struct_type(ddl: str) -> T.StructType:
     return T.DataType.fromDDL(ddl)
 
 

@@ -57,3 +57,12 @@ def keep(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Spreads a table that has fewer splits than there are cores.
+
+    That is the case only for small inputs; a large one has many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
