@@ -26,10 +26,10 @@ def title_case(value: Column) -> Column:
     """Capital after every non-letter, the rest small: ``o'neil 3d`` becomes ``O'Neil 3D``."""
     cased = r"\p{Lu}\p{Ll}\p{Lt}"
     runs = F.regexp_extract_all(value, F.lit(f"([{cased}]+|[^{cased}]+)"), F.lit(0))
-    return F.array_join(
-        F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.lower(F.substr(run, F.lit(2))))),
-        "",
-    )
+    # the capital of one letter may be two letters, of which only the first stays one
+    first = lambda run: F.upper(F.substring(run, 1, 1))
+    rest = lambda run: F.lower(F.concat(F.substr(first(run), F.lit(2)), F.substr(run, F.lit(2))))
+    return F.array_join(F.transform(runs, lambda run: F.concat(F.substring(first(run), 1, 1), rest(run))), "")
 
 
 def cut(value: Column, length: int) -> Column:
