@@ -6,6 +6,7 @@ letters), so a malformed URL still gives a row. No function here leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,11 +30,27 @@ DEAD_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
 DEAD_PREFIXES_IN_ITEM = ("#", "javascript:", "mailto:")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _clean(url: Column) -> Column:
     controls = "".join(chr(c) for c in range(0x21))
     return F.regexp_replace(F.ltrim(url, F.lit(controls)), r"[\t\r\n]", "")
 
 
+def parts(url: Column) -> Column:
+    """A URL as a struct: scheme (small), netloc, path, query, fragment."""
+    piece = lambda u, name: F.regexp_extract(u, _PARTS, _GROUPS[name]).alias(name)
+    return _let(
+        _clean(url),
+        lambda u: F.struct(
+            F.lower(piece(u, "scheme")).alias("scheme"), *[piece(u, n) for n in ("netloc", "path", "query", "fragment")]
+        ),
+    )
+
+
 def part(url: Column, name: str) -> Column:
     piece = F.regexp_extract(_clean(url), _PARTS, _GROUPS[name])
     return F.lower(piece) if name == "scheme" else piece
@@ -48,11 +65,12 @@ def rstrip_slashes(value: Column) -> Column:
 
 
 def _unsplit(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
-    rooted = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+    slash = F.when((netloc != "") & (path != "") & ~path.startswith("/"), "/").otherwise("")
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
         F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""),
-        rooted,
+        slash,
+        path,
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
@@ -72,29 +90,25 @@ def normalize_url(url: Column) -> Column:
 
     Pairs without a value are dropped, as are ``;params`` of the last path segment.
     """
-    scheme = part(url, "scheme")
-    path = part(url, "path")
-    path = F.when(scheme.isin(PARAM_SCHEMES), F.regexp_replace(path, ";[^/]*$", "")).otherwise(path)
-    path = F.coalesce(blank_to_null(rstrip_slashes(path)), F.lit("/"))
-    pairs = F.filter(F.split(part(url, "query"), "&"), lambda p: p.rlike("(?s)^[^=]*=."))
-    decoded = F.transform(
-        pairs,
-        lambda p: F.struct(
-            _decode(F.regexp_extract(p, "(?s)^([^=]*)=(.*)$", 1)).alias("k"),
-            _decode(F.regexp_extract(p, "(?s)^([^=]*)=(.*)$", 2)).alias("v"),
-        ),
-    )
-    query = F.array_join(
-        F.transform(F.array_sort(decoded), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&"
-    )
-    normal = _unsplit(
-        F.when(scheme == "http", F.lit("https")).otherwise(scheme),
-        F.lower(part(url, "netloc")),
-        path,
-        query,
-        F.lit(""),
+    pair = lambda p: F.struct(
+        _decode(F.regexp_extract(p, "(?s)^([^=]*)=(.*)$", 1)).alias("k"),
+        _decode(F.regexp_extract(p, "(?s)^([^=]*)=(.*)$", 2)).alias("v"),
     )
-    return F.when(url.isNotNull(), normal)
+    encoded = lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))
+
+    def spelled(u: Column) -> Column:
+        path = F.when(u["scheme"].isin(PARAM_SCHEMES), F.regexp_replace(u["path"], ";[^/]*$", "")).otherwise(u["path"])
+        pairs = F.filter(F.split(u["query"], "&"), lambda p: p.rlike("(?s)^[^=]*=."))
+        query = F.array_join(F.transform(F.array_sort(F.transform(pairs, pair)), encoded), "&")
+        return _unsplit(
+            F.when(u["scheme"] == "http", F.lit("https")).otherwise(u["scheme"]),
+            F.lower(u["netloc"]),
+            F.coalesce(blank_to_null(rstrip_slashes(path)), F.lit("/")),
+            F.when(u["query"] != "", query).otherwise(""),
+            F.lit(""),
+        )
+
+    return F.when(url.isNotNull(), _let(parts(url), spelled))
 
 
 def url_hash(url: Column) -> Column:
@@ -108,43 +122,44 @@ def _merge_paths(base_path: Column, path: Column) -> Column:
     below = F.regexp_replace(F.concat(F.lit("/"), folder, path), "/{2,}", "/")
     # below a folder empty segments in the middle vanish, in a rooted link they stay
     joined = F.when(path.startswith("/"), path).otherwise(below)
-    segments = F.split(joined, "/")
-    closing = joined.rlike(r"(^|/)\.{1,2}$")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, seg: F.when(
-            seg == "..",
-            F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done),
-        )
-        .when(seg == ".", done)
-        .otherwise(F.concat(done, F.array(seg))),
-    )
-    merged = F.array_join(F.when(closing, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
-    return F.coalesce(blank_to_null(merged), F.lit("/"))
+    parent = lambda done: F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+    step = lambda done, seg: F.when(seg == "..", parent(done)).when(seg == ".", done).otherwise(F.array_append(done, seg))
+
+    def resolved(whole: Column) -> Column:
+        kept = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+        closing = F.when(whole.rlike(r"(^|/)\.{1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(kept, closing), "/")
+
+    plain = ~joined.rlike(r"(^|/)\.{1,2}(/|$)")
+    return F.coalesce(blank_to_null(F.when(plain, joined).otherwise(_let(joined, resolved))), F.lit("/"))
 
 
 def resolve_url(base: Column, link: Column) -> Column:
     """Absolute form of ``link`` found on page ``base`` (RFC 3986 reference resolution)."""
-    base_scheme, link_scheme = part(base, "scheme"), part(link, "scheme")
-    scheme = F.when(link_scheme == "", base_scheme).otherwise(link_scheme)
-    netloc, path = part(link, "netloc"), part(link, "path")
-    query, fragment = part(link, "query"), part(link, "fragment")
-    same_page = path == ""
-    resolved = _unsplit(
-        scheme,
-        part(base, "netloc"),
-        F.when(same_page, part(base, "path")).otherwise(_merge_paths(part(base, "path"), path)),
-        F.when(same_page & (query == ""), part(base, "query")).otherwise(query),
-        fragment,
-    )
+
+    def joined(x: Column) -> Column:
+        b, u = x["b"], x["u"]
+        scheme = F.when(u["scheme"] == "", b["scheme"]).otherwise(u["scheme"])
+        bare = u["path"] == ""
+        path = F.when(bare, b["path"]).otherwise(_merge_paths(b["path"], u["path"]))
+        query = F.when(bare & (u["query"] == ""), b["query"]).otherwise(u["query"])
+        own = u["netloc"] != ""
+        whole = _unsplit(
+            scheme,
+            F.when(own, u["netloc"]).otherwise(b["netloc"]),
+            F.when(own, u["path"]).otherwise(path),
+            F.when(own, u["query"]).otherwise(query),
+            u["fragment"],
+        )
+        foreign = (scheme != b["scheme"]) | ~(scheme.isin(RELATIVE_SCHEMES) | (scheme == ""))
+        return F.when(foreign, x["link"]).otherwise(whole)
+
+    both = F.struct(parts(base).alias("b"), parts(link).alias("u"), link.alias("link"))
     return (
         F.when(link.isNull() | base.isNull(), None)
         .when(link == "", base)
         .when(base == "", link)
-        .when((scheme != base_scheme) | ~(scheme.isin(RELATIVE_SCHEMES) | (scheme == "")), link)
-        .when(netloc != "", _unsplit(scheme, netloc, path, query, fragment))
-        .otherwise(resolved)
+        .otherwise(_let(both, joined))
     )
 
 
@@ -166,14 +181,9 @@ def _page_of(url: Column) -> Column:
 
 def is_valid_drill_link(link: Column, base: Column, resolved: Column | None = None) -> Column:
     """Whether following ``link`` leads to another page of the same host."""
-    target = resolve_url(base, link) if resolved is None else resolved
-    return F.coalesce(
-        (link != "")
-        & ~starts_with_any(link, DEAD_PREFIXES)
-        & (_page_of(base) != _page_of(target))
-        & is_same_domain(base, target),
-        F.lit(False),
-    )
+    leads = lambda target: (_page_of(base) != _page_of(target)) & is_same_domain(base, target)
+    valid = leads(resolved) if resolved is not None else _let(resolve_url(base, link), leads)
+    return F.coalesce((link != "") & ~starts_with_any(link, DEAD_PREFIXES) & valid, F.lit(False))
 
 
 def url_label(url: Column) -> Column:

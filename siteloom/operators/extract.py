@@ -118,7 +118,6 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int]) ->
             "names": F.when(s["sel"] == _ITEM, F.col("names")),
             "drills": F.when(s["sel"] == _ITEM, ~F.col("is_final_level")),
         },
-        reads=("names", "scopes", "is_final_level"),
     ).repartition("page_id", "part")
     sel = F.col("sel")
     role = lambda kind, number, item: F.struct(
@@ -153,20 +152,24 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int]) ->
             F.when(F.col("tag") == "a", F.col("href")).alias("own_href"),
         )
     )
-    # the text is fetched for chosen elements alone, as a slice of the page's strings
+    # the text of the chosen elements is a slice of the page's strings; they meet once per page
+    chosen = refs.groupBy("page_id", "part").agg(
+        F.collect_list(F.struct("plan_id", "url", "item", "sel", "hit", "kind", "names", "drills", "own_href")).alias("refs")
+    )
     parts = tasks.groupBy("page_id").agg(F.max("part").alias("last_part"))
     strings = docs.select("page_id", "texts").join(parts, "page_id").select(
         "page_id", "texts", F.explode(F.sequence(F.lit(0), "last_part")).alias("part")
     )
-    valued = refs.join(strings, ["page_id", "part"]).select(
-        *keys, "item", "sel", "kind", "names", "drills", "own_href",
-        F.col("hit.href").alias("href"),
-        F.struct(
-            ((F.col("sel") - 2) / 2).cast("int").alias("p"),
-            F.when(F.col("hit.is_text"), collapse(text_of(F.col("texts"), F.col("hit"))))
-            .otherwise(F.col("hit.value"))
-            .alias("v"),
-        ).alias("entry"),
+    value = lambda r: F.when(r["hit"]["is_text"], collapse(text_of(F.col("texts"), r["hit"]))).otherwise(r["hit"]["value"])
+    read = lambda r: F.struct(
+        *[r[name].alias(name) for name in ("plan_id", "url", "item", "sel", "kind", "names", "drills", "own_href")],
+        r["hit"]["href"].alias("href"),
+        F.struct(((r["sel"] - 2) / 2).cast("int").alias("p"), value(r).alias("v")).alias("entry"),
+    )
+    valued = (
+        chosen.join(strings, ["page_id", "part"])
+        .withColumn("_read", F.transform("refs", read))
+        .select("page_id", "part", F.inline("_read"))
     )
     page_wide = F.collect_list(F.when(F.col("item") == -1, F.col("entry"))).over(Window.partitionBy(*keys))
     of_kind = lambda kind, name: F.max(F.when(F.col("sel") == kind, F.col(name)))

@@ -11,18 +11,15 @@ need no shuffle and questions over many pages explode just the columns they use:
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from html import unescape
-from html.entities import html5
-from html.parser import HTMLParser
-
-import numpy as np
-import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import strip
+from siteloom.operators import tree
+
+# the helper travels with the job, so executors need no copy of this package
+register_pickle_by_value(tree)
 
 ELEM = (
     "struct<parent:int,last:int,depth:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,"
@@ -31,282 +28,13 @@ ELEM = (
 TEXT = "struct<parent:int,before:int,kind:string,noise:boolean,text:string>"
 DOC_SCHEMA = f"page_id bigint, url string, elems array<{ELEM}>, texts array<{TEXT}>, error string"
 
-# Elements without content, elements whose strings are no page text, elements a
-# summary leaves out, and attributes that hold a list of words.
-VOID_TAGS = frozenset(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split()
-)
-OWN_STRING_TAGS = ("script", "style", "template", "rt", "rp")
-NOISE_TAGS = ("script", "style", "noscript")
-WORD_LISTS = {
-    "*": {"class", "accesskey", "dropzone"},
-    "a": {"rel", "rev"},
-    "link": {"rel", "rev"},
-    "td": {"headers"},
-    "th": {"headers"},
-    "form": {"accept-charset"},
-    "object": {"archive"},
-    "area": {"rel"},
-    "icon": {"sizes"},
-    "iframe": {"sandbox"},
-    "output": {"for"},
-}
-
-# Elements written per Arrow batch, to bound the memory of the worker.
-_BATCH_ELEMS = 100_000
-
-
-class _Tree(HTMLParser):
-    """Writes the elements and strings of one page after the other into growing columns."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.clear()
-
-    def clear(self) -> None:
-        self.parent, self.last, self.depth, self.tag, self.attrs = [], [], [], [], []
-        self.t0, self.t1, self.noise = [], [], []
-        self.s_parent, self.s_before, self.s_kind, self.s_noise, self.s_text = [], [], [], [], []
-        self.elem_ends, self.text_ends = [0], [0]
-
-    def read(self, html: str) -> str | None:
-        """Adds one page; returns why reading stopped early, if it did."""
-        self.reset()
-        self.first_elem, self.first_text = len(self.tag), len(self.s_text)
-        self.stack: list[int] = []
-        self.names: list[str] = []
-        self.open_names: Counter[str] = Counter()
-        self.owners: list[str] = []
-        self.noisy = 0
-        self.buffer: list[str] = []
-        self.closed_void: list[str] = []
-        self.pre = 0
-        self._open("[document]", {})
-        error = None
-        try:
-            self.feed(html)
-            self.close()
-        except (AssertionError, ValueError) as problem:
-            error = str(problem)
-        self._flush("text")
-        while self.stack:
-            self._pop()
-        self.elem_ends.append(len(self.tag))
-        self.text_ends.append(len(self.s_text))
-        return error
-
-    def _open(self, tag: str, attrs: dict) -> None:
-        number = len(self.tag) - self.first_elem
-        if tag in NOISE_TAGS:
-            self.noisy += 1
-        if tag in OWN_STRING_TAGS:
-            self.owners.append(tag)
-        if tag in ("pre", "textarea"):
-            self.pre += 1
-        self.parent.append(self.stack[-1] if self.stack else -1)
-        self.last.append(number)
-        self.depth.append(len(self.stack))
-        self.tag.append(tag)
-        self.attrs.append(attrs)
-        self.t0.append(len(self.s_text) - self.first_text)
-        self.t1.append(0)
-        self.noise.append(self.noisy > 0)
-        self.stack.append(number)
-        self.names.append(tag)
-        self.open_names[tag] += 1
-
-    def _pop(self) -> None:
-        number, tag = self.stack.pop(), self.names.pop()
-        self.open_names[tag] -= 1
-        at = self.first_elem + number
-        self.last[at] = len(self.tag) - self.first_elem - 1
-        self.t1[at] = len(self.s_text) - self.first_text
-        if tag in NOISE_TAGS:
-            self.noisy -= 1
-        if tag in OWN_STRING_TAGS:
-            self.owners.pop()
-        if tag in ("pre", "textarea"):
-            self.pre -= 1
-
-    def _flush(self, kind: str) -> None:
-        if not self.buffer:
-            return
-        text = "".join(self.buffer)
-        self.buffer = []
-        if not self.pre and not text.strip(" \n\t\f\r"):
-            text = "\n" if "\n" in text else " "
-        if kind == "text" and self.owners:
-            kind = self.owners[-1]
-        self.s_parent.append(self.stack[-1])
-        self.s_before.append(len(self.tag) - self.first_elem)
-        self.s_kind.append(kind)
-        self.s_noise.append(self.noisy > 0)
-        self.s_text.append(text)
-
-    def _special(self, data: str, kind: str) -> None:
-        self._flush("text")
-        self.buffer.append(data)
-        self._flush(kind)
-
-    def _close_to(self, tag: str) -> None:
-        self._flush("text")
-        if self.open_names[tag]:
-            while self.names[-1] != tag:
-                self._pop()
-            self._pop()
-
-    def handle_starttag(self, tag, attrs):
-        self._start(tag, attrs)
-        if tag in VOID_TAGS:
-            self._close_to(tag)
-            self.closed_void.append(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self._start(tag, attrs)
-        self.handle_endtag(tag)
-
-    def _start(self, tag, attrs):
-        self._flush("text")
-        values = {}
-        for name, value in attrs:
-            value = value or ""
-            if name in WORD_LISTS["*"] or name in WORD_LISTS.get(tag, ()):
-                value = " ".join(value.split())
-            values[name] = value
-        self._open(tag, values)
-
-    def handle_endtag(self, tag):
-        if tag in self.closed_void:
-            self.closed_void.remove(tag)
-        else:
-            self._close_to(tag)
-
-    def handle_data(self, data):
-        self.buffer.append(data)
-
-    def handle_charref(self, name):
-        self.buffer.append(unescape(f"&#{name};"))
-
-    def handle_entityref(self, name):
-        self.buffer.append(html5.get(name + ";", "&" + name))
-
-    def handle_comment(self, data):
-        self._special(data, "comment")
-
-    def handle_decl(self, decl):
-        self._special(decl[8:] if decl[:8].upper() == "DOCTYPE " else decl, "doctype")
-
-    def unknown_decl(self, data):
-        if data[:6].upper() == "CDATA[":
-            self._special(data[6:], "text")
-        else:
-            self._special(data, "declaration")
-
-    def handle_pi(self, data):
-        self._special(data, "instruction")
-
-
-def _sibling_ranks(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rank from the front, rank from the back and previous member, within equal ``group`` values."""
-    order = np.argsort(group, kind="stable")
-    ordered = group[order]
-    n = len(group)
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    sizes = np.diff(np.r_[starts, n])
-    rank = np.arange(n) - np.repeat(starts, sizes)
-    front, back, previous = (np.empty(n, dtype=np.int64) for _ in range(3))
-    front[order] = rank + 1
-    back[order] = np.repeat(sizes, sizes) - rank
-    previous[order] = np.where(rank > 0, np.r_[-1, order[:-1]], -1)
-    return front, back, previous
-
-
-def _struct(spec: dict[str, pa.Array]) -> pa.StructArray:
-    return pa.StructArray.from_arrays(list(spec.values()), list(spec.keys()))
-
-
-def _to_batch(tree: _Tree, ids: list, urls: list, errors: list) -> pa.RecordBatch:
-    elem_ends = np.asarray(tree.elem_ends)
-    first = np.repeat(elem_ends[:-1], np.diff(elem_ends))
-    parent = np.asarray(tree.parent, dtype=np.int64)
-    # brothers share (page, parent); the root of each page stands alone
-    family = np.where(parent < 0, -1 - first, parent + first)
-    idx, ridx, prev = _sibling_ranks(family)
-    numbers: dict[str, int] = {}
-    codes = np.asarray([numbers.setdefault(tag, len(numbers)) for tag in tree.tag])
-    tidx, rtidx, _ = _sibling_ranks((family + len(tree.tag) + 1) * len(numbers) + codes)
-    keys, values, attr_ends, words, word_ends, ids_of = [], [], [0], [], [0], []
-    for attrs in tree.attrs:
-        keys.extend(attrs.keys())
-        values.extend(attrs.values())
-        attr_ends.append(len(keys))
-        words.extend(attrs.get("class", "").split())
-        word_ends.append(len(words))
-        ids_of.append(attrs.get("id"))
-    ints = lambda x: pa.array(np.asarray(x, dtype=np.int32))
-    elems = _struct(
-        {
-            "parent": ints(parent),
-            "last": ints(tree.last),
-            "depth": ints(tree.depth),
-            "tag": pa.array(tree.tag, pa.string()),
-            "id": pa.array(ids_of, pa.string()),
-            "classes": pa.ListArray.from_arrays(ints(word_ends), pa.array(words, pa.string())),
-            "attrs": pa.MapArray.from_arrays(ints(attr_ends), pa.array(keys, pa.string()), pa.array(values, pa.string())),
-            "idx": ints(idx),
-            "ridx": ints(ridx),
-            "tidx": ints(tidx),
-            "rtidx": ints(rtidx),
-            "prev": ints(np.where(prev < 0, -1, prev - first)),
-            "t0": ints(tree.t0),
-            "t1": ints(tree.t1),
-            "noise": pa.array(tree.noise, pa.bool_()),
-        }
-    )
-    texts = _struct(
-        {
-            "parent": ints(tree.s_parent),
-            "before": ints(tree.s_before),
-            "kind": pa.array(tree.s_kind, pa.string()),
-            "noise": pa.array(tree.s_noise, pa.bool_()),
-            "text": pa.array(tree.s_text, pa.string()),
-        }
-    )
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array(urls, pa.string()),
-            pa.ListArray.from_arrays(ints(elem_ends), elems),
-            pa.ListArray.from_arrays(ints(tree.text_ends), texts),
-            pa.array(errors, pa.string()),
-        ],
-        ["page_id", "url", "elems", "texts", "error"],
-    )
-
-
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree, ids, urls, errors = _Tree(), [], [], []
-    for batch in batches:
-        for page_id, url, html in zip(*(batch.column(c) for c in range(3))):
-            errors.append(tree.read(html.as_py() or ""))
-            ids.append(page_id.as_py())
-            urls.append(url.as_py())
-            if len(tree.tag) >= _BATCH_ELEMS:
-                yield _to_batch(tree, ids, urls, errors)
-                tree.clear()
-                ids, urls, errors = [], [], []
-    if ids:
-        yield _to_batch(tree, ids, urls, errors)
-
-
 def parse_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` to one document row per page.
 
     Filter ``pages`` first: no predicate passes through this step. Save the result (Parquet) when
     more than one question is asked; parsing is the dear part and is then paid once.
     """
-    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(_parse_batches, DOC_SCHEMA)
+    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(tree.parse_batches, DOC_SCHEMA)
 
 
 def dom_nodes(docs: DataFrame) -> DataFrame:
@@ -356,7 +84,7 @@ def dom_nodes(docs: DataFrame) -> DataFrame:
 
 def strings_of(texts: Column, elem: Column, clean: bool = False) -> Column:
     """Stripped, non-empty strings below an element; ``clean`` leaves script, style and noscript out."""
-    wanted = F.when(elem["tag"].isin(*OWN_STRING_TAGS), elem["tag"]).otherwise("text")
+    wanted = F.when(elem["tag"].isin(*tree.OWN_STRING_TAGS), elem["tag"]).otherwise("text")
     below = F.slice(texts, elem["t0"] + 1, elem["t1"] - elem["t0"])
     seen = (lambda s: (s["kind"] == wanted) & ~s["noise"]) if clean else (lambda s: s["kind"] == wanted)
     return F.filter(F.transform(F.filter(below, seen), lambda s: strip(s["text"])), lambda t: t != "")

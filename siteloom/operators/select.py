@@ -19,38 +19,36 @@ DOCUMENT = "[document]"
 
 
 def candidates(
-    tasks: DataFrame,
-    keys: list[str],
-    payload: Callable[[Column, Column], dict[str, Column]] | None = None,
-    reads: tuple[str, ...] = (),
+    tasks: DataFrame, keys: list[str], payload: Callable[[Column, Column], dict[str, Column]] | None = None
 ) -> DataFrame:
     """Elements that pass a compound of one of the row's ``steps``.
 
     ``tasks`` holds ``keys``, ``elems``, ``texts`` and ``steps`` (selector steps with a number
-    ``sel``). ``payload(elem, step)`` names further columns to carry along; it may use the columns
-    named in ``reads``.
+    ``sel``). ``payload(elem, step)`` names further columns to carry along. The page is searched
+    inside its row; only the elements found become rows, so no page is copied per element.
     """
-    wide = [*keys, "texts", *reads]
-    nodes = tasks.select(*wide, "steps", F.posexplode("elems").alias("node", "e"))
-    pairs = nodes.select(*wide, "node", "e", F.explode("steps").alias("s"))
-    e, s = F.col("e"), F.col("s")
-    extra = payload(e, s) if payload else {}
+
+    def entry(s: Column, e: Column, node: Column) -> Column:
+        extra = payload(e, s) if payload else {}
+        return F.struct(
+            s["sel"].alias("sel"),
+            s["alt"].alias("alt"),
+            s["step"].alias("step"),
+            s["n"].alias("n"),
+            s["comb"].alias("comb"),
+            s["next_comb"].alias("next_comb"),
+            node.alias("node"),
+            e["last"].alias("last"),
+            e["parent"].alias("parent"),
+            e["prev"].alias("prev"),
+            *[column.alias(name) for name, column in extra.items()],
+        )
+
     # the document itself is no element; only a whole-page scope asks for it by name
-    real = (F.col("node") > 0) | (s["test"]["tag"] == DOCUMENT)
-    return pairs.where(real & step_holds(s, F.col("node"), e, F.col("texts"))).select(
-        *keys,
-        s["sel"].alias("sel"),
-        s["alt"].alias("alt"),
-        s["step"].alias("step"),
-        s["n"].alias("n"),
-        s["comb"].alias("comb"),
-        s["next_comb"].alias("next_comb"),
-        "node",
-        e["last"].alias("last"),
-        e["parent"].alias("parent"),
-        e["prev"].alias("prev"),
-        *[column.alias(name) for name, column in extra.items()],
-    )
+    real = lambda s, node: (node > 0) | (s["test"]["tag"] == DOCUMENT)
+    passed = lambda e, node: F.filter("steps", lambda s: step_holds(s, node, e, F.col("texts")) & real(s, node))
+    found = F.flatten(F.transform("elems", lambda e, node: F.transform(passed(e, node), lambda s: entry(s, e, node))))
+    return tasks.withColumn("_found", found).select(*keys, F.inline("_found"))
 
 
 def settle(found: DataFrame, keys: list[str], max_steps: int, max_alts: int) -> DataFrame:
