@@ -11,6 +11,7 @@ from siteloom.functions.urls import DEAD_PREFIXES_IN_ITEM, resolve_url, starts_w
 from siteloom.operators.parse import text_of
 from siteloom.operators.select import DOCUMENT, candidates, first_below, settle, steps_sizes
 from siteloom.operators.skew import spread_join
+from siteloom.session import keep
 from siteloom.sources.pages import lookup
 
 # Numbers of the selectors of a level: 0 items, -1 drill link, -2 any link; the p-th field has its
@@ -217,7 +218,7 @@ def sample_values(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataF
     """
     keyed = levels.withColumn("is_final_level", F.lit(True))
     by_item = keyed.where(F.col("is_catalog") & (F.col("item_container_selector") != ""))
-    first = _first_items(by_item, docs, index)
+    first = keep(_first_items(by_item, docs, index))
     rest = keyed.join(first.select("plan_id", "level").distinct(), ["plan_id", "level"], "left_anti")
     whole = _first_items(rest.withColumn("item_container_selector", F.lit(WHOLE_PAGE)), docs, index)
     return (
@@ -231,11 +232,8 @@ def sample_values(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataF
 def _first_items(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
     # a level has one page, so (plan, level) takes the place of the plan
     both = F.to_json(F.struct("plan_id", "level"))
-    compiled = compile_levels(
-        levels.withColumn("key", both).drop("plan_id").withColumnRenamed("key", "plan_id").withColumn(
-            "drill_down_link_selector", F.lit(None).cast("string")
-        )
-    )
+    keyed = levels.withColumn("plan_id", both).withColumn("drill_down_link_selector", F.lit(None).cast("string"))
+    compiled = keep(compile_levels(keyed))
     pages = split_tasks(lookup(compiled.select("plan_id", F.col("sample_url").alias("url")).where("url != ''"), index))
     tasks = spread_join(pages, compiled.drop("level", "sample_url"), "plan_id")
     items = extract_items(tasks, docs, steps_sizes(compiled))
