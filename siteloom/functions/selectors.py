@@ -87,25 +87,31 @@ def _pseudo_test(part: Column) -> Column:
     return F.struct(name.alias("name"), a.cast("int").alias("a"), b.cast("int").alias("b"), _unquoted(arg).alias("arg"))
 
 
-def _compound(text: Column) -> Column:
+def _plain_test(text: Column, negate: bool) -> Column:
     tag = F.lower(_plain_name(F.regexp_extract(text, rf"^({_IDENT})", 1)))
     parts = F.regexp_extract_all(text, F.lit(rf"({_NOT}|{_PART})"), F.lit(0))
     rest = lambda start: F.filter(parts, lambda p: p.startswith(start) & ~p.startswith(":not("))
     return F.struct(
+        F.lit(negate).alias("negate"),
         F.when(tag != "", tag).alias("tag"),
         F.transform(rest("#"), lambda p: _plain_name(F.substr(p, F.lit(2)))).alias("ids"),
         F.transform(rest("."), lambda p: _plain_name(F.substr(p, F.lit(2)))).alias("classes"),
         F.transform(rest("["), _attr_test).alias("attrs"),
         F.transform(rest(":"), _pseudo_test).alias("pseudos"),
-        F.flatten(
-            F.transform(
-                F.filter(parts, lambda p: p.startswith(":not(")),
-                lambda p: F.regexp_extract_all(F.substr(p, F.lit(6)), F.lit(f"({_PLAIN})"), F.lit(0)),
-            )
-        ).alias("nots"),
     )
 
 
+def _tests(text: Column) -> Column:
+    """The compound itself and what its ``:not()`` parts exclude, as one list of tests."""
+    excluded = F.flatten(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(f"({_NOT})"), F.lit(0)),
+            lambda p: F.regexp_extract_all(F.substr(p, F.lit(6)), F.lit(f"({_PLAIN})"), F.lit(0)),
+        )
+    )
+    return F.concat(F.array(_plain_test(text, False)), F.transform(excluded, lambda t: _plain_test(t, True)))
+
+
 def compile_selectors(rows: DataFrame, column: str = "selector") -> DataFrame:
     """Adds ``steps`` to rows that hold a selector: one entry per compound of each alternative.
 
@@ -131,7 +137,7 @@ def compile_selectors(rows: DataFrame, column: str = "selector") -> DataFrame:
         F.transform(
             "_parts", lambda p, i: F.size(F.filter(F.slice("_parts", 1, i + 1), lambda q: q["sign"] == ","))
         ),
-    ).withColumn("_tests", F.transform("_parts", lambda p: _compound(p["body"])))
+    ).withColumn("_tests", F.transform("_parts", lambda p: _tests(p["body"])))
     entries = F.transform(
         "_parts",
         lambda p, i: F.struct(
@@ -142,8 +148,8 @@ def compile_selectors(rows: DataFrame, column: str = "selector") -> DataFrame:
             F.when(F.get("_alts", i) == F.get("_alts", i + 1), F.get("_parts", i + 1)["sign"])
             .otherwise("")
             .alias("next_comb"),
-            F.get("_tests", i).alias("test"),
-            F.transform(F.get("_tests", i)["nots"], _compound).alias("nots"),
+            F.get(F.get("_tests", i), F.lit(0))["tag"].alias("tag"),
+            F.get("_tests", i).alias("tests"),
         ),
     )
     return alts.withColumn("steps", entries).drop("_tokens", "_parts", "_alts", "_tests")
@@ -215,6 +221,5 @@ def _test_holds(test: Column, number: Column, elem: Column, texts: Column) -> Co
 
 def step_holds(step: Column, number: Column, elem: Column, texts: Column) -> Column:
     """Whether element ``number`` passes the compound of ``step`` (its combinator is another matter)."""
-    return _test_holds(step["test"], number, elem, texts) & (
-        (F.size(step["nots"]) == 0) | F.forall(step["nots"], lambda t: ~_test_holds(t, number, elem, texts))
-    )
+    fits = step["tag"].isNull() | (step["tag"] == elem["tag"])
+    return fits & F.forall(step["tests"], lambda t: _test_holds(t, number, elem, texts) != t["negate"])

@@ -68,7 +68,8 @@ def compile_levels(levels: DataFrame) -> DataFrame:
             "steps",
             lambda s: s.withField("sel", F.col("sel"))
             .withField("attribute", F.col("attribute"))
-            .withField("test", s["test"].withField("tag", F.when(whole, DOCUMENT).otherwise(s["test"]["tag"]))),
+            .withField("tag", F.when(whole, DOCUMENT).otherwise(s["tag"]))
+            .withField("tests", F.when(whole, F.slice(s["tests"], 1, 0)).otherwise(s["tests"])),
         ).alias("steps"),
     )
     grouped = steps.groupBy("plan_id", "level").agg(F.flatten(F.collect_list("steps")).alias("steps"))

@@ -31,24 +31,33 @@ def candidates(
     def entry(s: Column, e: Column, node: Column) -> Column:
         extra = payload(e, s) if payload else {}
         return F.struct(
-            s["sel"].alias("sel"),
-            s["alt"].alias("alt"),
-            s["step"].alias("step"),
-            s["n"].alias("n"),
-            s["comb"].alias("comb"),
-            s["next_comb"].alias("next_comb"),
+            *[s[name].alias(name) for name in ("sel", "alt", "step", "n", "comb", "next_comb")],
             node.alias("node"),
-            e["last"].alias("last"),
-            e["parent"].alias("parent"),
-            e["prev"].alias("prev"),
+            *[e[name].alias(name) for name in ("last", "parent", "prev")],
             *[column.alias(name) for name, column in extra.items()],
         )
 
-    # the document itself is no element; only a whole-page scope asks for it by name
-    real = lambda s, node: (node > 0) | (s["test"]["tag"] == DOCUMENT)
-    passed = lambda e, node: F.filter("steps", lambda s: step_holds(s, node, e, F.col("texts")) & real(s, node))
-    found = F.flatten(F.transform("elems", lambda e, node: F.transform(passed(e, node), lambda s: entry(s, e, node))))
-    return tasks.withColumn("_found", found).select(*keys, F.inline("_found"))
+    found = F.flatten(
+        F.transform("_passed", lambda p: F.transform(p["steps"], lambda s: entry(s, F.get("elems", p["node"]), p["node"])))
+    )
+    return tasks.withColumn("_passed", _passed(tasks.sparkSession)).withColumn("_found", found).select(
+        *keys, F.inline("_found")
+    )
+
+
+_columns: dict[str, Column] = {}
+
+
+def _passed(spark: SparkSession) -> Column:
+    """Elements of the row with the steps they pass; the expression is built once per session."""
+    key = spark.sparkContext.applicationId
+    if key not in _columns:
+        # the document itself is no element; only a whole-page scope asks for it by name
+        real = lambda s, node: (node > 0) | (s["tag"] == DOCUMENT)
+        passed = lambda e, node: F.filter("steps", lambda s: step_holds(s, node, e, F.col("texts")) & real(s, node))
+        each = F.transform("elems", lambda e, node: F.struct(node.alias("node"), passed(e, node).alias("steps")))
+        _columns[key] = F.filter(each, lambda p: F.size(p["steps"]) > 0)
+    return _columns[key]
 
 
 def settle(found: DataFrame, keys: list[str], max_steps: int, max_alts: int) -> DataFrame:

@@ -12,10 +12,9 @@ HOT_ROWS = 100_000
 SALTS = 64
 
 
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
-    """The at most ``HOT_SHARE`` keys that hold the most rows, with a column ``hot``."""
+def hot_keys(rows: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The at most ``HOT_SHARE`` keys that hold the most of ``total`` rows, with a column ``hot``."""
     counts = rows.groupBy(*on).count()
-    total = rows.count()
     return counts.where((F.col("count") > HOT_ROWS) & (F.col("count") * HOT_SHARE > F.lit(total))).select(
         *on, F.lit(True).alias("hot")
     )
@@ -27,11 +26,19 @@ def salted_join(
     """Equi-join in which hot keys of ``many`` are spread and their partners in ``one`` copied.
 
     Rows of ``many`` for which ``idle`` holds take no partner (left join) and are spread as well.
+    ``many`` is read twice, so it should be a saved table or cheap to compute.
     """
     plain = [name for name, kind in many.dtypes if "map<" not in kind]
     spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
     busy = many if idle is None else many.where(~idle)
-    hot = F.broadcast(hot_keys(busy, on))
+    total = busy.select(*on).count()
+    if total <= HOT_ROWS:
+        # no key can be hot
+        if idle is None:
+            return many.join(one, on, how)
+        left = many.withColumn("salt", F.when(idle, -1 - spread).otherwise(0))
+        return left.join(one.withColumn("salt", F.lit(0)), [*on, "salt"], how).drop("salt")
+    hot = F.broadcast(hot_keys(busy, on, total))
     salt = F.when(F.col("hot"), spread).otherwise(0)
     if idle is not None:
         salt = F.when(idle, -1 - spread).otherwise(salt)

@@ -254,6 +254,14 @@ SQL = {
         CASE c WHEN 3 THEN 0 ELSE 1 END AS n_levels FROM t""",
     "n9_guard_frontier": """SELECT url AS root_url, url || '/x' AS current_url, page_id % 13 AS current_level,
         page_id % 13 <= 10 AND url NOT LIKE 'https:%' AS proceed FROM pages""",
+    "n10_levels": f"""WITH {_ROOT}, {Q.SHOPS}, c AS (SELECT site, arg_min(name, c_custkey) AS name FROM shops WHERE n_nationkey = {_NATION} GROUP BY 1),
+        f AS (SELECT arg_min(n_name, n_nationkey) AS n, min(n_nationkey) AS k FROM nation WHERE n_regionkey = {_REGION})
+        SELECT root_url, 1 AS level, root_url AS url, 'region' AS catalog_type, 'li.item' AS item_container_selector, unnest(['name', 'link']) AS name,
+          unnest([NULL, 'r/' || (SELECT min(r_regionkey) FROM region) || '/#top']) AS sample_value FROM roots
+        UNION ALL SELECT root_url, 2, root_url || '/r/' || {_REGION} || '/#top', 'nation', 'li.item', unnest(['name', 'link']), unnest([n, '/n/' || k]) FROM roots, f
+        UNION ALL SELECT root_url, 3, root_url || '/n/' || {_NATION}, 'customer', 'li.item', unnest(['name', 'link']), unnest([name, NULL]) FROM roots JOIN c USING (site)""",
+    "n12_run_discovery": f"""WITH {_ROOT} SELECT root_url, 'customer' AS item_name, 3 AS nesting_depth, 'region,nation,customer' AS level_names,
+        root_url || ' ' || root_url || '/r/' || {_REGION} || '/#top ' || root_url || '/n/' || {_NATION} AS visited_urls FROM roots""",
     "n11_finish_plans": f"""WITH {Q.PLANS} SELECT root_url, CASE WHEN filled AND n_regionkey <> 1 THEN 'item ' || n_name ELSE 'Item' END AS item_name,
         CASE WHEN filled THEN 2 ELSE 1 END AS nesting_depth,
         CASE WHEN filled THEN kind || ',' || coalesce(kind2, 'level_2') ELSE '' END AS level_names FROM plans""",
