@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.operators.parse import strings_of
+from siteloom.session import per_session
 
 _LETTER = r"[_a-zA-Z\x{80}-\x{10ffff}]|\\[^\n]"
 _IDENT = rf"(?:--|-?(?:{_LETTER}))(?:[-0-9]|{_LETTER})*+"
@@ -118,6 +119,14 @@ def compile_selectors(rows: DataFrame, column: str = "selector") -> DataFrame:
     An entry has ``alt`` (comma alternative), ``step`` of ``n``, the combinators on both sides and
     the tests of the compound. The columns are built in stages so that each is computed once.
     """
+    out = rows
+    for name, value in _stages(column):
+        out = out.withColumn(name, value)
+    return out.drop("_tokens", "_parts", "_alts", "_tests")
+
+
+@per_session
+def _stages(column: str) -> list[tuple[str, Column]]:
     selector = F.col(column)
     tokens = F.when(
         is_supported(selector),
@@ -128,31 +137,24 @@ def compile_selectors(rows: DataFrame, column: str = "selector") -> DataFrame:
         F.when(gap(t).rlike(r"^\s+$"), " ").otherwise(F.regexp_replace(gap(t), r"\s", "")).alias("sign"),
         F.regexp_replace(t, rf"^{_GAP}", "").alias("body"),
     )
-    parts = rows.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))).withColumn(
-        "_parts", F.transform("_tokens", split)
+    entry = lambda p, i: F.struct(
+        F.get("_alts", i).alias("alt"),
+        (i + 1 - F.array_position("_alts", F.get("_alts", i))).cast("int").alias("step"),
+        F.size(F.filter("_alts", lambda a: a == F.get("_alts", i))).alias("n"),
+        F.when(p["sign"] == ",", "").otherwise(p["sign"]).alias("comb"),
+        F.when(F.get("_alts", i) == F.get("_alts", i + 1), F.get("_parts", i + 1)["sign"]).otherwise("").alias("next_comb"),
+        F.get(F.get("_tests", i), F.lit(0))["tag"].alias("tag"),
+        F.get("_tests", i).alias("tests"),
     )
     # running number of the alternative, one entry per token
-    alts = parts.withColumn(
-        "_alts",
-        F.transform(
-            "_parts", lambda p, i: F.size(F.filter(F.slice("_parts", 1, i + 1), lambda q: q["sign"] == ","))
-        ),
-    ).withColumn("_tests", F.transform("_parts", lambda p: _tests(p["body"])))
-    entries = F.transform(
-        "_parts",
-        lambda p, i: F.struct(
-            F.get("_alts", i).alias("alt"),
-            (i + 1 - F.array_position("_alts", F.get("_alts", i))).cast("int").alias("step"),
-            F.size(F.filter("_alts", lambda a: a == F.get("_alts", i))).alias("n"),
-            F.when(p["sign"] == ",", "").otherwise(p["sign"]).alias("comb"),
-            F.when(F.get("_alts", i) == F.get("_alts", i + 1), F.get("_parts", i + 1)["sign"])
-            .otherwise("")
-            .alias("next_comb"),
-            F.get(F.get("_tests", i), F.lit(0))["tag"].alias("tag"),
-            F.get("_tests", i).alias("tests"),
-        ),
-    )
-    return alts.withColumn("steps", entries).drop("_tokens", "_parts", "_alts", "_tests")
+    comma = lambda p, i: F.size(F.filter(F.slice("_parts", 1, i + 1), lambda q: q["sign"] == ","))
+    return [
+        ("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))),
+        ("_parts", F.transform("_tokens", split)),
+        ("_alts", F.transform("_parts", comma)),
+        ("_tests", F.transform("_parts", lambda p: _tests(p["body"]))),
+        ("steps", F.transform("_parts", entry)),
+    ]
 
 
 def _nth(test: Column, rank: Column) -> Column:

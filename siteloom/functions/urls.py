@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import blank_to_null, title_case
+from siteloom.session import per_session
 
 # scheme, //, netloc, path, ?, query, #, fragment
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
@@ -111,6 +112,12 @@ def normalize_url(url: Column) -> Column:
     return F.when(url.isNotNull(), _let(parts(url), spelled))
 
 
+@per_session
+def normalized(name: str = "url") -> Column:
+    """``normalize_url`` of a named column."""
+    return normalize_url(F.col(name))
+
+
 def url_hash(url: Column) -> Column:
     """Short key: the first 12 hex digits of the MD5 of the (normalized) URL."""
     return F.substring(F.md5(url.cast("binary")), 1, 12)
@@ -163,6 +170,12 @@ def resolve_url(base: Column, link: Column) -> Column:
     )
 
 
+@per_session
+def resolved(base: str, link: str) -> Column:
+    """``resolve_url`` of two named columns."""
+    return resolve_url(F.col(base), F.col(link))
+
+
 def is_same_domain(a: Column, b: Column) -> Column:
     """Same host, port and user part; a sub-domain is another domain."""
     return F.lower(part(a, "netloc")) == F.lower(part(b, "netloc"))

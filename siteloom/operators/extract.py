@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.selectors import compile_selectors
 from siteloom.functions.text import blank_to_null, collapse
-from siteloom.functions.urls import DEAD_PREFIXES_IN_ITEM, resolve_url, starts_with_any
+from siteloom.functions.urls import DEAD_PREFIXES_IN_ITEM, resolved, starts_with_any
 from siteloom.operators.parse import text_of
 from siteloom.operators.select import DOCUMENT, candidates, first_below, settle, steps_sizes
 from siteloom.operators.skew import spread_join
-from siteloom.session import keep
+from siteloom.session import keep, per_session
 from siteloom.sources.pages import lookup
 
 # Numbers of the selectors of a level: 0 items, -1 drill link, -2 any link; the p-th field has its
@@ -89,8 +89,13 @@ def compile_levels(levels: DataFrame) -> DataFrame:
     ).join(grouped, ["plan_id", "level"])
 
 
-def split_tasks(tasks: DataFrame) -> DataFrame:
-    """Adds ``part``: tasks that share one page in great number are spread over several parts."""
+def split_tasks(tasks: DataFrame, few: bool = False) -> DataFrame:
+    """Adds ``part``: tasks that share one page in great number are spread over several parts.
+
+    ``few`` says that there are too few tasks for that to matter.
+    """
+    if few:
+        return tasks.withColumn("part", F.lit(0))
     per_page = tasks.groupBy("page_id").agg(
         F.ceil(F.count("*") / _TASKS_PER_PART).cast("int").alias("parts")
     ).where("parts > 1")
@@ -98,7 +103,7 @@ def split_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.join(per_page, "page_id", "left").withColumn("part", spread).drop("parts")
 
 
-def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int], few: bool = False) -> DataFrame:
     """Items of each task's page: ``plan_id, url, page_id, item, fields, drill_url``.
 
     ``tasks`` are compiled levels joined to pages (``plan_id, url, page_id, part, names, scopes,
@@ -121,28 +126,7 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int]) ->
             "drills": F.when(s["sel"] == _ITEM, ~F.col("is_final_level")),
         },
     ).repartition("page_id", "part")
-    sel = F.col("sel")
-    role = lambda kind, number, item: F.struct(
-        F.lit(kind).alias("kind"), number.cast("int").alias("sel"), item.cast("int").alias("item")
-    )
-    roles = (
-        F.when(
-            sel == _ITEM,
-            F.concat(
-                F.array(role("item", sel, F.col("node"))),
-                F.transform("scopes", lambda s: role("scope", s, F.col("node"))),
-            ),
-        )
-        .when((sel > 0) & (sel % 2 == 1), F.array(role("scope", sel + 1, F.lit(-1))))
-        .otherwise(F.array(role("match", sel, F.lit(None))))
-    )
-    rows = (
-        settle(found, keys, *sizes)
-        .withColumn("role", F.explode(roles))
-        .drop("sel", "scopes")
-        .select("*", "role.*")
-        .drop("role")
-    )
+    rows = settle(found, keys, *sizes).withColumn("role", F.explode(_roles())).drop("sel", "scopes").select("*", "role.*").drop("role")
     hit = F.struct("node", "t0", "t1", "tag", "is_text", "value", "href")
     one_selector = Window.partitionBy(*keys, "sel")
     refs = (
@@ -158,19 +142,17 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int]) ->
     chosen = refs.groupBy("page_id", "part").agg(
         F.collect_list(F.struct("plan_id", "url", "item", "sel", "hit", "kind", "names", "drills", "own_href")).alias("refs")
     )
-    parts = tasks.groupBy("page_id").agg(F.max("part").alias("last_part"))
-    strings = docs.select("page_id", "texts").join(parts, "page_id").select(
-        "page_id", "texts", F.explode(F.sequence(F.lit(0), "last_part")).alias("part")
-    )
-    value = lambda r: F.when(r["hit"]["is_text"], collapse(text_of(F.col("texts"), r["hit"]))).otherwise(r["hit"]["value"])
-    read = lambda r: F.struct(
-        *[r[name].alias(name) for name in ("plan_id", "url", "item", "sel", "kind", "names", "drills", "own_href")],
-        r["hit"]["href"].alias("href"),
-        F.struct(((r["sel"] - 2) / 2).cast("int").alias("p"), value(r).alias("v")).alias("entry"),
-    )
+    strings = docs.select("page_id", "texts")
+    if few:
+        strings = strings.withColumn("part", F.lit(0))
+    else:
+        parts = tasks.groupBy("page_id").agg(F.max("part").alias("last_part"))
+        strings = strings.join(parts, "page_id").select(
+            "page_id", "texts", F.explode(F.sequence(F.lit(0), "last_part")).alias("part")
+        )
     valued = (
         chosen.join(strings, ["page_id", "part"])
-        .withColumn("_read", F.transform("refs", read))
+        .withColumn("_read", _values())
         .select("page_id", "part", F.inline("_read"))
     )
     page_wide = F.collect_list(F.when(F.col("item") == -1, F.col("entry"))).over(Window.partitionBy(*keys))
@@ -189,26 +171,58 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int]) ->
             of_kind(_ANY_LINK, "href").alias("any_href"),
         )
     )
-    usable = lambda href: F.when((href != "") & ~starts_with_any(href, DEAD_PREFIXES_IN_ITEM), href)
-    href = F.coalesce(usable(F.col("own_href")), blank_to_null(F.col("drill_href")), usable(F.col("any_href")))
-    values = F.map_from_entries(F.concat("own", "page_wide"))
-    fields = F.map_from_arrays(
-        "names", F.transform("names", lambda name, p: F.try_element_at(F.col("values"), p.cast("int")))
+    return (
+        items.withColumn("href", F.when(F.col("drills"), _drill_href()))
+        .withColumn("drill_url", resolved("url", "href"))
+        .select("plan_id", "url", "page_id", "item", _fields().alias("fields"), "drill_url")
     )
-    refilled = F.map_from_arrays(
-        "names",
-        F.transform(
-            "names",
-            lambda name: F.when(name == "url", F.coalesce(F.try_element_at(F.col("fields"), name), F.col("drill_url")))
-            .otherwise(F.try_element_at(F.col("fields"), name)),
-        ),
+
+
+@per_session
+def _roles() -> Column:
+    """What a matched element does: it is an item, opens scopes for fields, or is sought in them."""
+    sel = F.col("sel")
+    role = lambda kind, number, item: F.struct(
+        F.lit(kind).alias("kind"), number.cast("int").alias("sel"), item.cast("int").alias("item")
     )
     return (
-        items.withColumn("values", values)
-        .withColumn("fields", fields)
-        .withColumn("drill_url", F.when(F.col("drills"), resolve_url(F.col("url"), href)))
-        .select("plan_id", "url", "page_id", "item", refilled.alias("fields"), "drill_url")
+        F.when(
+            sel == _ITEM,
+            F.concat(
+                F.array(role("item", sel, F.col("node"))),
+                F.transform("scopes", lambda s: role("scope", s, F.col("node"))),
+            ),
+        )
+        .when((sel > 0) & (sel % 2 == 1), F.array(role("scope", sel + 1, F.lit(-1))))
+        .otherwise(F.array(role("match", sel, F.lit(None))))
+    )
+
+
+@per_session
+def _values() -> Column:
+    """The page's chosen elements with their values."""
+    value = lambda r: F.when(r["hit"]["is_text"], collapse(text_of(F.col("texts"), r["hit"]))).otherwise(r["hit"]["value"])
+    read = lambda r: F.struct(
+        *[r[name].alias(name) for name in ("plan_id", "url", "item", "sel", "kind", "names", "drills", "own_href")],
+        r["hit"]["href"].alias("href"),
+        F.struct(((r["sel"] - 2) / 2).cast("int").alias("p"), value(r).alias("v")).alias("entry"),
     )
+    return F.transform("refs", read)
+
+
+@per_session
+def _drill_href() -> Column:
+    """Link of an item: its own, that of the drill selector, or the first one in it."""
+    usable = lambda href: F.when((href != "") & ~starts_with_any(href, DEAD_PREFIXES_IN_ITEM), href)
+    return F.coalesce(usable(F.col("own_href")), blank_to_null(F.col("drill_href")), usable(F.col("any_href")))
+
+
+@per_session
+def _fields() -> Column:
+    """All fields of an item in order; an empty ``url`` field takes the drill link."""
+    at = lambda p: F.get(F.filter(F.concat("own", "page_wide"), lambda x: x["p"] == p), F.lit(0))["v"]
+    value = lambda name, p: F.coalesce(at(p), F.when(name == "url", F.col("drill_url")))
+    return F.map_from_arrays("names", F.transform("names", value))
 
 
 def sample_values(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from siteloom.functions.text import blank_to_null, cut, strip
 from siteloom.functions.urls import (
     DEAD_PREFIXES,
     is_valid_drill_link,
-    resolve_url,
+    resolved,
     score_drill_link,
     starts_with_any,
     url_label,
@@ -32,7 +32,7 @@ def resolve_links(links: DataFrame) -> DataFrame:
 
     ``links`` holds ``page_id, url, pos, href``; the result ``page_id, url, link_url, pos``.
     """
-    target = links.withColumn("link_url", resolve_url(F.col("url"), F.col("href")))
+    target = links.withColumn("link_url", resolved("url", "href"))
     valid = target.where(is_valid_drill_link(F.col("href"), F.col("url"), F.col("link_url")))
     return valid.groupBy("page_id", "url", "link_url").agg(F.min("pos").alias("pos"))
 
@@ -105,7 +105,7 @@ def source_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
 def link_labels(links: DataFrame) -> DataFrame:
     """First non-empty anchor text of each absolute URL, over all links, valid or not."""
     texts = links.select(
-        "page_id", "url", resolve_url(F.col("url"), F.col("href")).alias("link_url"), "pos", strip(F.col("text")).alias("label")
+        "page_id", "url", resolved("url", "href").alias("link_url"), "pos", strip(F.col("text")).alias("label")
     ).where((F.col("href") != "") & (F.col("label") != ""))
     return texts.groupBy("page_id", "url", "link_url").agg(F.min_by("label", "pos").alias("label"))
 
@@ -116,7 +116,7 @@ def rank_links(links: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     Links below the page's own path come first, then page order. ``visited`` (``page_id,
     link_url``) is left out by exact spelling. ``position`` counts from 0.
     """
-    target = links.withColumn("link_url", resolve_url(F.col("url"), F.col("href")))
+    target = links.withColumn("link_url", resolved("url", "href"))
     valid = is_valid_drill_link(F.col("href"), F.col("url"), F.col("link_url"))
     text = strip(F.col("text"))
     # one aggregation gives both the position of a link and the label of its URL

@@ -13,6 +13,10 @@ from siteloom.operators.skew import salted_join, spread_join
 from siteloom.session import keep
 from siteloom.sources.pages import lookup, missing, page_index
 
+# Below this number of pages to visit no measures against uneven keys are needed.
+_FEW_TASKS = 10_000
+
+
 @dataclass
 class Scrape:
     """``rows`` as ``plan_id, order_key, level, fields`` and the pages that were not found."""
@@ -75,10 +79,12 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
         goal = goal.select("plan_id", F.least("goal", F.lit(target_level)).alias("goal"))
     deepest = goal.agg(F.max("goal")).first()[0] or 0
 
-    def items_of(frontier: DataFrame, level: int) -> DataFrame:
-        tasks = split_tasks(lookup(frontier, index))
+    def items_of(frontier: DataFrame, level: int, size: int) -> DataFrame:
+        few = size <= _FEW_TASKS
+        tasks = split_tasks(lookup(frontier, index), few)
         plan = compiled.where(F.col("level") == level).drop("level", "sample_url")
-        items = extract_items(spread_join(tasks, plan, "plan_id"), docs, sizes)
+        joined = tasks.join(plan, "plan_id") if few else spread_join(tasks, plan, "plan_id")
+        items = extract_items(joined, docs, sizes, few)
         if max_items is not None:
             order = Window.partitionBy("plan_id", "url").orderBy("item")
             items = items.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_items).drop("n")
@@ -89,7 +95,7 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
     )
     errors = [missing(frontier, index).withColumn("level", F.lit(1))]
     rows = (
-        items_of(frontier, 1)
+        items_of(frontier, 1, frontier.count())
         .join(goal, "plan_id")
         .select("plan_id", F.array("item").alias("order_key"), F.lit(1).alias("level"), "goal", "fields", "drill_url")
     )
@@ -101,10 +107,11 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
         rows = keep(rows)
         is_open = (F.col("level") == level - 1) & (F.col("goal") >= level) & F.col("drill_url").isNotNull()
         frontier = rows.where(is_open).select("plan_id", page_of(F.col("drill_url")).alias("url")).distinct()
-        if frontier.isEmpty():
+        size = frontier.count()
+        if size == 0:
             break
         errors.append(missing(frontier, index).withColumn("level", F.lit(level)))
-        joined = _join_children(rows, items_of(frontier, level), is_open)
+        joined = _join_children(rows, items_of(frontier, level, size), is_open)
         found = F.col("is_open") & F.col("child_item").isNotNull()
         rows = joined.where(~F.col("is_open") | found).select(
             "plan_id",

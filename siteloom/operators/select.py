@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.selectors import compile_selectors, step_holds
+from siteloom.session import per_session
 
 _FAR = 2147483647
 DOCUMENT = "[document]"
@@ -40,24 +41,19 @@ def candidates(
     found = F.flatten(
         F.transform("_passed", lambda p: F.transform(p["steps"], lambda s: entry(s, F.get("elems", p["node"]), p["node"])))
     )
-    return tasks.withColumn("_passed", _passed(tasks.sparkSession)).withColumn("_found", found).select(
+    return tasks.withColumn("_passed", _passed()).withColumn("_found", found).select(
         *keys, F.inline("_found")
     )
 
 
-_columns: dict[str, Column] = {}
-
-
-def _passed(spark: SparkSession) -> Column:
-    """Elements of the row with the steps they pass; the expression is built once per session."""
-    key = spark.sparkContext.applicationId
-    if key not in _columns:
-        # the document itself is no element; only a whole-page scope asks for it by name
-        real = lambda s, node: (node > 0) | (s["tag"] == DOCUMENT)
-        passed = lambda e, node: F.filter("steps", lambda s: step_holds(s, node, e, F.col("texts")) & real(s, node))
-        each = F.transform("elems", lambda e, node: F.struct(node.alias("node"), passed(e, node).alias("steps")))
-        _columns[key] = F.filter(each, lambda p: F.size(p["steps"]) > 0)
-    return _columns[key]
+@per_session
+def _passed() -> Column:
+    """Elements of the row with the steps they pass."""
+    # the document itself is no element; only a whole-page scope asks for it by name
+    real = lambda s, node: (node > 0) | (s["tag"] == DOCUMENT)
+    passed = lambda e, node: F.filter("steps", lambda s: step_holds(s, node, e, F.col("texts")) & real(s, node))
+    each = F.transform("elems", lambda e, node: F.struct(node.alias("node"), passed(e, node).alias("steps")))
+    return F.filter(each, lambda p: F.size(p["steps"]) > 0)
 
 
 def settle(found: DataFrame, keys: list[str], max_steps: int, max_alts: int) -> DataFrame:
@@ -99,7 +95,7 @@ def select(docs: DataFrame, selector: str, keys: list[str] | None = None) -> Dat
 def select_many(docs: DataFrame, selectors: dict[str, str], keys: list[str] | None = None) -> DataFrame:
     """Several selectors in one pass: ``(page_id, selector_id, node, last, tag, t0, t1)``."""
     keys = keys or ["page_id"]
-    compiled, max_steps, max_alts = literal_steps(docs.sparkSession, list(selectors.values()))
+    compiled, max_steps, max_alts = literal_steps(tuple(selectors.values()))
     found = candidates(
         docs.withColumn("steps", compiled),
         keys,
@@ -109,9 +105,10 @@ def select_many(docs: DataFrame, selectors: dict[str, str], keys: list[str] | No
     return settle(found, keys, max_steps, max_alts).withColumn("selector_id", named).drop("sel")
 
 
-def literal_steps(spark: SparkSession, selectors: list[str]) -> tuple[Column, int, int]:
+@per_session
+def literal_steps(selectors: tuple[str, ...]) -> tuple[Column, int, int]:
     """Selectors given by the caller as one constant column, numbered from 0, and their sizes."""
-    table = spark.createDataFrame([(i, s) for i, s in enumerate(selectors)], "sel int, selector string")
+    table = SparkSession.active().createDataFrame([(i, s) for i, s in enumerate(selectors)], "sel int, selector string")
     compiled = compile_selectors(table).withColumn(
         "steps", F.transform("steps", lambda s: s.withField("sel", F.col("sel")))
     )

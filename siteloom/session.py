@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings for new sessions. Nothing here is needed for right results.
@@ -17,6 +19,9 @@ DEFAULTS = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
+    # plans here hold long expressions: keep more compiled code, and shorter plan texts for the UI
+    "spark.sql.codegen.cache.maxEntries": "2000",
+    "spark.sql.maxPlanStringLength": "8192",
 }
 
 
@@ -49,6 +54,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_built: dict[tuple, object] = {}
+
+
+def per_session(build):
+    """Caches what ``build`` makes of its (hashable) arguments for the life of the Spark context.
+
+    Column expressions are made of many calls into the JVM; those that name their inputs can be
+    built once.
+    """
+
+    @functools.wraps(build)
+    def cached(*args):
+        key = (SparkContext._active_spark_context.applicationId, build.__module__, build.__qualname__, args)
+        if key not in _built:
+            _built[key] = build(*args)
+        return _built[key]
+
+    return cached
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, reliably, and cut its lineage.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.functions.urls import normalize_url
+from siteloom.functions.urls import normalized
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -19,18 +19,18 @@ def page_index(pages: DataFrame) -> DataFrame:
     Only the URL column moves; the aggregation combines before its shuffle, so a URL captured
     very often costs no more than one row per task.
     """
-    return pages.groupBy(normalize_url(F.col("url")).alias("url_key")).agg(F.max("page_id").alias("page_id"))
+    return pages.groupBy(normalized("url").alias("url_key")).agg(F.max("page_id").alias("page_id"))
 
 
 def lookup(requests: DataFrame, index: DataFrame) -> DataFrame:
     """Requests (with ``url``) that have a page, with its ``page_id``."""
-    keyed = requests.withColumn("url_key", normalize_url(F.col("url")))
+    keyed = requests.withColumn("url_key", normalized("url"))
     return keyed.join(index, "url_key").drop("url_key")
 
 
 def missing(requests: DataFrame, index: DataFrame) -> DataFrame:
     """Requests without a page; they yield no rows and stop nothing."""
-    keyed = requests.withColumn("url_key", normalize_url(F.col("url")))
+    keyed = requests.withColumn("url_key", normalized("url"))
     return keyed.join(index, "url_key", "left_anti").drop("url_key").withColumn("error", F.lit("missing page"))
 
 

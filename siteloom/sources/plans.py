@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.functions.urls import normalize_url
+from siteloom.functions.urls import normalized
 from siteloom.plans.model import PLAN, fill_defaults, struct_type
 
 
@@ -44,8 +44,8 @@ def list_plans(plans: DataFrame) -> DataFrame:
 
 def find_plans(requests: DataFrame, plans: DataFrame) -> DataFrame:
     """Plans for requested URLs, in whatever spelling; null columns where there is none."""
-    keyed = plans.withColumn("url_key", normalize_url(F.col("root_url")))
-    return requests.withColumn("url_key", normalize_url(F.col("url"))).join(keyed, "url_key", "left")
+    keyed = plans.withColumn("url_key", normalized("root_url"))
+    return requests.withColumn("url_key", normalized("url")).join(keyed, "url_key", "left")
 
 
 def reusable(plans: DataFrame) -> DataFrame:
