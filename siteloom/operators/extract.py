@@ -26,14 +26,14 @@ _TASKS_PER_PART = 256
 
 
 def _last_of_name(fields: Column) -> Column:
-    """A name defined twice on a level holds its last definition."""
-    later = lambda i: F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0)))
-    return F.filter(fields, lambda f, i: ~F.exists(later(i), lambda g: g["name"] == f["name"]))
+    """A name defined twice on a level keeps its place and holds its last definition."""
+    names = F.array_distinct(F.transform(fields, lambda f: f["name"]))
+    return F.transform(names, lambda name: F.element_at(F.filter(fields, lambda f: f["name"].eqNullSafe(name)), -1))
 
 
 def compile_levels(levels: DataFrame) -> DataFrame:
     """Level plans with their selectors as steps: one row per plan and level."""
-    fields = levels.withColumn("fields", _last_of_name(F.coalesce("fields", F.array())))
+    fields = levels.withColumn("fields", _last_of_name(F.col("fields")))
     entry = lambda sel, selector, attribute: F.struct(
         F.lit(sel).cast("int").alias("sel") if isinstance(sel, int) else sel.cast("int").alias("sel"),
         selector.alias("selector"),

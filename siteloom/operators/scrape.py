@@ -26,8 +26,14 @@ class Scrape:
 
 
 def override(parent: Column, child: Column) -> Column:
-    """Parent values with those of the child on top; a child's null counts as a value."""
-    return F.map_concat(F.map_filter(parent, lambda k, v: ~F.map_contains_key(child, k)), child)
+    """Parent values with those of the child on top; a child's null counts as a value.
+
+    Names keep the place where they first appeared.
+    """
+    replaced = F.transform_values(
+        parent, lambda k, v: F.when(F.map_contains_key(child, k), F.try_element_at(child, k)).otherwise(v)
+    )
+    return F.map_concat(replaced, F.map_filter(child, lambda k, v: ~F.map_contains_key(parent, k)))
 
 
 def page_of(url: Column) -> Column:
