@@ -6,12 +6,12 @@ letters), so a malformed URL still gives a row. No function here leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteloom.functions.columns import let
 from siteloom.functions.text import blank_to_null, title_case
 from siteloom.session import per_session
 
@@ -31,11 +31,6 @@ DEAD_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
 DEAD_PREFIXES_IN_ITEM = ("#", "javascript:", "mailto:")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _clean(url: Column) -> Column:
     controls = "".join(chr(c) for c in range(0x21))
     return F.regexp_replace(F.ltrim(url, F.lit(controls)), r"[\t\r\n]", "")
@@ -44,7 +39,7 @@ def _clean(url: Column) -> Column:
 def parts(url: Column) -> Column:
     """A URL as a struct: scheme (small), netloc, path, query, fragment."""
     piece = lambda u, name: F.regexp_extract(u, _PARTS, _GROUPS[name]).alias(name)
-    return _let(
+    return let(
         _clean(url),
         lambda u: F.struct(
             F.lower(piece(u, "scheme")).alias("scheme"), *[piece(u, n) for n in ("netloc", "path", "query", "fragment")]
@@ -109,7 +104,7 @@ def normalize_url(url: Column) -> Column:
             F.lit(""),
         )
 
-    return F.when(url.isNotNull(), _let(parts(url), spelled))
+    return F.when(url.isNotNull(), let(parts(url), spelled))
 
 
 @per_session
@@ -138,7 +133,7 @@ def _merge_paths(base_path: Column, path: Column) -> Column:
         return F.array_join(F.concat(kept, closing), "/")
 
     plain = ~joined.rlike(r"(^|/)\.{1,2}(/|$)")
-    return F.coalesce(blank_to_null(F.when(plain, joined).otherwise(_let(joined, resolved))), F.lit("/"))
+    return F.coalesce(blank_to_null(F.when(plain, joined).otherwise(let(joined, resolved))), F.lit("/"))
 
 
 def resolve_url(base: Column, link: Column) -> Column:
@@ -166,7 +161,7 @@ def resolve_url(base: Column, link: Column) -> Column:
         F.when(link.isNull() | base.isNull(), None)
         .when(link == "", base)
         .when(base == "", link)
-        .otherwise(_let(both, joined))
+        .otherwise(let(both, joined))
     )
 
 
@@ -195,7 +190,7 @@ def _page_of(url: Column) -> Column:
 def is_valid_drill_link(link: Column, base: Column, resolved: Column | None = None) -> Column:
     """Whether following ``link`` leads to another page of the same host."""
     leads = lambda target: (_page_of(base) != _page_of(target)) & is_same_domain(base, target)
-    valid = leads(resolved) if resolved is not None else _let(resolve_url(base, link), leads)
+    valid = leads(resolved) if resolved is not None else let(resolve_url(base, link), leads)
     return F.coalesce((link != "") & ~starts_with_any(link, DEAD_PREFIXES) & valid, F.lit(False))
 
 

@@ -10,7 +10,7 @@ from siteloom.functions.text import blank_to_null, collapse
 from siteloom.functions.urls import DEAD_PREFIXES_IN_ITEM, resolved, starts_with_any
 from siteloom.operators.parse import text_of
 from siteloom.operators.select import DOCUMENT, candidates, first_below, settle, steps_sizes
-from siteloom.operators.skew import spread_join
+from siteloom.operators.skew import copy_to_parts, parts_of, spread_join
 from siteloom.session import keep, per_session
 from siteloom.sources.pages import lookup
 
@@ -92,27 +92,26 @@ def compile_levels(levels: DataFrame) -> DataFrame:
 def split_tasks(tasks: DataFrame, few: bool = False) -> DataFrame:
     """Adds ``part``: tasks that share one page in great number are spread over several parts.
 
-    ``few`` says that there are too few tasks for that to matter.
+    ``few`` says that there are too few tasks for that to matter; then there are no parts.
     """
-    if few:
-        return tasks.withColumn("part", F.lit(0))
-    per_page = tasks.groupBy("page_id").agg(
-        F.ceil(F.count("*") / _TASKS_PER_PART).cast("int").alias("parts")
-    ).where("parts > 1")
-    spread = F.pmod(F.xxhash64("plan_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")
-    return tasks.join(per_page, "page_id", "left").withColumn("part", spread).drop("parts")
+    return tasks if few else parts_of(tasks, "page_id", _TASKS_PER_PART, ["plan_id", "url"])
 
 
 def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int], few: bool = False) -> DataFrame:
     """Items of each task's page: ``plan_id, url, page_id, item, fields, drill_url``.
 
-    ``tasks`` are compiled levels joined to pages (``plan_id, url, page_id, part, names, scopes,
-    is_final_level, steps``). A field with a container takes its value from the first container on
+    ``tasks`` are compiled levels joined to pages (``plan_id, url, page_id, names, scopes,
+    is_final_level, steps`` and, unless there are ``few``, ``part``). A field with a container takes its value from the first container on
     the whole page, so all items share it; any other field is sought inside the item.
     """
-    keys = ["page_id", "part", "plan_id", "url"]
+    place = ["page_id"] if few else ["page_id", "part"]
+    keys = [*place, "plan_id", "url"]
+    pages = docs.select("page_id", "elems", "texts")
+    if not few:
+        pages = copy_to_parts(pages, tasks, "page_id")
+    # from this join on, all steps keep the rows of a page (or part of its tasks) where they are
     found = candidates(
-        tasks.join(docs.select("page_id", "elems", "texts"), "page_id"),
+        tasks.join(pages, place),
         keys,
         lambda e, s: {
             "t0": e["t0"],
@@ -125,8 +124,9 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int], few
             "names": F.when(s["sel"] == _ITEM, F.col("names")),
             "drills": F.when(s["sel"] == _ITEM, ~F.col("is_final_level")),
         },
-    ).repartition("page_id", "part")
-    rows = settle(found, keys, *sizes).withColumn("role", F.explode(_roles())).drop("sel", "scopes").select("*", "role.*").drop("role")
+    )
+    settled = settle(found, keys, *sizes)
+    rows = settled.select(*[c for c in settled.columns if c not in ("sel", "scopes")], F.inline_outer(_roles()))
     hit = F.struct("node", "t0", "t1", "tag", "is_text", "value", "href")
     one_selector = Window.partitionBy(*keys, "sel")
     refs = (
@@ -139,21 +139,13 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int], few
         )
     )
     # the text of the chosen elements is a slice of the page's strings; they meet once per page
-    chosen = refs.groupBy("page_id", "part").agg(
+    chosen = refs.groupBy(*place).agg(
         F.collect_list(F.struct("plan_id", "url", "item", "sel", "hit", "kind", "names", "drills", "own_href")).alias("refs")
     )
-    strings = docs.select("page_id", "texts")
-    if few:
-        strings = strings.withColumn("part", F.lit(0))
-    else:
-        parts = tasks.groupBy("page_id").agg(F.max("part").alias("last_part"))
-        strings = strings.join(parts, "page_id").select(
-            "page_id", "texts", F.explode(F.sequence(F.lit(0), "last_part")).alias("part")
-        )
     valued = (
-        chosen.join(strings, ["page_id", "part"])
+        chosen.join(pages.select(*place, "texts"), place)
         .withColumn("_read", _values())
-        .select("page_id", "part", F.inline("_read"))
+        .select(*place, F.inline_outer("_read"))
     )
     page_wide = F.collect_list(F.when(F.col("item") == -1, F.col("entry"))).over(Window.partitionBy(*keys))
     of_kind = lambda kind, name: F.max(F.when(F.col("sel") == kind, F.col(name)))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.functions.columns import let
 from siteloom.functions.text import cut, strip
 from siteloom.operators.parse import strings_of
-from siteloom.operators.skew import salted_join
+from siteloom.operators.skew import copy_to_parts, parts_of
 
 # Attributes searched after the text, in this order, and the most hits per search.
 SEARCHED_ATTRIBUTES = ("alt", "title", "value", "placeholder", "aria-label")
 MAX_HITS = 5
+# Searches of one page that are answered together; a page asked about more often is split.
+_SEARCHES_PER_PART = 64
 
 _PLACE = "array<struct<tag:string,classes:array<string>,id:string>>"
 
@@ -28,57 +31,63 @@ def find_values(searches: DataFrame, docs: DataFrame, max_hits: int = MAX_HITS)
     """First places that hold ``expected_value`` on ``page_id``, ignoring case.
 
     ``searches`` may have further columns, which identify the search in the result. Strings come
-    before attributes, each in document order. Searches that pile up on one page are spread.
+    before attributes, each in document order. Searches that pile up on one page are split.
     """
-    ids = [name for name in searches.columns if name != "expected_value"]
-    asked = searches.withColumn("_q", strip(F.lower("expected_value")))
-    rows = salted_join(asked, docs.select("page_id", "elems", "texts"), ["page_id"])
-    elem = lambda i: F.get("elems", i)
-    holds = lambda value: F.contains(F.lower(value), F.col("_q"))
-    place = lambda e: F.struct(e["tag"].alias("tag"), e["classes"].alias("classes"), F.coalesce(e["id"], F.lit("")).alias("id"))
-
-    def ancestors(s: Column) -> Column:
-        one = elem(s["parent"])["parent"]
-        two = elem(one)["parent"]
-        three = elem(two)["parent"]
-        chain = F.transform(F.filter(F.array(one, two, three), lambda i: i >= 0), lambda i: place(elem(i)))
-        return F.filter(chain, lambda p: (F.size(p["classes"]) > 0) | (p["id"] != "")).cast(_PLACE)
+    ids = [name for name in searches.columns if name not in ("page_id", "expected_value")]
+    asked = parts_of(
+        searches.withColumn("_q", strip(F.lower("expected_value"))), "page_id", _SEARCHES_PER_PART, searches.columns
+    )
+    # the searches of a page meet it once, in groups of limited size
+    grouped = asked.groupBy("page_id", "part").agg(F.collect_list(F.struct(*ids, "expected_value", "_q")).alias("asked"))
+    pages = copy_to_parts(docs.select("page_id", "elems", "texts"), asked, "page_id")
+    rows = grouped.join(pages, ["page_id", "part"])
+    answer = lambda a, hay: F.struct(
+        *[a[name].alias(name) for name in [*ids, "expected_value"]],
+        F.transform(F.slice(F.filter(hay, lambda h: F.contains(h["low"], a["_q"])), 1, max_hits), _hit).alias("hits"),
+    )
+    found = let(_searchable(), lambda hay: F.transform("asked", lambda a: answer(a, hay)))
+    each = rows.withColumn("_all", found).select("page_id", F.inline_outer("_all"))
+    listed = each.select("page_id", *ids, "expected_value", F.posexplode_outer("hits").alias("pos", "hit"))
+    return listed.where(F.col("pos").isNotNull()).select("page_id", *ids, "expected_value", "pos", "hit.*")
 
-    def hit(e: Column, chain: Column, preview: Column, attribute: Column, full: Column) -> Column:
-        return F.struct(
-            e["tag"].alias("tag"),
-            e["classes"].alias("classes"),
-            F.coalesce(e["id"], F.lit("")).alias("id"),
-            chain.alias("parent_chain"),
-            preview.alias("text_preview"),
-            _hint(e).alias("selector_hint"),
-            attribute.cast("string").alias("attribute_found"),
-            cut(full, 200).alias("full_text"),
-        )
 
-    in_text = F.transform(
-        F.slice(F.filter("texts", lambda s: ~s["noise"] & holds(s["text"])), 1, max_hits),
-        lambda s: hit(
-            elem(s["parent"]),
-            ancestors(s),
-            cut(strip(s["text"]), 100),
-            F.lit(None),
-            F.array_join(strings_of(F.col("texts"), elem(s["parent"]), clean=True), ""),
+def _searchable() -> Column:
+    """What a search looks at, in its order: strings, then attributes; in small letters."""
+    string = lambda s, j: F.struct(
+        j.alias("text"), s["parent"].alias("elem"), F.lit(None).cast("string").alias("attribute"), F.lower(s["text"]).alias("low"),
+        s["noise"].alias("noise"),
+    )
+    attribute = lambda name: F.transform(
+        "elems",
+        lambda e, i: F.struct(
+            F.lit(None).cast("int").alias("text"), i.alias("elem"), F.lit(name).alias("attribute"),
+            F.lower(F.try_element_at(e["attrs"], F.lit(name))).alias("low"), e["noise"].alias("noise"),
         ),
     )
-    nowhere = F.array().cast(_PLACE)
+    listed = F.concat(F.transform("texts", string), *[attribute(name) for name in SEARCHED_ATTRIBUTES])
+    return F.filter(listed, lambda h: ~h["noise"] & h["low"].isNotNull())
 
-    def in_attribute(name: str) -> Column:
-        value = lambda e: F.try_element_at(e["attrs"], F.lit(name))
-        found = F.filter("elems", lambda e: ~e["noise"] & F.coalesce(holds(value(e)), F.lit(False)))
-        return F.transform(
-            F.slice(found, 1, max_hits),
-            lambda e: hit(
-                e, nowhere, F.concat(F.lit(f"[{name}] "), cut(value(e), 100)), F.lit(name), value(e)
-            ),
-        )
 
-    hits = F.slice(F.concat(in_text, *[in_attribute(name) for name in SEARCHED_ATTRIBUTES]), 1, max_hits)
-    return rows.select(*ids, "expected_value", F.posexplode(hits).alias("pos", "hit")).select(
-        *ids, "expected_value", "pos", "hit.*"
+def _hit(h: Column) -> Column:
+    elem = lambda i: F.get("elems", i)
+    e = elem(h["elem"])
+    place = lambda e: F.struct(e["tag"].alias("tag"), e["classes"].alias("classes"), F.coalesce(e["id"], F.lit("")).alias("id"))
+    one = e["parent"]
+    two = elem(one)["parent"]
+    three = elem(two)["parent"]
+    chain = F.transform(F.filter(F.array(one, two, three), lambda i: i >= 0), lambda i: place(elem(i)))
+    marked = F.filter(chain, lambda p: (F.size(p["classes"]) > 0) | (p["id"] != "")).cast(_PLACE)
+    in_text = h["attribute"].isNull()
+    value = F.try_element_at(e["attrs"], h["attribute"])
+    return F.struct(
+        e["tag"].alias("tag"),
+        e["classes"].alias("classes"),
+        F.coalesce(e["id"], F.lit("")).alias("id"),
+        F.when(in_text, marked).otherwise(F.array().cast(_PLACE)).alias("parent_chain"),
+        F.when(in_text, cut(strip(F.get("texts", h["text"])["text"]), 100))
+        .otherwise(F.concat(F.lit("["), h["attribute"], F.lit("] "), cut(value, 100)))
+        .alias("text_preview"),
+        _hint(e).alias("selector_hint"),
+        h["attribute"].alias("attribute_found"),
+        cut(F.when(in_text, F.array_join(strings_of(F.col("texts"), e, clean=True), "")).otherwise(value), 200).alias("full_text"),
     )

@@ -41,9 +41,9 @@ def candidates(
     found = F.flatten(
         F.transform("_passed", lambda p: F.transform(p["steps"], lambda s: entry(s, F.get("elems", p["node"]), p["node"])))
     )
-    return tasks.withColumn("_passed", _passed()).withColumn("_found", found).select(
-        *keys, F.inline("_found")
-    )
+    # the outer form, because the plain one tests the array for emptiness by computing it once more
+    rows = tasks.withColumn("_passed", _passed()).withColumn("_found", found).select(*keys, F.inline_outer("_found"))
+    return rows.where(F.col("sel").isNotNull())
 
 
 @per_session

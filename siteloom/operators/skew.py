@@ -53,3 +53,17 @@ def spread_join(many: DataFrame, small: DataFrame, on: str, copies: int = 16) ->
     salted = many.withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.lit(copies)).cast("int"))
     copied = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return salted.join(copied, [on, "salt"]).drop("salt")
+
+
+def parts_of(rows: DataFrame, key: str, size: int, spread: list[str]) -> DataFrame:
+    """Adds ``part``: the rows of one ``key`` in groups of about ``size``, chosen by hash."""
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_parts")).where("_parts > 1")
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
+    return rows.join(many, key, "left").withColumn("part", part).drop("_parts")
+
+
+def copy_to_parts(one: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """One copy of a row for each part that ``rows`` has of its key; mostly there is one."""
+    last = rows.where("part > 0").groupBy(key).agg(F.max("part").alias("_last"))
+    parts = F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))
+    return one.join(last, key, "left").withColumn("part", F.explode(parts)).drop("_last")

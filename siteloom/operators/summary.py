@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.functions.columns import let
 from siteloom.functions.text import collapse, cut
 from siteloom.operators.parse import dom_nodes, strings_of, text_of
 
@@ -24,6 +25,12 @@ MAX_CHILDREN = 10
 MAX_STRUCTURES = 25
 
 
+def _listed(rows: DataFrame, name: str) -> DataFrame:
+    """One row per entry of a computed array (the plain explode would compute it twice)."""
+    entries = rows.select("page_id", F.posexplode_outer(name).alias("pos", "entry")).where(F.col("pos").isNotNull())
+    return entries.select("page_id", "pos", "entry.*")
+
+
 def remove_noise(docs: DataFrame) -> DataFrame:
     """Nodes outside script, style and noscript."""
     return dom_nodes(docs).where(~F.col("noise")).drop("noise")
@@ -94,7 +101,7 @@ def _samples() -> Column:
 def class_samples(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
     """First three elements of each frequent class."""
     rows = _with_classes(docs, max_classes).where(F.size("common_classes") > 0)
-    return rows.select("page_id", F.posexplode(_samples()).alias("pos", "s")).select("page_id", "pos", "s.*")
+    return _listed(rows.withColumn("samples", _samples()), "samples")
 
 
 def _with_links(docs: DataFrame) -> DataFrame:
@@ -111,24 +118,23 @@ def _with_links(docs: DataFrame) -> DataFrame:
     href = lambda x: F.try_element_at(x["e"]["attrs"], F.lit("href"))
     parent = lambda x: F.get("elems", x["e"]["parent"])
     new = lambda x, k: (href(x) != "") & ~F.exists(F.slice("_anchors", 1, k), lambda y: href(y) == href(x))
-    link = lambda x: F.struct(
+    link = lambda x, within: F.struct(
         href(x).alias("href"),
         cut(F.array_join(strings_of(F.col("texts"), x["e"], clean=True), ""), 60).alias("text"),
         parent(x)["tag"].alias("parent_tag"),
         cut(F.array_join(parent(x)["classes"], " "), 50).alias("parent_class"),
-        F.exists("_navs", lambda n: (n["i"] < x["i"]) & (x["i"] <= n["last"])).alias("in_nav"),
+        F.exists(within, lambda n: (n["i"] < x["i"]) & (x["i"] <= n["last"])).alias("in_nav"),
     )
     return (
         docs.withColumn("_anchors", F.slice(anchors, 1, MAX_ANCHORS))
-        .withColumn("_navs", navs)
-        .withColumn("link_samples", F.transform(F.filter("_anchors", new), link))
-        .drop("_anchors", "_navs")
+        .withColumn("link_samples", let(navs, lambda n: F.transform(F.filter("_anchors", new), lambda x: link(x, n))))
+        .drop("_anchors")
     )
 
 
 def link_samples(docs: DataFrame) -> DataFrame:
     rows = _with_links(docs.select("page_id", "elems", "texts"))
-    return rows.select("page_id", F.posexplode("link_samples").alias("pos", "l")).select("page_id", "pos", "l.*")
+    return _listed(rows, "link_samples")
 
 
 def _with_structures(docs: DataFrame) -> DataFrame:
@@ -189,7 +195,7 @@ def _with_structures(docs: DataFrame) -> DataFrame:
 
 def structural_elements(docs: DataFrame) -> DataFrame:
     rows = _with_structures(docs.select("page_id", "elems", "texts"))
-    return rows.select("page_id", F.posexplode("structural_elements").alias("pos", "s")).select("page_id", "pos", "s.*")
+    return _listed(rows, "structural_elements")
 
 
 def summarize(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:

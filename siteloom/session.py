@@ -77,8 +77,7 @@ def per_session(build):
 def keep(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, reliably, and cut its lineage.
 
-    The checkpoint files live in the shared folder, so losing an executor loses nothing, and
-    the result keeps its partitioning, so later joins on the same key need no new shuffle.
+    The checkpoint files live in the shared folder, so losing an executor loses nothing.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
