@@ -115,10 +115,14 @@ def q1_null_issues(spark, sf):
 
 
 def q1_fix_decisions(spark, sf):
-    names = quality.field_names(I.supplier_levels(spark, sf))
-    rows = first_rows(I.supplier_rows(spark, sf), 3)
-    found = quality.fix_decisions(rows, names)
-    return found.select("plan_id", "decision", F.to_json("issues").alias("issues"), F.to_json("sample_rows").alias("sample_rows"))
+    """The cards have a field whose selector can match nothing."""
+    levels = I.part_levels(spark, sf, "cards").where("level = 1")
+    rows = scrape(levels, I.site_docs(spark, sf), index=I.site_index(spark, sf)).rows
+    found = quality.fix_decisions(first_rows(rows, 3), quality.field_names(levels))
+    return found.select(
+        "plan_id", "decision", F.array_join("options", ",").alias("options"), F.array_join("issues", "; ").alias("issues"),
+        F.array_join("field_names", ",").alias("field_names"), F.size("sample_rows").alias("n_rows"),
+    )
 
 
 def q3_counts(spark, sf):
@@ -210,6 +214,9 @@ SQL = {
           WHERE s_acctbal <= 8000 GROUP BY 1)
         SELECT plan_id, 'Field ''' || f || ''' is empty in ' || CASE WHEN e = total THEN 'all' ELSE e || '/' || total END || ' rows' AS issue
         FROM t, (VALUES ('balance'), ('heading')) v(f) WHERE e > total * 0.5""",
+    "q1_fix_decisions": """SELECT 'cards' || (p_partkey // 200) AS plan_id, 'fix_field' AS decision, 'fix,skip' AS options,
+        'Field ''brand'' is empty in all rows' AS issues, 'title,price,image,brand,link_class,heading,url' AS field_names,
+        least(count(*), 3) AS n_rows FROM part GROUP BY p_partkey // 200""",
     "q3_counts": f"WITH {Q.SHOPS} SELECT plan_id, count(*) AS total_rows, 7 AS total_columns FROM shops GROUP BY 1",
     "k3_csv_export": f"WITH {Q.SHOPS} SELECT plan_id || ',' || {_CSV} AS line FROM shops",
     "k3_csv_lines": f"WITH {Q.SHOPS} SELECT plan_id || ',' || {_CSV} AS line FROM shops",
