@@ -195,7 +195,7 @@ def _fields(*specs: tuple) -> Column:
     return F.array(*made)
 
 
-def _levels(roots: DataFrame, specs: list[dict]) -> DataFrame:
+def make_levels(roots: DataFrame, specs: list[dict]) -> DataFrame:
     """Level plans of all ``roots`` (``plan_id, url``), one per entry of ``specs``."""
     entries = []
     for number, spec in enumerate(specs, start=1):
@@ -255,12 +255,12 @@ ROW_LEVELS = [
 
 
 def customer_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(customer_roots(spark, sf_dir), CUSTOMER_LEVELS)
+    return make_levels(customer_roots(spark, sf_dir), CUSTOMER_LEVELS)
 
 
 def supplier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = table(spark, sf_dir, "supplier").select(F.expr(f"s_suppkey div {SUPPLIERS_PER_SITE}").alias("site")).distinct()
-    return _levels(
+    return make_levels(
         roots.select(
             F.concat(F.lit("supply"), F.col("site")).alias("plan_id"),
             F.concat(F.lit("https://supply"), F.col("site"), F.lit(".example.com/")).alias("url"),
@@ -271,7 +271,7 @@ def supplier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_levels(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     roots = table(spark, sf_dir, "part").select(F.expr(f"p_partkey div {PARTS_PER_PAGE}").alias("page")).distinct()
-    return _levels(
+    return make_levels(
         roots.select(
             F.concat(F.lit(kind), F.col("page")).alias("plan_id"),
             F.concat(F.lit(f"https://parts.example.com/{kind}/"), F.col("page")).alias("url"),

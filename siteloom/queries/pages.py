@@ -245,8 +245,8 @@ SQL = {
         {_count('<script>')} AS n_script, {_count('<footer>')} AS n_footer, {_count('<!-- ')} AS n_comments FROM pages""",
     "d2_remove_noise": """SELECT page_id, len(regexp_extract_all(regexp_replace(html,
         '(?is)<(?:script|style)>.*?</(?:script|style)>', '', 'g'), '<[a-z]')) AS n_elements FROM pages""",
-    "d3_page_titles": """SELECT page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'),
-        '&amp;', '&') AS title FROM pages""",
+    "d3_page_titles": """SELECT page_id, regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'),
+        '&amp;?', '&', 'g') AS title FROM pages""",
     "d4_class_frequency": """WITH t AS (
           SELECT p_partkey // 200 AS page, p_partkey AS k, unnest(['card', replace(lower(p_brand), '#', '-'), 'title', 'price', 'more']) AS c,
                  unnest([0, 1, 2, 3, 4]) AS o FROM part),

@@ -95,12 +95,9 @@ def x11_sample_values(spark, sf):
 
 
 def x11_sample_values_detail(spark, sf):
-    pages = I.supplier_pages(spark, sf).where("url like '%/s/%'")
-    levels = I.supplier_levels(spark, sf).where("level = 2").select(
-        "level", "item_container_selector", "drill_down_link_selector", "fields"
-    ).limit(1)
-    each = pages.select(F.col("url").alias("plan_id"), F.col("url").alias("sample_url")).join(F.broadcast(levels))
-    rows = sample_values(each.withColumn("is_catalog", F.lit(False)), I.site_docs(spark, sf), I.site_index(spark, sf))
+    pages = I.supplier_pages(spark, sf).where("url like '%/s/%'").select(F.col("url").alias("plan_id"), "url")
+    levels = I.make_levels(pages, I.SUPPLIER_LEVELS[1:]).withColumn("is_catalog", F.lit(False))
+    rows = sample_values(levels, I.site_docs(spark, sf), I.site_index(spark, sf))
     return rows.select("plan_id", "name", "sample_value")
 
 
