@@ -41,24 +41,21 @@ def dom_nodes(docs: DataFrame) -> DataFrame:
     """One row per node, elements and strings numbered together in document order."""
     elems = docs.select(
         "page_id",
-        F.array_append(
-            F.transform(
-                "elems",
-                lambda e, i: F.struct(
-                    (i + e["t0"]).alias("node"),
-                    F.when(e["parent"] >= 0, e["parent"] + F.get(F.col("elems"), e["parent"])["t0"]).alias("parent"),
-                    (e["last"] + e["t1"]).alias("last"),
-                    e["depth"].alias("depth"),
-                    F.lit("element").alias("kind"),
-                    e["tag"].alias("tag"),
-                    e["id"].alias("elem_id"),
-                    e["classes"].alias("classes"),
-                    e["attrs"].alias("attrs"),
-                    e["noise"].alias("noise"),
-                    F.lit(None).cast("string").alias("text"),
-                ),
+        F.transform(
+            "elems",
+            lambda e, i: F.struct(
+                (i + e["t0"]).alias("node"),
+                F.when(e["parent"] >= 0, e["parent"] + F.get(F.col("elems"), e["parent"])["t0"]).alias("parent"),
+                (e["last"] + e["t1"]).alias("last"),
+                e["depth"].alias("depth"),
+                F.lit("element").alias("kind"),
+                e["tag"].alias("tag"),
+                e["id"].alias("elem_id"),
+                e["classes"].alias("classes"),
+                e["attrs"].alias("attrs"),
+                e["noise"].alias("noise"),
+                F.lit(None).cast("string").alias("text"),
             ),
-            F.lit(None),
         ).alias("es"),
         F.transform(
             "texts",
@@ -77,9 +74,8 @@ def dom_nodes(docs: DataFrame) -> DataFrame:
             ),
         ).alias("ss"),
     )
-    return elems.select("page_id", F.explode(F.filter(F.concat("es", "ss"), lambda n: n.isNotNull())).alias("n")).select(
-        "page_id", "n.*"
-    )
+    # the outer form computes the array once; there is always the document itself
+    return elems.select("page_id", F.inline_outer(F.concat("es", "ss")))
 
 
 def strings_of(texts: Column, elem: Column, clean: bool = False) -> Column:

@@ -13,6 +13,9 @@ from siteloom.operators.skew import salted_join, spread_join
 from siteloom.session import keep
 from siteloom.sources.pages import lookup, missing, page_index
 
+# From this limit on Spark does not cut before the shuffle by itself.
+_PLAIN_LIMIT = 1000
+_RANK_BUCKETS = 64
 # Below this number of pages to visit no measures against uneven keys are needed.
 _FEW_TASKS = 10_000
 
@@ -138,19 +141,31 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
     return Scrape(out, lost.select("plan_id", "level", "url", "error")), dropped
 
 
-def _prefix(rows: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
-    """The first rows of each plan in depth-first order, and the key of the first row left out."""
+def _ranked(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each plan in depth-first order, numbered from 1 in ``row``.
+
+    Up to a certain limit Spark itself cuts each plan's rows before it shuffles them. Beyond it the
+    rows of a plan are first cut in buckets, so that a very long plan is not sorted by one task.
+    """
     order = Window.partitionBy("plan_id").orderBy("order_key")
-    ranked = keep(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first + 1))
-    cut = ranked.where(F.col("rank") == first + 1).select("plan_id", F.col("order_key").alias("cut"))
-    return ranked.where(F.col("rank") <= first).drop("rank"), cut
+    if limit >= _PLAIN_LIMIT:
+        bucket = Window.partitionBy("plan_id", "bucket").orderBy("order_key")
+        spread = F.pmod(F.xxhash64("order_key"), F.lit(_RANK_BUCKETS))
+        rows = rows.withColumn("bucket", spread).withColumn("row", F.row_number().over(bucket))
+        rows = rows.where(F.col("row") <= limit).drop("bucket", "row")
+    return rows.withColumn("row", F.row_number().over(order)).where(F.col("row") <= limit)
+
+
+def _prefix(rows: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows of each plan, and the key of the first row left out."""
+    ranked = keep(_ranked(rows, first + 1))
+    cut = ranked.where(F.col("row") == first + 1).select("plan_id", F.col("order_key").alias("cut"))
+    return ranked.where(F.col("row") <= first).drop("row"), cut
 
 
 def first_rows(rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows of each plan in depth-first order."""
-    order = Window.partitionBy("plan_id").orderBy("order_key")
-    ranked = rows.withColumn("row", F.row_number().over(order)).where(F.col("row") <= limit)
-    return ranked
+    return _ranked(rows, limit)
 
 
 def sample(

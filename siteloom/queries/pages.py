@@ -124,9 +124,7 @@ def d4_class_frequency(spark, sf):
 def d5_class_samples(spark, sf):
     cards = _cards(spark, sf)
     rows = summary.class_samples(cards).join(cards.select("page_id", "url"), "page_id")
-    return rows.where(F.col("class").isin("title", "price", "more")).select(
-        "url", F.col("class").alias("class_name"), "tag", "text_sample"
-    )
+    return rows.select("url", F.col("class").alias("class_name"), "tag", "text_sample")
 
 
 def d6_link_samples(spark, sf):
@@ -136,7 +134,7 @@ def d6_link_samples(spark, sf):
 def d7_structural_elements(spark, sf):
     parsed = I.site_docs(spark, sf)
     rows = summary.structural_elements(parsed).join(parsed.select("page_id", "url"), "page_id")
-    return rows.where("selector = '#detail'").select(
+    return rows.select(
         "url", "pos", "selector", "tag", "text_preview", F.size("children").alias("n_children"),
         F.col("children")[0]["text"].alias("first_child"),
     )
@@ -253,18 +251,29 @@ SQL = {
         g AS (SELECT page, c, count(*) AS n, min(k * 10 + o) AS f FROM t GROUP BY ALL HAVING count(*) >= 5),
         r AS (SELECT page, c, n, row_number() OVER (PARTITION BY page ORDER BY f) AS rank FROM g)
         SELECT 'https://parts.example.com/cards/' || page AS url, rank, c AS class_name, n FROM r WHERE rank <= 20""",
-    "d5_class_samples": """WITH f AS (SELECT *, p_partkey // 200 AS page, row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) AS i,
-            count(*) OVER (PARTITION BY p_partkey // 200) AS n FROM part),
-        s AS (SELECT * FROM f WHERE i <= 3 AND n >= 5)
-        SELECT 'https://parts.example.com/cards/' || page AS url, 'title' AS class_name, 'h2' AS tag, p_name AS text_sample FROM s
-        UNION ALL SELECT 'https://parts.example.com/cards/' || page, 'price', 'span', CAST(p_retailprice AS VARCHAR) FROM s
-        UNION ALL SELECT 'https://parts.example.com/cards/' || page, 'more', 'a', p_name FROM s""",
+    "d5_class_samples": """WITH t AS (
+          SELECT p_partkey // 200 AS page, p_partkey AS k, p_name AS name, CAST(p_retailprice AS VARCHAR) AS price,
+                 unnest(['card', replace(lower(p_brand), '#', '-'), 'title', 'price', 'more']) AS c, unnest([0, 1, 2, 3, 4]) AS o FROM part),
+        g AS (SELECT page, c, min(k * 10 + o) AS f FROM t GROUP BY ALL HAVING count(*) >= 5),
+        r AS (SELECT page, c FROM g QUALIFY row_number() OVER (PARTITION BY page ORDER BY f) <= 20),
+        s AS (SELECT t.* FROM t JOIN r USING (page, c) QUALIFY row_number() OVER (PARTITION BY page, c ORDER BY k) <= 3)
+        SELECT 'https://parts.example.com/cards/' || page AS url, c AS class_name,
+          CASE o WHEN 2 THEN 'h2' WHEN 3 THEN 'span' WHEN 4 THEN 'a' ELSE 'div' END AS tag,
+          CASE o WHEN 2 THEN name WHEN 3 THEN price WHEN 4 THEN name ELSE name || ' ' || price || ' top ' || name || ' buy next' END AS text_sample
+        FROM s""",
     "d6_link_samples": f"""WITH {Q.LINKS}, f AS (SELECT page_id, href, min(pos) AS first, arg_min(label, pos) AS text FROM links WHERE pos < 60 GROUP BY ALL)
         SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS pos, href, substr(text, 1, 60) AS text,
         'li' AS parent_tag, '' AS parent_class, true AS in_nav FROM f""",
-    "d7_structural_elements": """SELECT 'https://supply' || (s_suppkey // 200) || '.example.com/s/' || s_suppkey AS url, 0 AS pos,
-        '#detail' AS selector, 'article' AS tag, CAST(s_acctbal AS VARCHAR) AS text_preview, 1 AS n_children,
-        CAST(s_acctbal AS VARCHAR) AS first_child FROM supplier WHERE s_acctbal BETWEEN 2000 AND 8000""",
+    "d7_structural_elements": """WITH c AS (SELECT p_partkey // 200 AS page, p_partkey, p_name AS name, CAST(p_retailprice AS VARCHAR) AS price,
+          'div.card.' || replace(lower(p_brand), '#', '-') AS selector FROM part
+          QUALIFY row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) <= 15),
+        d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page, selector ORDER BY p_partkey) = 1),
+        e AS (SELECT s_suppkey // 200 AS site, s_name FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey // 200 ORDER BY s_suppkey) = 1)
+        SELECT 'https://parts.example.com/cards/' || page AS url, row_number() OVER (PARTITION BY page ORDER BY p_partkey) - 1 AS pos, selector,
+          'div' AS tag, substr(name || ' ' || price || ' top ' || name || ' buy next', 1, 150) AS text_preview, 6 AS n_children, name AS first_child FROM d
+        UNION ALL SELECT 'https://supply' || site || '.example.com/', 0, 'div.entry', 'div', s_name, 1, s_name FROM e
+        UNION ALL SELECT 'https://supply' || (s_suppkey // 200) || '.example.com/s/' || s_suppkey, 0, '#detail', 'article',
+          CAST(s_acctbal AS VARCHAR), 1, CAST(s_acctbal AS VARCHAR) FROM supplier WHERE s_acctbal BETWEEN 2000 AND 8000""",
     "d9_find_values": """WITH q AS (SELECT DISTINCT p_partkey // 200 AS page, p_name AS q FROM part),
         t AS (SELECT q.page, q, count(*) AS c, arg_min(p_name, p_partkey) AS f FROM q JOIN part
               ON p_partkey // 200 = q.page AND contains(p_name, q) GROUP BY ALL)

@@ -104,6 +104,17 @@ def test_sample_is_a_prefix(site, n):
     assert got == want
 
 
+def test_long_plans_are_ranked_in_buckets(spark, monkeypatch):
+    rows = spark.range(5000).select(
+        F.when(F.col("id") < 4000, "big").otherwise("small").alias("plan_id"), F.array((F.col("id") * 7 % 5000).cast("int")).alias("order_key")
+    )
+    plain = first_rows(rows, 50).orderBy("plan_id", "row").collect()
+    monkeypatch.setattr(scraping, "_PLAIN_LIMIT", 10)
+    assert first_rows(rows, 50).orderBy("plan_id", "row").select("plan_id", "order_key", "row").collect() == [
+        (r.plan_id, r.order_key, r.row) for r in plain
+    ]
+
+
 def test_checks_before_sampling(site, spark):
     levels, _ = site
     assert check_sample(levels).count() == 0
