@@ -227,16 +227,16 @@ SQL = {
         s AS (SELECT *, {Q.score('url', 'link_url')} AS score FROM u)
         SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) - 1 AS position, link_url, score
         FROM s JOIN v USING (page_id) WHERE link_url <> v""",
-    "n2_link_pool_items": f"WITH {_CARD} SELECT url, i AS position, link_url, 1.0 AS score FROM cards",
-    "n2_link_pool_fallback": f"""WITH {_CARD} SELECT url, i AS position, link_url, 1.0 AS score FROM cards WHERE i < 15
-        UNION ALL SELECT DISTINCT url, least(n, 15), 'https://parts.example.com/', 0.3 FROM cards""",
+    "n2_link_pool_items": f"WITH {_CARD} SELECT url, i AS position, link_url, 1.0::DOUBLE AS score FROM cards",
+    "n2_link_pool_fallback": f"""WITH {_CARD} SELECT url, i AS position, link_url, 1.0::DOUBLE AS score FROM cards WHERE i < 15
+        UNION ALL SELECT DISTINCT url, least(n, 15), 'https://parts.example.com/', 0.3::DOUBLE FROM cards""",
     "n3_link_labels": f"WITH {Q.LINKS} SELECT page_id, link_url, arg_min(substr(label, 1, 60), pos) AS label FROM links GROUP BY ALL",
-    "n4_top_candidates": f"""WITH {_CARD} SELECT url, i AS rank, link_url, p_name AS label, '' AS reason, 1.0 AS confidence
+    "n4_top_candidates": f"""WITH {_CARD} SELECT url, i AS rank, link_url, p_name AS label, '' AS reason, 1.0::DOUBLE AS confidence
         FROM cards WHERE i < 8""",
-    "n5_resolve_candidates": f"""WITH {_CARD} SELECT url, 0 AS rank, link_url, p_name AS label, 'why' AS reason, 0.9 AS confidence
+    "n5_resolve_candidates": f"""WITH {_CARD} SELECT url, 0 AS rank, link_url, p_name AS label, 'why' AS reason, 0.9::DOUBLE AS confidence
           FROM cards WHERE i = 3 AND page % 2 = 0
-        UNION ALL SELECT url, 4, link_url, 'First', 'why', 0.0 FROM cards WHERE i = 0 AND page % 2 = 0
-        UNION ALL SELECT url, i, link_url, p_name, '', 1.0 FROM cards WHERE i < 8 AND page % 2 = 1""",
+        UNION ALL SELECT url, 4, link_url, 'First', 'why', 0.0::DOUBLE FROM cards WHERE i = 0 AND page % 2 = 0
+        UNION ALL SELECT url, i, link_url, p_name, '', 1.0::DOUBLE FROM cards WHERE i < 8 AND page % 2 = 1""",
     "n6_choose_links": f"""WITH {_CARD} SELECT CASE page % 4 WHEN 0 THEN url || '/part-' || (page * 200 + 2) ELSE 'https://elsewhere.example.com/' END
           AS selected_url, CASE page % 4 WHEN 1 THEN '1' WHEN 2 THEN 'many' ELSE '100000' END AS link_index,
           CASE page % 4 WHEN 0 THEN url || '/part-' || (page * 200 + 2) WHEN 1 THEN max(link_url) FILTER (i = 1)

@@ -107,8 +107,15 @@ def q1_null_rates(spark, sf):
 
 
 def q1_null_issues(spark, sf):
-    names = quality.field_names(I.supplier_levels(spark, sf))
-    return quality.null_issues(quality.null_rates(I.supplier_rows(spark, sf), names)).select("plan_id", "issue")
+    """Rows of customers by nation and segment, with a field that is often empty and one that always is."""
+    customer = I.table(spark, sf, "customer")
+    value = {"name": F.col("c_name"), "low": F.when(F.col("c_acctbal") < 4500, F.col("c_name")).otherwise(""), "none": F.lit(None).cast("string")}
+    rows = customer.select(
+        F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("plan_id"),
+        F.create_map(*[c for name, column in value.items() for c in (F.lit(name), column)]).alias("fields"),
+    )
+    names = rows.select("plan_id").distinct().select("plan_id", F.posexplode(F.array(*map(F.lit, value))).alias("pos", "name"))
+    return quality.null_issues(quality.null_rates(rows, names)).select("plan_id", "issue")
 
 
 def q1_fix_decisions(spark, sf):
@@ -207,10 +214,11 @@ SQL = {
     "q1_null_rates": f"""WITH {Q.SHOPS}, t AS (SELECT plan_id, count(*) AS total, count(*) - count(segment) AS missing FROM shops GROUP BY 1)
         SELECT plan_id, name, CASE name WHEN 'segment' THEN missing ELSE 0 END AS empty, total FROM t,
         (VALUES ('region'), ('name'), ('heading'), ('nation'), ('url'), ('segment'), ('balance')) v(name)""",
-    "q1_null_issues": f"""WITH {Q.SUPPLIERS}, t AS (SELECT plan_id, count(*) AS total, count(*) FILTER (poor) AS e FROM supplies
-          WHERE s_acctbal <= 8000 GROUP BY 1)
-        SELECT plan_id, 'Field ''' || f || ''' is empty in ' || CASE WHEN e = total THEN 'all' ELSE e || '/' || total END || ' rows' AS issue
-        FROM t, (VALUES ('balance'), ('heading')) v(f) WHERE e > total * 0.5""",
+    "q1_null_issues": """WITH t AS (SELECT c_mktsegment || '-' || c_nationkey AS plan_id, count(*) AS total,
+          count(*) FILTER (c_acctbal >= 4500) AS e FROM customer GROUP BY 1)
+        SELECT plan_id, 'Field ''low'' is empty in ' || CASE WHEN e = total THEN 'all' ELSE e || '/' || total END || ' rows' AS issue
+          FROM t WHERE e > total * 0.5
+        UNION ALL SELECT plan_id, 'Field ''none'' is empty in all rows' FROM t""",
     "q1_fix_decisions": """SELECT 'cards' || (p_partkey // 200) AS plan_id, 'fix_field' AS decision, 'fix,skip' AS options,
         'Field ''brand'' is empty in all rows' AS issues, 'title,price,image,brand,link_class,heading,url' AS field_names,
         least(count(*), 3) AS n_rows FROM part GROUP BY p_partkey // 200""",

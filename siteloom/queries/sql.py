@@ -35,8 +35,8 @@ def label(u: str) -> str:
 
 def score(root: str, cand: str) -> str:
     return (
-        f"CASE WHEN {host(root)} <> {host(cand)} THEN 0.0 "
-        f"WHEN starts_with({path(cand)}, {path(root)} || '/') THEN 1.0 ELSE 0.3 END"
+        f"CAST(CASE WHEN {host(root)} <> {host(cand)} THEN 0.0 "
+        f"WHEN starts_with({path(cand)}, {path(root)} || '/') THEN 1.0 ELSE 0.3 END AS DOUBLE)"
     )
 
 
