@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import mixture
+from siteloom.llm import mixture, quality
 from siteloom.llm.common import table
 
 
@@ -12,5 +12,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op8_mix_sources": op8_mix_sources}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    return quality.judge(table(spark, sf_dir, "documents")).select(*names)
+
+
+QUERIES = {"op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
 SQL: dict[str, str] = {}
