@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siteloom.llm import mixture, quality
+from siteloom.llm import mixture, quality, toxicity
 from siteloom.llm.common import table
 
 
@@ -17,5 +18,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(*names)
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = toxicity.held_out(F.col("doc_id"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
 SQL: dict[str, str] = {}
