@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from siteloom.llm.common import slices
 
@@ -128,7 +129,7 @@ def _distinct(samples: list[tuple[list[str], int]]) -> list[tuple[list[str], int
     seen: set[tuple[int, int]] = set()
     out = []
     for words, toxic in samples:
-        grams = np.array([hash(tuple(words[i : i + 4])) for i in range(max(1, len(words) - 3))], np.int64).astype(np.uint64)
+        grams = np.array([xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))], np.uint64)
         marks = {(k, int((grams * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min())) for k in range(4)}
         if words and not marks & seen:
             out.append((words, toxic))
