@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import mixture, quality, toxicity
+from siteloom.llm import bpe, mixture, quality, toxicity
 from siteloom.llm.common import table
 
 
@@ -25,5 +25,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
+def vocabulary(spark: SparkSession) -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    return bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = vocabulary(spark)
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, digests=True)
+
+
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
 SQL: dict[str, str] = {}
