@@ -185,9 +185,9 @@ templates(label, words, need) AS (VALUES {rows}),
 lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS b FROM d),
 met AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(b, words)) / len(words)) AS contained
         FROM lines, templates WHERE len(list_intersect(b, words)) >= need GROUP BY doc_id),
-p AS (SELECT doc_id, len(w) AS n_words, {' || '.join(places)} AS at, {' || '.join(labels)} AS base FROM d)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(at) AS BIGINT) AS n_base, list_min(at) AS first_word, list_max(at) AS last_word,
+p AS (SELECT doc_id, len(w) AS n_words, {' || '.join(places)} AS spots, {' || '.join(labels)} AS base FROM d)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels,
-       CASE WHEN len(at) > 0 THEN 1.0::DOUBLE ELSE coalesce(contained, 0)::DOUBLE END AS score
+       CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(contained, 0)::DOUBLE END AS score
 FROM p LEFT JOIN met USING (doc_id)"""

@@ -31,8 +31,8 @@ from xxhash import xxh64_intdigest
 from siteloom.llm.common import slices
 
 #: Documents of each class in the sample, and most characters of one: longer labelled rows are not sampled.
-PER_CLASS = {1: 800, 0: 2000}
-LONGEST = 20_000
+PER_CLASS = {1: 700, 0: 1600}
+LONGEST = 10_000
 SEGMENT = 48
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¿¡…–—"
 _WORD = re.compile(r"\S+")
