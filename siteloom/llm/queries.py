@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import bpe, licenses, mixture, personal, quality, secrets, toxicity
+from siteloom.llm import bpe, licenses, mixture, personal, quality, secrets, toxicity, warc
 from siteloom.llm.common import table
 
 
@@ -49,5 +49,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
+QUERIES = {"op6_warc": op6_warc, "op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
 SQL = {"op1_secret_scan": secrets.sql(), "op5_license_scan": licenses.sql()}
