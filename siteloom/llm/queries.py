@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import bpe, licenses, mixture, neighbours, personal, quality, secrets, toxicity, warc
+from siteloom.llm import bpe, jaccard, licenses, mixture, neighbours, personal, quality, secrets, toxicity, warc
 from siteloom.llm.common import table
 
 
@@ -57,5 +57,9 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op4_nearest_neighbours": op4_nearest_neighbours, "op6_warc": op6_warc, "op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard, "op4_nearest_neighbours": op4_nearest_neighbours, "op6_warc": op6_warc, "op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
 SQL = {"op1_secret_scan": secrets.sql(), "op5_license_scan": licenses.sql()}
