@@ -2,12 +2,13 @@
 
 Texts are cut into pre-tokens ("words") by Spark's regular expressions. Blocks of documents are turned into the distinct
 words of the block and the sequence of their numbers, which is where each word stands. The words of all blocks are
-shuffled by word, so that each distinct word is encoded once in the whole job however often it occurs; a word that is
-everywhere has one row per block, not one per occurrence. Ids go back to their block, where the sequence puts them in
+shuffled by word (in hash buckets), so that each distinct word is encoded once in the whole job however often it occurs; a
+word that is everywhere comes once per block, not once per occurrence. Ids go back to their block, where the sequence puts them in
 their places. Decoding looks token ids up in the token-byte table, whose size is that of the vocabulary file.
 
 Cases: a null or empty text has no tokens; one very long word is encoded in n log n; repeated rows are encoded each;
-null ids stay null; an empty table gives an empty result. Other columns play no part. Blocks are made twice, for words
+null ids stay null; an empty table gives an empty result. Other columns play no part. Letters that Java does not know yet
+are cut by the ``regex`` library; for those newer than both that and the tokenizer's engine the cuts may differ. Blocks are made twice, for words
 and for sequences; both carry a digest of the block's contents, and the job fails if they do not fit together (which
 can only happen if ``docs`` changes between two reads).
 """
@@ -24,10 +25,13 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64
+from xxhash import xxh32_intdigest, xxh64
 
 #: Words per block. A block's sequence and its ids are one row and one group, so this bounds a task's memory.
 BLOCK_WORDS = 1 << 21
+#: Hash buckets of the word shuffle. The distinct words of one bucket are held in memory, so a corpus with more distinct
+#: words takes more buckets: 1024 serve some hundred million.
+BUCKETS = 1024
 #: White space as Unicode has it, in Java's spelling.
 _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -182,8 +186,14 @@ def _unsmall(data: bytes) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id and ids (array of token ids) of every document."""
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS
+) -> DataFrame:
+    """doc_id and ids (array of token ids) of every document.
+
+    A row of the word shuffle holds one block's words of one hash bucket, and its numbers there; the words of a bucket meet
+    in one task, which remembers the ids of the bucket's distinct words.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary file's size
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -193,13 +203,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words:
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, sequence, distinct in _blocks(batches, pattern, block_words):
-            place = _by_frequency(sequence, len(distinct))
-            for a in range(0, len(distinct), 1 << 16):
-                piece = distinct.slice(a, 1 << 16)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.cast(pa.binary()), pa.array(np.full(len(piece), block)), pa.array(place[a : a + len(piece)])],
-                    names=["word", "block", "number"],
-                )
+            rank = _by_frequency(sequence, len(distinct))
+            words = distinct.to_pylist()
+            bucket = np.array([xxh32_intdigest(w) % buckets for w in words], np.int64)
+            order = np.lexsort((rank, bucket))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            filled = [(k, order[x:y]) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+            lists = [[words[i] for i in at.tolist()] for _, at in filled]
+            columns = [
+                pa.array([block] * len(filled), pa.int64()),
+                pa.array([k for k, _ in filled], pa.int32()),
+                pa.array([_small(np.diff(rank[at], prepend=0)) for _, at in filled], pa.binary()),
+                pa.array([_small(np.array([len(w) for w in x])) for x in lists], pa.binary()),
+                pa.array([b"".join(x) for x in lists], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "numbers", "lengths", "words"])
 
     def sequences_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, counts, sequence, distinct in _blocks(batches, pattern, block_words):
@@ -215,42 +233,61 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words:
                 names=["block", "ids", "counts", "sequence", "n_distinct"],
             )
 
-    found = cut.mapInArrow(words_of, "word binary, block long, number int")
+    found = cut.mapInArrow(words_of, "block long, bucket int, numbers binary, lengths binary, words binary")
     sequences = cut.mapInArrow(sequences_of, "block long, ids array<long>, counts array<long>, sequence binary, n_distinct long")
+    kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by word: a word that goes on in the next batch is not encoded again
-        ranks, last, last_ids = shared.value, None, []
+        # rows come sorted by bucket, so what is known of a bucket's words can be dropped at its end
+        ranks, now, known = shared.value, None, {}
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            ids = [last_ids if w == last else merge(w, ranks) for w in distinct]
-            if distinct:
-                last, last_ids = distinct[-1], ids[-1]
-            packed = pa.array([np.array(x, np.int32).tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("number"), packed.take(coded.indices)], names=["block", "number", "tokens"]
-            )
+            for a in range(0, batch.num_rows, 512):
+                rows = batch.slice(a, 512)
+                counts, tokens = [], []
+                for bucket, lengths, words in zip(*(rows.column(c).to_pylist() for c in ("bucket", "lengths", "words"))):
+                    if bucket != now:
+                        now, known = bucket, {}
+                    ends = np.cumsum(_unsmall(lengths)).tolist()
+                    ids = []
+                    for x, y in zip([0, *ends], ends):
+                        word = words[x:y]
+                        one = known.get(word)
+                        if one is None:
+                            one = known[word] = merge(word, ranks)
+                        ids.append(one)
+                    counts.append(_small(np.array([len(x) for x in ids])))
+                    tokens.append(np.array([i for x in ids for i in x], kind).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("block"), rows.column("numbers"), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())],
+                    names=["block", "numbers", "counts", "tokens"],
+                )
 
     encoded = (
-        found.repartition("word").sortWithinPartitions("word").mapInArrow(encode_words, "block long, number int, tokens binary")
+        found.repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(encode_words, "block long, numbers binary, counts binary, tokens binary")
     )
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows != 1 or right.num_rows != left.column("n_distinct")[0].as_py():
+        numbers, sizes = [], []
+        for n, c in zip(right.column("numbers").to_pylist(), right.column("counts").to_pylist()):
+            numbers.append(np.cumsum(_unsmall(n)))
+            sizes.append(_unsmall(c))
+        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        if left.num_rows != 1 or len(number) != left.column("n_distinct")[0].as_py():
             raise ValueError("a block and its words do not fit together: the documents changed between two reads")
-        order = pc.sort_indices(right.column("number"))
-        tokens = pc.take(right.column("tokens"), order).combine_chunks()
-        sizes = pc.binary_length(tokens).to_numpy(zero_copy_only=False) // 4
-        flat = np.frombuffer(b"".join(tokens.to_pylist()), np.int32)
-        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(right.column("tokens").to_pylist()), kind)
+        size, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        each = np.concatenate(sizes) if sizes else number
+        size[number], start[number] = each, np.cumsum(each) - each
         sequence = _unsmall(left.column("sequence")[0].as_py())
-        per_word = sizes[sequence].astype(np.int64)
+        per_word = size[sequence]
         ends = np.cumsum(per_word)
-        take = np.repeat(starts[sequence] - (ends - per_word), per_word) + np.arange(int(ends[-1]) if len(ends) else 0)
         counts = np.array(left.column("counts")[0].as_py(), np.int64)
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat[take]))
+        take = np.repeat(start[sequence] - (ends - per_word), per_word)
+        take += np.arange(len(take))
+        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat[take].astype(np.int32)))
         return pa.table({"doc_id": pa.array(left.column("ids")[0].as_py(), pa.int64()), "ids": lists})
 
     return sequences.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
