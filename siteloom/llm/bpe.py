@@ -311,14 +311,18 @@ class TokenTable:
         self.numbers = [str(i).encode() for i in range(size)]
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False) -> DataFrame:
-    """doc_id and the decoded bytes of every row of doc_id, ids.
+def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False, with_ids: bool = False) -> DataFrame:
+    """doc_id and the decoded bytes of every row of doc_id, ids; also the ids if asked for.
 
     The join with the token-byte table is a broadcast one, made in the tasks: the table has one row per vocabulary entry.
     With ``digests`` the bytes and the ids are given as their SHA-256 instead (doc_id, n_tokens, ids_sha256, decoded_sha256).
     """
     import hashlib
 
+    def batch_of(columns: dict[str, pa.Array], rows: pa.RecordBatch) -> pa.RecordBatch:
+        columns |= {"ids": rows.column("ids")} if with_ids else {}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
     tables: Broadcast = encoded.sparkSession.sparkContext.broadcast(TokenTable(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,17 +333,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False) -
                 lists = [x or [] for x in rows.column("ids").to_pylist()]
                 texts = [b"".join([pieces[i] for i in x]) for x in lists]
                 if not digests:
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
+                    yield batch_of({"doc_id": rows.column("doc_id"), "decoded": pa.array(texts, pa.binary())}, rows)
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"),
-                        pa.array([len(x) for x in lists], pa.int64()),
-                        pa.array([hashlib.sha256(b" ".join([numbers[i] for i in x])).hexdigest() for x in lists]),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                found = {
+                    "doc_id": rows.column("doc_id"),
+                    "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(b" ".join([numbers[i] for i in x])).hexdigest() for x in lists]),
+                    "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                }
+                yield batch_of(found, rows)
 
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, decoded binary"
-    return encoded.mapInArrow(run, kinds)
+    return encoded.mapInArrow(run, kinds + ", ids array<int>" * with_ids)

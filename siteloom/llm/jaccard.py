@@ -3,8 +3,11 @@
 1. Every text becomes a set of 64-bit hashes of its word shingles. Texts with one set are one node.
 2. Nodes that may link are dealt together. For sizes in a band, two sets over the threshold differ in at most d shingles;
    shingles are hashed into more than d groups, so at least one group holds the same shingles in both. The hash of each
-   group's contents is a key, equal keys are found by a grouped minimum and a join, and nodes connected by keys are a cluster.
-   No link is lost: this is a pigeonhole argument, not sampling.
+   group's contents is a key. A task combines the keys of its texts before the shuffle, which carries packed rows of one
+   hash bucket each; equal keys that meet give an edge. Small sets, whose groups would often be empty, are keyed by their
+   rarest shingles instead (prefix filter with counts over all small sets). Nodes connected by edges are a cluster.
+   No link is lost: both are pigeonhole arguments, not sampling. Edges are between the top 40 bits of node hashes; nodes that
+   share these come into one cluster, which costs a check and changes no result.
 3. In a cluster, shingles are hashed into groups and the counts per group are points of an R-tree. For a point and a tree
    node, the sum of the coordinates' minima (with the node's largest counts) bounds the overlap from above; pairs that
    survive the bound are verified on the sets. Two nodes that are already connected need no check, so a family of near
@@ -20,6 +23,7 @@ as equal only for equal shingles (chance of 2**-64 a pair).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,11 @@ from siteloom.llm.common import as_bytes, flat_ids, lookup, mixed, save, slices
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Nodes of a tile, coordinates of a point, points or nodes below a tree node.
 TILE, GROUPS, FAN = 1024, 256, 16
-#: Groups beyond those that can differ, so that an empty group need not be a key.
-_SLACK = 2
+#: Sets of up to so many shingles are keyed by their rarest shingles.
+SMALL = 128
+#: Hash buckets of the key shuffle; keys that a task combines at a time.
+BUCKETS, HELD = 1024, 1 << 21
+_BITS = 24  # what an edge leaves out of a node's hash
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -68,61 +75,184 @@ def shingle_sets(texts: list[bytes], words: int = 3) -> list[np.ndarray]:
 class Bands:
     """Sizes in bands, and the keys of a set. ``top`` / ``bottom`` is the threshold."""
 
-    def __init__(self, top: int = 9, bottom: int = 10):
-        self.top, self.bottom = top, bottom
-        self.edges = [1]
-        while self.edges[-1] < 1 << 40:
-            self.edges.append(int(self.edges[-1] * (bottom / top) ** 3) + 2)
+    def __init__(self, top: int = 9, bottom: int = 10, small: int = SMALL):
+        self.top, self.bottom, self.small = top, bottom, small
+        self.edges = [small + 1]
+        while self.edges[-1] < 1 << 32:
+            self.edges.append(int(self.edges[-1] * (bottom / top) ** (2 if bottom < 1.15 * top else 1)) + 2)
+        self.groups = [self._groups(k) for k in range(len(self.edges) - 1)]
 
     def differ(self, band: int) -> int:
         """Most shingles in which two linked sets differ, the larger of which is in the band."""
         most = self.edges[band + 1] - 1
         return 2 * most * (self.bottom - self.top) // (self.bottom + self.top)
 
+    def _groups(self, band: int) -> tuple[int, int]:
+        """(groups, slack): beyond those that differ there are more groups than the smallest set of the band is likely to leave empty."""
+        differ, least = self.differ(band), self.edges[band] * self.top / self.bottom
+        slack = 2
+        for _ in range(60):
+            empty = (differ + 1 + slack) * math.exp(-least / (differ + 1 + slack))
+            need = math.ceil(empty + 3.5 * math.sqrt(empty) + 1)
+            if slack >= need or slack >= 4 * differ + 8:
+                break
+            slack = need
+        return differ + 1 + slack, slack
+
+    def prefix(self, size: int) -> int:
+        """How many of a set's first shingles, in any common order, a linked set cannot all lack."""
+        return size - -(-size * self.top // self.bottom) + 1
+
     def keys(self, shingles: np.ndarray) -> np.ndarray:
+        """Keys for all pairs whose larger set is not small."""
         n = len(shingles)
         band = int(np.searchsorted(self.edges, n, side="right")) - 1
         out = []
         for k in (band, band + 1):
-            if k > band and n * self.bottom < self.edges[k] * self.top:
+            if k < 0 or k > band and n * self.bottom < self.edges[k] * self.top:
                 continue  # too small for any set of the next band
-            differ = self.differ(k)
-            if not differ:
-                continue  # linked sets are equal
-            groups = differ + 1 + _SLACK
+            groups, slack = self.groups[k]
             group = (mixed(shingles ^ np.uint64(k + 1)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
             filled, starts = np.unique(group[order], return_index=True)
             content = np.bitwise_xor.reduceat(mixed(shingles[order]), starts)
             out.append(mixed(content ^ mixed(filled + (k << 32))))
-            empty = groups - len(filled)
-            if empty > _SLACK:  # both sets of a pair that only shares empty groups have so many
+            if groups - len(filled) > slack:  # both sets of a pair that only shares empty groups have so many
                 missing = np.setdiff1d(np.arange(groups), filled)
                 out.append(mixed(mixed(missing + (k << 32)) ^ np.uint64(0xE)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def node_hash(shingles: np.ndarray) -> int | None:
+    return xxh64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
+
+
 def nodes_of(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if it is empty), keys."""
+    """doc_id, n_shingles, node (hash of the set, null if it is empty), grams (the set, if it is small)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, "text"):
             sets = shingle_sets(as_bytes(rows.column("text")), words)
-            node = [xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            keys = [_long(bands.keys(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            )
+            grams = [_long(s) if 0 < len(s) <= bands.small else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), lists],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                [
+                    rows.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([node_hash(s) for s in sets], pa.int64()),
+                    pa.array(grams, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n_shingles", "node", "grams"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, keys array<long>"
+        run, "doc_id long, n_shingles long, node long, grams array<long>"
     )
 
 
+def _five(numbers: np.ndarray) -> bytes:
+    """The low 40 bits of each number."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8").ravel()
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the first entry of each key, and edges from every other node of a key to the first one."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    hub = nodes[np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))]
+    other = nodes != hub
+    pairs = np.unique(np.stack([nodes[other], hub[other]], axis=1), axis=0)
+    return order[fresh], pairs[:, 0], pairs[:, 1]
+
+
+_KEYED = "bucket int, keys binary, nodes binary, a binary, b binary"
+
+
+def large_edges(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """(a, b): top bits of nodes that share a key, for pairs whose larger set is not small."""
+
+    def packed(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        first, a, b = _stars(key, node)
+        key, node = key[first], node[first]
+        bucket = (key >> np.uint64(54)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        at = [(k, order[x:y]) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k for k, _ in at], pa.int32()),
+                pa.array([_five(key[i]) for _, i in at], pa.binary()),
+                pa.array([_five(node[i]) for _, i in at], pa.binary()),
+                # edges found here go along with the first row
+                pa.array([_five(a)] + [b""] * (len(at) - 1), pa.binary()),
+                pa.array([_five(b)] + [b""] * (len(at) - 1), pa.binary()),
+            ],
+            names=["bucket", "keys", "nodes", "a", "b"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, held = [], [], 0
+        for rows in slices(batches, "text"):
+            for s in shingle_sets(as_bytes(rows.column("text")), words):
+                own = bands.keys(s)
+                if len(own):
+                    keys.append(own)
+                    nodes.append(np.full(len(own), (node_hash(s) + (1 << 63)) >> _BITS, np.uint64))
+                    held += len(own)
+            if held >= HELD:
+                yield packed(keys, nodes)
+                keys, nodes, held = [], [], 0
+        if held:
+            yield packed(keys, nodes)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by bucket; a bucket holds a 1024th of the keys
+        now, keys, nodes = None, [], []
+
+        def close() -> pa.RecordBatch:
+            _, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
+            return pa.RecordBatch.from_arrays([pa.array(_long(a)), pa.array(_long(b))], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, key, node, a, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes", "a", "b"))):
+                if bucket != now and keys:
+                    yield close()
+                    keys, nodes = [], []
+                now = bucket
+                keys.append(_from_five(key))
+                nodes.append(_from_five(node))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(_long(_from_five(a))), pa.array(_long(_from_five(b)))], names=["a", "b"])
+        if keys:
+            yield close()
+
+    keyed = docs.select(F.col("text").cast("string")).mapInArrow(run, _KEYED)
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+
+
+def small_edges(nodes: DataFrame, bands: Bands) -> DataFrame:
+    """The same for pairs of small sets: nodes that share one of their rarest shingles."""
+    small = nodes.where("grams is not null")
+    grams = small.select("node", "n_shingles", F.explode("grams").alias("key"))
+    counts = grams.groupBy("key").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "key")
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * bands.top / bands.bottom - 1e-9) + 1
+    keyed = lookup(grams, counts, ["key"], salts=8).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("key", "hub")
+    met = lookup(keyed.select("node", "key"), hubs, ["key"], salts=8).where("hub is not null and node != hub")
+    top = lambda c: F.shiftrightunsigned(F.col(c).bitwiseXOR(F.lit(-(1 << 63))), _BITS)
+    return met.select(top("node").alias("a"), top("hub").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of ``edges`` (a, b) that has a neighbour: root is the smallest node it is connected with.
 
@@ -149,16 +279,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node with the smallest node that has one of its keys."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("key", "hub")
-    salts = 8
-    many = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
-    few = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(few, ["key", "salt"]).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-
-
 def _points(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles of each set fall into each group."""
     out = np.zeros((len(sets), GROUPS), np.uint16)
@@ -236,10 +356,11 @@ def _join_tiles(rows: pa.Table, bands: Bands, across: bool) -> pa.Table:
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int = TILE) -> DataFrame:
-    """(a, b): links between nodes that connect all that any link connects. ``nodes`` has node, least (its smallest id) and keys."""
-    clusters = components(candidate_edges(nodes))
-    clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
-    placed = clusters.join(nodes.select("node", "least", "n_shingles"), "node")
+    """(a, b): links between nodes that connect all that any link connects. ``nodes`` has node, n_shingles, least (its smallest id), grams."""
+    clusters = components(large_edges(docs, words, bands).union(small_edges(nodes, bands)))
+    clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "top")
+    top = F.shiftrightunsigned(F.col("node").bitwiseXOR(F.lit(-(1 << 63))), _BITS)
+    placed = nodes.select("node", "least", "n_shingles", top.alias("top")).join(clusters, "top")
     rank = F.row_number().over(Window.partitionBy("root").orderBy("n_shingles", "node")) - 1
     tiles = save(placed.select("node", "least", F.col("root").alias("cluster"), F.floor(rank / tile).cast("int").alias("tile")), "tiles")
     wanted = tiles.withColumnsRenamed({"node": "_node", "least": "_least"})
@@ -250,9 +371,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
         for part in slices(batches, "text"):
             sets = shingle_sets(as_bytes(part.column("text")), words)
             # rows with one id and other texts drop out here
-            same = [
-                i for i, (s, n) in enumerate(zip(sets, part.column("node").to_pylist())) if len(s) and xxh64_intdigest(s.tobytes()) - (1 << 63) == n
-            ]
+            same = [i for i, (s, n) in enumerate(zip(sets, part.column("node").to_pylist())) if node_hash(s) == n]
             kept = part.take(pa.array(same, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -287,7 +406,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -
     rows = save(nodes_of(docs, words, bands), "nodes")
     nodes = save(
         rows.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys")
+            F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.any_value("grams").alias("grams")
         ),
         "distinct",
     )
@@ -298,7 +417,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     # single texts without copies are their own component and need no look-up
     named = lookup(known, smallest, ["root"], salts=8).where("n > 1 or copies > 1").select(F.col("_node").alias("node"), "component_id", F.lit(True).alias("joined"))
-    out = lookup(rows.drop("keys"), named, ["node"], salts=16, spread=F.xxhash64("doc_id"))
+    out = lookup(rows.drop("grams"), named, ["node"], salts=16, spread=F.xxhash64("doc_id"))
     return out.select("doc_id", "n_shingles", "node", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -312,7 +431,7 @@ def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(as_bytes(part.column("text")), words)
-            node = pa.array([xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], pa.int64())
+            node = pa.array([node_hash(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "_at"])
 
     tagged = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_at", T.LongType())]))
