@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siteloom.operators.parse import parse_pages
 from siteloom.operators.select import select
 from siteloom.operators.scrape import sample, scrape
-from siteloom.operators.summary import summarize
+from siteloom.operators.summary import SHORT, summarize
 from siteloom.queries import inputs as I
 from siteloom.queries import linking, pages, planning, scraping
 from siteloom.session import balance, build_session
@@ -34,7 +34,7 @@ def main() -> None:
     docs, site, index = I.docs(spark, sf), I.site_docs(spark, sf), I.site_index(spark, sf)
     queries = {
         "d1_parse_pages": lambda: parse_pages(balance(I.pages(spark, sf))),
-        "d8_summarize": lambda: summarize(docs),
+        "d8_summarize": lambda: summarize(docs, **SHORT),
         "x1_article_p": lambda: select(docs, "article p"),
         "x6_scrape_customers": lambda: scrape(I.customer_levels(spark, sf), site, index=index).rows,
         "x6_scrape_suppliers": lambda: scrape(I.supplier_levels(spark, sf), site, index=index).rows,

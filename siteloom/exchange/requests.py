@@ -21,31 +21,28 @@ NESTING_KEYS = (
     '"drill_down_link_selector", "ranked_candidates": [{"link_index", "label", "reason", "confidence"}]}'
 )
 CORRECTION_KEYS = '{"corrected_container_selector", "corrected_selector", "corrected_attribute", "reasoning", "confidence"}'
-LIST_STRUCTURES = 15
 
 _LIST_TASK = (
-    "Does this page list similar items (a catalog)? If so, name the kind of item, the CSS selector of "
-    "one item and every visible field of an item (titles, images, categories, people, dates, texts, "
-    "ratings, prices, states, links), in snake_case, with selectors relative to the item. "
-    "archetype is card_grid, list, table or unknown. A field without a safe selector gets null. "
-    "item_schema is never null."
+    "Decide whether the page repeats one kind of entry. is_catalog says so, item_name names an entry in the singular, and "
+    "item_container_selector matches each entry once and nothing else. Give one member of fields for each distinct value that "
+    "the entries show; its selectors are read from inside one entry. A value you cannot address safely keeps its name, with null "
+    "as its selector. archetype says how the entries are laid out. Fill item_schema in any case."
 )
 _DETAIL_TASK = (
-    "This page describes one single item. Name every descriptive field on it (names, media, "
-    "categories, people, dates, texts, ratings, prices, measures, references), in snake_case, each "
-    "with its container and a selector relative to that container. Leave out navigation, related "
-    "items, footers and sharing links. is_catalog is true and archetype is detail_page."
+    "The page is the record of one thing. Set is_catalog to false if it lists nothing, and give one member of fields for each "
+    "value that belongs to the thing itself: container_selector finds the block that holds the value on the page, selector the "
+    "value inside that block. Values that other pages of the site repeat unchanged do not belong to the thing."
 )
 _NESTING_TASK = (
-    "Do the links of this page lead to fuller records of its items, or is it the last level? "
-    "Ignore links marked as navigation; prefer links below the root path whose text names an item. "
-    "Rank up to 8 links by their index, best first, and give a selector, relative to the item, for "
-    "all links of that kind. On the last level the ranking is empty."
+    "Each numbered line below is a link of the page. Say whether following one kind of them gives a record with more values than "
+    "the page shows (is_final_level is false then). ranked_candidates names such links by number, the most promising one first, and "
+    "drill_down_link_selector finds the link of that kind from inside an entry. Without such links ranked_candidates stays empty."
 )
 _CORRECTION_TASK = (
-    "One field of this page is read with a wrong selector. Give a container (null means the item) "
-    "and a selector relative to it that yield the expected value; both null if none can be found."
+    "A value of this page is read from the wrong place. Give the pair of selectors that reads the expected value: a block, or null "
+    "where the entry itself is the block, and the place inside it. Give null for both if the page does not show the value."
 )
+_SITE_WIDE = "  (site-wide)"
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -60,10 +57,10 @@ def _json(label: str, value: Column) -> Column:
     return F.concat(F.lit(label + ": "), F.to_json(value, {"ignoreNullFields": "false"}))
 
 
-def schema_requests(summaries: DataFrame, detail: bool = False) -> DataFrame:
-    """Asks what a page holds; a list page shows its first 15 structures, a detail page all."""
+def schema_requests(summaries: DataFrame, detail: bool = False, max_structures: int | None = None) -> DataFrame:
+    """Asks what a page holds, with all structures of its summary or the first ``max_structures``."""
     structures = F.col("structural_elements")
-    shown = structures if detail else F.slice(structures, 1, LIST_STRUCTURES)
+    shown = structures if max_structures is None else F.slice(structures, 1, max_structures)
     kind = "schema_detail" if detail else "schema_list"
     return summaries.select(
         F.concat_ws(":", F.lit(kind), F.col("page_id")).alias("request_id"),
@@ -89,7 +86,7 @@ def nesting_requests(pages: DataFrame, links: DataFrame) -> DataFrame:
     ``links`` the link pool (``page_id, position, link_url, label`` and optionally ``in_nav``).
     """
     text = F.when(F.col("label") != "", F.concat(F.lit('  "'), F.col("label"), F.lit('"')))
-    nav = F.when(F.col("in_nav"), "  ⚠ navigation") if "in_nav" in links.columns else F.lit("")
+    nav = F.when(F.col("in_nav"), _SITE_WIDE) if "in_nav" in links.columns else F.lit("")
     line = F.concat(
         F.lit("  "), F.col("position"), F.lit(": "), F.col("link_url"), F.coalesce(text, F.lit("")), F.coalesce(nav, F.lit(""))
     )

@@ -28,15 +28,25 @@ def parse_responses(responses: DataFrame, kind: str) -> DataFrame:
     """``responses`` (with ``raw``) plus ``body`` (a struct, null if broken) and ``error``."""
     text = clean_response(F.col("raw"))
     rows = responses.withColumn("_text", text)
-    broken = F.try_parse_json("_text").isNull()
+    parsed = F.try_parse_json("_text")
+    broken = parsed.isNull()
+    # members that are there must have their type: what is read as null was null or absent
+    names = [f.name for f in struct_type(BODIES[kind]).fields]
+    body = F.from_json("_text", struct_type(BODIES[kind]))
+    given = lambda name: F.coalesce(F.get_json_object("_text", "$." + name), F.lit("null")) != "null"
+    wrong = F.array_compact(F.array(*[F.when(given(n) & F.col("_body")[n].isNull(), F.lit(n)) for n in names]))
     preview = F.concat(cut(F.col("_text"), _PREVIEW), F.when(F.length("_text") > _PREVIEW, "...").otherwise(""))
     error = F.when(F.coalesce("raw", F.lit("")) == "", F.lit("empty response")).when(
         broken, F.concat(F.lit("invalid JSON: "), preview)
-    )
+    ).when(
+        ~F.schema_of_variant(parsed).startswith("OBJECT"), F.concat(F.lit("no JSON object: "), preview)
+    ).when(F.size("_wrong") > 0, F.concat(F.lit("wrong type: "), F.array_join("_wrong", ", ")))
     return (
-        rows.withColumn("error", error)
-        .withColumn("body", F.when(F.col("error").isNull(), F.from_json("_text", struct_type(BODIES[kind]))))
-        .drop("_text")
+        rows.withColumn("_body", body)
+        .withColumn("_wrong", wrong)
+        .withColumn("error", error)
+        .withColumn("body", F.when(F.col("error").isNull(), F.col("_body")))
+        .drop("_text", "_body", "_wrong")
     )
 
 

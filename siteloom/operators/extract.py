@@ -33,7 +33,9 @@ def _last_of_name(fields: Column) -> Column:
 
 def compile_levels(levels: DataFrame) -> DataFrame:
     """Level plans with their selectors as steps: one row per plan and level."""
-    fields = levels.withColumn("fields", _last_of_name(F.col("fields")))
+    # a field without a name is kept, under the empty name
+    named = F.transform("fields", lambda f: f.withField("name", F.coalesce(f["name"], F.lit(""))))
+    fields = levels.withColumn("fields", _last_of_name(named))
     entry = lambda sel, selector, attribute: F.struct(
         F.lit(sel).cast("int").alias("sel") if isinstance(sel, int) else sel.cast("int").alias("sel"),
         selector.alias("selector"),

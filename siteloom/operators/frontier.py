@@ -18,7 +18,7 @@ from siteloom.functions.urls import (
 from siteloom.operators.parse import strings_of
 from siteloom.operators.select import candidates, settle, steps_sizes
 from siteloom.operators.skew import spread_join
-from siteloom.operators.summary import link_samples
+from siteloom.operators.summary import all_links
 
 # How many candidates and links a decision shows.
 MAX_CANDIDATES = 8
@@ -87,12 +87,12 @@ def item_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _page_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
-    rows = link_samples(docs).select("page_id", "pos", "href", "text")
+    rows = all_links(docs.join(scopes.select("page_id").distinct(), "page_id", "left_semi"))
     return scopes.select("page_id", "url").join(rows, "page_id")
 
 
 def source_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Item links of each page, or the page's link samples where there are none."""
+    """Item links of each page, or all links of the page where there are none."""
     both = (
         item_links(scopes, docs)
         .withColumn("source", F.lit(0))

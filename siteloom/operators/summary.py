@@ -1,19 +1,18 @@
 """Page summaries: what a person or a model needs to see of a page's structure.
 
-Frequent classes are counted over all pages by one narrow aggregation. Everything else looks at a
-fixed number of elements per page and is computed inside the document row, without a shuffle.
+Everything is computed inside the document row, without a shuffle. Limits are arguments; without one nothing is left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.columns import let
 from siteloom.functions.text import collapse, cut
 from siteloom.operators.parse import dom_nodes, strings_of, text_of
 
-# Fixed values of a summary.
+# Fixed values of a short summary, as callers that want one pass them.
 MIN_CLASS_COUNT = 5
 MAX_CLASSES = 20
 SAMPLES_PER_CLASS = 3
@@ -51,37 +50,48 @@ def page_titles(docs: DataFrame) -> DataFrame:
     return docs.select("page_id", title_column().alias("title"))
 
 
-def class_frequency(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """Classes seen at least five times on a page, in order of first appearance, the first 20."""
-    tokens = (
-        docs.select("page_id", F.posexplode("elems").alias("node", "e"))
-        .where(~F.col("e.noise"))
-        .select("page_id", "node", F.posexplode("e.classes").alias("pos", "class"))
-    )
-    counts = (
-        tokens.groupBy("page_id", "class")
-        .agg(F.count("*").alias("n"), F.min(F.struct("node", "pos")).alias("first"))
-        .where(F.col("n") >= MIN_CLASS_COUNT)
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def _counted(least: int, max_classes: int | None) -> Column:
+    """(class, n) of the classes seen ``least`` times or more, in order of first appearance.
+
+    Sorting the page's class names puts equal ones together, so a run's length is its count: n log n in the row.
+    """
+    names = F.flatten(F.transform(F.filter("elems", lambda e: ~e["noise"]), lambda e: e["classes"]))
+    ordered = lambda all_: F.array_sort(F.transform(all_, lambda c, i: F.struct(c.alias("class"), i.alias("at"))))
+    # in sorted order the first of a run has the smallest place; the next run's start gives the length
+    starts = lambda s: F.filter(
+        F.transform(s, lambda x, i: F.struct(x["class"].alias("class"), x["at"].alias("at"), i.alias("i"))),
+        lambda x: (x["i"] == 0) | (F.get(s, x["i"] - 1)["class"] != x["class"]),
     )
-    order = Window.partitionBy("page_id").orderBy("first")
-    return (
-        counts.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= max_classes)
-        .select("page_id", "rank", "class", "n")
+    sized = lambda s, t: F.transform(
+        t,
+        lambda x, k: F.struct(
+            x["at"].alias("at"),
+            x["class"].alias("class"),
+            (F.coalesce(F.get(t, k + 1)["i"], F.size(s)) - x["i"]).cast("long").alias("n"),
+        ),
     )
+    runs = let(names, lambda a: let(ordered(a), lambda s: let(starts(s), lambda t: sized(s, t))))
+    kept = F.array_sort(F.filter(runs, lambda r: r["n"] >= least))
+    return _first(F.transform(kept, lambda r: F.struct(r["class"].alias("class"), r["n"].alias("n"))), max_classes)
 
 
-def _with_classes(docs: DataFrame, max_classes: int) -> DataFrame:
-    kept = class_frequency(docs, max_classes).groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "class"))), lambda c: c["class"]).alias("kept")
-    )
-    empty = F.array().cast("array<string>")
-    return docs.join(kept, "page_id", "left").withColumn("common_classes", F.coalesce("kept", empty)).drop("kept")
+def class_frequency(docs: DataFrame, max_classes: int | None = None, least: int = MIN_CLASS_COUNT) -> DataFrame:
+    """Classes seen ``least`` times or more on a page, in order of first appearance."""
+    rows = _listed(docs.select("page_id", _counted(least, max_classes).alias("counted")), "counted")
+    return rows.select("page_id", (F.col("pos") + 1).alias("rank"), "class", "n")
+
+
+def _with_classes(docs: DataFrame, max_classes: int | None, least: int) -> DataFrame:
+    return docs.withColumn("common_classes", F.transform(_counted(least, max_classes), lambda c: c["class"]))
 
 
-def _samples() -> Column:
-    first = lambda name: F.slice(
-        F.filter("elems", lambda e: ~e["noise"] & F.array_contains(e["classes"], name)), 1, SAMPLES_PER_CLASS
+def _samples(per_class: int | None) -> Column:
+    first = lambda name: _first(
+        F.filter("elems", lambda e: ~e["noise"] & F.array_contains(e["classes"], name)), per_class
     )
     return F.flatten(
         F.transform(
@@ -98,14 +108,35 @@ def _samples() -> Column:
     )
 
 
-def class_samples(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """First three elements of each frequent class."""
-    rows = _with_classes(docs, max_classes).where(F.size("common_classes") > 0)
-    return _listed(rows.withColumn("samples", _samples()), "samples")
+def class_samples(
+    docs: DataFrame, max_classes: int | None = None, per_class: int | None = SAMPLES_PER_CLASS, least: int = MIN_CLASS_COUNT
+) -> DataFrame:
+    """First elements of each frequent class."""
+    rows = _with_classes(docs, max_classes, least).where(F.size("common_classes") > 0)
+    return _listed(rows.withColumn("samples", _samples(per_class)), "samples")
 
 
-def _with_links(docs: DataFrame) -> DataFrame:
-    """Adds ``link_samples``: the first 60 anchors, without empty and repeated addresses."""
+def all_links(docs: DataFrame) -> DataFrame:
+    """Every link of each page outside noise, each address once: ``page_id, pos, href, text``. ``pos`` is its first anchor's number."""
+    anchors = F.filter(
+        F.transform("elems", lambda e, i: F.struct(i.alias("node"), e.alias("e"))),
+        lambda x: (x["e"]["tag"] == "a") & ~x["e"]["noise"] & (F.try_element_at(x["e"]["attrs"], F.lit("href")) != ""),
+    )
+    found = F.transform(
+        anchors,
+        lambda x: F.struct(
+            x["node"].alias("node"),
+            F.try_element_at(x["e"]["attrs"], F.lit("href")).alias("href"),
+            cut(F.array_join(strings_of(F.col("texts"), x["e"], clean=True), ""), 60).alias("text"),
+        ),
+    )
+    rows = _listed(docs.select("page_id", found.alias("found")).withColumnRenamed("found", "links"), "links")
+    first = rows.groupBy("page_id", "href").agg(F.min(F.struct("node", "text")).alias("first"))
+    return first.select("page_id", F.col("first.node").alias("pos"), "href", "first.text")
+
+
+def _with_links(docs: DataFrame, max_anchors: int | None) -> DataFrame:
+    """Adds ``link_samples``: the first anchors, without empty and repeated addresses."""
     numbered = F.transform("elems", lambda e, i: F.struct(i.alias("i"), e.alias("e")))
     anchors = F.filter(
         numbered,
@@ -126,18 +157,18 @@ def _with_links(docs: DataFrame) -> DataFrame:
         F.exists(within, lambda n: (n["i"] < x["i"]) & (x["i"] <= n["last"])).alias("in_nav"),
     )
     return (
-        docs.withColumn("_anchors", F.slice(anchors, 1, MAX_ANCHORS))
+        docs.withColumn("_anchors", _first(anchors, max_anchors))
         .withColumn("link_samples", let(navs, lambda n: F.transform(F.filter("_anchors", new), lambda x: link(x, n))))
         .drop("_anchors")
     )
 
 
-def link_samples(docs: DataFrame) -> DataFrame:
-    rows = _with_links(docs.select("page_id", "elems", "texts"))
+def link_samples(docs: DataFrame, max_anchors: int | None = None) -> DataFrame:
+    rows = _with_links(docs.select("page_id", "elems", "texts"), max_anchors)
     return _listed(rows, "link_samples")
 
 
-def _with_structures(docs: DataFrame) -> DataFrame:
+def _with_structures(docs: DataFrame, per_tag_limit: int | None, max_children: int | None, max_structures: int | None) -> DataFrame:
     """Adds ``structural_elements``: containers that may hold field data, most children first."""
     named = lambda e: (F.coalesce(e["id"], F.lit("")) != "") | (F.size(e["classes"]) > 0)
     selector = lambda e: F.when(
@@ -146,7 +177,7 @@ def _with_structures(docs: DataFrame) -> DataFrame:
     numbered = F.transform("elems", lambda e, i: F.struct(i.alias("i"), e.alias("e")))
     containers = F.filter(numbered, lambda x: x["e"]["tag"].isin(*STRUCTURE_TAGS) & ~x["e"]["noise"])
     per_tag = [
-        F.slice(F.filter("_containers", lambda x: x["e"]["tag"] == name), 1, MAX_PER_TAG) for name in STRUCTURE_TAGS
+        _first(F.filter("_containers", lambda x: x["e"]["tag"] == name), per_tag_limit) for name in STRUCTURE_TAGS
     ]
     listed = F.transform(
         F.filter(F.concat(*per_tag), lambda x: named(x["e"])),
@@ -161,13 +192,12 @@ def _with_structures(docs: DataFrame) -> DataFrame:
         plain(c, 100).alias("text"),
     )
     inner = lambda x: F.slice("elems", x["i"] + 2, x["e"]["last"] - x["i"])
-    children = lambda x: F.slice(
+    children = lambda x: _first(
         F.filter(
             F.transform(F.filter(inner(x), lambda c: (c["parent"] == x["i"]) & ~c["noise"]), child),
             lambda c: c["text"] != "",
         ),
-        1,
-        MAX_CHILDREN,
+        max_children,
     )
     described = F.transform(
         F.filter("_listed", unseen),
@@ -188,19 +218,37 @@ def _with_structures(docs: DataFrame) -> DataFrame:
         docs.withColumn("_containers", containers)
         .withColumn("_listed", listed)
         .withColumn("_described", described)
-        .withColumn("structural_elements", F.transform(F.slice(ranked, 1, MAX_STRUCTURES), lambda r: r["s"]))
+        .withColumn("structural_elements", F.transform(_first(ranked, max_structures), lambda r: r["s"]))
         .drop("_containers", "_listed", "_described")
     )
 
 
-def structural_elements(docs: DataFrame) -> DataFrame:
-    rows = _with_structures(docs.select("page_id", "elems", "texts"))
+def structural_elements(
+    docs: DataFrame, per_tag: int | None = None, max_children: int | None = None, max_structures: int | None = None
+) -> DataFrame:
+    rows = _with_structures(docs.select("page_id", "elems", "texts"), per_tag, max_children, max_structures)
     return _listed(rows, "structural_elements")
 
 
-def summarize(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
+#: The limits of a short summary, for ``summarize(docs, **SHORT)``.
+SHORT = {
+    "max_classes": MAX_CLASSES, "max_anchors": MAX_ANCHORS, "per_tag": MAX_PER_TAG, "max_children": MAX_CHILDREN,
+    "max_structures": MAX_STRUCTURES,
+}
+
+
+def summarize(
+    docs: DataFrame,
+    max_classes: int | None = None,
+    per_class: int | None = SAMPLES_PER_CLASS,
+    least: int = MIN_CLASS_COUNT,
+    max_anchors: int | None = None,
+    per_tag: int | None = None,
+    max_children: int | None = None,
+    max_structures: int | None = None,
+) -> DataFrame:
     """One summary row per page."""
-    rows = _with_classes(docs, max_classes).withColumn("title", title_column()).withColumn("samples", _samples())
-    return _with_structures(_with_links(rows)).select(
+    rows = _with_classes(docs, max_classes, least).withColumn("title", title_column()).withColumn("samples", _samples(per_class))
+    return _with_structures(_with_links(rows, max_anchors), per_tag, max_children, max_structures).select(
         "page_id", "url", "title", "common_classes", "samples", "link_samples", "structural_elements"
     )

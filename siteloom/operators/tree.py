@@ -38,8 +38,9 @@ WORD_LISTS = {
     "output": {"for"},
 }
 
-# Elements written per Arrow batch, to bound the memory of the worker.
+# Elements and characters of HTML per Arrow batch, to bound the memory of the worker (one page at least).
 _BATCH_ELEMS = 100_000
+_BATCH_CHARS = 32_000_000
 
 
 class _Tree(HTMLParser):
@@ -65,7 +66,7 @@ class _Tree(HTMLParser):
         self.owners: list[str] = []
         self.noisy = 0
         self.buffer: list[str] = []
-        self.closed_void: list[str] = []
+        self.closed_void: Counter[str] = Counter()
         self.pre = 0
         self._open("[document]", {})
         error = None
@@ -145,7 +146,7 @@ class _Tree(HTMLParser):
         self._start(tag, attrs)
         if tag in VOID_TAGS:
             self._close_to(tag)
-            self.closed_void.append(tag)
+            self.closed_void[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._start(tag, attrs)
@@ -162,8 +163,8 @@ class _Tree(HTMLParser):
         self._open(tag, values)
 
     def handle_endtag(self, tag):
-        if tag in self.closed_void:
-            self.closed_void.remove(tag)
+        if self.closed_void[tag]:
+            self.closed_void[tag] -= 1
         else:
             self._close_to(tag)
 
@@ -271,15 +272,17 @@ def _to_batch(tree: _Tree, ids: list, urls: list, errors: list) -> pa.RecordBatc
 
 
 def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree, ids, urls, errors = _Tree(), [], [], []
+    tree, ids, urls, errors, chars = _Tree(), [], [], [], 0
     for batch in batches:
         for page_id, url, html in zip(*(batch.column(c) for c in range(3))):
-            errors.append(tree.read(html.as_py() or ""))
+            text = html.as_py() or ""
+            chars += len(text)
+            errors.append(tree.read(text))
             ids.append(page_id.as_py())
             urls.append(url.as_py())
-            if len(tree.tag) >= _BATCH_ELEMS:
+            if len(tree.tag) >= _BATCH_ELEMS or chars >= _BATCH_CHARS:
                 yield _to_batch(tree, ids, urls, errors)
                 tree.clear()
-                ids, urls, errors = [], [], []
+                ids, urls, errors, chars = [], [], [], 0
     if ids:
         yield _to_batch(tree, ids, urls, errors)

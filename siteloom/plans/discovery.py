@@ -8,14 +8,14 @@ A person or a model may answer between two rounds, so each round is its own job
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.urls import normalize_url, plan_id, url_label
 from siteloom.operators.extract import sample_values
 from siteloom.operators.frontier import MAX_CANDIDATES, MAX_LINKS_FINAL, MAX_LINKS_MANUAL, link_pool
 from siteloom.operators.skew import salted_join
-from siteloom.plans.model import FIELD, LEVEL, NESTING, make_level
+from siteloom.plans.model import FIELD, LEVEL, NESTING, make_level, named_fields
 from siteloom.session import keep
 from siteloom.sources.pages import lookup
 
@@ -23,10 +23,6 @@ SCHEMA = (
     "struct<is_catalog:boolean,catalog_type:string,confidence:double,archetype:string,"
     f"item_schema:struct<item_name:string,item_container_selector:string,fields:array<{FIELD}>>,reasoning:string>"
 )
-STATE = (
-    "root_url string, current_url string, current_level int, visited array<string>, done boolean, "
-    f"chain array<{LEVEL}>"
-)
 # Decisions and the answers they take; the first one is the default.
 OPTIONS = {
     "confirm_drilling": ["continue", "final"],
@@ -56,7 +52,9 @@ def start(roots: DataFrame) -> DataFrame:
 
 
 def _latest(answers: DataFrame, body: str) -> DataFrame:
-    return answers.select("url_key", F.col("body").alias(body))
+    """One answer per page: the one with the largest ``seq``, or without such a column the first in JSON order."""
+    order = F.struct("seq", F.to_json("body")) if "seq" in answers.columns else F.to_json("body")
+    return answers.where(F.col("body").isNotNull()).groupBy("url_key").agg(F.max_by("body", order).alias(body))
 
 
 def observe(
@@ -185,7 +183,7 @@ def _level(schema: Column) -> Column:
         archetype=schema["archetype"],
         item_name=body["item_name"],
         item_container_selector=body["item_container_selector"],
-        fields=F.coalesce(body["fields"], F.array().cast(f"array<{FIELD}>")),
+        fields=named_fields(body["fields"]),
         reasoning=F.coalesce(schema["reasoning"], F.lit("")),
         nesting_analysis=F.when(F.col("outcome") == "ask", F.col("nesting")),
     )
@@ -203,7 +201,9 @@ def apply_answers(decided: DataFrame, answers: DataFrame | None = None) -> DataF
             {name: F.lit(None).cast("string") for name in ("choice", "selected_url", "link_index")}
         )
     else:
-        given = answers.select("root_url", "choice", "selected_url", F.col("link_index").cast("string").alias("link_index"))
+        answer = F.struct("choice", "selected_url", F.col("link_index").cast("string").alias("link_index"))
+        order = F.struct("seq", answer) if "seq" in answers.columns else answer
+        given = answers.groupBy("root_url").agg(F.max_by(answer, order).alias("_given")).select("root_url", "_given.*")
         rows = decided.join(given, "root_url", "left")
     default = F.when(F.col("decision") == "confirm_drilling", DEFAULT_ANSWERS["confirm_drilling"])
     for name in ("confirm_final_level", "select_link"):

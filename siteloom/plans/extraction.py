@@ -9,7 +9,7 @@ from siteloom.functions.text import blank_to_null
 from siteloom.operators.quality import field_names, fix_decisions
 from siteloom.operators.scrape import sample
 from siteloom.operators.search import find_values
-from siteloom.operators.summary import summarize
+from siteloom.operators.summary import SHORT, summarize
 from siteloom.plans.model import FIELD, make_field
 from siteloom.sources.pages import lookup
 
@@ -161,7 +161,7 @@ def correction_context(requests: DataFrame, levels: DataFrame, docs: DataFrame,
             lambda h: h.dropFields("pos"),
         ).alias("found_elements")
     )
-    summaries = summarize(docs.join(placed.select("page_id").distinct(), "page_id", "left_semi")).drop("url")
+    summaries = summarize(docs.join(placed.select("page_id").distinct(), "page_id", "left_semi"), **SHORT).drop("url")
     return placed.join(listed, ["plan_id", "field"], "left").join(summaries, "page_id")
 
 

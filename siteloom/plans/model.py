@@ -58,17 +58,22 @@ def make_level(**values: Column) -> Column:
     return make_struct(LEVEL, LEVEL_DEFAULTS, **{"fields": empty, **values})
 
 
-def _filled(value: Column, fields: list, defaults: dict) -> Column:
+def _filled(value: Column, defaults: dict) -> Column:
     out = value
     for name, default in defaults.items():
         out = out.withField(name, F.coalesce(value[name], F.lit(default)))
     return out
 
 
+def named_fields(fields: Column) -> Column:
+    """Fields of an answer as stored ones: no list is none, and what a field leaves out takes its default."""
+    return F.coalesce(F.transform(fields, lambda f: _filled(f, FIELD_DEFAULTS)), F.array().cast(f"array<{FIELD}>"))
+
+
 def fill_defaults(plans: DataFrame) -> DataFrame:
     """Stored plans as they are meant: nulls of absent keys become the defaults."""
-    field = lambda f: _filled(f, [], FIELD_DEFAULTS)
-    level = lambda s: _filled(s, [], LEVEL_DEFAULTS).withField(
+    field = lambda f: _filled(f, FIELD_DEFAULTS)
+    level = lambda s: _filled(s, LEVEL_DEFAULTS).withField(
         "fields", F.coalesce(F.transform(s["fields"], field), F.array().cast(f"array<{FIELD}>"))
     )
     out = plans

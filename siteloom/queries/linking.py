@@ -228,8 +228,8 @@ SQL = {
         SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) - 1 AS position, link_url, score
         FROM s JOIN v USING (page_id) WHERE link_url <> v""",
     "n2_link_pool_items": f"WITH {_CARD} SELECT url, i AS position, link_url, 1.0::DOUBLE AS score FROM cards",
-    "n2_link_pool_fallback": f"""WITH {_CARD} SELECT url, i AS position, link_url, 1.0::DOUBLE AS score FROM cards WHERE i < 15
-        UNION ALL SELECT DISTINCT url, least(n, 15), 'https://parts.example.com/', 0.3::DOUBLE FROM cards""",
+    "n2_link_pool_fallback": f"""WITH {_CARD} SELECT url, i AS position, link_url, 1.0::DOUBLE AS score FROM cards
+        UNION ALL SELECT DISTINCT url, n, 'https://parts.example.com/', 0.3::DOUBLE FROM cards""",
     "n3_link_labels": f"WITH {Q.LINKS} SELECT page_id, link_url, arg_min(substr(label, 1, 60), pos) AS label FROM links GROUP BY ALL",
     "n4_top_candidates": f"""WITH {_CARD} SELECT url, i AS rank, link_url, p_name AS label, '' AS reason, 1.0::DOUBLE AS confidence
         FROM cards WHERE i < 8""",

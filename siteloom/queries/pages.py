@@ -15,7 +15,7 @@ from siteloom.sources.pages import fetch_pages, missing, page_index
 
 def _links(spark, sf):
     """Every anchor of the pages, with its absolute URL."""
-    rows = summary.link_samples(I.docs(spark, sf)).select("page_id", "pos", "href", "text")
+    rows = summary.all_links(I.docs(spark, sf))
     return I.pages(spark, sf).select("page_id", "url").join(rows, "page_id")
 
 
@@ -117,23 +117,23 @@ def _cards(spark, sf):
 
 def d4_class_frequency(spark, sf):
     cards = _cards(spark, sf)
-    rows = summary.class_frequency(cards).join(cards.select("page_id", "url"), "page_id")
+    rows = summary.class_frequency(cards, summary.MAX_CLASSES).join(cards.select("page_id", "url"), "page_id")
     return rows.select("url", "rank", F.col("class").alias("class_name"), "n")
 
 
 def d5_class_samples(spark, sf):
     cards = _cards(spark, sf)
-    rows = summary.class_samples(cards).join(cards.select("page_id", "url"), "page_id")
+    rows = summary.class_samples(cards, summary.MAX_CLASSES).join(cards.select("page_id", "url"), "page_id")
     return rows.select("url", F.col("class").alias("class_name"), "tag", "text_sample")
 
 
 def d6_link_samples(spark, sf):
-    return summary.link_samples(I.docs(spark, sf))
+    return summary.link_samples(I.docs(spark, sf), summary.MAX_ANCHORS)
 
 
 def d7_structural_elements(spark, sf):
     parsed = I.site_docs(spark, sf)
-    rows = summary.structural_elements(parsed).join(parsed.select("page_id", "url"), "page_id")
+    rows = summary.structural_elements(parsed, summary.MAX_PER_TAG, summary.MAX_CHILDREN, summary.MAX_STRUCTURES).join(parsed.select("page_id", "url"), "page_id")
     return rows.select(
         "url", "pos", "selector", "tag", "text_preview", F.size("children").alias("n_children"),
         F.col("children")[0]["text"].alias("first_child"),
@@ -141,7 +141,7 @@ def d7_structural_elements(spark, sf):
 
 
 def d8_summarize(spark, sf):
-    return summary.summarize(I.docs(spark, sf)).select(
+    return summary.summarize(I.docs(spark, sf), **summary.SHORT).select(
         "page_id", "title", F.to_json("common_classes").alias("common_classes"), F.to_json("samples").alias("samples"),
         F.to_json("link_samples").alias("link_samples"), F.to_json("structural_elements").alias("structural_elements"),
     )

@@ -10,7 +10,7 @@ from siteloom.functions.text import level_slug
 from siteloom.functions.urls import normalize_url
 from siteloom.operators import frontier, quality
 from siteloom.operators.scrape import first_rows, scrape
-from siteloom.operators.summary import summarize
+from siteloom.operators.summary import SHORT, summarize
 from siteloom.plans import edit, extraction, merge
 from siteloom.queries import inputs as I
 from siteloom.queries import sql as Q
@@ -238,7 +238,7 @@ def m4_final_projection(spark, sf):
 
 
 def b1_schema_requests(spark, sf):
-    pages = summarize(I.docs(spark, sf))
+    pages = summarize(I.docs(spark, sf), **SHORT)
     return B.schema_requests(pages).unionByName(B.schema_requests(pages, detail=True))
 
 

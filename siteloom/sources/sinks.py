@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Quotes are doubled and an empty or missing value is written as nothing at all.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+# Quotes are doubled, blanks at both ends stay, and an empty or missing value is written as nothing at all.
+CSV_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -63,6 +66,10 @@ def upsert_plans(stored: DataFrame, changed: DataFrame, key: str = "url_key") ->
     Write the result to a new path and switch readers over; Spark cannot replace what it reads.
     """
     columns = [c for c in stored.columns if c != key]
+    if "seq" in changed.columns:
+        # of several changes of one plan the last one counts
+        latest = F.max_by(F.struct(*[c for c in changed.columns if c != key]), "seq")
+        changed = changed.groupBy(key).agg(latest.alias("_last")).select(key, "_last.*").drop("seq")
     new = changed.select(key, *[F.col(c).alias("new_" + c) for c in columns if c in changed.columns])
     return stored.join(new, key, "full").select(
         key, *[F.coalesce("new_" + c, c).alias(c) if c in changed.columns else F.col(c) for c in columns]

@@ -27,8 +27,10 @@ def test_summary_row(docs_of):
 def test_class_limits_and_order(docs_of):
     many = "".join(f'<i class="c{k}"></i>' * 5 for k in range(30))
     html = '<b class="four"></b>' * 4 + '<b class="md:flex five"></b>' * 5 + many
-    rows = summary.class_frequency(docs_of(html)).orderBy("rank").collect()
-    assert [r["class"] for r in rows] == ["md:flex", "five"] + [f"c{k}" for k in range(18)]
+    rows = summary.class_frequency(docs_of(html), 20).orderBy("rank").collect()
+    assert [(r["class"], r["n"]) for r in rows] == [("md:flex", 5), ("five", 5)] + [(f"c{k}", 5) for k in range(18)]
+    assert summary.class_frequency(docs_of(html)).count() == 32
+    assert summary.class_frequency(docs_of("", "<p></p>")).count() == 0
     samples = summary.class_samples(docs_of(html)).where("class = 'md:flex'")
     assert samples.count() == 3
 
@@ -36,15 +38,32 @@ def test_class_limits_and_order(docs_of):
 def test_structures_limits(docs_of):
     sections = "".join(f'<section class="s{i}"><p>a</p>' + "<p>b</p>" * (i % 3) + "</section>" for i in range(20))
     html = sections + '<div class="s1 empty"><p></p></div><div><p>no name</p></div>' + '<div class="wide">' + "<p>w</p>" * 14 + "</div>"
-    rows = summary.structural_elements(docs_of(html)).orderBy("pos").collect()
+    assert summary.structural_elements(docs_of(html)).count() == 21
+    assert len(summary.structural_elements(docs_of(html)).orderBy("pos").first().children) == 14
+    rows = summary.structural_elements(docs_of(html), 15, 10, 25).orderBy("pos").collect()
     assert rows[0].selector == "div.wide" and len(rows[0].children) == 10
     assert [r.selector for r in rows[1:6]] == [f"section.s{i}" for i in (2, 5, 8, 11, 14)]
     assert len(rows) == 16  # fifteen sections at most, and one div
 
 
+def test_summaries_do_not_shuffle(docs_of):
+    plan = summary.summarize(docs_of(PAGE))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_two_hundred_links(docs_of, spark):
+    html = "".join(f'<a href="/{i % 200}">{i}</a>' for i in range(300)) + '<a href="">no</a><a>none</a>'
+    docs = docs_of(html)
+    links = summary.all_links(docs).orderBy("pos").collect()
+    assert [(r.href, r.text) for r in links] == [(f"/{i}", str(i)) for i in range(200)]
+    scopes = spark.createDataFrame([(0, "https://h.com/0", None)], "page_id long, url string, item_container_selector string")
+    assert N.link_pool(scopes, docs).count() == 199  # all but the page itself
+
+
 def test_first_sixty_anchors_before_repeats(docs_of):
     html = '<a href="/0">first</a>' * 59 + '<a href="/1">sixty</a><a href="/2">too late</a>'
-    assert [r.href for r in summary.link_samples(docs_of(html)).orderBy("pos").collect()] == ["/0", "/1"]
+    assert [r.href for r in summary.link_samples(docs_of(html), 60).orderBy("pos").collect()] == ["/0", "/1"]
+    assert summary.link_samples(docs_of(html)).count() == 3
 
 
 def test_value_search(docs_of, spark, monkeypatch):
