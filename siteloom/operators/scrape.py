@@ -82,7 +82,7 @@ def scrape(
 def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape, DataFrame]:
     compiled = keep(compile_levels(levels))
     sizes = steps_sizes(compiled)
-    index = page_index(docs) if index is None else index
+    index = keep(page_index(docs)) if index is None else index
     goal = levels.groupBy("plan_id").agg(F.max("level").alias("goal"))
     if target_level is not None:
         goal = goal.select("plan_id", F.least("goal", F.lit(target_level)).alias("goal"))
@@ -90,7 +90,8 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
 
     def items_of(frontier: DataFrame, level: int, size: int) -> DataFrame:
         few = size <= _FEW_TASKS
-        tasks = split_tasks(lookup(frontier, index), few)
+        # small rows, read several times below
+        tasks = keep(split_tasks(lookup(frontier, index), few))
         plan = compiled.where(F.col("level") == level).drop("level", "sample_url")
         joined = tasks.join(plan, "plan_id") if few else spread_join(tasks, plan, "plan_id")
         items = extract_items(joined, docs, sizes, few)

@@ -101,6 +101,9 @@ def select_many(docs: DataFrame, selectors: dict[str, str], keys: list[str] | No
         keys,
         lambda e, s: {"tag": e["tag"], "t0": e["t0"], "t1": e["t1"]},
     )
+    if max_steps > 1:
+        # all windows of all steps stay inside a page, so this is the only exchange
+        found = found.repartition("page_id")
     named = F.element_at(F.array(*[F.lit(name) for name in selectors]), F.col("sel") + 1)
     return settle(found, keys, max_steps, max_alts).withColumn("selector_id", named).drop("sel")
 

@@ -82,11 +82,13 @@ def check_sample(levels: DataFrame, target_level: int | None = None) -> DataFram
     return per_plan.select("plan_id", F.posexplode(errors).alias("pos", "error"))
 
 
-def checked_sample(levels: DataFrame, docs: DataFrame, max_rows: int = 3, target_level: int | None = None):
+def checked_sample(
+    levels: DataFrame, docs: DataFrame, max_rows: int = 3, target_level: int | None = None, index: DataFrame | None = None
+):
     """``scrape.sample`` of the plans without errors, and the errors of the others."""
     errors = check_sample(levels, target_level)
     good = levels.join(errors.select("plan_id").distinct(), "plan_id", "left_anti")
-    return sample(good, docs, max_rows, target_level), errors
+    return sample(good, docs, max_rows, target_level, index), errors
 
 
 def find_fields(requests: DataFrame, levels: DataFrame) -> DataFrame:
@@ -165,8 +167,15 @@ def correction_context(requests: DataFrame, levels: DataFrame, docs: DataFrame,
     return placed.join(listed, ["plan_id", "field"], "left").join(summaries, "page_id")
 
 
-def fix_and_resample(levels: DataFrame, fixes: DataFrame, docs: DataFrame, max_rows: int = 3):
+def fix_and_resample(
+    levels: DataFrame,
+    fixes: DataFrame,
+    docs: DataFrame,
+    max_rows: int = 3,
+    target_level: int | None = None,
+    index: DataFrame | None = None,
+):
     """Corrected levels, their new sample and the decisions that are still open."""
     fixed = apply_field_fixes(levels, fixes)
-    rows, _ = checked_sample(fixed, docs, max_rows)
+    rows, _ = checked_sample(fixed, docs, max_rows, target_level, index)
     return fixed, rows, fix_decisions(rows, field_names(fixed))

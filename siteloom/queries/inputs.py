@@ -6,6 +6,7 @@ pages. Parsed documents and scraped rows are computed once per session and share
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from siteloom.operators.parse import parse_pages
 from siteloom.operators.scrape import scrape
 from siteloom.plans.model import LEVEL, NESTING, PLAN, make_field, make_level, make_struct
-from siteloom.session import balance, keep
+from siteloom.session import balance, checkpoint_dir
 from siteloom.sources.pages import page_index, read_pages
 
 CUSTOMERS_PER_SITE = 500
@@ -28,7 +29,10 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     """A derived table that several queries read: computed and saved at first use."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = keep(make())
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        rows = make()
+        rows.write.parquet(path)
+        _kept[key] = spark.read.schema(rows.schema).parquet(path)
     return _kept[key]
 
 
@@ -101,11 +105,12 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = region.agg(_listed("r_regionkey", region_item).alias("body")).select(
         F.lit(-1).alias("key"), _page("Regions", _tag("ul", F.col("body"))).alias("html")
     )
-    # every shop has the same upper pages; there are six of them
-    upper = nations.unionByName(regions).withColumn("all", F.lit(1))
+    # every shop has the same upper pages: one of the regions, and one for each region
+    upper = nations.unionByName(regions)
+    last = region.agg(F.coalesce(F.max("r_regionkey"), F.lit(-1))).first()[0]
     tops = (
-        sites.withColumn("all", F.lit(1))
-        .join(F.broadcast(upper), "all")
+        sites.withColumn("key", F.explode(F.sequence(F.lit(-1), F.lit(last))))
+        .join(upper, "key")
         .select(
             F.concat(host, F.when(F.col("key") < 0, F.lit("/")).otherwise(F.concat(F.lit("/r/"), F.col("key")))).alias("url"),
             "html",
@@ -301,7 +306,7 @@ def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored plan per customer; those in debt have no levels yet."""
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    rows = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     root = F.concat(F.lit("http://Host"), F.col("c_nationkey"), F.lit(".example.com/c/"), F.col("c_custkey"), F.lit("/"))
     kind = F.lower("c_mktsegment")
     poor = F.col("c_acctbal") < 3000

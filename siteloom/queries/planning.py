@@ -9,9 +9,11 @@ from siteloom.exchange.responses import clean_response, correction_fixes, parse_
 from siteloom.functions.text import level_slug
 from siteloom.functions.urls import normalize_url
 from siteloom.operators import frontier, quality
-from siteloom.operators.scrape import first_rows, scrape
+from siteloom.operators.errors import run_errors
+from siteloom.operators.scrape import scrape
 from siteloom.operators.summary import SHORT, summarize
 from siteloom.plans import edit, extraction, merge
+from siteloom.plans.model import make_field
 from siteloom.queries import inputs as I
 from siteloom.queries import sql as Q
 from siteloom.sources import plans as S
@@ -184,8 +186,8 @@ def l10_fix_and_resample(spark, sf):
     raw = F.lit('{"corrected_container_selector":null,"corrected_selector":"a","corrected_attribute":"href","confidence":0.9}')
     answers = plans.select("plan_id", F.lit(1).alias("seq"), F.lit("balance").alias("field"), raw.alias("raw"))
     fixes = correction_fixes(parse_responses(answers, "correction"))
-    fixed = extraction.apply_field_fixes(levels.where("level = 1"), fixes)
-    rows = first_rows(scrape(fixed, I.site_docs(spark, sf), index=I.site_index(spark, sf)).rows, 3)
+    docs, index = I.site_docs(spark, sf), I.site_index(spark, sf)
+    fixed, rows, _ = extraction.fix_and_resample(levels.where("level = 1"), fixes, docs, 3, index=index)
     left = quality.null_issues(quality.null_rates(rows, quality.field_names(fixed)))
     issues = left.groupBy("plan_id").agg(F.count("*").alias("n_issues"))
     return rows.join(issues, "plan_id", "left").select(
@@ -194,6 +196,25 @@ def l10_fix_and_resample(spark, sf):
     )
 
 
+def e1_run_errors(spark, sf):
+    """A plan per supplier: some with selectors that are not supported, some with an unnamed field, some without their page."""
+    supplier = I.table(spark, sf, "supplier").withColumn("k", F.col("s_suppkey"))
+    at = lambda n: F.col("k") % n == 0
+    site = F.concat(F.lit("https://supply"), F.expr(f"k div {I.SUPPLIERS_PER_SITE}"), F.lit(".example.com/"))
+    levels = supplier.select(
+        F.concat(F.lit("plan"), F.col("k")).alias("plan_id"),
+        F.lit(1).alias("level"),
+        F.when(at(7), F.concat(site, F.lit("gone/"), F.col("k"))).otherwise(site).alias("sample_url"),
+        F.when(at(3), "li:has(a)").otherwise("li").alias("item_container_selector"),
+        F.lit(None).cast("string").alias("drill_down_link_selector"),
+        F.array(
+            make_field(name=F.lit("title"), selector=F.when(at(4), "p::first-line").otherwise("b")),
+            make_field(name=F.when(~at(5), "more"), selector=F.lit("i")),
+        ).alias("fields"),
+    )
+    return run_errors(levels, I.site_docs(spark, sf), I.site_index(spark, sf))
+
+
 def m1_level_slug(spark, sf):
     part = I.table(spark, sf, "part")
     raw = F.concat(F.col("p_type"), F.lit("  & "), F.col("p_brand"), F.lit("!"))
@@ -281,7 +302,7 @@ QUERIES = {
     for f in (
         s3_plan_reader, s4_plan_summaries, s5_plan_lookup, s6_reusable_plans, k1_upsert_plans, l1_create_plans, l2_update_plans,
         l3_schema_edits, l5_validate_plans, l6_extraction_levels, l6_plan_summaries, l6_sample_checks, l7_find_fields,
-        l8_field_fixes, l9_correction_context, l10_fix_and_resample, m1_level_slug, m2_merged_fields, m3_merged_levels,
+        l8_field_fixes, l9_correction_context, l10_fix_and_resample, e1_run_errors, m1_level_slug, m2_merged_fields, m3_merged_levels,
         m4_final_projection, b1_schema_requests, b2_nesting_requests, b3_correction_requests, b4_clean_responses,
         b5_parse_responses,
     )
@@ -331,6 +352,12 @@ SQL = {
     "l9_correction_context": """WITH s AS (SELECT s_suppkey // 200 AS site, arg_min(s_name, s_suppkey) AS name, arg_min(s_acctbal, s_suppkey) AS bal FROM supplier GROUP BY 1)
         SELECT 'supply' || site AS plan_id, 'name' AS field, name AS expected_value, 1 AS level, '.entry' AS item_container_selector,
         'a, span' AS selector, 'Suppliers' AS title, 1 AS n_found, CASE WHEN bal < 2000 THEN 'span' ELSE 'a' END AS hint FROM s""",
+    "e1_run_errors": """WITH s AS (SELECT s_suppkey AS k, 'https://supply' || (s_suppkey // 200) || '.example.com/' AS site FROM supplier),
+        p AS (SELECT 'plan' || k AS plan_id, 1 AS level, k, CASE WHEN k % 7 = 0 THEN site || 'gone/' || k ELSE site END AS url FROM s)
+        SELECT plan_id, level, url, 'unsupported selector' AS kind, 'item: li:has(a)' AS detail FROM p WHERE k % 3 = 0
+        UNION ALL SELECT plan_id, level, url, 'unsupported selector', 'field title: p::first-line' FROM p WHERE k % 4 = 0
+        UNION ALL SELECT plan_id, level, url, 'field without a name', 'field 1' FROM p WHERE k % 5 = 0
+        UNION ALL SELECT plan_id, level, url, 'missing page', NULL FROM p WHERE k % 7 = 0""",
     "l10_fix_and_resample": """WITH r AS (SELECT 'supply' || (s_suppkey // 200) AS plan_id, s_name AS name,
           CASE WHEN s_acctbal >= 2000 THEN '/s/' || s_suppkey END AS balance,
           row_number() OVER (PARTITION BY s_suppkey // 200 ORDER BY s_suppkey) AS row FROM supplier QUALIFY row <= 3),
