@@ -243,12 +243,14 @@ def small_edges(nodes: DataFrame, bands: Bands) -> DataFrame:
     """The same for pairs of small sets: nodes that share one of their rarest shingles."""
     small = nodes.where("grams is not null")
     grams = small.select("node", "n_shingles", F.explode("grams").alias("key"))
-    counts = grams.groupBy("key").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("node").orderBy("n", "key")
+    # most shingles occur once; only the others' counts are looked up
+    counts = grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "key")
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * bands.top / bands.bottom - 1e-9) + 1
-    keyed = lookup(grams, counts, ["key"], salts=8).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    ranked = lookup(grams, counts, ["key"], salts=8).withColumn("rank", F.row_number().over(order))
+    keyed = save(ranked.where((F.col("rank") <= first) & F.col("n").isNotNull()).select("node", "key"), "rare")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("key", "hub")
-    met = lookup(keyed.select("node", "key"), hubs, ["key"], salts=8).where("hub is not null and node != hub")
+    met = lookup(keyed, hubs, ["key"], salts=8).where("hub is not null and node != hub")
     top = lambda c: F.shiftrightunsigned(F.col(c).bitwiseXOR(F.lit(-(1 << 63))), _BITS)
     return met.select(top("node").alias("a"), top("hub").alias("b"))
 
@@ -360,12 +362,17 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
     clusters = components(large_edges(docs, words, bands).union(small_edges(nodes, bands)))
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "top")
     top = F.shiftrightunsigned(F.col("node").bitwiseXOR(F.lit(-(1 << 63))), _BITS)
-    placed = nodes.select("node", "least", "n_shingles", top.alias("top")).join(clusters, "top")
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("n_shingles", "node")) - 1
-    tiles = save(placed.select("node", "least", F.col("root").alias("cluster"), F.floor(rank / tile).cast("int").alias("tile")), "tiles")
+    placed = nodes.select("node", "least", top.alias("top")).join(clusters, "top")
+    placed = save(placed.select("node", "least", F.col("root").alias("cluster")), "placed")
+    counts = placed.groupBy("cluster").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    spread = F.pmod(F.xxhash64(F.col("node")), F.col("tiles")).cast("int").alias("tile")
+    tiles = lookup(placed, counts, ["cluster"], salts=8).select("node", "least", "cluster", spread, F.col("tiles").cast("int").alias("tiles"))
     wanted = tiles.withColumnsRenamed({"node": "_node", "least": "_least"})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_least"])).select(F.col("_node").alias("node"), "cluster", "tile", "text")
+    # a merge join whatever the sizes: a broadcast of the wanted rows would grow with the corpus
+    rows = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["_least"])).select(
+        F.col("_node").alias("node"), "cluster", "tile", "tiles", "text"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -375,21 +382,20 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
             kept = part.take(pa.array(same, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[kept.column(c) for c in ("node", "cluster", "tile")],
+                    *[kept.column(c) for c in ("node", "cluster", "tile", "tiles")],
                     pa.array([len(sets[i]) for i in same], pa.int64()),
                     pa.array([sets[i].tobytes() for i in same], pa.binary()),
                 ],
-                names=["node", "cluster", "tile", "n_shingles", "shingles"],
+                names=["node", "cluster", "tile", "tiles", "n_shingles", "shingles"],
             )
 
-    kinds = "node long, cluster long, tile int, n_shingles long, shingles binary"
+    kinds = "node long, cluster long, tile int, tiles int, n_shingles long, shingles binary"
     sets = save(rows.mapInArrow(run, kinds).dropDuplicates(["node"]), "sets")
     within = save(
         sets.groupBy("cluster", "tile").applyInArrow(lambda rows: _join_tiles(rows, bands, False), "a long, b long"), "links"
     )
     # clusters of several tiles: every two tiles meet, with what is connected inside each of them
-    counts = tiles.groupBy("cluster").agg((F.max("tile") + 1).alias("tiles")).where("tiles > 1")
-    large = sets.join(counts, "cluster")
+    large = sets.where("tiles > 1")
     if large.isEmpty():
         return within
     own = components(within).withColumnRenamed("node", "_node")
