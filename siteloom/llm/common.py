@@ -30,11 +30,6 @@ def save(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unique(frame: DataFrame, *names: str) -> DataFrame:
-    """Keeps the named columns only. Columns with clashing names play no part (names are matched as Spark matches them)."""
-    return frame.select(*names)
-
-
 def lookup(many: DataFrame, small: DataFrame, on: list[str], salts: int = 32, spread: Column | None = None) -> DataFrame:
     """Left join to a table with one row per key, null keys equal; each of its rows is copied ``salts`` times.
 
