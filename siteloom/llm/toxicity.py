@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh32_intdigest, xxh64_intdigest
 
 from siteloom.llm.common import slices
 
@@ -141,8 +141,14 @@ def _evidence(samples: list[tuple[list[str], int]], least: float = 18.0) -> tupl
     """Features that mark toxic documents, and those worth a weight. ``least``: of the likelihood-ratio statistic."""
     seen = {0: Counter(), 1: Counter()}
     size = Counter(t for _, t in samples)
+    found = lambda words: {f for w in set(words) for f in features(w.strip(_EDGES))}
+    # most features occur in a text or two; counts of hash buckets tell which ones are worth their names in memory
+    buckets = np.zeros(1 << 21, np.int32)
+    place = lambda f: xxh32_intdigest(f) & ((1 << 21) - 1)
+    for words, _ in samples:
+        np.add.at(buckets, [place(f) for f in found(words)], 1)
     for words, toxic in samples:
-        seen[toxic].update({f for w in set(words) for f in features(w.strip(_EDGES))})
+        seen[toxic].update(f for f in found(words) if buckets[place(f)] >= 4)
 
     def term(k: int, n: int, rate: float) -> float:
         return (k * math.log(k / n / rate) if k else 0.0) + ((n - k) * math.log((n - k) / n / (1 - rate)) if n > k else 0.0)
@@ -162,7 +168,8 @@ def _evidence(samples: list[tuple[list[str], int]], least: float = 18.0) -> tupl
 
 def fit(samples: list[tuple[str, int]], prior: float, rounds: int = 20) -> Model:
     """Trains on a sample of (text, toxic) with the share ``prior`` of toxic documents among all labelled ones."""
-    rows = _distinct([(words_of(text), toxic) for text, toxic in samples])
+    shared: dict[str, str] = {}  # one object per distinct word
+    rows = _distinct([([shared.setdefault(w, w) for w in words_of(text)], toxic) for text, toxic in samples])
     if len({t for _, t in rows}) < 2:
         return Model({}, -10.0, np.full((2, 2), 0.5), np.array([40.0 if prior > 0.5 else -40.0, 0, 0, 0]))
     toxic, useful = _evidence(rows)
@@ -236,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 class _Tagger:
     """Scores of words as they are in texts; keeps those of recent words."""
 
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -278,7 +285,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = _Tagger(shared.value)
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", 2 << 20):
             texts = pc.fill_null(rows.column("text"), "").to_pylist()
             scores, counts = tag(texts)
             p, _, _ = marginals(scores, counts, tag.model.tags)
