@@ -407,7 +407,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, node, component_id of every row of ``docs``."""
+    """doc_id, n_shingles, node, root, component_id of every row of ``docs``. ``root`` is the component itself: the smallest node in it."""
     bands = Bands(percent, 100)
     rows = save(nodes_of(docs, words, bands), "nodes")
     nodes = save(
@@ -422,17 +422,25 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -
     known = known.withColumn("root", F.coalesce("root", "_node")).select("_node", "root", "least", "copies")
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     # single texts without copies are their own component and need no look-up
-    named = lookup(known, smallest, ["root"], salts=8).where("n > 1 or copies > 1").select(F.col("_node").alias("node"), "component_id", F.lit(True).alias("joined"))
+    named = lookup(known, smallest, ["root"], salts=8).where("n > 1 or copies > 1").select(
+        F.col("_node").alias("node"), "root", "component_id", F.lit(True).alias("joined")
+    )
     out = lookup(rows.drop("grams"), named, ["node"], salts=16, spread=F.xxhash64("doc_id"))
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component_id = F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"), component_id)
 
 
 def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays, of equal rows one."""
-    found = join(docs, words, percent).where("node is null or doc_id <=> component_id")
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays, of equal rows one.
+
+    Components are told apart by their root, not by an id: ids may be missing or shared by texts that have nothing in common.
+    """
+    found = join(docs, words, percent)
     empty = found.where("node is null").select(F.col("doc_id").alias("_id"), F.lit(None).cast("long").alias("_node")).distinct()
-    first = found.where("node is not null").groupBy(F.col("component_id").alias("_id")).agg(F.min("node").alias("_node"))
-    kept = first.union(empty)
+    # a row without an id stays only where no row of the component has one
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "node"))
+    first = found.where("node is not null").groupBy("root").agg(least.alias("least"))
+    kept = first.select(F.col("least.doc_id").alias("_id"), F.col("least.node").alias("_node")).union(empty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

@@ -279,6 +279,13 @@ def _spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
     return [{"start": s["start"], "end": s["end"]} for s in out]
 
 
+def _judged(tag: _Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The score of each text, the probabilities of all words, and how many words each text has."""
+    scores, counts = tag(texts)
+    p, _, _ = marginals(scores, counts, tag.model.tags)
+    return _sigmoid(document_features(p, counts) @ tag.model.document), p, counts
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, n_toxic (expected number of toxic words) and the offending spans of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
@@ -287,9 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         tag = _Tagger(shared.value)
         for rows in slices(batches, "text", 2 << 20):
             texts = pc.fill_null(rows.column("text"), "").to_pylist()
-            scores, counts = tag(texts)
-            p, _, _ = marginals(scores, counts, tag.model.tags)
-            value = _sigmoid(document_features(p, counts) @ tag.model.document)
+            value, p, counts = _judged(tag, texts)
             ends = np.cumsum(counts)
             top = np.maximum.reduceat(np.append(p, 0), np.minimum(ends - counts, len(p))) if len(counts) else ends
             spans = [
@@ -319,7 +324,14 @@ def held_out(doc_id):
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not found toxic, with their columns. Rows with one id are judged together: one toxic text rejects them."""
+    """The rows of ``docs`` that are not found toxic, with their columns. Each row is judged by its own text, whatever its id."""
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
-    bad = score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag = _Tagger(shared.value)
+        for rows in slices(batches, "text", 2 << 20):
+            value, _, _ = _judged(tag, pc.fill_null(rows.column("text"), "").to_pylist())
+            yield rows.filter(pa.array(value < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -132,6 +132,17 @@ def test_one_of_each(saved):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (False, 3), (False, 4), (True, 0)]
 
 
+def test_one_of_each_keeps_what_is_linked_with_nothing(saved):
+    rows = [(None, "a b c d e f g"), (None, "A b c d e f g"), (None, "x y z u v w"), (None, "lone text here")]
+    rows += [(7, "one text of its own"), (7, "quite another one that shares the id"), (7, "One text of its own")]
+    rows += [(9, "p q r s t u v w"), (None, "P q r s t u v w"), (8, "p q r s t u v w"), (8, "k l m n o p")]
+    kept = jaccard.one_of_each(saved(rows), 5, 80).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [
+        (0, "a b c d e f g"), (0, "lone text here"), (0, "x y z u v w"), (7, "one text of its own"), (7, "quite another one that shares the id"),
+        (8, "k l m n o p"), (8, "p q r s t u v w"),
+    ]
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -269,3 +280,14 @@ def test_toxicity(spark):
     assert left.columns == docs.columns and left.where("doc_id < 900").count() == 750
     none = toxicity.score(docs, toxicity.train(docs, marks.limit(0)))
     assert none.where("predicted = 1").count() == 0 and toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_without_toxic_judges_each_row(spark):
+    rnd = random.Random(14)
+    rows = [(i, " ".join(rnd.choice(["grunk", "blorf"] if i % 6 == 0 and k < 3 else [f"word{w}" for w in range(200)]) for k in range(30))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    more = [(None, "word1 grunk blorf grunk"), (None, "word1 word2 word3"), (None, None), (5000, "word4 grunk blorf grunk"), (5000, "word4 word5 word6")]
+    left = toxicity.without_toxic(spark.createDataFrame(rows + more, "doc_id long, text string"), labels)
+    kept = [tuple(r) for r in left.where("doc_id is null or doc_id = 5000").collect()]
+    assert sorted(kept, key=str) == sorted([more[1], more[2], more[4]], key=str)
+    assert left.where("doc_id < 600").count() == 500
