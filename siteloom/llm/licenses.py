@@ -169,6 +169,48 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def notices(docs: DataFrame) -> DataFrame:
+    """doc_id, notices: labels of the templates that each document holds, however its lines are wrapped. One narrow row per document.
+
+    Blocks are paragraphs and, so that blank lines and comment marks in a notice do no harm, all windows of a template's length
+    over the words of the text. A block meets a template if it holds ``CONTAINED`` of its words.
+    """
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), upper, upper.lower())
+    vocabulary = sorted({t for template in TEMPLATES.values() for t in tokens(template)})
+    words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    known = F.array(*[F.lit(v) for v in vocabulary])
+    paragraphs = F.transform(F.split(text, r"\n[ \t\r]*\n", -1), lambda p: F.array_intersect(F.split(p, _MARKS, -1), known))
+    least = min(needed(len(tokens(t))) for t in TEMPLATES.values())
+    rows = docs.select(
+        "doc_id",
+        F.filter(words, lambda x: x["word"].isin(vocabulary)).alias("placed"),
+        F.filter(paragraphs, lambda p: F.size(p) >= least).alias("paragraphs"),
+    )
+
+    def held(label: str, template: str) -> Column:
+        own = tokens(template)
+        length, need = len(re.findall(_WORD, template)), needed(len(own))
+        listed = F.array(*[F.lit(t) for t in own])
+
+        def meets(block: Column) -> Column:
+            return F.size(F.array_intersect(block, listed)) >= need
+
+        def windows(places: Column) -> Column:
+            # a window holds at most ``length`` known words, so the next ones are all that can be in it
+            near = lambda a, k: F.filter(F.slice(places, k + 1, F.lit(length)), lambda b: b["at"] < a["at"] + length)
+            return F.exists(F.transform(places, lambda a, k: F.transform(near(a, k), lambda b: b["word"])), meets)
+
+        # texts that lack too many of the words altogether need no windows
+        found = F.exists("paragraphs", meets) | (
+            meets(F.col("placed")["word"]) & bind(F.filter("placed", lambda x: x["word"].isin(own)), windows)
+        )
+        return F.when(found, F.lit(label))
+
+    every = F.array_compact(F.array(*[held(label, template) for label, template in sorted(TEMPLATES.items())]))
+    return rows.select("doc_id", F.array_join(every, ",").alias("notices"))
+
+
 def sql() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

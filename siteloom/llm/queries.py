@@ -45,6 +45,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
 
@@ -61,5 +65,5 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard, "op4_nearest_neighbours": op4_nearest_neighbours, "op6_warc": op6_warc, "op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
+QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard, "op4_nearest_neighbours": op4_nearest_neighbours, "op6_warc": op6_warc, "op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op5_license_notices": op5_license_notices, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
 SQL = {"op1_secret_scan": secrets.sql(), "op5_license_scan": licenses.sql()}

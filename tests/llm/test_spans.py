@@ -148,6 +148,24 @@ def test_license_threshold(spark):
     assert got[1] == ("bsd", 1.0) and got[2][0] == "bsd" and 0.85 <= got[2][1] < 1 and got[3] == ("", 0.0)
 
 
+def test_wrapped_notices(spark):
+    def wrapped(words, gap="\n"):
+        return "Some text.\n\n" + gap.join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5)) + "\nmore text"
+
+    bsd, mit = licenses.TEMPLATES["bsd"].split(), licenses.TEMPLATES["mit-notice"].split()
+    rows = {
+        1: (wrapped(bsd), "bsd"),
+        2: (wrapped(mit, "\r\n * "), "mit-notice"),
+        3: (wrapped(bsd, "\n\n"), "bsd"),
+        4: ("Released under the\nMIT License", "mit"),
+        5: ("# Licensed under the\n# terms of the Apache License,\n# Version 2.0", "apache-2.0"),
+        11: (wrapped(bsd[:8]), ""),
+        12: (None, ""),
+    }
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in rows.items()], DOCS)
+    assert {r.doc_id: r.notices for r in licenses.notices(docs).collect()} == {i: want for i, (_, want) in rows.items()}
+
+
 @pytest.mark.parametrize("scan", [secrets.report, personal.report, licenses.scan])
 def test_repeated_rows(spark, scan):
     rows = scan(spark.createDataFrame([(1, "x token=abcdefgh a@b.cc cc by")] * 3, DOCS)).collect()
