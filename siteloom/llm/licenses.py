@@ -45,6 +45,11 @@ TEMPLATES = {
     "public-domain": "This work has been released into the public domain",
 }
 CONTAINED = 0.85
+#: Words without which a block is another license than the template's, however much of the template it holds.
+TELLING = {
+    "apache-2.0": ["apache", "2"], "cc-by-nc-4.0": ["nc", "4"], "cc-by-sa-4.0": ["sa", "4"], "gpl-3.0": ["gnu", "3"], "mit": ["mit"],
+    "mpl-2.0": ["mozilla", "2"],
+}
 #: Marks between words, before and after A-Z are lowered, and words after that.
 _MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MARK = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -173,7 +178,7 @@ def notices(docs: DataFrame) -> DataFrame:
     """doc_id, notices: labels of the templates that each document holds, however its lines are wrapped. One narrow row per document.
 
     Blocks are paragraphs and, so that blank lines and comment marks in a notice do no harm, all windows of a template's length
-    over the words of the text. A block meets a template if it holds ``CONTAINED`` of its words.
+    over the words of the text. A block meets a template if it holds ``CONTAINED`` of its words and all of its ``TELLING`` ones.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), upper, upper.lower())
@@ -194,7 +199,8 @@ def notices(docs: DataFrame) -> DataFrame:
         listed = F.array(*[F.lit(t) for t in own])
 
         def meets(block: Column) -> Column:
-            return F.size(F.array_intersect(block, listed)) >= need
+            enough = F.size(F.array_intersect(block, listed)) >= need
+            return reduce(lambda a, t: a & F.array_contains(block, t), TELLING.get(label, []), enough)
 
         def windows(places: Column) -> Column:
             # a window holds at most ``length`` known words, so the next ones are all that can be in it

@@ -148,7 +148,7 @@ def test_license_threshold(spark):
     assert got[1] == ("bsd", 1.0) and got[2][0] == "bsd" and 0.85 <= got[2][1] < 1 and got[3] == ("", 0.0)
 
 
-def test_wrapped_notices(spark):
+def test_wrapped_and_neighbouring_notices(spark):
     def wrapped(words, gap="\n"):
         return "Some text.\n\n" + gap.join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5)) + "\nmore text"
 
@@ -159,6 +159,11 @@ def test_wrapped_notices(spark):
         3: (wrapped(bsd, "\n\n"), "bsd"),
         4: ("Released under the\nMIT License", "mit"),
         5: ("# Licensed under the\n# terms of the Apache License,\n# Version 2.0", "apache-2.0"),
+        6: ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0"),
+        7: ("Licensed under CC BY-SA 4.0", "cc-by-sa-4.0"),
+        8: ("Licensed under CC BY 4.0", ""),
+        9: ("This work is licensed under the GNU General Public License, version 2", ""),
+        10: ("Licensed under the Mozilla License, Version 2.0", ""),
         11: (wrapped(bsd[:8]), ""),
         12: (None, ""),
     }
