@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import bpe, jaccard, licenses, mixture, neighbours, personal, quality, secrets, toxicity, warc
+from siteloom.llm import bpe, divergence, interaction, jaccard, licenses, mixture, neighbours, personal, phrases, quality, secrets, toxicity, warc
 from siteloom.llm.common import table
 
 
@@ -65,5 +65,17 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard, "op4_nearest_neighbours": op4_nearest_neighbours, "op6_warc": op6_warc, "op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op5_license_notices": op5_license_notices, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources}
-SQL = {"op1_secret_scan": secrets.sql(), "op5_license_scan": licenses.sql()}
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard, "op4_nearest_neighbours": op4_nearest_neighbours, "op6_warc": op6_warc, "op1_secret_scan": op1_secret_scan, "op5_license_scan": op5_license_scan, "op5_license_notices": op5_license_notices, "op10_personal_data": op10_personal_data, "op3_byte_bpe": op3_byte_bpe, "op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules, "op8_mix_sources": op8_mix_sources, "op11_filter_interaction": op11_filter_interaction, "op12_source_divergence": op12_source_divergence, "op13_phrase_fingerprint": op13_phrase_fingerprint}
+SQL = {"op1_secret_scan": secrets.sql(), "op5_license_scan": licenses.sql(), "op11_filter_interaction": interaction.sql(), "op12_source_divergence": divergence.sql()}
