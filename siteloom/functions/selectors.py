@@ -6,8 +6,13 @@ regular expressions over the selector column; nothing is interpreted on the driv
 
 Supported: comma lists, ``tag``, ``*``, ``#id``, ``.class``, ``[attr]`` with ``= ~= ^= $= *= |= !=``,
 descendant, ``>``, ``+``, ``~``, the ``first/last/only/nth/nth-last`` ``-child`` and ``-of-type``
-family, ``:empty``, ``:contains("x")`` and ``:not(compound, ...)``. Any other selector compiles to
-no steps and so matches nothing; ``is_supported`` tells them apart.
+family, ``:root``, ``:empty``, ``:link``, ``:contains("x")``, and, nested to any depth, ``:not(...)``, ``:is(...)``,
+``:where(...)`` and ``:has(...)`` with whole selector lists (in ``:has`` also with a leading combinator). A leading
+combinator elsewhere and any other selector compile to no steps and so match nothing; ``is_supported`` tells them apart.
+
+A nested list becomes further entries, one per compound of the list. An entry *needs* others in a relation to it: the outer
+compound needs one of the list's alternatives, the compounds of an alternative need each other along its combinators. The
+entries of one selector form a tree whose leaves need nothing; ``level`` is the height of an entry in it.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.functions.columns import let
+from siteloom.functions.text import strip
 from siteloom.operators.parse import strings_of
 from siteloom.session import per_session
 
@@ -24,23 +31,105 @@ _STRING = r"""(?:"[^"\n]*+"|'[^'\n]*+')"""
 _ATTR = rf"\[\s*{_IDENT}\s*(?:[~^$*|!]?=\s*(?:{_STRING}|{_IDENT})\s*(?:[iIsS]\s*)?)?\]"
 _NTH = r"\(\s*(?:even|odd|[+-]?\d*n(?:\s*[+-]\s*\d+)?|[+-]?\d+)\s*\)"
 _PSEUDO = (
-    rf":(?:(?:first|last|only)-(?:child|of-type)|empty|nth-(?:last-)?(?:child|of-type){_NTH}"
+    rf":(?:(?:first|last|only)-(?:child|of-type)|empty|root|(?:any-)?link|nth-(?:last-)?(?:child|of-type){_NTH}"
     rf"|(?:-soup-)?contains\(\s*(?:{_STRING}|{_IDENT})\s*\))"
 )
 _PART = rf"(?:#{_IDENT}|\.{_IDENT}|{_ATTR}|{_PSEUDO})"
 _PLAIN = rf"(?:(?:{_IDENT}|\*){_PART}*+|{_PART}++)"
 _NOT = rf":not\(\s*{_PLAIN}(?:\s*,\s*{_PLAIN})*+\s*\)"
-_COMPOUND = rf"(?:(?:{_IDENT}|\*)(?:{_PART}|{_NOT})*+|(?:{_PART}|{_NOT})++)"
+# stands for the n-th nested list, once that is taken out
+_MARK = r":\x{f8ff}\d+"
+_COMPOUND = rf"(?:(?:{_IDENT}|\*)(?:{_PART}|{_NOT}|{_MARK})*+|(?:{_PART}|{_NOT}|{_MARK})++)"
 _GAP = r"(?:\s*[>+~,]\s*|\s+)"
-_WHOLE = rf"^{_COMPOUND}(?:{_GAP}{_COMPOUND})*$"
+_LIST = rf"{_COMPOUND}(?:{_GAP}{_COMPOUND})*"
+_WHOLE = rf"^{_LIST}$"
+# in :has() every alternative may begin with a combinator
+_RELATIVE_GAP = r"(?:\s*,\s*[>+~]?\s*|\s*[>+~]\s*|\s+)"
+_RELATIVE = rf"^\s*[>+~]?\s*{_COMPOUND}(?:{_RELATIVE_GAP}{_COMPOUND})*$"
+# before the first innermost nested list, its kind, its body and what follows; quoted text is skipped as a whole
+_OPENS = r":(?:is|where|matches|not|has)\("
+_INNERMOST = (
+    rf"(?s)^((?:{_STRING}|{_NOT}|[^\"'])*?)(?!{_NOT}):(is|where|matches|not|has)\(\s*"
+    rf"((?:{_STRING}|{_NOT}|{_PSEUDO}|[^()\"'])++)\)(.*)$"
+)
+_NEED = "struct<list:int,negate:boolean,rel:string,sub:int>"
+_SUB = f"array<struct<kind:string,parts:array<struct<sign:string,body:string,pos:int,left:int>>,base:int,top:int>>"
+# how a compound stands to the one that needs it, by the combinator between them
+_DOWN = {" ": "below", ">": "child", "+": "next", "~": "later"}
+_UP = {" ": "above", ">": "parent", "+": "prev", "~": "earlier"}
+#: Numbers of the compounds of one nested list.
+_WIDTH = 10_000
 
 
 def _trimmed(selector: Column) -> Column:
     return F.regexp_replace(selector, r"^\s+|\s+$", "")
 
 
+def _marks(text: Column) -> Column:
+    """Numbers of the nested lists that stand in ``text``."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r":\x{f8ff}(\d+)"), F.lit(1)), lambda m: m.cast("int"))
+
+
+def _chained(text: Column) -> Column:
+    """The compounds of a list: combinator before, text, place in its alternative and how many follow there."""
+    token = lambda t: F.struct(
+        F.when(F.regexp_extract(t, rf"^({_RELATIVE_GAP}?)", 1).rlike(r"^\s+$"), " ")
+        .otherwise(F.regexp_replace(F.regexp_extract(t, rf"^({_RELATIVE_GAP}?)", 1), r"\s", ""))
+        .alias("sign"),
+        F.regexp_replace(t, rf"^{_RELATIVE_GAP}", "").alias("body"),
+    )
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(rf"({_RELATIVE_GAP}?{_COMPOUND})"), F.lit(0)), token)
+
+    def placed(tokens: Column) -> Column:
+        starts = F.filter(
+            F.transform(tokens, lambda t, i: F.when((i == 0) | t["sign"].startswith(","), i)), lambda i: i.isNotNull()
+        )
+        return F.transform(
+            tokens,
+            lambda t, i: F.struct(
+                F.regexp_replace(t["sign"], ",", "").alias("sign"),
+                t["body"].alias("body"),
+                (i - F.array_max(F.filter(starts, lambda a: a <= i))).cast("int").alias("pos"),
+                (F.coalesce(F.array_min(F.filter(starts, lambda a: a > i)), F.size(tokens)) - i - 1).cast("int").alias("left"),
+            ),
+        )
+
+    return let(tokens, placed)
+
+
+def _unnest(selector: Column) -> Column:
+    """The selector with its nested lists taken out, innermost first: ``text`` and ``subs``. An unsupported list makes it null."""
+
+    def step(state: Column, i: Column) -> Column:
+        part = lambda k: F.regexp_extract(state["text"], _INNERMOST, k)
+        kind, body = part(2), _trimmed(part(3))
+        fits = F.when(kind == "has", body.rlike(_RELATIVE)).otherwise(body.rlike(_WHOLE))
+
+        def added(parts: Column) -> Column:
+            inner = F.transform(
+                F.flatten(F.transform(parts, lambda p: _marks(p["body"]))), lambda m: F.get(state["subs"], m)["top"] + 1
+            )
+            base = F.coalesce(F.array_max(inner), F.lit(0))
+            return F.struct(
+                kind.alias("kind"), parts.alias("parts"), base.alias("base"),
+                (base + F.array_max(F.transform(parts, lambda p: p["pos"]))).alias("top"),
+            )
+
+        more = F.struct(
+            F.concat(part(1), F.lit(":"), F.size(state["subs"]).cast("string"), part(4)).alias("text"),
+            F.concat(state["subs"], F.array(let(_chained(body), added))).cast(_SUB).alias("subs"),
+        )
+        none = F.struct(F.lit(None).cast("string").alias("text"), state["subs"].alias("subs"))
+        return F.when(~state["text"].rlike(_INNERMOST), state).when(fits, more).otherwise(none)
+
+    n = F.size(F.regexp_extract_all(selector, F.lit(rf"({_OPENS})"), F.lit(0)))
+    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(_trimmed(selector).alias("text"), F.array().cast(_SUB).alias("subs"))
+    return F.aggregate(rounds, start, step)
+
+
 def is_supported(selector: Column) -> Column:
-    return _trimmed(selector).rlike(_WHOLE)
+    return F.coalesce(_unnest(selector)["text"].rlike(_WHOLE), F.lit(False))
 
 
 def _plain_name(value: Column) -> Column:
@@ -90,7 +179,7 @@ def _pseudo_test(part: Column) -> Column:
 
 def _plain_test(text: Column, negate: bool) -> Column:
     tag = F.lower(_plain_name(F.regexp_extract(text, rf"^({_IDENT})", 1)))
-    parts = F.regexp_extract_all(text, F.lit(rf"({_NOT}|{_PART})"), F.lit(0))
+    parts = F.regexp_extract_all(F.regexp_replace(text, _MARK, ""), F.lit(rf"({_NOT}|{_PART})"), F.lit(0))
     rest = lambda start: F.filter(parts, lambda p: p.startswith(start) & ~p.startswith(":not("))
     return F.struct(
         F.lit(negate).alias("negate"),
@@ -117,21 +206,78 @@ def compile_selectors(rows: DataFrame, column: str = "selector") -> DataFrame:
     """Adds ``steps`` to rows that hold a selector: one entry per compound of each alternative.
 
     An entry has ``alt`` (comma alternative), ``step`` of ``n``, the combinators on both sides and
-    the tests of the compound. The columns are built in stages so that each is computed once.
+    the tests of the compound; ``sub`` (-1, or the number of a compound of a nested list), ``level``, ``rel`` (how it
+    stands to the compound that needs it) and ``needs``. The columns are built in stages so that each is computed once.
     """
     out = rows
     for name, value in _stages(column):
         out = out.withColumn(name, value)
-    return out.drop("_tokens", "_parts", "_alts", "_tests")
+    return out.drop("_nest", "_tokens", "_parts", "_alts", "_tests", "_inner")
+
+
+def _needs_of_marks(body: Column) -> Column:
+    """What a compound needs of the nested lists that stand in it: one of each list's alternatives."""
+
+    def of(mark: Column) -> Column:
+        sub = F.get(F.col("_nest")["subs"], mark)
+        down = sub["kind"] == "has"
+        heads = F.transform(sub["parts"], lambda p, i: F.when(F.when(down, p["pos"] == 0).otherwise(p["left"] == 0), mark * _WIDTH + i))
+        return F.transform(
+            F.filter(heads, lambda h: h.isNotNull()),
+            lambda h: F.struct(
+                mark.alias("list"), (sub["kind"] == "not").alias("negate"),
+                F.get(sub["parts"], h - mark * _WIDTH).alias("part"), down.alias("down"), h.cast("int").alias("sub"),
+            ),
+        )
+
+    found = F.flatten(F.transform(_marks(body), of))
+    return F.transform(
+        found,
+        lambda f: F.struct(
+            f["list"].alias("list"), f["negate"].alias("negate"),
+            F.when(f["down"], _relation(_DOWN, F.when(f["part"]["sign"] == "", " ").otherwise(f["part"]["sign"]))).otherwise("self").alias("rel"),
+            f["sub"].alias("sub"),
+        ),
+    ).cast(f"array<{_NEED}>")
+
+
+def _relation(names: dict[str, str], sign: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), sign)
+
+
+def _level_of_marks(body: Column) -> Column:
+    tops = F.transform(_marks(body), lambda m: F.get(F.col("_nest")["subs"], m)["top"] + 1)
+    return F.coalesce(F.array_max(tops), F.lit(0)).cast("int")
+
+
+def _inner_entries() -> Column:
+    """The entries of all nested lists of a row."""
+
+    def entry(o: Column, sub: Column, p: Column, i: Column) -> Column:
+        down = sub["kind"] == "has"
+        number = lambda j: (o * _WIDTH + j).cast("int")
+        chain = lambda ok, rel, j: F.when(
+            ok, F.array(F.struct(F.lit(-1).alias("list"), F.lit(False).alias("negate"), rel.alias("rel"), number(j).alias("sub")))
+        ).otherwise(F.array())
+        after = F.get(sub["parts"], i + 1)["sign"]
+        # inside :has() a compound needs the next one below or after it, elsewhere the one before it
+        own = F.when(down, chain(p["left"] > 0, _relation(_DOWN, after), i + 1)).otherwise(chain(p["pos"] > 0, _relation(_UP, p["sign"]), i - 1))
+        lead = F.when(p["sign"] == "", " ").otherwise(p["sign"])
+        rel = F.when(down, _relation(_DOWN, lead)).when(p["left"] == 0, "self").otherwise(_relation(_UP, after))
+        return F.struct(
+            F.lit(-1).alias("alt"), F.lit(0).alias("step"), F.lit(1).alias("n"), F.lit("").alias("comb"), F.lit("").alias("next_comb"),
+            F.get(_tests(p["body"]), F.lit(0))["tag"].alias("tag"), _tests(p["body"]).alias("tests"),
+            number(i).alias("sub"), (sub["base"] + F.when(down, p["left"]).otherwise(p["pos"])).cast("int").alias("level"), rel.alias("rel"),
+            F.concat(own.cast(f"array<{_NEED}>"), _needs_of_marks(p["body"])).alias("needs"),
+        )
+
+    return F.flatten(F.transform(F.col("_nest")["subs"], lambda sub, o: F.transform(sub["parts"], lambda p, i: entry(o, sub, p, i))))
 
 
 @per_session
 def _stages(column: str) -> list[tuple[str, Column]]:
-    selector = F.col(column)
-    tokens = F.when(
-        is_supported(selector),
-        F.regexp_extract_all(_trimmed(selector), F.lit(rf"({_GAP}?{_COMPOUND})"), F.lit(0)),
-    )
+    text = F.col("_nest")["text"]
+    tokens = F.when(text.rlike(_WHOLE), F.regexp_extract_all(text, F.lit(rf"({_GAP}?{_COMPOUND})"), F.lit(0)))
     gap = lambda t: F.regexp_extract(t, rf"^({_GAP}?)", 1)
     split = lambda t: F.struct(
         F.when(gap(t).rlike(r"^\s+$"), " ").otherwise(F.regexp_replace(gap(t), r"\s", "")).alias("sign"),
@@ -145,15 +291,24 @@ def _stages(column: str) -> list[tuple[str, Column]]:
         F.when(F.get("_alts", i) == F.get("_alts", i + 1), F.get("_parts", i + 1)["sign"]).otherwise("").alias("next_comb"),
         F.get(F.get("_tests", i), F.lit(0))["tag"].alias("tag"),
         F.get("_tests", i).alias("tests"),
+        F.lit(-1).alias("sub"),
+        _level_of_marks(p["body"]).alias("level"),
+        F.lit("").alias("rel"),
+        _needs_of_marks(p["body"]).alias("needs"),
     )
     # running number of the alternative, one entry per token
     comma = lambda p, i: F.size(F.filter(F.slice("_parts", 1, i + 1), lambda q: q["sign"] == ","))
+    outer = F.transform("_parts", entry)
     return [
+        ("_nest", _unnest(F.col(column))),
         ("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))),
         ("_parts", F.transform("_tokens", split)),
         ("_alts", F.transform("_parts", comma)),
         ("_tests", F.transform("_parts", lambda p: _tests(p["body"]))),
-        ("steps", F.transform("_parts", entry)),
+        ("steps", outer),
+        # an unsupported selector has no entries at all
+        ("_inner", F.when(F.size("steps") > 0, _inner_entries())),
+        ("steps", F.when(F.size("_inner") > 0, F.concat("steps", "_inner")).otherwise(F.col("steps"))),
     ]
 
 
@@ -175,6 +330,12 @@ def _pseudo_holds(p: Column, number: Column, elem: Column, texts: Column) -> Col
         .when(name == "nth-last-child", _nth(p, elem["ridx"]))
         .when(name == "nth-of-type", _nth(p, elem["tidx"]))
         .when(name == "nth-last-of-type", _nth(p, elem["rtidx"]))
+        .when(
+            name == "root",
+            (elem["parent"] == 0) & (elem["idx"] == 1) & (elem["ridx"] == 1)
+            & ~F.exists(texts, lambda s: (s["parent"] == 0) & (s["kind"] == "text") & (strip(s["text"]) != "")),
+        )
+        .when(name.isin("link", "any-link"), elem["tag"].isin("a", "area") & F.map_contains_key(elem["attrs"], "href"))
         .when(name == "empty", (elem["last"] == number) & (F.size(strings_of(texts, elem)) == 0))
         .otherwise(
             F.contains(

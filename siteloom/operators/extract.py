@@ -99,7 +99,7 @@ def split_tasks(tasks: DataFrame, few: bool = False) -> DataFrame:
     return tasks if few else parts_of(tasks, "page_id", _TASKS_PER_PART, ["plan_id", "url"])
 
 
-def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int], few: bool = False) -> DataFrame:
+def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int, int], few: bool = False) -> DataFrame:
     """Items of each task's page: ``plan_id, url, page_id, item, fields, drill_url``.
 
     ``tasks`` are compiled levels joined to pages (``plan_id, url, page_id, names, scopes,
@@ -126,6 +126,7 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int], few
             "names": F.when(s["sel"] == _ITEM, F.col("names")),
             "drills": F.when(s["sel"] == _ITEM, ~F.col("is_final_level")),
         },
+        sizes[2],
     )
     settled = settle(found, keys, *sizes)
     rows = settled.select(*[c for c in settled.columns if c not in ("sel", "scopes")], F.inline_outer(_roles()))

@@ -71,6 +71,7 @@ def item_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
             "href": F.when(s["sel"] == 1, F.try_element_at(e["attrs"], F.lit("href"))),
             "text": F.when(s["sel"] == 1, text(e)),
         },
+        sizes[2],
     )
     before = Window.partitionBy(*keys).orderBy("node").rangeBetween(Window.unboundedPreceding, -1)
     inside = (

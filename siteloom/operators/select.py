@@ -2,7 +2,8 @@
 
 Only elements that pass some compound leave the document row. Combinators are settled by running
 maxima in document order (an element lies below an earlier one exactly if the largest ``last`` of
-the earlier ones reaches it), so no pairs of elements are formed.
+the earlier ones reaches it), so no pairs of elements are formed. Nested lists (``:has``, ``:is``, ``:not``) are settled
+first, level by level from the innermost: their matches are carried upward, in reverse document order, by the same maxima.
 """
 
 from __future__ import annotations
@@ -19,20 +20,25 @@ _FAR = 2147483647
 DOCUMENT = "[document]"
 
 
+_NESTED = ("sub", "level", "rel", "needs")
+
+
 def candidates(
-    tasks: DataFrame, keys: list[str], payload: Callable[[Column, Column], dict[str, Column]] | None = None
+    tasks: DataFrame, keys: list[str], payload: Callable[[Column, Column], dict[str, Column]] | None = None, depth: int = 0
 ) -> DataFrame:
     """Elements that pass a compound of one of the row's ``steps``.
 
     ``tasks`` holds ``keys``, ``elems``, ``texts`` and ``steps`` (selector steps with a number
     ``sel``). ``payload(elem, step)`` names further columns to carry along. The page is searched
-    inside its row; only the elements found become rows, so no page is copied per element.
+    inside its row; only the elements found become rows, so no page is copied per element. ``depth`` is that of
+    ``steps_sizes``: selectors without nested lists carry nothing for them.
     """
+    carried = ("sel", "alt", "step", "n", "comb", "next_comb", *(_NESTED if depth else ()))
 
     def entry(s: Column, e: Column, node: Column) -> Column:
         extra = payload(e, s) if payload else {}
         return F.struct(
-            *[s[name].alias(name) for name in ("sel", "alt", "step", "n", "comb", "next_comb")],
+            *[s[name].alias(name) for name in carried],
             node.alias("node"),
             *[e[name].alias(name) for name in ("last", "parent", "prev")],
             *[column.alias(name) for name, column in extra.items()],
@@ -56,8 +62,61 @@ def _passed() -> Column:
     return F.filter(each, lambda p: F.size(p["steps"]) > 0)
 
 
-def settle(found: DataFrame, keys: list[str], max_steps: int, max_alts: int) -> DataFrame:
+def _nested(found: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """Candidates of the selectors themselves whose nested lists hold.
+
+    Level by level, every candidate asks for each of its needs; the matches of lower levels answer. Both meet under one key
+    (the element, its parent, its brother or the page), in document order or against it, and a running maximum over the
+    answers before the question tells whether one of them reaches it. So a round is two windows, whatever the number of pairs.
+    """
+    candidate = ["sel", "alt", "step", "sub", "node"]
+    own = F.struct(
+        F.lit(0).alias("place"), F.lit(-1).alias("list"), F.lit(False).alias("negate"), F.col("rel").alias("rel"), F.col("sub").alias("asked")
+    )
+    rows = found
+    for level in range(1, depth + 1):
+        asks = (F.col("level") == level) & (F.size("needs") > 0)
+        questions = F.transform(
+            "needs",
+            lambda n, i: F.struct(i.alias("place"), n["list"].alias("list"), n["negate"].alias("negate"), n["rel"].alias("rel"), n["sub"].alias("asked")),
+        )
+        role = F.when(asks, questions).otherwise(F.array(own))
+        part = rows.withColumn("asks", asks).withColumn("role", F.explode(role))
+        rel, node = F.col("role.rel"), F.col("node")
+        answers = ~F.col("asks") & (F.col("level") < level) & (F.col("sub") >= 0)
+        near = rel.isin("self", "child", "parent", "next", "prev")
+        meet = (
+            F.when(rel == "self", node)
+            .when(rel.isin("earlier", "later"), F.col("parent"))
+            .when(rel.isin("above", "below"), -1)
+            .when(F.col("asks") & rel.isin("parent"), F.col("parent"))
+            .when(F.col("asks") & rel.isin("prev"), F.col("prev"))
+            .when(F.col("asks"), node)
+            .when(rel == "child", F.col("parent"))
+            .when(rel == "next", F.col("prev"))
+            .otherwise(node)
+        )
+        against = rel.isin("below", "later")
+        at = F.when(near, F.when(F.col("asks"), 0).otherwise(-_FAR)).when(against, -node).otherwise(node)
+        reach = F.when(answers, F.when(rel == "above", F.col("last")).when(rel == "below", -node).otherwise(_FAR))
+        goal = F.when(rel == "above", node).when(rel == "below", -F.col("last")).otherwise(0)
+        before = Window.partitionBy(*keys, "sel", "role.asked", "meet").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+        together = Window.partitionBy(*keys, *candidate)
+        met = part.withColumns({"meet": meet, "at": at, "reach": reach}).withColumn("reach", F.max("reach").over(before))
+        held = F.collect_set(F.when(F.col("asks") & (F.col("reach") >= goal), F.col("role.list")))
+        holds = F.forall("needs", lambda n: F.array_contains("held", n["list"]) != n["negate"])
+        rows = (
+            met.withColumn("held", held.over(together))
+            .where((F.col("role.place") == 0) & (~F.col("asks") | holds))
+            .drop("asks", "role", "meet", "at", "reach", "held")
+        )
+    return rows.where(F.col("sub") < 0).drop(*_NESTED)
+
+
+def settle(found: DataFrame, keys: list[str], max_steps: int, max_alts: int, depth: int = 0) -> DataFrame:
     """Keeps the candidates whose whole selector holds; one row per selector and element."""
+    if depth:
+        found = _nested(found, keys, depth)
     step, comb, follow = F.col("step"), F.col("comb"), F.col("next_comb")
     helpers = ["alt", "step", "n", "comb", "next_comb", "parent", "prev", "alive", "meet"]
     rows = found.withColumn("alive", F.lit(True))
@@ -95,39 +154,42 @@ def select(docs: DataFrame, selector: str, keys: list[str] | None = None) -> Dat
 def select_many(docs: DataFrame, selectors: dict[str, str], keys: list[str] | None = None) -> DataFrame:
     """Several selectors in one pass: ``(page_id, selector_id, node, last, tag, t0, t1)``."""
     keys = keys or ["page_id"]
-    compiled, max_steps, max_alts = literal_steps(tuple(selectors.values()))
+    compiled, max_steps, max_alts, depth = literal_steps(tuple(selectors.values()))
     found = candidates(
         docs.withColumn("steps", compiled),
         keys,
         lambda e, s: {"tag": e["tag"], "t0": e["t0"], "t1": e["t1"]},
+        depth,
     )
-    if max_steps > 1:
+    if max_steps > 1 or depth:
         # all windows of all steps stay inside a page, so this is the only exchange
         found = found.repartition("page_id")
     named = F.element_at(F.array(*[F.lit(name) for name in selectors]), F.col("sel") + 1)
-    return settle(found, keys, max_steps, max_alts).withColumn("selector_id", named).drop("sel")
+    return settle(found, keys, max_steps, max_alts, depth).withColumn("selector_id", named).drop("sel")
 
 
 @per_session
-def literal_steps(selectors: tuple[str, ...]) -> tuple[Column, int, int]:
+def literal_steps(selectors: tuple[str, ...]) -> tuple[Column, int, int, int]:
     """Selectors given by the caller as one constant column, numbered from 0, and their sizes."""
     table = SparkSession.active().createDataFrame([(i, s) for i, s in enumerate(selectors)], "sel int, selector string")
     compiled = compile_selectors(table).withColumn(
         "steps", F.transform("steps", lambda s: s.withField("sel", F.col("sel")))
     )
     steps = compiled.select(F.explode("steps").alias("s"))
-    rows = steps.select("s.n", "s.alt", F.to_json("s").alias("s")).collect()
+    rows = steps.select("s.n", "s.alt", "s.level", F.to_json("s").alias("s")).collect()
     constant = F.from_json(F.lit("[" + ",".join(r["s"] for r in rows) + "]"), compiled.schema["steps"].dataType)
-    return constant, max((r["n"] for r in rows), default=1), max((r["alt"] + 1 for r in rows), default=1)
+    most = lambda name, least: max((r[name] for r in rows), default=least)
+    return constant, most("n", 1), most("alt", 0) + 1, most("level", 0)
 
 
-def steps_sizes(compiled: DataFrame) -> tuple[int, int]:
-    """Most steps and most comma alternatives, which decide how many windows are needed."""
+def steps_sizes(compiled: DataFrame) -> tuple[int, int, int]:
+    """Most steps, most comma alternatives and deepest nesting, which decide how many windows are needed."""
     row = compiled.agg(
         F.max(F.array_max(F.transform("steps", lambda s: s["n"]))).alias("steps"),
         F.max(F.array_max(F.transform("steps", lambda s: s["alt"] + 1))).alias("alts"),
+        F.max(F.array_max(F.transform("steps", lambda s: s["level"]))).alias("depth"),
     ).first()
-    return row["steps"] or 1, row["alts"] or 1
+    return row["steps"] or 1, row["alts"] or 1, row["depth"] or 0
 
 
 def first_below(rows: DataFrame, keys: list[str], is_match: Column, hit: Column) -> Column:

@@ -184,6 +184,19 @@ def x1_select(spark, sf):
     return found.groupBy("page_id", "selector_id").agg(F.count("*").alias("n"))
 
 
+_NESTED = {
+    "poor": ".entry:not(:has(a))", "either": '.entry:is(:has(> a[href$="7"]), :has(span))', "before_poor": ".entry:has(+ .entry > span)",
+    "some_poor_later": ".entry:has(~ .entry span)", "segment": "li.item:has(> i.segment) > b.name", "debt": "li:has(> .balance):not(:has(i)) > b",
+    "table": "body:has(> main table tr td + td) > header", "cards": "main:has(> div.card) > :is(div.card:not(:has(> .none, p)), article)",
+}
+
+
+def x1_nested_lists(spark, sf):
+    docs = I.site_docs(spark, sf)
+    found = select_many(docs, _NESTED).groupBy("page_id", "selector_id").agg(F.count("*").alias("n"))
+    return found.join(docs.select("page_id", "url"), "page_id").select("url", "selector_id", "n")
+
+
 def x2_select_one(spark, sf):
     docs = I.docs(spark, sf)
     hits = select_one(docs, "nav li", "a").where("hit is not null")
@@ -199,7 +212,7 @@ QUERIES = {
         s1_page_scan, s1_page_lookup, s2_missing_pages, u1_normalize_url, u2_url_hash, u3_resolve_url, u4_is_same_domain,
         u5_score_drill_link, u6_is_valid_drill_link, u7_resolved_links, u8_url_label, u9_plan_id, d1_parse_pages,
         d1_dom_nodes, d2_remove_noise, d3_page_titles, d4_class_frequency, d5_class_samples, d6_link_samples,
-        d7_structural_elements, d8_summarize, d9_find_values, d10_sanitize_html, d10_highlight, x1_select, x2_select_one,
+        d7_structural_elements, d8_summarize, d9_find_values, d10_sanitize_html, d10_highlight, x1_select, x1_nested_lists, x2_select_one,
     )
 }
 
@@ -299,5 +312,19 @@ SQL = {
             _list("word", "1"),
         ]
     ) + ") WHERE n > 0",
+    "x1_nested_lists": """WITH s AS (SELECT 'https://supply' || (s_suppkey // 200) || '.example.com/' AS url, s_suppkey, s_acctbal < 2000 AS poor,
+          lead(s_acctbal < 2000) OVER w AS next_poor, max(s_suppkey) FILTER (s_acctbal < 2000) OVER (PARTITION BY s_suppkey // 200) AS last_poor
+          FROM supplier WINDOW w AS (PARTITION BY s_suppkey // 200 ORDER BY s_suppkey)),
+        c AS (SELECT 'https://shop' || (c_custkey // 500) || '.example.com/n/' || c_nationkey AS url, c_acctbal >= 0 AS rich FROM customer),
+        p AS (SELECT p_partkey // 200 AS page, count(*) AS n FROM part GROUP BY ALL),
+        t AS (SELECT url, 'poor' AS selector_id, count(*) FILTER (poor) AS n FROM s GROUP BY ALL
+          UNION ALL SELECT url, 'either', count(*) FILTER (poor OR s_suppkey % 10 = 7) FROM s GROUP BY ALL
+          UNION ALL SELECT url, 'before_poor', count(*) FILTER (next_poor) FROM s GROUP BY ALL
+          UNION ALL SELECT url, 'some_poor_later', count(*) FILTER (s_suppkey < last_poor) FROM s GROUP BY ALL
+          UNION ALL SELECT url, 'segment', count(*) FILTER (rich) FROM c GROUP BY ALL
+          UNION ALL SELECT url, 'debt', count(*) FILTER (NOT rich) FROM c GROUP BY ALL
+          UNION ALL SELECT 'https://parts.example.com/rows/' || page, 'table', 1 FROM p
+          UNION ALL SELECT 'https://parts.example.com/cards/' || page, 'cards', n FROM p)
+        SELECT * FROM t WHERE n > 0""",
     "x2_select_one": f"WITH {Q.LINKS} SELECT page_id, href, count(*) AS n FROM links GROUP BY ALL",
 }

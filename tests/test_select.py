@@ -17,7 +17,12 @@ CASES = {
     "[data-v]": [5], '[data-v="Foo bar"]': [5], "[data-v='foo bar' i]": [5], "[data-v='foo bar']": [], "[data-v~=bar]": [5], "[data-v^=Foo]": [5],
     '[data-v$="bar"]': [5], '[data-v*="o b"]': [5], '[data-v*=""]': [], "[lang|=en]": [13], "li[data-v!=x]": [3, 5, 6], "a[type=x]": [12],
     "UL > LI": [3, 5, 6], "ul *": [3, 4, 5, 6, 7, 8], "div ul li span i": [8], "p ~ a": [12], "p:contains('out')": [11], "i:empty": [13],
-    "div .x > li + li b, i": [8, 13], "ul>li:last-child i": [8], ":is(a)": [], "> li": [], "": [], "li,": [], "p::before": [], "a:nth-child(x)": [],
+    "div .x > li + li b, i": [8, 13], "ul>li:last-child i": [8], "> li": [], "": [], "li,": [], "p::before": [], "a:nth-child(x)": [],
+    ":is(a)": [12], "li:has(b)": [3], "li:has(i)": [6], "li:has(> i)": [], "ul:has(> li > span > i)": [2], "li:has(+ li)": [3, 5], "li:has(~ li.k)": [3],
+    ":is(ul, p) > :where(li, b)": [3, 5, 6], "li:not(ul > li + li)": [3], "li:not(:has(*))": [5], "*:has(> b, + a)": [3, 11], "div:has(.k ~ li i) > p": [9, 10],
+    ":is(#d p, a):not(.c)": [9, 12], "li:has(b, span):not(:last-child)": [3], ":has(> [data-v=':has(x)'])": [], "a:link": [12], ":root": [],
+    "li:not(:not(.k))": [5], "p:is(:is(.c), :has(q))": [10], "div:has(> ul:has(> li:nth-child(2).k))": [1], "li:matches(.k, :has(> b))": [3, 5],
+    "li:has()": [], "li:is(> b)": [], "li:has(b": [], "li:is(a:foo)": [], "p, li:has(b), i": [3, 8, 9, 10, 11, 13],
 }
 
 
@@ -33,7 +38,7 @@ def test_unsupported_are_told_apart(spark):
 
     rows = spark.createDataFrame([(s,) for s in CASES], "s string").select("s", is_supported(F.col("s")).alias("ok")).collect()
     bad = {r.s for r in rows if not r.ok}
-    assert bad == {":is(a)", "> li", "", "li,", "p::before", "a:nth-child(x)", ".md:flex"}
+    assert bad == {"> li", "", "li,", "p::before", "a:nth-child(x)", ".md:flex", "li:has()", "li:is(> b)", "li:has(b", "li:is(a:foo)"}
 
 
 def _random_html(rng, depth=0):
@@ -81,3 +86,70 @@ def test_first_match_inside_scope(docs_of):
     html = "<div><p>a</p><div><p>b</p></div></div><div></div><p>c</p>"
     rows = select_one(docs_of(html), "div", "p").orderBy("node").collect()
     assert [(r.node, r.hit and r.hit.node) for r in rows] == [(1, 2), (3, 4), (5, None)]
+
+
+class _Nested:
+    """Random selectors with nested lists, and what they match by definition: by recursion over all elements."""
+
+    RELATED = {
+        " ": lambda e, a, b: a < b <= e[a].last,
+        ">": lambda e, a, b: e[b].parent == a,
+        "+": lambda e, a, b: e[b].prev == a,
+        "~": lambda e, a, b: a < b and e[a].parent == e[b].parent,
+    }
+
+    def __init__(self, rng):
+        self.rng = rng
+
+    def compound(self, depth):
+        lists = []
+        for _ in range(self.rng.choice([0, 1, 1, 2]) if depth else 0):
+            kind = self.rng.choice(["is", "not", "has", "where"])
+            lists.append((kind, [self.chain(depth - 1, kind == "has") for _ in range(self.rng.randint(1, 2))]))
+        return self.rng.choice(["div", "p", "span", "*"]), self.rng.choice(["u", "v", "", ""]), lists
+
+    def chain(self, depth, relative=False):
+        lead = self.rng.choice([" ", ">", "+", "~"]) if relative else ""
+        return [(lead if not i else self.rng.choice([" ", ">", "+", "~"]), self.compound(depth)) for i in range(self.rng.randint(1, 2))]
+
+    def text(self, chain):
+        out = ""
+        for i, (sign, (tag, cls, lists)) in enumerate(chain):
+            out += (f" {sign} " if sign != " " else " " if i else "") if sign else ""
+            out += tag + (f".{cls}" if cls else "") + "".join(f":{k}({', '.join(self.text(c) for c in cs)})" for k, cs in lists)
+        return out.strip() if chain[0][0] in ("", " ") else out
+
+    def fits(self, e, n, compound):
+        tag, cls, lists = compound
+        if n == 0 or tag not in ("*", e[n].tag) or (cls and cls not in e[n].classes):
+            return False
+        some = lambda k, cs: any(self.below(e, n, c) if k == "has" else self.holds(e, n, c) for c in cs)
+        return all(some(k, cs) != (k == "not") for k, cs in lists)
+
+    def holds(self, e, n, chain):
+        sign, compound = chain[-1]
+        if not self.fits(e, n, compound):
+            return False
+        return len(chain) == 1 or any(self.RELATED[sign](e, m, n) and self.holds(e, m, chain[:-1]) for m in range(1, len(e)))
+
+    def below(self, e, n, chain):
+        sign, compound = chain[0]
+        return any(
+            self.RELATED[sign](e, n, m) and self.fits(e, m, compound) and (len(chain) == 1 or self.below(e, m, chain[1:])) for m in range(1, len(e))
+        )
+
+
+def test_nested_lists_against_a_recursive_matcher(docs_of):
+    rng = random.Random(11)
+    docs, made = docs_of(*[_random_html(rng) for _ in range(6)]), _Nested(rng)
+    chains = [made.chain(rng.randint(1, 2)) for _ in range(40)]
+    found = {}
+    for r in select_many(docs, {str(i): made.text(c) for i, c in enumerate(chains)}).collect():
+        found.setdefault((r.page_id, r.selector_id), []).append(r.node)
+    some = 0
+    for d in docs.collect():
+        for i, chain in enumerate(chains):
+            want = [n for n in range(1, len(d.elems)) if made.holds(d.elems, n, chain)]
+            some += bool(want)
+            assert sorted(found.get((d.page_id, str(i)), [])) == want, made.text(chain)
+    assert some > 60
