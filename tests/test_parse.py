@@ -1,9 +1,12 @@
 """Tree rules and properties of parsed documents."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from siteloom.operators.parse import dom_nodes, text_of
 from siteloom.operators.summary import page_titles, remove_noise
+from siteloom.operators.tokens import Tokens
 
 TRAPS = [
     '<!DOCTYPE html><p class="a  b" id=x>A &amp; B&copy;<b>c</p><br></br>d<div/>e<script>"</p>"</script><!--cc--><ul><li>1<li>2</ul>',
@@ -58,3 +61,47 @@ def test_siblings_over_many_pages_in_one_batch(docs_of):
     for d in docs:
         at = [(e.tag, e.idx, e.ridx, e.tidx, e.rtidx, e.prev) for e in d.elems[1:]]
         assert at == [("ul", 1, 2, 1, 2, -1), ("li", 1, 3, 1, 2, -1), ("p", 2, 2, 1, 1, 2), ("li", 3, 1, 2, 1, 3), ("ul", 2, 1, 2, 1, 1)]
+
+
+def _recursive(kinds, values):
+    """The tree by recursive descent: an element reads its children until an end tag closes it or one outside of it."""
+    elems, at = [["[document]", -1, None, 0]], 0
+
+    def read(number, open_names):
+        """Returns the name whose end tag closes this element and more, or None."""
+        nonlocal at
+        while at < len(kinds):
+            kind, value = kinds[at], values[at]
+            at += 1
+            if kind == "start":
+                elems.append([value, number, None, len(open_names) + 1])
+                mine = len(elems) - 1
+                closing = read(mine, [*open_names, value])
+                elems[mine][2] = len(elems) - 1
+                if closing is not None and closing != value:
+                    return closing
+            elif kind == "end" and value in open_names:
+                return value
+        return None
+
+    read(0, [])
+    elems[0][2] = len(elems) - 1
+    return [tuple(e) for e in elems]
+
+
+def test_nodes_equal_a_recursive_reference(docs_of):
+    rng = random.Random(5)
+    bits = ["<b>", "</b>", "<p>", "</p>", "<br>", "</br>", "<div/>", "<i>", "</i>", "x", "<ul>", "<li>", "</li>", "</ul>", "<!--c-->", "<script>a</script>", "</none>"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 3, 30, 127, 128, 129, 700]))) for _ in range(60)]
+    docs = docs_of(*pages)
+    kinds = {d.page_id: [(e.tag, e.parent, e.last, e.depth) for e in d.elems] for d in docs.collect()}
+    reader = Tokens()
+    for i, html in enumerate(pages):
+        reader.clear()
+        reader.read(html)
+        assert kinds[i] == _recursive(reader.kind, reader.value), html
+    # nodes number elements and strings together, in the order of the tokens
+    nodes = dom_nodes(docs).where("page_id = 3 and parent is not null").orderBy("node").collect()
+    reader.clear()
+    reader.read(pages[3])
+    assert [n.tag or n.kind for n in nodes] == [v if k == "start" else "script" if v == "a" else k for k, v in zip(reader.kind, reader.value) if k != "end"]
