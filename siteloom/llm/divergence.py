@@ -33,7 +33,7 @@ from siteloom.llm.common import as_bytes, lookup, save, slices
 
 LEAST, TOP, SCALE = 10, 10, 10**9
 #: Classes of a block, and entries that a task's counters hold before they are emitted.
-BLOCK, HELD = 1 << 13, 1 << 17
+BLOCK, HELD = 1 << 13, 1 << 18
 #: ASCII but letters is blank, capitals become small; other bytes belong to terms.
 _TERMS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _COUNTED = "lang string, source string, term string, n long, docs long"
@@ -64,21 +64,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """lang, source, at: all groups of the table, sources numbered from 0 within their language."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    found = docs.select(empty("lang"), empty("source")).distinct()
-    return found.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
+def _empty(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
 
-def vocabulary(docs: DataFrame, groups: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, term, n, counts: the kept terms, with one (at, n) for each source that has the term, ordered."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    counted = docs.select(empty("lang"), empty("source"), F.col("text").cast("string").alias("text")).mapInArrow(_count, _COUNTED)
-    summed = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    summed = lookup(summed, groups, ["lang", "source"], spread=F.xxhash64("term"))
+def vocabulary(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """lang, term, n, counts: the kept terms, with one (source, n) for each source that has the term, ordered."""
+    counted = docs.select(_empty("lang"), _empty("source"), F.col("text").cast("string").alias("text")).mapInArrow(_count, _COUNTED)
+    # the tasks have combined their rows already, so one exchange serves the sums by source and those by term
+    summed = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = summed.groupBy("lang", "term").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("counts")
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("counts")
     )
     return terms.where(F.col("docs") >= least).select("lang", "term", "n", "counts")
 
@@ -124,31 +120,24 @@ def _meet(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
 def _block_pairs(key: tuple, classes: pa.Table, totals: pa.Table) -> pa.Table:
     """Partial values of all pairs a < b of one language over one block of classes."""
     own = totals.column("totals").to_pylist()[0]
-    empty = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "value")})
-    out = empty
+    names = [x["source"] for x in own]
+    place = {name: i for i, name in enumerate(names)}
+    found: list[tuple[str, str, int]] = []
     if classes.num_rows:
         # sorted by the vectors, source by source: equal counts stand together
         counts = classes.column("counts").combine_chunks()
-        vectors = [tuple(zip(*[iter(v)] * 2)) for v in _flat(counts)]
+        entries = list(zip(map(place.__getitem__, counts.flatten().field("source").to_pylist()), counts.flatten().field("n").to_pylist()))
+        ends = np.cumsum(counts.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        vectors = [entries[a:b] for a, b in zip([0, *ends], ends)]
         order = sorted(range(len(vectors)), key=vectors.__getitem__, reverse=True)
-        weight = classes.column("terms").to_numpy()[order]
         row = np.repeat(np.arange(len(order)), [len(vectors[i]) for i in order])
         at = np.array([x for i in order for x, _ in vectors[i]], np.int64)
         count = np.array([n for i in order for _, n in vectors[i]], np.int64)
-        runs = columns_of_runs(at, row, count, weight, len(own))
-        shares = [(ends, share(c + 2, total)) for (ends, c), total in zip(runs, own)]
-        pairs = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own))]
-        values = [_meet(shares[a], shares[b]) for a, b in pairs]
-        out = pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64()), "value": pa.array(values, pa.int64())})
-    return out.add_column(0, "lang", pa.array([key[0].as_py()] * out.num_rows, pa.string()))
-
-
-def _flat(counts: pa.ListArray) -> Iterator[list[int]]:
-    """Each vector as at, n, at, n, ..."""
-    at, n = (counts.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("at", "n"))
-    both = np.stack([at.astype(np.int64), n.astype(np.int64)], axis=1).ravel().tolist()
-    ends = (2 * np.cumsum(counts.value_lengths().to_numpy(zero_copy_only=False))).tolist()
-    return (both[a:b] for a, b in zip([0, *ends], ends))
+        runs = columns_of_runs(at, row, count, classes.column("terms").to_numpy()[order], len(own))
+        shares = [(stops, share(c + 2, x["total"])) for (stops, c), x in zip(runs, own)]
+        found = [(names[a], names[b], _meet(shares[a], shares[b])) for a in range(len(own)) for b in range(a + 1, len(own))]
+    columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+    return pa.table([pa.array([key[0].as_py()] * len(found), pa.string()), *columns], names=["lang", "a", "b", "value"])
 
 
 def pairs(words: DataFrame, totals: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -161,7 +150,7 @@ def pairs(words: DataFrame, totals: DataFrame, block: int = BLOCK) -> DataFrame:
         dealt.select("lang", "block", "counts", "terms")
         .groupBy("lang", "block")
         .cogroup(known.select("lang", "block", "totals").groupBy("lang", "block"))
-        .applyInArrow(_block_pairs, "lang string, a long, b long, value long")
+        .applyInArrow(_block_pairs, "lang string, a string, b string, value long")
     )
     return met.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
@@ -174,27 +163,26 @@ def _share(count: Column, total: Column) -> Column:
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: every other source, and the leading terms, of each source."""
-    groups = save(_groups(docs), "groups")
-    words = save(vocabulary(docs, groups, least), "vocabulary")
-    entries = words.select("lang", "term", F.col("n").alias("n_lang"), F.explode("counts").alias("own")).select("lang", "term", "n_lang", "own.at", "own.n")
+    groups = save(docs.select(_empty("lang"), _empty("source")).distinct(), "groups")
+    words = save(vocabulary(docs, least), "vocabulary")
+    entries = words.select("lang", "term", F.col("n").alias("n_lang"), F.explode("counts").alias("own")).select("lang", "own.source", "term", "n_lang", "own.n")
     sizes = words.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("all"))
-    sums = entries.groupBy("lang", "at").agg(F.sum("n").alias("sum"))
+    sums = entries.groupBy("lang", "source").agg(F.sum("n").alias("sum"))
     # one row a group: total is what the counts of the group and twice the kept terms add up to
-    known = groups.join(sums, ["lang", "at"], "left").join(sizes, "lang", "left")
+    known = groups.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
     twice = 2 * F.coalesce("v", F.lit(0))
-    known = save(known.select("lang", "at", "source", (F.coalesce("sum", F.lit(0)) + twice).alias("total"), (F.coalesce("all", F.lit(0)) + twice).alias("total_lang")), "totals")
+    known = save(known.select("lang", "source", (F.coalesce("sum", F.lit(0)) + twice).alias("total"), (F.coalesce("all", F.lit(0)) + twice).alias("total_lang")), "totals")
 
-    totals = known.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "total"))), lambda x: x["total"]).alias("totals"))
+    totals = known.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("totals"))
     found = pairs(words, totals, block)
-    both = found.union(found.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-    names = groups.select("lang", "at", "source")
-    every = names.join(names.withColumnsRenamed({"at": "other", "source": "item"}), "lang").where("at != other")
-    valued = every.join(both.withColumnsRenamed({"a": "at", "b": "other"}), ["lang", "at", "other"], "left")
+    both = found.union(found.select("lang", "b", "a", "value")).toDF("lang", "source", "item", "value")
+    every = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source != item")
+    valued = every.join(both, ["lang", "source", "item"], "left")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     by_source = valued.select("lang", "source", "item", F.coalesce("value", F.lit(0).cast("long")).alias("value")).withColumn("rank", F.row_number().over(order))
 
     p, q = F.col("p"), F.col("q")
-    placed = lookup(entries, known, ["lang", "at"], spread=F.xxhash64("term"))
+    placed = lookup(entries, known, ["lang", "source"], spread=F.xxhash64("term"))
     leads = placed.withColumns({"p": _share(F.col("n") + 2, F.col("total")), "q": _share(F.col("n_lang") + 2, F.col("total_lang"))}).where("n > 0 and p > q")
     leads = leads.select("lang", "source", F.col("term").alias("item"), F.call_function("div", (p - q) * (p - q), p + q).alias("value"))
     by_term = leads.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
