@@ -32,8 +32,9 @@ def title_case(value: Column) -> Column:
     return F.array_join(F.transform(runs, lambda run: F.concat(F.substring(first(run), 1, 1), rest(run))), "")
 
 
-def cut(value: Column, length: int) -> Column:
-    return F.substring(value, 1, length)
+def cut(value: Column, length: int | None) -> Column:
+    """The first ``length`` characters; all without a length."""
+    return value if length is None else F.substring(value, 1, length)
 
 
 def blank_to_null(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.selectors import compile_selectors
-from siteloom.functions.text import blank_to_null, collapse
+from siteloom.functions.text import blank_to_null, collapse, cut
 from siteloom.functions.urls import DEAD_PREFIXES_IN_ITEM, resolved, starts_with_any
 from siteloom.operators.parse import text_of
 from siteloom.operators.select import DOCUMENT, candidates, first_below, settle, steps_sizes
@@ -220,7 +220,7 @@ def _fields() -> Column:
     return F.map_from_arrays("names", F.transform("names", value))
 
 
-def sample_values(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+def sample_values(levels: DataFrame, docs: DataFrame, index: DataFrame, length: int | None = None) -> DataFrame:
     """A value for each field of a level, from its own page: ``plan_id, level, name, sample_value``.
 
     On a catalog page the first item is looked at, on any other page (or where no item is found)
@@ -235,7 +235,7 @@ def sample_values(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataF
         first.unionByName(whole)
         .select("plan_id", "level", F.explode("fields").alias("name", "value"))
         .where(F.col("value").isNotNull())
-        .select("plan_id", "level", "name", F.substring("value", 1, 200).alias("sample_value"))
+        .select("plan_id", "level", "name", cut(F.col("value"), length).alias("sample_value"))
     )
 
 

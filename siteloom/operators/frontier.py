@@ -20,11 +20,10 @@ from siteloom.operators.select import candidates, settle, steps_sizes
 from siteloom.operators.skew import spread_join
 from siteloom.operators.summary import all_links
 
-# How many candidates and links a decision shows.
+# How many candidates and links a short decision shows, as callers that want one pass them.
 MAX_CANDIDATES = 8
 MAX_LINKS_MANUAL = 20
 MAX_LINKS_FINAL = 10
-_ANCHOR_TEXT = 60
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def resolve_links(links: DataFrame) -> DataFrame:
     return valid.groupBy("page_id", "url", "link_url").agg(F.min("pos").alias("pos"))
 
 
-def item_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
+def item_links(scopes: DataFrame, docs: DataFrame, label_length: int | None = None) -> DataFrame:
     """Links inside the item containers of each page: ``page_id, url, pos, href, text``.
 
     ``scopes`` holds ``page_id, url, item_container_selector``. Outermost containers do not overlap,
@@ -63,7 +62,7 @@ def item_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
     tasks = spread_join(wanted, compiled, "item_container_selector").join(
         docs.select("page_id", "elems", "texts"), "page_id"
     )
-    text = lambda e: cut(F.array_join(F.slice(strings_of(F.col("texts"), e), 1, _ANCHOR_TEXT), ""), _ANCHOR_TEXT)
+    text = lambda e: cut(F.array_join(strings_of(F.col("texts"), e), ""), label_length)
     found = candidates(
         tasks,
         keys,
@@ -87,17 +86,17 @@ def item_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _page_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
-    rows = all_links(docs.join(scopes.select("page_id").distinct(), "page_id", "left_semi"))
+def _page_links(scopes: DataFrame, docs: DataFrame, label_length: int | None) -> DataFrame:
+    rows = all_links(docs.join(scopes.select("page_id").distinct(), "page_id", "left_semi"), label_length)
     return scopes.select("page_id", "url").join(rows, "page_id")
 
 
-def source_links(scopes: DataFrame, docs: DataFrame) -> DataFrame:
+def source_links(scopes: DataFrame, docs: DataFrame, label_length: int | None = None) -> DataFrame:
     """Item links of each page, or all links of the page where there are none."""
     both = (
-        item_links(scopes, docs)
+        item_links(scopes, docs, label_length)
         .withColumn("source", F.lit(0))
-        .unionByName(_page_links(scopes, docs).withColumn("source", F.lit(1)))
+        .unionByName(_page_links(scopes, docs, label_length).withColumn("source", F.lit(1)))
     )
     best = F.min("source").over(Window.partitionBy("page_id", "url"))
     return both.withColumn("best", best).where(F.col("source") == F.col("best")).drop("best", "source")
@@ -138,13 +137,15 @@ def rank_links(links: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     )
 
 
-def link_pool(scopes: DataFrame, docs: DataFrame, visited: DataFrame | None = None) -> DataFrame:
-    return rank_links(source_links(scopes, docs), visited)
+def link_pool(
+    scopes: DataFrame, docs: DataFrame, visited: DataFrame | None = None, label_length: int | None = None
+) -> DataFrame:
+    return rank_links(source_links(scopes, docs, label_length), visited)
 
 
-def top_candidates(pool: DataFrame) -> DataFrame:
-    """First eight links of each pool, with a readable label and the score as confidence."""
-    return pool.where(F.col("position") < MAX_CANDIDATES).select(
+def top_candidates(pool: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links of each pool, or the first ``limit``, with a readable label and the score as confidence."""
+    return (pool if limit is None else pool.where(F.col("position") < limit)).select(
         "page_id",
         "url",
         F.col("position").alias("rank"),
@@ -155,7 +156,7 @@ def top_candidates(pool: DataFrame) -> DataFrame:
     )
 
 
-def resolve_candidates(responses: DataFrame, pool: DataFrame) -> DataFrame:
+def resolve_candidates(responses: DataFrame, pool: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidates named by index in a response, as URLs; the top of the pool where none is usable.
 
     ``responses`` holds ``page_id`` and ``ranked_candidates`` (``link_index, label, reason,
@@ -178,7 +179,7 @@ def resolve_candidates(responses: DataFrame, pool: DataFrame) -> DataFrame:
         )
     )
     asked = responses.select("page_id").distinct()
-    rest = top_candidates(pool).join(asked, "page_id", "left_semi").withColumn("source", F.lit(1))
+    rest = top_candidates(pool, limit).join(asked, "page_id", "left_semi").withColumn("source", F.lit(1))
     best = F.min("source").over(Window.partitionBy("page_id"))
     return named.unionByName(rest).withColumn("best", best).where(F.col("source") == F.col("best")).drop("best", "source")
 

@@ -10,9 +10,10 @@ from siteloom.functions.text import cut, strip
 from siteloom.operators.parse import strings_of
 from siteloom.operators.skew import copy_to_parts, parts_of
 
-# Attributes searched after the text, in this order, and the most hits per search.
+# Attributes searched after the text, in this order, and the most hits and characters of a short answer.
 SEARCHED_ATTRIBUTES = ("alt", "title", "value", "placeholder", "aria-label")
 MAX_HITS = 5
+SHORT_PREVIEW, SHORT_TEXT = 100, 200
 # Searches of one page that are answered together; a page asked about more often is split.
 _SEARCHES_PER_PART = 64
 
@@ -27,8 +28,10 @@ def _hint(e: Column) -> Column:
     )
 
 
-def find_values(searches: DataFrame, docs: DataFrame, max_hits: int = MAX_HITS) -> DataFrame:
-    """First places that hold ``expected_value`` on ``page_id``, ignoring case.
+def find_values(
+    searches: DataFrame, docs: DataFrame, max_hits: int | None = None, preview_length: int | None = None, text_length: int | None = None
+) -> DataFrame:
+    """Places that hold ``expected_value`` on ``page_id``, ignoring case: all, or the first ``max_hits``.
 
     ``searches`` may have further columns, which identify the search in the result. Strings come
     before attributes, each in document order. Searches that pile up on one page are split.
@@ -41,9 +44,11 @@ def find_values(searches: DataFrame, docs: DataFrame, max_hits: int = MAX_HITS)
     grouped = asked.groupBy("page_id", "part").agg(F.collect_list(F.struct(*ids, "expected_value", "_q")).alias("asked"))
     pages = copy_to_parts(docs.select("page_id", "elems", "texts"), asked, "page_id")
     rows = grouped.join(pages, ["page_id", "part"])
+    first = lambda hits: hits if max_hits is None else F.slice(hits, 1, max_hits)
+    hit = lambda h: _hit(h, preview_length, text_length)
     answer = lambda a, hay: F.struct(
         *[a[name].alias(name) for name in [*ids, "expected_value"]],
-        F.transform(F.slice(F.filter(hay, lambda h: F.contains(h["low"], a["_q"])), 1, max_hits), _hit).alias("hits"),
+        F.transform(first(F.filter(hay, lambda h: F.contains(h["low"], a["_q"]))), hit).alias("hits"),
     )
     found = let(_searchable(), lambda hay: F.transform("asked", lambda a: answer(a, hay)))
     each = rows.withColumn("_all", found).select("page_id", F.inline_outer("_all"))
@@ -68,7 +73,7 @@ def _searchable() -> Column:
     return F.filter(listed, lambda h: ~h["noise"] & h["low"].isNotNull())
 
 
-def _hit(h: Column) -> Column:
+def _hit(h: Column, preview_length: int | None, text_length: int | None) -> Column:
     elem = lambda i: F.get("elems", i)
     e = elem(h["elem"])
     place = lambda e: F.struct(e["tag"].alias("tag"), e["classes"].alias("classes"), F.coalesce(e["id"], F.lit("")).alias("id"))
@@ -84,10 +89,10 @@ def _hit(h: Column) -> Column:
         e["classes"].alias("classes"),
         F.coalesce(e["id"], F.lit("")).alias("id"),
         F.when(in_text, marked).otherwise(F.array().cast(_PLACE)).alias("parent_chain"),
-        F.when(in_text, cut(strip(F.get("texts", h["text"])["text"]), 100))
-        .otherwise(F.concat(F.lit("["), h["attribute"], F.lit("] "), cut(value, 100)))
+        F.when(in_text, cut(strip(F.get("texts", h["text"])["text"]), preview_length))
+        .otherwise(F.concat(F.lit("["), h["attribute"], F.lit("] "), cut(value, preview_length)))
         .alias("text_preview"),
         _hint(e).alias("selector_hint"),
         h["attribute"].alias("attribute_found"),
-        cut(F.when(in_text, F.array_join(strings_of(F.col("texts"), e, clean=True), "")).otherwise(value), 200).alias("full_text"),
+        cut(F.when(in_text, F.array_join(strings_of(F.col("texts"), e, clean=True), "")).otherwise(value), text_length).alias("full_text"),
     )

@@ -22,6 +22,7 @@ STRUCTURE_TAGS = ("main", "article", "section", "header", "aside", "div", "dl",
 MAX_PER_TAG = 15
 MAX_CHILDREN = 10
 MAX_STRUCTURES = 25
+SAMPLE_LENGTH, LABEL_LENGTH, CLASS_LENGTH, CHILD_LENGTH, PREVIEW_LENGTH = 300, 60, 50, 100, 150
 
 
 def _listed(rows: DataFrame, name: str) -> DataFrame:
@@ -89,7 +90,7 @@ def _with_classes(docs: DataFrame, max_classes: int | None, least: int) -> DataF
     return docs.withColumn("common_classes", F.transform(_counted(least, max_classes), lambda c: c["class"]))
 
 
-def _samples(per_class: int | None) -> Column:
+def _samples(per_class: int | None, length: int | None) -> Column:
     first = lambda name: _first(
         F.filter("elems", lambda e: ~e["noise"] & F.array_contains(e["classes"], name)), per_class
     )
@@ -101,7 +102,7 @@ def _samples(per_class: int | None) -> Column:
                 lambda e: F.struct(
                     name.alias("class"),
                     e["tag"].alias("tag"),
-                    cut(collapse(text_of(F.col("texts"), e, clean=True)), 300).alias("text_sample"),
+                    cut(collapse(text_of(F.col("texts"), e, clean=True)), length).alias("text_sample"),
                 ),
             ),
         )
@@ -109,14 +110,15 @@ def _samples(per_class: int | None) -> Column:
 
 
 def class_samples(
-    docs: DataFrame, max_classes: int | None = None, per_class: int | None = SAMPLES_PER_CLASS, least: int = MIN_CLASS_COUNT
+    docs: DataFrame, max_classes: int | None = None, per_class: int | None = SAMPLES_PER_CLASS, least: int = MIN_CLASS_COUNT,
+    sample_length: int | None = None,
 ) -> DataFrame:
     """First elements of each frequent class."""
     rows = _with_classes(docs, max_classes, least).where(F.size("common_classes") > 0)
-    return _listed(rows.withColumn("samples", _samples(per_class)), "samples")
+    return _listed(rows.withColumn("samples", _samples(per_class, sample_length)), "samples")
 
 
-def all_links(docs: DataFrame) -> DataFrame:
+def all_links(docs: DataFrame, label_length: int | None = None) -> DataFrame:
     """Every link of each page outside noise, each address once: ``page_id, pos, href, text``. ``pos`` is its first anchor's number."""
     anchors = F.filter(
         F.transform("elems", lambda e, i: F.struct(i.alias("node"), e.alias("e"))),
@@ -127,7 +129,7 @@ def all_links(docs: DataFrame) -> DataFrame:
         lambda x: F.struct(
             x["node"].alias("node"),
             F.try_element_at(x["e"]["attrs"], F.lit("href")).alias("href"),
-            cut(F.array_join(strings_of(F.col("texts"), x["e"], clean=True), ""), 60).alias("text"),
+            cut(F.array_join(strings_of(F.col("texts"), x["e"], clean=True), ""), label_length).alias("text"),
         ),
     )
     rows = _listed(docs.select("page_id", found.alias("found")).withColumnRenamed("found", "links"), "links")
@@ -135,7 +137,7 @@ def all_links(docs: DataFrame) -> DataFrame:
     return first.select("page_id", F.col("first.node").alias("pos"), "href", "first.text")
 
 
-def _with_links(docs: DataFrame, max_anchors: int | None) -> DataFrame:
+def _with_links(docs: DataFrame, max_anchors: int | None, label_length: int | None, class_length: int | None) -> DataFrame:
     """Adds ``link_samples``: the first anchors, without empty and repeated addresses."""
     numbered = F.transform("elems", lambda e, i: F.struct(i.alias("i"), e.alias("e")))
     anchors = F.filter(
@@ -151,9 +153,9 @@ def _with_links(docs: DataFrame, max_anchors: int | None) -> DataFrame:
     new = lambda x, k: (href(x) != "") & ~F.exists(F.slice("_anchors", 1, k), lambda y: href(y) == href(x))
     link = lambda x, within: F.struct(
         href(x).alias("href"),
-        cut(F.array_join(strings_of(F.col("texts"), x["e"], clean=True), ""), 60).alias("text"),
+        cut(F.array_join(strings_of(F.col("texts"), x["e"], clean=True), ""), label_length).alias("text"),
         parent(x)["tag"].alias("parent_tag"),
-        cut(F.array_join(parent(x)["classes"], " "), 50).alias("parent_class"),
+        cut(F.array_join(parent(x)["classes"], " "), class_length).alias("parent_class"),
         F.exists(within, lambda n: (n["i"] < x["i"]) & (x["i"] <= n["last"])).alias("in_nav"),
     )
     return (
@@ -163,12 +165,16 @@ def _with_links(docs: DataFrame, max_anchors: int | None) -> DataFrame:
     )
 
 
-def link_samples(docs: DataFrame, max_anchors: int | None = None) -> DataFrame:
-    rows = _with_links(docs.select("page_id", "elems", "texts"), max_anchors)
+def link_samples(
+    docs: DataFrame, max_anchors: int | None = None, label_length: int | None = None, class_length: int | None = None
+) -> DataFrame:
+    rows = _with_links(docs.select("page_id", "elems", "texts"), max_anchors, label_length, class_length)
     return _listed(rows, "link_samples")
 
 
-def _with_structures(docs: DataFrame, per_tag_limit: int | None, max_children: int | None, max_structures: int | None) -> DataFrame:
+def _with_structures(
+    docs: DataFrame, per_tag_limit: int | None, max_children: int | None, max_structures: int | None, child_length: int | None, preview_length: int | None
+) -> DataFrame:
     """Adds ``structural_elements``: containers that may hold field data, most children first."""
     named = lambda e: (F.coalesce(e["id"], F.lit("")) != "") | (F.size(e["classes"]) > 0)
     selector = lambda e: F.when(
@@ -189,7 +195,7 @@ def _with_structures(docs: DataFrame, per_tag_limit: int | None, max_children: i
         c["tag"].alias("tag"),
         F.when(F.size(c["classes"]) > 0, F.array_join(c["classes"], ".")).alias("class"),
         F.when(c["id"] != "", c["id"]).alias("id"),
-        plain(c, 100).alias("text"),
+        plain(c, child_length).alias("text"),
     )
     inner = lambda x: F.slice("elems", x["i"] + 2, x["e"]["last"] - x["i"])
     children = lambda x: _first(
@@ -204,7 +210,7 @@ def _with_structures(docs: DataFrame, per_tag_limit: int | None, max_children: i
         lambda x: F.struct(
             x["selector"].alias("selector"),
             x["e"]["tag"].alias("tag"),
-            cut(plain(x["e"], 200), 150).alias("text_preview"),
+            plain(x["e"], preview_length).alias("text_preview"),
             children(x).alias("children"),
         ),
     )
@@ -224,16 +230,20 @@ def _with_structures(docs: DataFrame, per_tag_limit: int | None, max_children: i
 
 
 def structural_elements(
-    docs: DataFrame, per_tag: int | None = None, max_children: int | None = None, max_structures: int | None = None
+    docs: DataFrame, per_tag: int | None = None, max_children: int | None = None, max_structures: int | None = None,
+    child_length: int | None = None, preview_length: int | None = None,
 ) -> DataFrame:
-    rows = _with_structures(docs.select("page_id", "elems", "texts"), per_tag, max_children, max_structures)
+    rows = _with_structures(
+        docs.select("page_id", "elems", "texts"), per_tag, max_children, max_structures, child_length, preview_length
+    )
     return _listed(rows, "structural_elements")
 
 
 #: The limits of a short summary, for ``summarize(docs, **SHORT)``.
 SHORT = {
     "max_classes": MAX_CLASSES, "max_anchors": MAX_ANCHORS, "per_tag": MAX_PER_TAG, "max_children": MAX_CHILDREN,
-    "max_structures": MAX_STRUCTURES,
+    "max_structures": MAX_STRUCTURES, "sample_length": SAMPLE_LENGTH, "label_length": LABEL_LENGTH, "class_length": CLASS_LENGTH,
+    "child_length": CHILD_LENGTH, "preview_length": PREVIEW_LENGTH,
 }
 
 
@@ -246,9 +256,15 @@ def summarize(
     per_tag: int | None = None,
     max_children: int | None = None,
     max_structures: int | None = None,
+    sample_length: int | None = None,
+    label_length: int | None = None,
+    class_length: int | None = None,
+    child_length: int | None = None,
+    preview_length: int | None = None,
 ) -> DataFrame:
     """One summary row per page."""
-    rows = _with_classes(docs, max_classes, least).withColumn("title", title_column()).withColumn("samples", _samples(per_class))
-    return _with_structures(_with_links(rows, max_anchors), per_tag, max_children, max_structures).select(
+    rows = _with_classes(docs, max_classes, least).withColumn("title", title_column()).withColumn("samples", _samples(per_class, sample_length))
+    linked = _with_links(rows, max_anchors, label_length, class_length)
+    return _with_structures(linked, per_tag, max_children, max_structures, child_length, preview_length).select(
         "page_id", "url", "title", "common_classes", "samples", "link_samples", "structural_elements"
     )

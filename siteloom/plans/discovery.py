@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.urls import normalize_url, plan_id, url_label
 from siteloom.operators.extract import sample_values
-from siteloom.operators.frontier import MAX_CANDIDATES, MAX_LINKS_FINAL, MAX_LINKS_MANUAL, link_pool
+from siteloom.operators.frontier import link_pool
 from siteloom.operators.skew import salted_join
 from siteloom.plans.model import FIELD, LEVEL, NESTING, make_level, named_fields
 from siteloom.session import keep
@@ -101,7 +101,7 @@ def observe(
     )
 
 
-def _ranked() -> Column:
+def _ranked(limit: int | None) -> Column:
     shown = lambda x: F.coalesce(x["label"], url_label(x["link_url"]))
     named = F.filter(
         F.transform(
@@ -123,7 +123,7 @@ def _ranked() -> Column:
         ),
     ).cast(_CANDIDATES)
     from_pool = F.transform(
-        F.slice("links", 1, MAX_CANDIDATES),
+        "links" if limit is None else F.slice("links", 1, limit),
         lambda x: F.struct(
             x["link_url"].alias("link_url"), shown(x).alias("label"), F.lit("").alias("reason"), x["score"].alias("confidence")
         ),
@@ -131,8 +131,13 @@ def _ranked() -> Column:
     return F.when(F.size(from_response) > 0, from_response).otherwise(from_pool)
 
 
-def decide(observed: DataFrame, mode: str = "auto") -> DataFrame:
-    """Adds ``outcome`` (finish, add_level, ask), ``decision`` and its context columns."""
+def decide(
+    observed: DataFrame, mode: str = "auto", candidates: int | None = None, manual_links: int | None = None, final_links: int | None = None
+) -> DataFrame:
+    """Adds ``outcome`` (finish, add_level, ask), ``decision`` and its context columns.
+
+    A decision shows all links and candidates, or as many as the caller wants.
+    """
     is_catalog = F.coalesce(F.col("schema.is_catalog"), F.lit(False))
     outcome = (
         F.when(F.col("stop"), "finish").when(~is_catalog | (F.size("links") == 0), "add_level").otherwise("ask")
@@ -148,7 +153,7 @@ def decide(observed: DataFrame, mode: str = "auto") -> DataFrame:
         .withColumn("decision", decision)
         # a detail page is described by the answer for detail pages
         .withColumn("schema", F.when(~is_catalog, F.coalesce("detail", "schema")).otherwise(F.col("schema")))
-        .withColumn("ranked_candidates", F.when(F.col("decision").isNotNull(), _ranked()))
+        .withColumn("ranked_candidates", F.when(F.col("decision").isNotNull(), _ranked(candidates)))
     )
     options = F.col("decision")
     lists = F.when(options == "confirm_drilling", F.array(*map(F.lit, OPTIONS["confirm_drilling"])))
@@ -157,7 +162,7 @@ def decide(observed: DataFrame, mode: str = "auto") -> DataFrame:
     prompt = F.when(options == "confirm_drilling", PROMPTS["confirm_drilling"])
     for name in ("confirm_final_level", "select_link"):
         prompt = prompt.when(options == name, PROMPTS[name])
-    urls = lambda n: F.transform(F.slice("links", 1, n), lambda x: x["link_url"])
+    urls = lambda n: F.transform("links" if n is None else F.slice("links", 1, n), lambda x: x["link_url"])
     return rows.withColumns(
         {
             "step": F.when(manual, "discovery").otherwise("nesting_analysis"),
@@ -165,8 +170,8 @@ def decide(observed: DataFrame, mode: str = "auto") -> DataFrame:
             "options": lists,
             "recommended_url": F.when(options == "confirm_drilling", F.get("ranked_candidates", F.lit(0))["link_url"]),
             "reasoning": F.col("nesting.reasoning"),
-            "available_links": F.when(options == "select_link", urls(MAX_LINKS_MANUAL)).when(
-                options == "confirm_final_level", urls(MAX_LINKS_FINAL)
+            "available_links": F.when(options == "select_link", urls(manual_links)).when(
+                options == "confirm_final_level", urls(final_links)
             ),
         }
     )

@@ -142,15 +142,18 @@ def apply_field_fixes(levels: DataFrame, fixes: DataFrame) -> DataFrame:
     )
 
 
-def correction_context(requests: DataFrame, levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+def correction_context(
+    requests: DataFrame, levels: DataFrame, docs: DataFrame, index: DataFrame, max_hits: int | None = None
+) -> DataFrame:
     """All that a correction of a field needs: definition, page summary and where the value stands.
 
-    ``requests`` holds ``plan_id, field, expected_value``.
+    ``requests`` holds ``plan_id, field, expected_value``; a field may be asked about with several values.
     """
+    keys = ["plan_id", "field", "expected_value"]
     found = find_fields(requests, levels).withColumn("url", F.col("sample_url"))
     placed = lookup(found, index)
-    hits = find_values(placed.select("plan_id", "field", "page_id", "expected_value"), docs)
-    listed = hits.groupBy("plan_id", "field").agg(
+    hits = find_values(placed.select(*keys, "page_id"), docs, max_hits)
+    listed = hits.groupBy(*keys).agg(
         F.transform(
             F.array_sort(
                 F.collect_list(
@@ -164,7 +167,7 @@ def correction_context(requests: DataFrame, levels: DataFrame, docs: DataFrame,
         ).alias("found_elements")
     )
     summaries = summarize(docs.join(placed.select("page_id").distinct(), "page_id", "left_semi"), **SHORT).drop("url")
-    return placed.join(listed, ["plan_id", "field"], "left").join(summaries, "page_id")
+    return placed.join(listed, keys, "left").join(summaries, "page_id")
 
 
 def fix_and_resample(

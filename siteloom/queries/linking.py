@@ -58,7 +58,7 @@ def _pool(spark, sf):
 
 
 def n4_top_candidates(spark, sf):
-    return N.top_candidates(_pool(spark, sf)).select("url", "rank", "link_url", "label", "reason", "confidence")
+    return N.top_candidates(_pool(spark, sf), N.MAX_CANDIDATES).select("url", "rank", "link_url", "label", "reason", "confidence")
 
 
 def _page_number():
@@ -220,7 +220,7 @@ _REGION = "(SELECT r_regionkey AS k FROM region ORDER BY r_regionkey LIMIT 1 OFF
 _NATION = f"(SELECT n_nationkey FROM nation WHERE n_regionkey = {_REGION} ORDER BY n_nationkey LIMIT 1 OFFSET 1)"
 
 SQL = {
-    "n1_item_links": f"""WITH {Q.LINKS} SELECT page_id, href, arg_min(substr(label, 1, 60), pos) AS text FROM links
+    "n1_item_links": f"""WITH {Q.LINKS} SELECT page_id, href, arg_min(label, pos) AS text FROM links
         WHERE {_EN} GROUP BY page_id, href""",
     "n2_link_pool": f"""WITH {Q.LINKS}, v AS (SELECT page_id, arg_min(link_url, pos) AS v FROM links GROUP BY 1),
         u AS (SELECT page_id, url, link_url, min(pos) AS pos FROM links WHERE {Q.page_of('url')} <> {Q.page_of('link_url')} GROUP BY ALL),
@@ -230,13 +230,13 @@ SQL = {
     "n2_link_pool_items": f"WITH {_CARD} SELECT url, i AS position, link_url, 1.0::DOUBLE AS score FROM cards",
     "n2_link_pool_fallback": f"""WITH {_CARD} SELECT url, i AS position, link_url, 1.0::DOUBLE AS score FROM cards
         UNION ALL SELECT DISTINCT url, n, 'https://parts.example.com/', 0.3::DOUBLE FROM cards""",
-    "n3_link_labels": f"WITH {Q.LINKS} SELECT page_id, link_url, arg_min(substr(label, 1, 60), pos) AS label FROM links GROUP BY ALL",
+    "n3_link_labels": f"WITH {Q.LINKS} SELECT page_id, link_url, arg_min(label, pos) AS label FROM links GROUP BY ALL",
     "n4_top_candidates": f"""WITH {_CARD} SELECT url, i AS rank, link_url, p_name AS label, '' AS reason, 1.0::DOUBLE AS confidence
         FROM cards WHERE i < 8""",
     "n5_resolve_candidates": f"""WITH {_CARD} SELECT url, 0 AS rank, link_url, p_name AS label, 'why' AS reason, 0.9::DOUBLE AS confidence
           FROM cards WHERE i = 3 AND page % 2 = 0
         UNION ALL SELECT url, 4, link_url, 'First', 'why', 0.0::DOUBLE FROM cards WHERE i = 0 AND page % 2 = 0
-        UNION ALL SELECT url, i, link_url, p_name, '', 1.0::DOUBLE FROM cards WHERE i < 8 AND page % 2 = 1""",
+        UNION ALL SELECT url, i, link_url, p_name, '', 1.0::DOUBLE FROM cards WHERE page % 2 = 1""",
     "n6_choose_links": f"""WITH {_CARD} SELECT CASE page % 4 WHEN 0 THEN url || '/part-' || (page * 200 + 2) ELSE 'https://elsewhere.example.com/' END
           AS selected_url, CASE page % 4 WHEN 1 THEN '1' WHEN 2 THEN 'many' ELSE '100000' END AS link_index,
           CASE page % 4 WHEN 0 THEN url || '/part-' || (page * 200 + 2) WHEN 1 THEN max(link_url) FILTER (i = 1)

@@ -111,24 +111,20 @@ def d3_page_titles(spark, sf):
     return summary.page_titles(I.docs(spark, sf))
 
 
-def _cards(spark, sf):
-    return I.site_docs(spark, sf).where(F.col("url").startswith("https://parts.example.com/cards/"))
-
-
 def d4_class_frequency(spark, sf):
-    cards = _cards(spark, sf)
-    rows = summary.class_frequency(cards, summary.MAX_CLASSES).join(cards.select("page_id", "url"), "page_id")
+    docs = I.site_docs(spark, sf)
+    rows = summary.class_frequency(docs, summary.MAX_CLASSES).join(docs.select("page_id", "url"), "page_id")
     return rows.select("url", "rank", F.col("class").alias("class_name"), "n")
 
 
 def d5_class_samples(spark, sf):
-    cards = _cards(spark, sf)
-    rows = summary.class_samples(cards, summary.MAX_CLASSES).join(cards.select("page_id", "url"), "page_id")
+    docs = I.site_docs(spark, sf)
+    rows = summary.class_samples(docs, summary.MAX_CLASSES).join(docs.select("page_id", "url"), "page_id")
     return rows.select("url", F.col("class").alias("class_name"), "tag", "text_sample")
 
 
 def d6_link_samples(spark, sf):
-    return summary.link_samples(I.docs(spark, sf), summary.MAX_ANCHORS)
+    return summary.link_samples(I.docs(spark, sf))
 
 
 def d7_structural_elements(spark, sf):
@@ -222,6 +218,37 @@ _list = lambda name, n: f"SELECT page_id, '{name}' AS selector_id, {n} AS n FROM
 _safe = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g')"
 _neighbour_sql = "SELECT a.page_id, a.url, b.url AS other FROM pages a JOIN pages b ON b.page_id = a.page_id + 1"
 
+# every class of the rendered pages that can be seen five times or more: page, place of its element and of the class in it, tag, text
+_CLASSES = """
+shop AS (SELECT DISTINCT 'https://shop' || (c_custkey // 500) || '.example.com/' AS host FROM customer),
+cust AS (
+  SELECT 'https://shop' || (c_custkey // 500) || '.example.com/n/' || c_nationkey AS url, c_custkey AS k, c_name AS name,
+         CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment FROM customer),
+card AS (
+  SELECT 'https://parts.example.com/cards/' || (p_partkey // 200) AS url, p_partkey AS k, p_name AS name, CAST(p_retailprice AS VARCHAR) AS price,
+         replace(lower(p_brand), '#', '-') AS brand FROM part),
+t AS (
+  SELECT url, k, o, c, tag, text FROM (
+    SELECT url, k, unnest([0, 1, 2, 3, 4]) AS o, unnest(['card', brand, 'title', 'price', 'more']) AS c, unnest(['div', 'div', 'h2', 'span', 'a']) AS tag,
+           unnest([name || ' ' || price || ' top ' || name || ' buy next', name || ' ' || price || ' top ' || name || ' buy next', name, price, name]) AS text
+    FROM card)
+  UNION ALL
+  SELECT 'https://parts.example.com/rows/' || (p_partkey // 200), p_partkey, 0, 'row', 'tr', p_partkey || ' ' || p_type || ' ' || p_size FROM part
+  UNION ALL
+  SELECT 'https://supply' || (s_suppkey // 200) || '.example.com/', s_suppkey, 0, 'entry', 'div', s_name FROM supplier
+  UNION ALL
+  SELECT host, r_regionkey, 0, 'item', 'li', r_name FROM shop, region
+  UNION ALL
+  SELECT host || 'r/' || n_regionkey, n_nationkey, o, c, tag, text FROM shop, (
+    SELECT n_regionkey, n_nationkey, unnest([0, 1]) AS o, unnest(['item', 'name']) AS c, unnest(['li', 'b']) AS tag, unnest([n_name || ' open', n_name]) AS text
+    FROM nation)
+  UNION ALL
+  SELECT * FROM (
+    SELECT url, k, unnest([0, 1, 2, 3]) AS o, unnest(['item', 'name', 'segment', 'balance']) AS c, unnest(['li', 'b', 'i', 'p']) AS tag,
+           unnest([concat_ws(' ', name, segment, 'balance'), name, segment, 'balance']) AS text FROM cust)
+  WHERE text IS NOT NULL)
+"""
+
 SQL = {
     "s1_page_scan": "SELECT page_id, url, length(html) AS n_chars, md5(html) AS digest FROM pages",
     "s1_page_lookup": f"""WITH k AS (SELECT page_id, {Q.norm('url')} AS url_key FROM pages),
@@ -258,24 +285,17 @@ SQL = {
         '(?is)<(?:script|style)>.*?</(?:script|style)>', '', 'g'), '<[a-z]')) AS n_elements FROM pages""",
     "d3_page_titles": """SELECT page_id, regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'),
         '&amp;?', '&', 'g') AS title FROM pages""",
-    "d4_class_frequency": """WITH t AS (
-          SELECT p_partkey // 200 AS page, p_partkey AS k, unnest(['card', replace(lower(p_brand), '#', '-'), 'title', 'price', 'more']) AS c,
-                 unnest([0, 1, 2, 3, 4]) AS o FROM part),
-        g AS (SELECT page, c, count(*) AS n, min(k * 10 + o) AS f FROM t GROUP BY ALL HAVING count(*) >= 5),
-        r AS (SELECT page, c, n, row_number() OVER (PARTITION BY page ORDER BY f) AS rank FROM g)
-        SELECT 'https://parts.example.com/cards/' || page AS url, rank, c AS class_name, n FROM r WHERE rank <= 20""",
-    "d5_class_samples": """WITH t AS (
-          SELECT p_partkey // 200 AS page, p_partkey AS k, p_name AS name, CAST(p_retailprice AS VARCHAR) AS price,
-                 unnest(['card', replace(lower(p_brand), '#', '-'), 'title', 'price', 'more']) AS c, unnest([0, 1, 2, 3, 4]) AS o FROM part),
-        g AS (SELECT page, c, min(k * 10 + o) AS f FROM t GROUP BY ALL HAVING count(*) >= 5),
-        r AS (SELECT page, c FROM g QUALIFY row_number() OVER (PARTITION BY page ORDER BY f) <= 20),
-        s AS (SELECT t.* FROM t JOIN r USING (page, c) QUALIFY row_number() OVER (PARTITION BY page, c ORDER BY k) <= 3)
-        SELECT 'https://parts.example.com/cards/' || page AS url, c AS class_name,
-          CASE o WHEN 2 THEN 'h2' WHEN 3 THEN 'span' WHEN 4 THEN 'a' ELSE 'div' END AS tag,
-          CASE o WHEN 2 THEN name WHEN 3 THEN price WHEN 4 THEN name ELSE name || ' ' || price || ' top ' || name || ' buy next' END AS text_sample
-        FROM s""",
-    "d6_link_samples": f"""WITH {Q.LINKS}, f AS (SELECT page_id, href, min(pos) AS first, arg_min(label, pos) AS text FROM links WHERE pos < 60 GROUP BY ALL)
-        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS pos, href, substr(text, 1, 60) AS text,
+    "d4_class_frequency": f"""WITH {_CLASSES},
+        g AS (SELECT url, c, count(*) AS n, min(k * 10 + o) AS f FROM t GROUP BY ALL HAVING count(*) >= 5),
+        r AS (SELECT url, c, n, row_number() OVER (PARTITION BY url ORDER BY f) AS rank FROM g)
+        SELECT url, rank, c AS class_name, n FROM r WHERE rank <= 20""",
+    "d5_class_samples": f"""WITH {_CLASSES},
+        g AS (SELECT url, c, min(k * 10 + o) AS f FROM t GROUP BY ALL HAVING count(*) >= 5),
+        r AS (SELECT url, c FROM g QUALIFY row_number() OVER (PARTITION BY url ORDER BY f) <= 20)
+        SELECT url, c AS class_name, tag, text AS text_sample FROM t JOIN r USING (url, c)
+        QUALIFY row_number() OVER (PARTITION BY url, c ORDER BY k) <= 3""",
+    "d6_link_samples": f"""WITH {Q.LINKS}, f AS (SELECT page_id, href, min(pos) AS first, arg_min(label, pos) AS text FROM links GROUP BY ALL)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS pos, href, text,
         'li' AS parent_tag, '' AS parent_class, true AS in_nav FROM f""",
     "d7_structural_elements": """WITH c AS (SELECT p_partkey // 200 AS page, p_partkey, p_name AS name, CAST(p_retailprice AS VARCHAR) AS price,
           'div.card.' || replace(lower(p_brand), '#', '-') AS selector FROM part
@@ -283,14 +303,14 @@ SQL = {
         d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page, selector ORDER BY p_partkey) = 1),
         e AS (SELECT s_suppkey // 200 AS site, s_name FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey // 200 ORDER BY s_suppkey) = 1)
         SELECT 'https://parts.example.com/cards/' || page AS url, row_number() OVER (PARTITION BY page ORDER BY p_partkey) - 1 AS pos, selector,
-          'div' AS tag, substr(name || ' ' || price || ' top ' || name || ' buy next', 1, 150) AS text_preview, 6 AS n_children, name AS first_child FROM d
+          'div' AS tag, name || ' ' || price || ' top ' || name || ' buy next' AS text_preview, 6 AS n_children, name AS first_child FROM d
         UNION ALL SELECT 'https://supply' || site || '.example.com/', 0, 'div.entry', 'div', s_name, 1, s_name FROM e
         UNION ALL SELECT 'https://supply' || (s_suppkey // 200) || '.example.com/s/' || s_suppkey, 0, '#detail', 'article',
           CAST(s_acctbal AS VARCHAR), 1, CAST(s_acctbal AS VARCHAR) FROM supplier WHERE s_acctbal BETWEEN 2000 AND 8000""",
     "d9_find_values": """WITH q AS (SELECT DISTINCT p_partkey // 200 AS page, p_name AS q FROM part),
         t AS (SELECT q.page, q, count(*) AS c, arg_min(p_name, p_partkey) AS f FROM q JOIN part
               ON p_partkey // 200 = q.page AND contains(p_name, q) GROUP BY ALL)
-        SELECT page, upper(q) AS expected_value, least(5, 3 * c) AS n, least(5 - least(5, 2 * c), c) AS n_alt,
+        SELECT page, upper(q) AS expected_value, 3 * c AS n, c AS n_alt,
         'h2.title' AS first_hint, f AS first_text FROM t""",
     "d10_sanitize_html": f"""SELECT page_id, md5(regexp_replace(regexp_replace({_safe}, '(?i)\\s+on\\w+="[^"]*"', '', 'g'),
         '(?i)(<head[^>]*>)', '\\1<base href="' || url || '" target="_blank">')) AS digest FROM pages""",

@@ -163,19 +163,19 @@ def l8_field_fixes(spark, sf):
 
 
 def _corrections(spark, sf):
-    levels = I.supplier_levels(spark, sf).where("level = 1")
-    first = I.table(spark, sf, "supplier").groupBy(F.expr(f"s_suppkey div {I.SUPPLIERS_PER_SITE}").alias("site")).agg(
-        F.min_by("s_name", "s_suppkey").alias("expected_value")
-    )
-    asked = first.select(F.concat(F.lit("supply"), F.col("site")).alias("plan_id"), F.lit("name").alias("field"), "expected_value")
+    """Every supplier is asked for: as a name of the list, and as a heading of the detail page that its plan shows."""
+    supplier = I.table(spark, sf, "supplier").withColumn("plan_id", F.concat(F.lit("supply"), F.expr(f"s_suppkey div {I.SUPPLIERS_PER_SITE}")))
+    shown = supplier.where("s_acctbal between 2000 and 8000").groupBy("plan_id").agg(F.min("s_suppkey").alias("shown"))
+    detail = F.concat(F.lit("https://"), F.col("plan_id"), F.lit(".example.com/s/"), F.col("shown"))
+    levels = I.supplier_levels(spark, sf).join(shown, "plan_id", "left").withColumn("sample_url", F.when(F.col("level") == 2, detail).otherwise(F.col("sample_url")))
+    asked = supplier.select("plan_id", F.explode(F.array(F.lit("name"), F.lit("heading"))).alias("field"), F.col("s_name").alias("expected_value"))
     return extraction.correction_context(asked, levels, I.site_docs(spark, sf), I.site_index(spark, sf))
 
 
 def l9_correction_context(spark, sf):
-    rows = _corrections(spark, sf)
-    return rows.select(
+    return _corrections(spark, sf).select(
         "plan_id", "field", "expected_value", "level", "item_container_selector", F.col("f.selector").alias("selector"), "title",
-        F.size("found_elements").alias("n_found"), F.col("found_elements")[0]["selector_hint"].alias("hint"),
+        F.coalesce(F.size("found_elements"), F.lit(0)).alias("n_found"), F.col("found_elements")[0]["selector_hint"].alias("hint"),
     )
 
 
@@ -187,7 +187,7 @@ def l10_fix_and_resample(spark, sf):
     answers = plans.select("plan_id", F.lit(1).alias("seq"), F.lit("balance").alias("field"), raw.alias("raw"))
     fixes = correction_fixes(parse_responses(answers, "correction"))
     docs, index = I.site_docs(spark, sf), I.site_index(spark, sf)
-    fixed, rows, _ = extraction.fix_and_resample(levels.where("level = 1"), fixes, docs, 3, index=index)
+    fixed, rows, _ = extraction.fix_and_resample(levels, fixes, docs, 3, index=index)
     left = quality.null_issues(quality.null_rates(rows, quality.field_names(fixed)))
     issues = left.groupBy("plan_id").agg(F.count("*").alias("n_issues"))
     return rows.join(issues, "plan_id", "left").select(
@@ -275,7 +275,12 @@ def b2_nesting_requests(spark, sf):
 
 def b3_correction_requests(spark, sf):
     contexts = _corrections(spark, sf).withColumn("user_feedback", F.lit("too short")).withColumn("current_value", F.lit(None).cast("string"))
-    return B.correction_requests(contexts)
+    rows = B.correction_requests(contexts)
+    # what follows the expected value are the hits and the summary, as JSON
+    asked = F.split_part(F.split_part("prompt", F.lit("\nCommon classes: "), F.lit(1)), F.lit("\nField: "), F.lit(2))
+    about, hits = (F.regexp_extract(asked, r"(?s)^(.*\nExpected value: [^\n]*)\n(.*)$", i) for i in (1, 2))
+    hit = F.from_json(F.regexp_extract(hits, r"^[^:]*: (.*)$", 1), "array<struct<tag:string>>")
+    return rows.select("request_id", "kind", "url", about.alias("asked"), F.array_join(F.transform(hit, lambda h: h["tag"]), ",").alias("tags"))
 
 
 def b4_clean_responses(spark, sf):
@@ -311,6 +316,17 @@ QUERIES = {
 _KEY = "regexp_replace(lower(root_url), '^http:', 'https:')"
 _CARDS = """SELECT p_partkey // 200 AS page, p_partkey, p_name, row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) - 1 AS i FROM part"""
 
+_ASKED = """
+s AS (SELECT 'supply' || (s_suppkey // 200) AS plan_id, s_suppkey, s_name, s_acctbal FROM supplier),
+d AS (SELECT plan_id, arg_min(s_name, s_suppkey) AS shown, min(s_suppkey) AS key FROM s WHERE s_acctbal BETWEEN 2000 AND 8000 GROUP BY ALL),
+asked AS (
+  SELECT plan_id, 'name' AS field, s_name AS expected_value, 1 AS level, '.entry' AS item, 'the item' AS container, 'a, span' AS selector,
+    'Suppliers' AS title, 1 AS n_found, CASE WHEN s_acctbal < 2000 THEN 'span' ELSE 'a' END AS tags, 'https://' || plan_id || '.example.com/' AS url FROM s
+  UNION ALL
+  SELECT plan_id, 'heading', s_name, 2, '#detail', 'body', '.heading', shown, CASE WHEN s_name = shown THEN 2 ELSE 0 END, 'title,p',
+    'https://' || plan_id || '.example.com/s/' || key FROM s JOIN d USING (plan_id))
+"""
+
 SQL = {
     "s3_plan_reader": f"""WITH {Q.PLANS} SELECT id, root_url, n_name AS item_name, CASE WHEN filled THEN 2 ELSE 0 END AS nesting_depth,
         CASE WHEN filled THEN 2 ELSE 0 END AS n_levels, CASE WHEN filled AND n_regionkey <> 3 THEN '#main' END AS selector
@@ -349,19 +365,24 @@ SQL = {
     "l8_field_fixes": f"""WITH {Q.PLANS} SELECT id AS plan_id, 1 AS level, 'title:.box:h4:text,price:-:' || CASE WHEN poor THEN '-' ELSE '.price' END
           || ':text,url:-:a:data-url' AS fields FROM plans WHERE filled
         UNION ALL SELECT id, 2, 'title:header:h1:text,note:-:' || CASE WHEN c_acctbal < 8000 THEN '.note' ELSE '-' END || ':text' FROM plans WHERE filled""",
-    "l9_correction_context": """WITH s AS (SELECT s_suppkey // 200 AS site, arg_min(s_name, s_suppkey) AS name, arg_min(s_acctbal, s_suppkey) AS bal FROM supplier GROUP BY 1)
-        SELECT 'supply' || site AS plan_id, 'name' AS field, name AS expected_value, 1 AS level, '.entry' AS item_container_selector,
-        'a, span' AS selector, 'Suppliers' AS title, 1 AS n_found, CASE WHEN bal < 2000 THEN 'span' ELSE 'a' END AS hint FROM s""",
+    "l9_correction_context": f"""WITH {_ASKED}
+        SELECT plan_id, field, expected_value, level, item AS item_container_selector, selector, title, n_found,
+          CASE WHEN n_found = 0 THEN NULL WHEN level = 2 THEN 'title' ELSE tags END AS hint FROM asked""",
+    "b3_correction_requests": f"""WITH {_ASKED}
+        SELECT 'correction:' || plan_id || ':' || field AS request_id, 'correction' AS kind, url,
+          field || chr(10) || 'Item selector: ' || item || chr(10) || 'Container: ' || container || chr(10) || 'Selector: ' || selector || chr(10) ||
+          'Attribute: text' || chr(10) || 'Value now: nothing' || chr(10) || 'What is wrong: too short' || chr(10) || 'Expected value: ' || expected_value AS asked,
+          CASE WHEN n_found > 0 THEN tags END AS tags FROM asked""",
     "e1_run_errors": """WITH s AS (SELECT s_suppkey AS k, 'https://supply' || (s_suppkey // 200) || '.example.com/' AS site FROM supplier),
         p AS (SELECT 'plan' || k AS plan_id, 1 AS level, k, CASE WHEN k % 7 = 0 THEN site || 'gone/' || k ELSE site END AS url FROM s)
         SELECT plan_id, level, url, 'unsupported selector' AS kind, 'item: li:has(a)' AS detail FROM p WHERE k % 3 = 0
         UNION ALL SELECT plan_id, level, url, 'unsupported selector', 'field title: p::first-line' FROM p WHERE k % 4 = 0
         UNION ALL SELECT plan_id, level, url, 'field without a name', 'field 1' FROM p WHERE k % 5 = 0
         UNION ALL SELECT plan_id, level, url, 'missing page', NULL FROM p WHERE k % 7 = 0""",
-    "l10_fix_and_resample": """WITH r AS (SELECT 'supply' || (s_suppkey // 200) AS plan_id, s_name AS name,
-          CASE WHEN s_acctbal >= 2000 THEN '/s/' || s_suppkey END AS balance,
-          row_number() OVER (PARTITION BY s_suppkey // 200 ORDER BY s_suppkey) AS row FROM supplier QUALIFY row <= 3),
-        i AS (SELECT plan_id, CASE WHEN count(*) - count(balance) > count(*) * 0.5 THEN 1 ELSE 0 END AS n_issues FROM r GROUP BY 1)
+    "l10_fix_and_resample": """WITH s AS (SELECT 'supply' || (s_suppkey // 200) AS plan_id, s_suppkey, s_name AS name, s_acctbal FROM supplier),
+        r AS (SELECT plan_id, name, s_acctbal < 2000 AS poor, CASE WHEN s_acctbal >= 2000 THEN CAST(s_acctbal AS VARCHAR) END AS balance,
+          row_number() OVER (PARTITION BY plan_id ORDER BY s_suppkey) AS row FROM s WHERE s_acctbal <= 8000 QUALIFY row <= 3),
+        i AS (SELECT plan_id, CASE WHEN count(*) FILTER (poor) > count(*) * 0.5 THEN 2 ELSE 0 END AS n_issues FROM r GROUP BY 1)
         SELECT plan_id, row, name, balance, n_issues FROM r JOIN i USING (plan_id)""",
     "m1_level_slug": """SELECT p_partkey, trim(regexp_replace(lower(p_type || '  & ' || p_brand || '!'), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
         'level' AS bare FROM part""",
