@@ -45,6 +45,14 @@ def lookup(many: DataFrame, small: DataFrame, on: list[str], salts: int = 32, sp
     return left.join(right, same, "left").drop("_salt", "_copy", *names.values())
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of the tables has it: for columns that an operator adds for its own use."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

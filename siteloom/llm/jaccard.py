@@ -29,21 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from siteloom.llm.common import as_bytes, flat_ids, lookup, mixed, save, slices
+from siteloom.llm.common import as_bytes, flat_ids, lookup, mixed, save, slices, unused
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Nodes of a tile, coordinates of a point, points or nodes below a tree node.
 TILE, GROUPS, FAN = 1024, 256, 16
 #: Sets of up to so many shingles are keyed by their rarest shingles.
-SMALL = 128
-#: Hash buckets of the key shuffle; keys that a task combines at a time.
-BUCKETS, HELD = 1024, 1 << 21
+SMALL = 32
+#: Shingles for each hash bucket of the key shuffle (about as many keys at most); keys that a task combines at a time; bytes
+#: of text that it cuts into words at a time.
+PER_BUCKET, HELD, SLICE = 1 << 20, 1 << 19, 1 << 20
 _BITS = 24  # what an edge leaves out of a node's hash
 
 
@@ -127,25 +127,31 @@ def node_hash(shingles: np.ndarray) -> int | None:
     return xxh64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
 
 
+def _mark() -> Column:
+    """16 bytes that stand for a row's id and text: copies of a row are told apart from all other rows, whatever the ids."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.col("text").cast("string"))))
+
+
 def nodes_of(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if it is empty), grams (the set, if it is small)."""
+    """doc_id, mark, n_shingles, node (hash of the set, null if it is empty), grams (the set, if it is small)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             sets = shingle_sets(as_bytes(rows.column("text")), words)
             grams = [_long(s) if 0 < len(s) <= bands.small else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
+                    rows.column("mark"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_hash(s) for s in sets], pa.int64()),
                     pa.array(grams, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "grams"],
+                names=["doc_id", "mark", "n_shingles", "node", "grams"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, grams array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark")).mapInArrow(
+        run, "doc_id long, mark binary, n_shingles long, node long, grams array<long>"
     )
 
 
@@ -176,16 +182,17 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _KEYED = "bucket int, keys binary, nodes binary, a binary, b binary"
 
 
-def large_edges(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """(a, b): top bits of nodes that share a key, for pairs whose larger set is not small."""
+def large_edges(docs: DataFrame, words: int, bands: Bands, buckets: int) -> DataFrame:
+    """(a, b): top bits of nodes that share a key, for pairs whose larger set is not small. ``buckets`` is a power of 2."""
+    low = np.uint64(64 - buckets.bit_length() + 1)
 
     def packed(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
         key, node = np.concatenate(keys), np.concatenate(nodes)
         first, a, b = _stars(key, node)
         key, node = key[first], node[first]
-        bucket = (key >> np.uint64(54)).astype(np.int64)
+        bucket = (key >> low).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         at = [(k, order[x:y]) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
         return pa.RecordBatch.from_arrays(
             [
@@ -201,21 +208,21 @@ def large_edges(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             for s in shingle_sets(as_bytes(rows.column("text")), words):
                 own = bands.keys(s)
                 if len(own):
                     keys.append(own)
                     nodes.append(np.full(len(own), (node_hash(s) + (1 << 63)) >> _BITS, np.uint64))
                     held += len(own)
-            if held >= HELD:
-                yield packed(keys, nodes)
-                keys, nodes, held = [], [], 0
+                if held >= HELD:
+                    yield packed(keys, nodes)
+                    keys, nodes, held = [], [], 0
         if held:
             yield packed(keys, nodes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by bucket; a bucket holds a 1024th of the keys
+        # rows come sorted by bucket; a bucket holds its share of the keys
         now, keys, nodes = None, [], []
 
         def close() -> pa.RecordBatch:
@@ -358,33 +365,29 @@ def _join_tiles(rows: pa.Table, bands: Bands, across: bool) -> pa.Table:
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int = TILE) -> DataFrame:
-    """(a, b): links between nodes that connect all that any link connects. ``nodes`` has node, n_shingles, least (its smallest id), grams."""
-    clusters = components(large_edges(docs, words, bands).union(small_edges(nodes, bands)))
+    """(a, b): links between nodes that connect all that any link connects. ``nodes`` has node, n_shingles, mark (of one of its rows), grams."""
+    shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = 1 << max(6, (shingles // PER_BUCKET).bit_length())
+    clusters = components(large_edges(docs, words, bands, buckets).union(small_edges(nodes, bands)))
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "top")
     top = F.shiftrightunsigned(F.col("node").bitwiseXOR(F.lit(-(1 << 63))), _BITS)
-    placed = nodes.select("node", "least", top.alias("top")).join(clusters, "top")
-    placed = save(placed.select("node", "least", F.col("root").alias("cluster")), "placed")
+    placed = nodes.select("node", "mark", top.alias("top")).join(clusters, "top")
+    placed = save(placed.select("node", "mark", F.col("root").alias("cluster")), "placed")
     counts = placed.groupBy("cluster").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     spread = F.pmod(F.xxhash64(F.col("node")), F.col("tiles")).cast("int").alias("tile")
-    tiles = lookup(placed, counts, ["cluster"], salts=8).select("node", "least", "cluster", spread, F.col("tiles").cast("int").alias("tiles"))
-    wanted = tiles.withColumnsRenamed({"node": "_node", "least": "_least"})
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tiles = lookup(placed, counts, ["cluster"], salts=8).select("node", "mark", "cluster", spread, F.col("tiles").cast("int").alias("tiles"))
+    texts = docs.select(_mark().alias("mark"), F.col("text").cast("string").alias("text"))
     # a merge join whatever the sizes: a broadcast of the wanted rows would grow with the corpus
-    rows = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["_least"])).select(
-        F.col("_node").alias("node"), "cluster", "tile", "tiles", "text"
-    )
+    rows = texts.join(tiles.hint("merge"), "mark").select("node", "cluster", "tile", "tiles", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             sets = shingle_sets(as_bytes(part.column("text")), words)
-            # rows with one id and other texts drop out here
-            same = [i for i, (s, n) in enumerate(zip(sets, part.column("node").to_pylist())) if node_hash(s) == n]
-            kept = part.take(pa.array(same, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[kept.column(c) for c in ("node", "cluster", "tile", "tiles")],
-                    pa.array([len(sets[i]) for i in same], pa.int64()),
-                    pa.array([sets[i].tobytes() for i in same], pa.binary()),
+                    *[part.column(c) for c in ("node", "cluster", "tile", "tiles")],
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
                 names=["node", "cluster", "tile", "tiles", "n_shingles", "shingles"],
             )
@@ -407,12 +410,13 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, node, root, component_id of every row of ``docs``. ``root`` is the component itself: the smallest node in it."""
+    """doc_id, mark, n_shingles, node, root, component_id of every row of ``docs``. ``root`` is the component itself: the smallest node in it."""
     bands = Bands(percent, 100)
     rows = save(nodes_of(docs, words, bands), "nodes")
     nodes = save(
         rows.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.any_value("grams").alias("grams")
+            F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"),
+            F.any_value("grams").alias("grams"),
         ),
         "distinct",
     )
@@ -425,9 +429,9 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -
     named = lookup(known, smallest, ["root"], salts=8).where("n > 1 or copies > 1").select(
         F.col("_node").alias("node"), "root", "component_id", F.lit(True).alias("joined")
     )
-    out = lookup(rows.drop("grams"), named, ["node"], salts=16, spread=F.xxhash64("doc_id"))
+    out = lookup(rows.drop("grams"), named, ["node"], salts=16, spread=F.xxhash64("mark"))
     component_id = F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"), component_id)
+    return out.select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("root"), component_id)
 
 
 def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -435,20 +439,12 @@ def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
 
     Components are told apart by their root, not by an id: ids may be missing or shared by texts that have nothing in common.
     """
-    found = join(docs, words, percent)
-    empty = found.where("node is null").select(F.col("doc_id").alias("_id"), F.lit(None).cast("long").alias("_node")).distinct()
+    name = unused("_mark", docs)
+    found = join(docs, words, percent).where("node is not null")
     # a row without an id stays only where no row of the component has one
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "node"))
-    first = found.where("node is not null").groupBy("root").agg(least.alias("least"))
-    kept = first.select(F.col("least.doc_id").alias("_id"), F.col("least.node").alias("_node")).union(empty)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            sets = shingle_sets(as_bytes(part.column("text")), words)
-            node = pa.array([node_hash(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "_at"])
-
-    tagged = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_at", T.LongType())]))
-    same = tagged["doc_id"].eqNullSafe(kept["_id"]) & tagged["_at"].eqNullSafe(kept["_node"])
-    rows = tagged.join(kept, same, "left_semi")
-    return rows.where("_at is not null").dropDuplicates(["doc_id", "_at"]).union(rows.where("_at is null")).select(*docs.columns)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark"))
+    kept = found.groupBy("root").agg(least.alias("least")).select(F.col("least.mark").alias(name))
+    # a text without words is linked with nothing and stays; marks are one key, so join and distinct share an exchange
+    with_words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = docs.where(with_words).withColumn(name, _mark()).join(kept.hint("merge"), name, "left_semi").dropDuplicates([name])
+    return first.drop(name).union(docs.where(~with_words)).select(*docs.columns)

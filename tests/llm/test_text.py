@@ -291,3 +291,17 @@ def test_without_toxic_judges_each_row(spark):
     kept = [tuple(r) for r in left.where("doc_id is null or doc_id = 5000").collect()]
     assert sorted(kept, key=str) == sorted([more[1], more[2], more[4]], key=str)
     assert left.where("doc_id < 600").count() == 500
+
+
+def test_rows_without_ids_are_joined_one_by_one(spark):
+    """Near copies without an id, or with one id, meet their own text only: the work grows with the rows."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(600):
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(60)]
+        rows += [(None if i % 2 else 7, " ".join(words), "a", "b"), (None if i % 2 else 7, " ".join([*words[:59], "other"]), "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark string, _MARK_ string")
+    assert jaccard.join(docs).where("n_shingles = 58").count() == 1200
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns and left.count() == 600
+    assert left.select("_mark", "_MARK_").distinct().count() == 1
