@@ -91,26 +91,21 @@ def compile_levels(levels: DataFrame) -> DataFrame:
     ).join(grouped, ["plan_id", "level"])
 
 
-def split_tasks(tasks: DataFrame, few: bool = False) -> DataFrame:
-    """Adds ``part``: tasks that share one page in great number are spread over several parts.
-
-    ``few`` says that there are too few tasks for that to matter; then there are no parts.
-    """
-    return tasks if few else parts_of(tasks, "page_id", _TASKS_PER_PART, ["plan_id", "url"])
+def split_tasks(tasks: DataFrame) -> DataFrame:
+    """Adds ``part``: tasks that share one page in great number are spread over several parts."""
+    return parts_of(tasks, "page_id", _TASKS_PER_PART, ["plan_id", "url"])
 
 
-def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int, int], few: bool = False) -> DataFrame:
+def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
     """Items of each task's page: ``plan_id, url, page_id, item, fields, drill_url``.
 
     ``tasks`` are compiled levels joined to pages (``plan_id, url, page_id, names, scopes,
-    is_final_level, steps`` and, unless there are ``few``, ``part``). A field with a container takes its value from the first container on
+    is_final_level, steps, part``). A field with a container takes its value from the first container on
     the whole page, so all items share it; any other field is sought inside the item.
     """
-    place = ["page_id"] if few else ["page_id", "part"]
+    place = ["page_id", "part"]
     keys = [*place, "plan_id", "url"]
-    pages = docs.select("page_id", "elems", "texts")
-    if not few:
-        pages = copy_to_parts(pages, tasks, "page_id")
+    pages = copy_to_parts(docs.select("page_id", "elems", "texts"), tasks, "page_id")
     # from this join on, all steps keep the rows of a page (or part of its tasks) where they are
     found = candidates(
         tasks.join(pages, place),

@@ -13,19 +13,23 @@ from siteloom.operators.skew import salted_join, spread_join
 from siteloom.session import keep
 from siteloom.sources.pages import lookup, missing, page_index
 
-# From this limit on Spark does not cut before the shuffle by itself.
-_PLAIN_LIMIT = 1000
 _RANK_BUCKETS = 64
-# Below this number of pages to visit no measures against uneven keys are needed.
-_FEW_TASKS = 10_000
+# As many pages may be named in a broadcast; more are found by a join.
+_NAMED_PAGES = 100_000
+# What tells that a page need not be read again for a plan: the same page, contents and level definition.
+_SAME = ["plan_id", "url", "page_id", "digest", "definition"]
 
 
 @dataclass
 class Scrape:
-    """``rows`` as ``plan_id, order_key, level, fields`` and the pages that were not found."""
+    """``rows`` as ``plan_id, order_key, level, fields`` and the pages that were not found.
+
+    ``items`` is what each page gave to each level of each plan, if that was asked for; the next run takes it as ``known``.
+    """
 
     rows: DataFrame
     missing: DataFrame
+    items: DataFrame | None = None
 
 
 def override(parent: Column, child: Column) -> Column:
@@ -64,7 +68,8 @@ def scrape(
     target_level: int | None = None,
     max_items: int | None = None,
     index: DataFrame | None = None,
-    _first: int | None = None,
+    digests: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> Scrape:
     """All rows of all plans.
 
@@ -74,27 +79,51 @@ def scrape(
     drill link above that level gives a partial row; a missing page gives nothing. ``max_items``
     keeps the first items of each page. Rows come unordered; sort by ``plan_id, order_key`` for
     depth-first order.
+
+    To run again over pages that change, pass ``digests`` (``page_id, digest``, for example of the HTML), save the ``items``
+    of the result, and pass them as ``known`` the next time. Then only pages that are new, have another digest or are read by a
+    changed level are looked at (others need not be in ``docs``), and the rows are those of a scrape from the start.
     """
-    result, _ = _scrape(levels, docs, target_level, max_items, index, _first)
+    result, _ = _scrape(levels, docs, target_level, max_items, index, None, digests, known, digests is not None)
     return result
 
 
-def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape, DataFrame]:
-    compiled = keep(compile_levels(levels))
+def _scrape(levels, docs, target_level, max_items, index, first, digests, known, track) -> tuple[Scrape, DataFrame]:
+    definition = F.md5(F.to_json(F.struct("names", "scopes", "is_final_level", "steps")))
+    compiled = keep(compile_levels(levels).withColumn("definition", definition))
     sizes = steps_sizes(compiled)
     index = keep(page_index(docs)) if index is None else index
     goal = levels.groupBy("plan_id").agg(F.max("level").alias("goal"))
     if target_level is not None:
         goal = goal.select("plan_id", F.least("goal", F.lit(target_level)).alias("goal"))
     deepest = goal.agg(F.max("goal")).first()[0] or 0
-
-    def items_of(frontier: DataFrame, level: int, size: int) -> DataFrame:
-        few = size <= _FEW_TASKS
-        # small rows, read several times below
-        tasks = keep(split_tasks(lookup(frontier, index), few))
-        plan = compiled.where(F.col("level") == level).drop("level", "sample_url")
-        joined = tasks.join(plan, "plan_id") if few else spread_join(tasks, plan, "plan_id")
-        items = extract_items(joined, docs, sizes, few)
+    listed = []
+
+    def read(tasks: DataFrame, level: int, pages: DataFrame) -> DataFrame:
+        plan = compiled.where(F.col("level") == level).drop("level", "sample_url", "definition")
+        return extract_items(spread_join(keep(split_tasks(tasks)), plan, "plan_id"), pages, sizes)
+
+    def remembered(tasks: DataFrame, level: int) -> DataFrame:
+        """Items of tasks, those known and those of the pages that must be read."""
+        tasks = spread_join(tasks, compiled.where(F.col("level") == level).select("plan_id", "definition"), "plan_id")
+        if digests is None:
+            tasks = tasks.withColumn("digest", F.lit(""))
+        else:
+            tasks = salted_join(keep(tasks), digests.select("page_id", "digest"), ["page_id"], "left")
+        tasks = keep(tasks)
+        old = None if known is None else known.where(F.col("level") == level).drop("level")
+        fresh = tasks if old is None else keep(tasks.join(old.select(*_SAME).distinct(), _SAME, "left_anti"))
+        made = read(fresh.drop("digest", "definition"), level, _pages_of(fresh, docs))
+        # a page without items is known as well
+        items = keep(fresh.join(made, ["plan_id", "url", "page_id"], "left").select(*_SAME, "item", "fields", "drill_url"))
+        if old is not None:
+            items = items.unionByName(tasks.join(old, _SAME).select(*items.columns))
+        listed.append(items.withColumn("level", F.lit(level)))
+        return items.where("item is not null").drop("digest", "definition")
+
+    def items_of(frontier: DataFrame, level: int) -> DataFrame:
+        tasks = lookup(frontier, index)
+        items = remembered(tasks, level) if track or known is not None else read(tasks, level, docs)
         if max_items is not None:
             order = Window.partitionBy("plan_id", "url").orderBy("item")
             items = items.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_items).drop("n")
@@ -105,7 +134,7 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
     )
     errors = [missing(frontier, index).withColumn("level", F.lit(1))]
     rows = (
-        items_of(frontier, 1, frontier.count())
+        items_of(frontier, 1)
         .join(goal, "plan_id")
         .select("plan_id", F.array("item").alias("order_key"), F.lit(1).alias("level"), "goal", "fields", "drill_url")
     )
@@ -117,11 +146,10 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
         rows = keep(rows)
         is_open = (F.col("level") == level - 1) & (F.col("goal") >= level) & F.col("drill_url").isNotNull()
         frontier = rows.where(is_open).select("plan_id", page_of(F.col("drill_url")).alias("url")).distinct()
-        size = frontier.count()
-        if size == 0:
+        if frontier.isEmpty():
             break
         errors.append(missing(frontier, index).withColumn("level", F.lit(level)))
-        joined = _join_children(rows, items_of(frontier, level, size), is_open)
+        joined = _join_children(rows, items_of(frontier, level), is_open)
         found = F.col("is_open") & F.col("child_item").isNotNull()
         rows = joined.where(~F.col("is_open") | found).select(
             "plan_id",
@@ -139,21 +167,29 @@ def _scrape(levels, docs, target_level, max_items, index, first) -> tuple[Scrape
     dropped = None
     for cut in cuts:
         dropped = cut if dropped is None else dropped.unionByName(cut)
-    return Scrape(out, lost.select("plan_id", "level", "url", "error")), dropped
+    items = None
+    for part in listed:
+        items = part if items is None else items.unionByName(part)
+    return Scrape(out, lost.select("plan_id", "level", "url", "error"), items), dropped
+
+
+def _pages_of(tasks: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that tasks are about. Up to a number of pages their list goes to the readers, else it is joined."""
+    pages = tasks.select("page_id").distinct()
+    few = pages.limit(_NAMED_PAGES + 1).count() <= _NAMED_PAGES
+    return docs.join(F.broadcast(pages) if few else pages, "page_id", "left_semi")
 
 
 def _ranked(rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows of each plan in depth-first order, numbered from 1 in ``row``.
 
-    Up to a certain limit Spark itself cuts each plan's rows before it shuffles them. Beyond it the
-    rows of a plan are first cut in buckets, so that a very long plan is not sorted by one task.
+    The rows of a plan are first cut in buckets, so that a very long plan is not sorted by one task.
     """
     order = Window.partitionBy("plan_id").orderBy("order_key")
-    if limit >= _PLAIN_LIMIT:
-        bucket = Window.partitionBy("plan_id", "bucket").orderBy("order_key")
-        spread = F.pmod(F.xxhash64("order_key"), F.lit(_RANK_BUCKETS))
-        rows = rows.withColumn("bucket", spread).withColumn("row", F.row_number().over(bucket))
-        rows = rows.where(F.col("row") <= limit).drop("bucket", "row")
+    bucket = Window.partitionBy("plan_id", "bucket").orderBy("order_key")
+    spread = F.pmod(F.xxhash64("order_key"), F.lit(_RANK_BUCKETS))
+    rows = rows.withColumn("bucket", spread).withColumn("row", F.row_number().over(bucket))
+    rows = rows.where(F.col("row") <= limit).drop("bucket", "row")
     return rows.withColumn("row", F.row_number().over(order)).where(F.col("row") <= limit)
 
 
@@ -179,11 +215,15 @@ def sample(
     """First ``max_rows`` rows of each plan: ``plan_id, row, order_key, level, fields``.
 
     Only the first items of each level are followed. Rows that come before everything left out are
-    final; a plan that has too few of those is run again with four times as many.
+    final; a plan that has too few of those goes on with four times as many, from the items of the pages it has read, so no page
+    is read twice by one sample.
     """
     pending, breadth, parts = levels, max_rows, []
+    index = keep(page_index(docs)) if index is None else index
+    known = None
     while True:
-        result, cuts = _scrape(pending, docs, target_level, None, index, breadth)
+        result, cuts = _scrape(pending, docs, target_level, None, index, breadth, None, known, True)
+        known = result.items
         rows = keep(result.rows)
         if cuts is None:
             parts.append(first_rows(rows, max_rows))

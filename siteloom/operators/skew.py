@@ -5,40 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot if it holds more than 1/1000 of the rows (and enough of them to matter), so there
-# are at most 1000 hot keys whatever the data, and their list may be broadcast.
-HOT_SHARE = 1000
-HOT_ROWS = 100_000
+# The keys that own the most rows are spread, whether there are few rows or many: so many of them, whatever the data, so
+# their list may be broadcast.
+HOT_KEYS = 1000
 SALTS = 64
 
 
-def hot_keys(rows: DataFrame, on: list[str], total: int) -> DataFrame:
-    """The at most ``HOT_SHARE`` keys that hold the most of ``total`` rows, with a column ``hot``."""
-    counts = rows.groupBy(*on).count()
-    return counts.where((F.col("count") > HOT_ROWS) & (F.col("count") * HOT_SHARE > F.lit(total))).select(
-        *on, F.lit(True).alias("hot")
-    )
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The ``HOT_KEYS`` keys that hold the most rows, with a column ``hot``."""
+    counts = rows.groupBy(*on).count().where("count > 1")
+    return counts.orderBy(F.desc("count"), *on).limit(HOT_KEYS).select(*on, F.lit(True).alias("hot"))
 
 
 def salted_join(
     many: DataFrame, one: DataFrame, on: list[str], how: str = "inner", idle: Column | None = None
 ) -> DataFrame:
-    """Equi-join in which hot keys of ``many`` are spread and their partners in ``one`` copied.
+    """Equi-join in which the most frequent keys of ``many`` are spread and their partners in ``one`` copied.
 
     Rows of ``many`` for which ``idle`` holds take no partner (left join) and are spread as well.
     ``many`` is read twice, so it should be a saved table or cheap to compute.
     """
     plain = [name for name, kind in many.dtypes if "map<" not in kind]
     spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
-    busy = many if idle is None else many.where(~idle)
-    total = busy.select(*on).count()
-    if total <= HOT_ROWS:
-        # no key can be hot
-        if idle is None:
-            return many.join(one, on, how)
-        left = many.withColumn("salt", F.when(idle, -1 - spread).otherwise(0))
-        return left.join(one.withColumn("salt", F.lit(0)), [*on, "salt"], how).drop("salt")
-    hot = F.broadcast(hot_keys(busy, on, total))
+    hot = F.broadcast(hot_keys(many if idle is None else many.where(~idle), on))
     salt = F.when(F.col("hot"), spread).otherwise(0)
     if idle is not None:
         salt = F.when(idle, -1 - spread).otherwise(salt)

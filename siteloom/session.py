@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -77,10 +78,12 @@ def per_session(build):
 def keep(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, reliably, and cut its lineage.
 
-    The checkpoint files live in the shared folder, so losing an executor loses nothing.
+    It is written as Parquet to a new folder in the shared one, so losing an executor loses nothing and later steps read only
+    the columns they use.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def balance(df: DataFrame) -> DataFrame:

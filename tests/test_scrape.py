@@ -1,12 +1,16 @@
 """Extraction and scraping on a small site that holds every trap."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from siteloom.operators import extract, quality, scrape as scraping, skew
+from siteloom.operators.parse import parse_pages
 from siteloom.operators.scrape import first_rows, sample, scrape
 from siteloom.plans.extraction import apply_field_fixes, check_sample, fix_and_resample
 from siteloom.plans.model import LEVEL_PLAN
+from siteloom.session import keep
 from siteloom.sources.pages import page_index
 from siteloom.sources.sinks import column_union
 
@@ -81,10 +85,9 @@ def test_rows_in_depth_first_order(site):
 
 def test_measures_against_uneven_keys_change_nothing(site, monkeypatch):
     levels, docs = site
-    monkeypatch.setattr(scraping, "_FEW_TASKS", -1)
     monkeypatch.setattr(extract, "_TASKS_PER_PART", 1)
-    monkeypatch.setattr(skew, "HOT_ROWS", -1)
-    monkeypatch.setattr(skew, "HOT_SHARE", 3)
+    monkeypatch.setattr(skew, "HOT_KEYS", 1)
+    monkeypatch.setattr(skew, "SALTS", 3)
     assert filled(fields_of(scrape(levels, docs).rows)) == EXPECTED
 
 
@@ -109,7 +112,6 @@ def test_long_plans_are_ranked_in_buckets(spark, monkeypatch):
         F.when(F.col("id") < 4000, "big").otherwise("small").alias("plan_id"), F.array((F.col("id") * 7 % 5000).cast("int")).alias("order_key")
     )
     plain = first_rows(rows, 50).orderBy("plan_id", "row").collect()
-    monkeypatch.setattr(scraping, "_PLAIN_LIMIT", 10)
     assert first_rows(rows, 50).orderBy("plan_id", "row").select("plan_id", "order_key", "row").collect() == [
         (r.plan_id, r.order_key, r.row) for r in plain
     ]
@@ -157,3 +159,48 @@ def test_fix_and_resample(site, spark):
     kept = apply_field_fixes(levels, fixes.withColumn("clear_container", F.lit(None).cast("boolean")))
     hh = kept.select(F.explode("fields").alias("f")).where("f.name = 'hh'").first().f
     assert hh.container_selector == "body"
+
+
+def _shop(rng, n):
+    """A list page and its detail pages; some links lead nowhere."""
+    cards = "".join(f'<li class=c><b>{rng.randint(0, 99)}</b><a href="/d/{i}">x</a></li>' for i in range(n))
+    pages = {"http://s.com/": f"<ul>{cards}</ul>"}
+    for i in range(n):
+        if rng.random() < 0.9:
+            pages[f"http://s.com/d/{i}"] = "".join(f"<p class=r>{rng.randint(0, 99)}</p>" for _ in range(rng.randint(0, 3)))
+    return pages
+
+
+def test_a_second_run_reads_changed_pages_only(spark):
+    rng = random.Random(4)
+    plan = lambda top: spark.createDataFrame(
+        [level("P", 1, "http://s.com/", "li.c", False, [field("v", top)]), level("P", 2, None, "p.r", True, [field("w", None)])], LEVEL_PLAN
+    )
+    levels = plan("b")
+    pages, known, seen = _shop(rng, 12), None, {}
+    for run in range(3):
+        table = spark.createDataFrame([(hash(u) % 10**9, u, h) for u, h in pages.items()], "page_id long, url string, html string")
+        docs, digests = keep(parse_pages(table)), table.select("page_id", F.md5("html").alias("digest"))
+        # pages that have not changed are not even there to be read
+        changed = [u for u, h in pages.items() if seen.get(u) != h]
+        assert run == 0 or len(changed) < len(pages) / 2
+        again = scrape(levels, docs.where(F.col("url").isin(changed)), index=page_index(docs), digests=digests, known=known)
+        assert fields_of(again.rows) == fields_of(scrape(levels, docs).rows)
+        known, seen = keep(again.items), dict(pages)
+        fresh = _shop(rng, 14)
+        pages = {**pages, **dict(rng.sample(sorted(fresh.items()), 4))}
+    # a changed level is read anew
+    wider = plan("a")
+    docs = keep(parse_pages(spark.createDataFrame([(hash(u) % 10**9, u, h) for u, h in seen.items()], "page_id long, url string, html string")))
+    assert {r[2]["v"] for r in fields_of(scrape(wider, docs, digests=digests, known=known).rows)} == {"x"}
+
+
+def test_a_sample_reads_no_page_twice(site, monkeypatch):
+    levels, docs = site
+    read = []
+    extract_items = scraping.extract_items
+    monkeypatch.setattr(
+        scraping, "extract_items", lambda tasks, pages, sizes: (read.extend((r.plan_id, r.url) for r in tasks.select("plan_id", "url").collect()), extract_items(tasks, pages, sizes))[1]
+    )
+    assert sample(levels, docs, 3).count() > 3
+    assert len(read) == len(set(read)) > 3
