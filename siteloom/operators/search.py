@@ -1,14 +1,19 @@
-"""Where on a page does a value stand?"""
+"""Where on a page, or on which pages, does a value stand?
+
+``find_values`` looks through the pages it is told. ``value_index`` lists the pages of every three characters in a row (and of
+every one and two, for short values); ``find_indexed`` intersects the lists of a value's rarest pieces and looks only
+through the pages that hold them all, so it needs no page and reads none without reason.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.columns import let
 from siteloom.functions.text import cut, strip
 from siteloom.operators.parse import strings_of
-from siteloom.operators.skew import copy_to_parts, parts_of
+from siteloom.operators.skew import copy_to_parts, parts_of, spread_join
 
 # Attributes searched after the text, in this order, and the most hits and characters of a short answer.
 SEARCHED_ATTRIBUTES = ("alt", "title", "value", "placeholder", "aria-label")
@@ -16,6 +21,8 @@ MAX_HITS = 5
 SHORT_PREVIEW, SHORT_TEXT = 100, 200
 # Searches of one page that are answered together; a page asked about more often is split.
 _SEARCHES_PER_PART = 64
+# Pieces of a value whose pages are intersected; all are verified afterwards.
+_PIECES = 4
 
 _PLACE = "array<struct<tag:string,classes:array<string>,id:string>>"
 
@@ -38,7 +45,7 @@ def find_values(
     """
     ids = [name for name in searches.columns if name not in ("page_id", "expected_value")]
     asked = parts_of(
-        searches.withColumn("_q", strip(F.lower("expected_value"))), "page_id", _SEARCHES_PER_PART, searches.columns
+        searches.withColumn("_q", _wanted(F.col("expected_value"))), "page_id", _SEARCHES_PER_PART, searches.columns
     )
     # the searches of a page meet it once, in groups of limited size
     grouped = asked.groupBy("page_id", "part").agg(F.collect_list(F.struct(*ids, "expected_value", "_q")).alias("asked"))
@@ -56,6 +63,57 @@ def find_values(
     return listed.where(F.col("pos").isNotNull()).select("page_id", *ids, "expected_value", "pos", "hit.*")
 
 
+def _wanted(value: Column) -> Column:
+    return strip(F.lower(value))
+
+
+def _pieces(text: Column, length: int) -> Column:
+    """The distinct pieces of so many characters."""
+
+    def joined(chars: Column) -> Column:
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - length + 1, F.lit(0)))
+        return F.array_distinct(F.transform(starts, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, length)])))
+
+    return let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), joined)
+
+
+def value_index(docs: DataFrame) -> DataFrame:
+    """``piece, page_id``: which pages hold a piece of one to three characters in a searchable string or attribute.
+
+    Built once per page, inside its row; save it (bucketed by ``piece`` for repeated use).
+    """
+    own = F.flatten(F.transform("_hay", lambda t: F.flatten(F.array(*[_pieces(t, n) for n in (1, 2, 3)]))))
+    strings = docs.select("page_id", F.array_distinct(F.transform(_searchable(), lambda h: h["low"])).alias("_hay"))
+    return strings.select("page_id", F.explode(F.array_distinct(own)).alias("piece")).select("piece", "page_id")
+
+
+def find_indexed(
+    searches: DataFrame, docs: DataFrame, index: DataFrame, max_hits: int | None = None, preview_length: int | None = None, text_length: int | None = None
+) -> DataFrame:
+    """``find_values`` with the help of ``index``. ``searches`` without ``page_id`` are made on all pages.
+
+    Values that are blank are found nowhere.
+    """
+    keys = ["_q", "page_id"] if "page_id" in searches.columns else ["_q"]
+    asked = searches.withColumn("_q", _wanted(F.col("expected_value"))).where(F.col("_q") != "")
+    length = F.char_length("_q")
+    pieces = F.when(length == 1, _pieces(F.col("_q"), 1)).when(length == 2, _pieces(F.col("_q"), 2)).otherwise(_pieces(F.col("_q"), 3))
+    values = asked.select("_q").distinct().select("_q", F.explode(pieces).alias("piece"))
+    # a piece that no page holds is the rarest of all
+    sizes = index.join(values.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("_q").orderBy(F.coalesce("n", F.lit(0)), "piece")
+    chosen = values.join(sizes, "piece", "left").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= _PIECES)
+    chosen = chosen.withColumn("wanted", F.count("*").over(Window.partitionBy("_q"))).select("_q", "piece", "wanted")
+    if len(keys) > 1:
+        held = index.join(asked.select(*keys).distinct().join(chosen, "_q"), ["piece", "page_id"])
+    else:
+        held = spread_join(index, chosen, "piece")
+    found = held.groupBy("_q", "page_id").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).where("n = wanted").select("_q", "page_id")
+    told = asked.join(found, keys).drop("_q")
+    pages = docs.join(found.select("page_id").distinct(), "page_id", "left_semi")
+    return find_values(told, pages, max_hits, preview_length, text_length)
+
+
 def _searchable() -> Column:
     """What a search looks at, in its order: strings, then attributes; in small letters."""
     string = lambda s, j: F.struct(

@@ -74,9 +74,9 @@ def _page(heading: Column | str, body: Column) -> Column:
     )
 
 
-def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shops of three levels: regions, their nations, the shop's customers of a nation."""
-    customer = table(spark, sf_dir, "customer").withColumn("site", F.expr(f"c_custkey div {CUSTOMERS_PER_SITE}"))
+def customer_pages(spark: SparkSession, sf_dir: str, shown: str = "true") -> DataFrame:
+    """Shops of three levels: regions, their nations, the shop's customers of a nation. Only customers that are ``shown`` are listed."""
+    customer = table(spark, sf_dir, "customer").where(shown).withColumn("site", F.expr(f"c_custkey div {CUSTOMERS_PER_SITE}"))
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     host = F.concat(F.lit("https://shop"), F.col("site"), F.lit(".example.com"))
     person = F.concat(

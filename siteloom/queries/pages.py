@@ -143,14 +143,21 @@ def d8_summarize(spark, sf):
     )
 
 
-def d9_find_values(spark, sf):
+def _part_searches(spark, sf):
     part = I.table(spark, sf, "part")
     asked = part.select(
         F.xxhash64(F.concat(F.lit("https://parts.example.com/cards/"), F.expr(f"p_partkey div {I.PARTS_PER_PAGE}"))).alias("page_id"),
         F.expr(f"p_partkey div {I.PARTS_PER_PAGE}").alias("page"),
         F.upper("p_name").alias("expected_value"),
     ).distinct()
-    hits = search.find_values(asked, I.site_docs(spark, sf))
+    return asked
+
+
+def _value_index(spark, sf):
+    return I.once(spark, sf, "value_index", lambda: search.value_index(I.site_docs(spark, sf)))
+
+
+def _found_parts(hits):
     return hits.groupBy("page", "expected_value").agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col("attribute_found") == "alt", 1)).alias("n_alt"),
@@ -159,6 +166,24 @@ def d9_find_values(spark, sf):
     )
 
 
+def d9_find_values(spark, sf):
+    return _found_parts(search.find_values(_part_searches(spark, sf), I.site_docs(spark, sf)))
+
+
+def d9_find_indexed(spark, sf):
+    return _found_parts(search.find_indexed(_part_searches(spark, sf), I.site_docs(spark, sf), _value_index(spark, sf)))
+
+
+def d9_find_anywhere(spark, sf):
+    """Every supplier's name, on whatever pages it stands."""
+    docs = I.site_docs(spark, sf)
+    asked = I.table(spark, sf, "supplier").select(F.upper("s_name").alias("expected_value"))
+    hits = search.find_indexed(asked, docs, _value_index(spark, sf)).groupBy("page_id", "expected_value").agg(
+        F.count("*").alias("n"), F.min_by("selector_hint", "pos").alias("first_hint")
+    )
+    return hits.join(docs.select("page_id", "url"), "page_id").select("url", "expected_value", "n", "first_hint")
+
+
 def d10_sanitize_html(spark, sf):
     return preview.previews(I.pages(spark, sf)).select("page_id", F.md5("preview").alias("digest"))
 
@@ -208,7 +233,7 @@ QUERIES = {
         s1_page_scan, s1_page_lookup, s2_missing_pages, u1_normalize_url, u2_url_hash, u3_resolve_url, u4_is_same_domain,
         u5_score_drill_link, u6_is_valid_drill_link, u7_resolved_links, u8_url_label, u9_plan_id, d1_parse_pages,
         d1_dom_nodes, d2_remove_noise, d3_page_titles, d4_class_frequency, d5_class_samples, d6_link_samples,
-        d7_structural_elements, d8_summarize, d9_find_values, d10_sanitize_html, d10_highlight, x1_select, x1_nested_lists, x2_select_one,
+        d7_structural_elements, d8_summarize, d9_find_values, d9_find_indexed, d9_find_anywhere, d10_sanitize_html, d10_highlight, x1_select, x1_nested_lists, x2_select_one,
     )
 }
 
@@ -312,6 +337,15 @@ SQL = {
               ON p_partkey // 200 = q.page AND contains(p_name, q) GROUP BY ALL)
         SELECT page, upper(q) AS expected_value, 3 * c AS n, c AS n_alt,
         'h2.title' AS first_hint, f AS first_text FROM t""",
+    "d9_find_indexed": """WITH q AS (SELECT DISTINCT p_partkey // 200 AS page, p_name AS q FROM part),
+        t AS (SELECT q.page, q, count(*) AS c, arg_min(p_name, p_partkey) AS f FROM q JOIN part
+              ON p_partkey // 200 = q.page AND contains(p_name, q) GROUP BY ALL)
+        SELECT page, upper(q) AS expected_value, 3 * c AS n, c AS n_alt,
+        'h2.title' AS first_hint, f AS first_text FROM t""",
+    "d9_find_anywhere": """SELECT 'https://supply' || (s_suppkey // 200) || '.example.com/' AS url, upper(s_name) AS expected_value, 1 AS n,
+        CASE WHEN s_acctbal < 2000 THEN 'span' ELSE 'a' END AS first_hint FROM supplier
+        UNION ALL SELECT 'https://supply' || (s_suppkey // 200) || '.example.com/s/' || s_suppkey, upper(s_name), 2, 'title' FROM supplier
+        WHERE s_acctbal BETWEEN 2000 AND 8000""",
     "d10_sanitize_html": f"""SELECT page_id, md5(regexp_replace(regexp_replace({_safe}, '(?i)\\s+on\\w+="[^"]*"', '', 'g'),
         '(?i)(<head[^>]*>)', '\\1<base href="' || url || '" target="_blank">')) AS digest FROM pages""",
     "d10_highlight": f"""SELECT page_id, true AS marked, strpos({_safe}, '<style>p{{') + length('<base href="' || url || '" target="_blank">')

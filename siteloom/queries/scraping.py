@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import quality
 from siteloom.operators.extract import compile_levels, extract_items, sample_values, split_tasks
+from siteloom.operators.parse import parse_pages
 from siteloom.operators.scrape import first_rows, sample, scrape
 from siteloom.operators.select import steps_sizes
 from siteloom.operators.skew import spread_join
@@ -16,7 +17,7 @@ from siteloom.queries import inputs as I
 from siteloom.queries import sql as Q
 from siteloom.session import checkpoint_dir, keep
 from siteloom.sources import sinks
-from siteloom.sources.pages import lookup
+from siteloom.sources.pages import lookup, page_index
 
 _SHOP_FIELDS = ["region", "heading", "nation", "url", "name", "segment", "balance"]
 
@@ -49,6 +50,22 @@ def x6_scrape_round_trip(spark, sf):
     return _wide(I.customer_rows(spark, sf), _SHOP_FIELDS)
 
 
+def x6_scrape_again(spark, sf):
+    """A run over earlier pages, on which some nations miss customers, and one over those that have changed since."""
+    dated = lambda pages: pages.select(F.xxhash64("url").alias("page_id"), "url", "html", F.md5("html").alias("digest"))
+    old = dated(I.customer_pages(spark, sf, "c_nationkey % 5 > 0 or c_custkey % 3 > 0"))
+    new = dated(I.customer_pages(spark, sf))
+    levels = I.customer_levels(spark, sf)
+    before = keep(parse_pages(old))
+    first = scrape(levels, before, index=page_index(before), digests=old.select("page_id", "digest"))
+    known = keep(first.items)
+    changed = new.join(old, ["page_id", "digest"], "left_anti")
+    again = scrape(
+        levels, keep(parse_pages(changed)), index=page_index(new), digests=new.select("page_id", "digest"), known=known
+    )
+    return _wide(again.rows, _SHOP_FIELDS)
+
+
 def x6_partial_rows(spark, sf):
     return _wide(I.supplier_rows(spark, sf), ["name", "balance", "heading"], "level")
 
@@ -163,7 +180,7 @@ def k5_column_union(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        x3_field_values, x4_items, x5_drill_urls, x6_scrape_round_trip, x6_partial_rows, x6_missing_pages, x7_sample,
+        x3_field_values, x4_items, x5_drill_urls, x6_scrape_round_trip, x6_scrape_again, x6_partial_rows, x6_missing_pages, x7_sample,
         x7_sample_checks, x8_scrape_with_limit, x8_scrape_to_level, x9_items_per_page, x10_field_names, x11_sample_values,
         x11_sample_values_detail, q1_null_rates, q1_null_issues, q1_fix_decisions, q3_counts, k3_csv_export, k3_csv_lines,
         k4_json_export, k5_column_union,
@@ -184,6 +201,7 @@ SQL = {
     "x5_drill_urls": """SELECT 'cards' || (p_partkey // 200) AS plan_id,
         'https://parts.example.com/cards/' || (p_partkey // 200) || '/part-' || p_partkey AS drill_url FROM part""",
     "x6_scrape_round_trip": f"WITH {Q.SHOPS} SELECT {_SHOP} FROM shops",
+    "x6_scrape_again": f"WITH {Q.SHOPS} SELECT {_SHOP} FROM shops",
     "x6_partial_rows": f"""WITH {Q.SUPPLIERS} SELECT plan_id, CASE WHEN poor THEN 1 ELSE 2 END AS level, name, balance, heading
         FROM supplies WHERE s_acctbal <= 8000""",
     "x6_missing_pages": f"""WITH {Q.SUPPLIERS} SELECT plan_id, 2 AS level, 'https://' || plan_id || '.example.com/s/' || s_suppkey AS url,

@@ -77,6 +77,21 @@ def test_value_search(docs_of, spark, monkeypatch):
         assert [(p.tag, p.id) for p in rows[2].parent_chain] == [("p", ""), ("div", "box")]
 
 
+def test_indexed_search(docs_of, spark):
+    docs = docs_of(PAGE, "<p title='ab'>xyz</p>", "<p>xy 😀b</p><script>hidden</script>", "")
+    index = search.value_index(docs)
+    values = [" Find me ", "two", "nowhere", ".*", "xy", "X", "😀b", "ab", "hidden", " ", "ME"]
+    every = spark.createDataFrame([(p, v) for p in range(4) for v in values], "page_id long, expected_value string")
+    told = lambda rows: sorted((r.page_id, r.expected_value, r.pos, r.selector_hint, r.full_text) for r in rows.collect() if r.expected_value.strip())
+    want = told(search.find_values(every, docs))
+    assert len(want) > 8 and told(search.find_indexed(every, docs, index)) == want
+    anywhere = every.select("expected_value").distinct()
+    assert told(search.find_indexed(anywhere, docs, index)) == want
+    # a page without the pieces is not looked through: it need not be there
+    only = docs.where(F.col("page_id").isin([p for p, v, *_ in want if v == "two"]))
+    assert told(search.find_indexed(anywhere.where("expected_value = 'two'"), only, index)) == [w for w in want if w[1] == "two"]
+
+
 def test_preview(spark):
     pages = spark.createDataFrame(
         [(1, "http://h/", '<HEAD lang=x><Script>a</sCript><p onClick="x()" id=a>t</p><script>\nb</script></HEAD>'), (2, "http://h/", "<p>bare</p>")],
