@@ -23,11 +23,27 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: shuffle files of a query go when it ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: lineage ends there, lost executors lose nothing."""
-    path = shared_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` once to the shared folder and reads it back: lineage ends there, lost executors lose nothing.
+
+    Its shuffle files are of no further use then, so they are given up with the write.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, what)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lookup(many: DataFrame, small: DataFrame, on: list[str], salts: int = 32, spread: Column | None = None) -> DataFrame:

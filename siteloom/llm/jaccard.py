@@ -376,7 +376,8 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
     counts = placed.groupBy("cluster").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     spread = F.pmod(F.xxhash64(F.col("node")), F.col("tiles")).cast("int").alias("tile")
     tiles = lookup(placed, counts, ["cluster"], salts=8).select("node", "mark", "cluster", spread, F.col("tiles").cast("int").alias("tiles"))
-    texts = docs.select(_mark().alias("mark"), F.col("text").cast("string").alias("text"))
+    # repeated rows are one; the distinct and the join share an exchange
+    texts = docs.select(_mark().alias("mark"), F.col("text").cast("string").alias("text")).dropDuplicates(["mark"])
     # a merge join whatever the sizes: a broadcast of the wanted rows would grow with the corpus
     rows = texts.join(tiles.hint("merge"), "mark").select("node", "cluster", "tile", "tiles", "text")
 
@@ -393,7 +394,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
             )
 
     kinds = "node long, cluster long, tile int, tiles int, n_shingles long, shingles binary"
-    sets = save(rows.mapInArrow(run, kinds).dropDuplicates(["node"]), "sets")
+    sets = save(rows.mapInArrow(run, kinds), "sets")
     within = save(
         sets.groupBy("cluster", "tile").applyInArrow(lambda rows: _join_tiles(rows, bands, False), "a long, b long"), "links"
     )
