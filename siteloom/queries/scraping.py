@@ -18,6 +18,7 @@ from siteloom.queries import sql as Q
 from siteloom.session import checkpoint_dir, keep
 from siteloom.sources import sinks
 from siteloom.sources.pages import lookup, page_index
+from siteloom.streaming.items import current_items, stream_items
 
 _SHOP_FIELDS = ["region", "heading", "nation", "url", "name", "segment", "balance"]
 
@@ -42,6 +43,19 @@ def x4_items(spark, sf):
     return _wide(_items(spark, sf, "cards"), ["title", "price", "image", "brand", "link_class", "heading", "url"])
 
 
+def x4_stream_items(spark, sf):
+    """The items of x4_items from a stream: an outdated capture of every page, then the pages, some of them twice."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+    pages = I.part_pages(spark, sf).where("url like '%/cards/%'").select(F.xxhash64("url").alias("page_id"), "url", "html")
+    at = lambda rows, day: rows.withColumn("captured_at", F.to_timestamp(F.lit(f"2026-01-{day:02d}")))
+    at(pages, 2).write.parquet(f"{base}/pages/b")
+    at(pages.withColumn("html", F.replace("html", F.lit("title"), F.lit("old"))), 1).write.parquet(f"{base}/pages/c")
+    at(pages.where("page_id % 2 = 0"), 2).write.parquet(f"{base}/pages/d")
+    levels = I.part_levels(spark, sf, "cards").where("level = 1")
+    stream_items(spark, levels, f"{base}/pages/*", f"{base}/items", f"{base}/state", "2 days", files_per_batch=2).awaitTermination()
+    return _wide(current_items(spark, f"{base}/items"), ["title", "price", "image", "brand", "link_class", "heading", "url"])
+
+
 def x5_drill_urls(spark, sf):
     return _items(spark, sf, "cards").select("plan_id", "drill_url")
 
@@ -180,7 +194,7 @@ def k5_column_union(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        x3_field_values, x4_items, x5_drill_urls, x6_scrape_round_trip, x6_scrape_again, x6_partial_rows, x6_missing_pages, x7_sample,
+        x3_field_values, x4_items, x4_stream_items, x5_drill_urls, x6_scrape_round_trip, x6_scrape_again, x6_partial_rows, x6_missing_pages, x7_sample,
         x7_sample_checks, x8_scrape_with_limit, x8_scrape_to_level, x9_items_per_page, x10_field_names, x11_sample_values,
         x11_sample_values_detail, q1_null_rates, q1_null_issues, q1_fix_decisions, q3_counts, k3_csv_export, k3_csv_lines,
         k4_json_export, k5_column_union,
@@ -198,6 +212,9 @@ SQL = {
     "x4_items": """SELECT 'cards' || (p_partkey // 200) AS plan_id, p_name AS title, CAST(p_retailprice AS VARCHAR) AS price,
         '/i/' || p_partkey || '.png' AS image, CAST(NULL AS VARCHAR) AS brand, 'more' AS link_class, 'Cards' AS heading,
         'https://parts.example.com/cards/' || (p_partkey // 200) || '/part-' || p_partkey AS url FROM part""",
+    "x4_stream_items": """SELECT 'cards' || (p_partkey // 200) AS plan_id, p_name AS title, CAST(p_retailprice AS VARCHAR) AS price,
+        '/i/' || p_partkey || '.png' AS image, CAST(NULL AS VARCHAR) AS brand, 'more' AS link_class, 'Cards' AS heading,
+        'https://parts.example.com/cards/' || (p_partkey // 200) || '/part-' || p_partkey AS url FROM part""",
     "x5_drill_urls": """SELECT 'cards' || (p_partkey // 200) AS plan_id,
         'https://parts.example.com/cards/' || (p_partkey // 200) || '/part-' || p_partkey AS drill_url FROM part""",
     "x6_scrape_round_trip": f"WITH {Q.SHOPS} SELECT {_SHOP} FROM shops",
