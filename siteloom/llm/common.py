@@ -52,13 +52,14 @@ def lookup(many: DataFrame, small: DataFrame, on: list[str], salts: int = 32, sp
     A key that holds a third of ``many`` is thereby dealt to ``salts`` tasks.
     """
     spread = F.xxhash64(*[c for c, kind in many.dtypes if "map<" not in kind]) if spread is None else spread
-    left = many.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    names = {c: f"_key_{i}" for i, c in enumerate(on)}
-    right = small.withColumnsRenamed(names).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = left["_salt"] == right["_copy"]
+    salt, copy = unused("_salt", many, small), unused("_copy", many, small)
+    left = many.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int"))
+    names = {c: unused(f"_key_{i}", many, small) for i, c in enumerate(on)}
+    right = small.withColumnsRenamed(names).withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = left[salt] == right[copy]
     for c, k in names.items():
         same = same & left[c].eqNullSafe(right[k])
-    return left.join(right, same, "left").drop("_salt", "_copy", *names.values())
+    return left.join(right, same, "left").drop(salt, copy, *names.values())
 
 
 def unused(name: str, *tables: DataFrame) -> str:

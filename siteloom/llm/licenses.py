@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import save
-from siteloom.llm.native import bind
+from siteloom.llm.native import bind, in_pieces
 
 # Fixed values of the contract: phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -77,11 +77,11 @@ def _places(text: Column, phrase: str) -> Column:
 
     def at(gaps: Column) -> Column:
         def step(state: Column, gap: Column) -> Column:
-            words = state["words"] + F.regexp_count(gap, F.lit(_WORD)).cast("long")
-            return F.struct((words + length).alias("words"), F.concat(state["at"], F.array(words)).alias("at"))
+            words = state["at"] + F.regexp_count(gap, F.lit(_WORD)).cast("long")
+            return F.struct((words + length).alias("at"), F.concat(state["places"], F.array(words)).alias("places"))
 
-        start = F.struct(F.lit(0).cast("long").alias("words"), none.alias("at"))
-        return F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step)["at"]
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("places"))
+        return bind(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda all_gaps: in_pieces(all_gaps, start, step, "places", "array<long>"))
 
     return F.when(text.rlike(pattern), bind(F.split(text, pattern, -1), at)).otherwise(none)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from siteloom.llm.common import lookup, save
+from siteloom.llm.common import lookup, save, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Key ranges per source. Running sums are made inside a range and over the ranges' totals, so no task holds a source.
@@ -107,10 +107,9 @@ def repeats(docs: DataFrame, **settings) -> DataFrame:
     A document without words is taken as often as its source's whole passes. Rows that share an id are dealt out alike: the
     count is that of the id's rows together, spread evenly.
     """
-    counts = mix(docs, **settings).groupBy("doc_id").agg(
-        F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.max("epochs").alias("_epochs")
-    )
-    times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(F.col("_epochs")).cast("int")
-    counts = counts.select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
-    rows = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_copy", "_times", "_id")
+    own, copy = unused("_times", docs), unused("_copy", docs)
+    counts = mix(docs, **settings).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.max("epochs").alias("epochs"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.col("epochs")).cast("int")
+    counts = counts.select("doc_id", times.alias(own)).where(F.col(own) > 0)
+    rows = lookup(docs, counts, ["doc_id"], salts=8, spread=F.xxhash64("text")).where(F.col(own) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*docs.columns)

@@ -16,10 +16,26 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+PIECE = 128
+
+
+def in_pieces(values: Column, start: Column, step: Callable[[Column, Column], Column], listed: str, kind: str) -> Column:
+    """The list that a fold with state (at, ``listed``) appends to, over pieces of the values: no list is copied per value."""
+
+    def piece(whole: Column, k: Column) -> Column:
+        fresh = F.struct(whole["at"].alias("at"), start[listed].alias(listed))
+        done = F.aggregate(F.slice(values, k * PIECE + 1, PIECE), fresh, step)
+        return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(whole["lists"], F.array(d[listed])).alias("lists")))
+
+    pieces = F.sequence(F.lit(0), F.floor(F.size(values) / PIECE).cast("int"))
+    return F.flatten(F.aggregate(pieces, F.struct(start["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("lists")), piece)["lists"])
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as (start, stop, found). ``pattern`` never matches an empty text.
 
-    Starts are running sums over the lengths of the gaps and matches, so the text is read twice and only if it matches.
+    Starts are running sums over the lengths of the gaps and matches, so the text is read twice and only if it matches. The sums
+    are made in pieces, each of which is appended as one value: a text with very many matches takes time in proportion to them.
     """
 
     def place(state: Column, part: Column) -> Column:
@@ -29,11 +45,11 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(stop.cast("int").alias("at"), F.concat(state["spans"], F.array(one)).alias("spans"))
 
     none = F.array().cast(SPANS)
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def spans(found: Column) -> Column:
         parts = F.zip_with(F.split(text, pattern, -1), found, lambda gap, x: F.struct(gap.alias("gap"), x.alias("found")))
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-        placed = F.aggregate(F.filter(parts, lambda p: p["found"].isNotNull()), start, place)["spans"]
+        placed = bind(F.filter(parts, lambda p: p["found"].isNotNull()), lambda all_parts: in_pieces(all_parts, start, place, "spans", SPANS))
         return F.when(F.size(found) > 0, placed).otherwise(none)
 
     return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteloom.llm.common import lookup, unused
 from siteloom.llm.native import TAGGED, count_of, listed, masked, matches, tagged, where
 
 
@@ -168,17 +169,24 @@ def _found(rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of ``docs`` (all columns, a null text as it is) with ``_spans``: start, number, kind, stop, sorted."""
-    found = candidates(docs, rules).withColumnRenamed("doc_id", "_id").withColumnRenamed("rules", "_rules")
+    """Every row of ``docs`` (all columns, a null text as it is) with ``spans_column(docs)``: start, number, kind, stop, sorted."""
+    spans_name, rules_name = spans_column(docs), unused("_rules", docs)
+    found = candidates(docs, rules).withColumnRenamed("rules", rules_name)
     open_rules = {r.kind for r in rules if trigram_query(r.pattern) == _ALL}
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left").drop("_id")
+    # one id may own many rows, or none has one: such rows are spread, with copies of the rules found for it
+    joined = lookup(docs, found, ["doc_id"], salts=8, spread=F.xxhash64("text"))
     spans = []
     for number, rule in enumerate(rules):
         own = tagged(_found(rule), number, rule.kind)
         if rule.kind not in open_rules:
-            own = F.when(F.array_contains("_rules", rule.kind), own)
+            own = F.when(F.array_contains(rules_name, rule.kind), own)
         spans.append(F.coalesce(own, F.array().cast(TAGGED)))
-    return joined.withColumn("_spans", F.array_sort(F.concat(*spans))).drop("_rules")
+    return joined.withColumn(spans_name, F.array_sort(F.concat(*spans))).drop(rules_name)
+
+
+def spans_column(docs: DataFrame) -> str:
+    """The name of the column that ``scan`` adds: ``_spans``, or longer where the table has that."""
+    return unused("_spans", docs)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -191,9 +199,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The rows of ``docs`` with their secrets replaced in ``text``; ``n_chars`` follows if there is such a column."""
-    out = scan(docs).withColumn("text", masked(F.col("text"), F.coalesce("_spans", F.array().cast(TAGGED)), mark))
+    spans = spans_column(docs)
+    out = scan(docs).withColumn("text", masked(F.col("text"), F.coalesce(spans, F.array().cast(TAGGED)), mark))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

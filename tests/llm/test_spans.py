@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
 
-from siteloom.llm import licenses, personal, secrets
+from siteloom.llm import jaccard, licenses, mixture, personal, secrets
 
 DOCS = "doc_id long, text string"
 
@@ -175,3 +176,22 @@ def test_wrapped_and_neighbouring_notices(spark):
 def test_repeated_rows(spark, scan):
     rows = scan(spark.createDataFrame([(1, "x token=abcdefgh a@b.cc cc by")] * 3, DOCS)).collect()
     assert len(rows) == 3 and len(set(rows)) == 1
+
+
+def test_very_many_matches_take_linear_time(spark):
+    """Two hundred thousand matches in one text, for each scan."""
+    texts = {secrets.report: "token=abcdefgh ", licenses.scan: "cc by, "}
+    for scan, text in texts.items():
+        started = time.perf_counter()
+        row = scan(spark.createDataFrame([(1, text * 200_000)], DOCS)).first()
+        assert (row.n_assign if scan is secrets.report else row.n_base) == 200_000
+        assert time.perf_counter() - started < 60
+
+
+def test_names_of_helper_columns_are_the_callers(spark):
+    names = ["_id", "_spans", "_rules", "_times", "_copy", "_salt", "_at", "_mark", "_key_0", "rules", "source", "lang"]
+    rows = spark.createDataFrame([(i, f"word{i} token=abcdefgh " + "x " * 30, *names) for i in range(6)], ["doc_id", "text", *names])
+    for stage in (secrets.redact, mixture.repeats, jaccard.one_of_each):
+        out = stage(rows)
+        assert out.columns == rows.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(names)}
