@@ -12,7 +12,8 @@
    node, the sum of the coordinates' minima (with the node's largest counts) bounds the overlap from above; pairs that
    survive the bound are verified on the sets. Two nodes that are already connected need no check, so a family of near
    copies costs about one check each.
-   Clusters are cut into tiles of bounded size; tiles are joined within and with each other, so no task holds a cluster.
+   Clusters are cut into tiles of bounded size, which are joined within; then some nodes of each connected part look for other
+   parts, and at last every two pieces of different parts meet. No task holds a cluster, and no link is left out.
 4. Links are connected to components by alternating star contractions.
 
 Cases: a null text or one without words has no shingles and no links; a text with fewer words than a shingle is one
@@ -40,10 +41,12 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Nodes of a tile, coordinates of a point, points or nodes below a tree node.
 TILE, GROUPS, FAN = 1024, 256, 16
 #: Sets of up to so many shingles are keyed by their rarest shingles.
-SMALL = 32
+SMALL = 128
 #: Shingles for each hash bucket of the key shuffle (about as many keys at most); keys that a task combines at a time; bytes
 #: of text that it cuts into words at a time.
 PER_BUCKET, HELD, SLICE = 1 << 20, 1 << 19, 1 << 20
+#: Nodes of each connected part of a tile that look for the parts of other tiles, before all nodes of different parts meet.
+SOME = 8
 _BITS = 24  # what an edge leaves out of a node's hash
 
 
@@ -342,13 +345,15 @@ class _Union:
 
 
 def _join_tiles(rows: pa.Table, bands: Bands, across: bool) -> pa.Table:
-    """Links (a, b) within a tile, or across two tiles whose own components are known. Only links that connect more are checked."""
+    """Links (a, b) within a tile, or across two tiles (within one, if there is one) of nodes whose components are known. Only links
+    that connect more are checked."""
     order = pc.sort_indices(rows, sort_keys=[("n_shingles", "ascending"), ("node", "ascending")])
     rows = rows.take(order)
     names, sizes = rows.column("node").to_pylist(), rows.column("n_shingles").to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
     union, found = _Union(len(names)), []
     side = rows.column("tile").to_pylist()
+    one_side = len(set(side)) == 1
     if across:
         first: dict[int, int] = {}
         for i, root in enumerate(rows.column("root").to_pylist()):
@@ -358,7 +363,7 @@ def _join_tiles(rows: pa.Table, bands: Bands, across: bool) -> pa.Table:
         tree = RTree(points, sizes)
         for i in range(len(names)):
             for j in tree.search(points[i], int(sizes[i]), bands).tolist():
-                if j > i and (not across or side[i] != side[j]) and union.root(i) != union.root(j) and _linked(sets[i], sets[j], bands):
+                if j > i and (not across or one_side or side[i] != side[j]) and union.root(i) != union.root(j) and _linked(sets[i], sets[j], bands):
                     union.join(i, j)
                     found.append((names[i], names[j]))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
@@ -398,16 +403,54 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
     within = save(
         sets.groupBy("cluster", "tile").applyInArrow(lambda rows: _join_tiles(rows, bands, False), "a long, b long"), "links"
     )
-    # clusters of several tiles: every two tiles meet, with what is connected inside each of them
     large = sets.where("tiles > 1")
     if large.isEmpty():
         return within
-    own = components(within).withColumnRenamed("node", "_node")
-    rooted = large.join(own, large["node"] == own["_node"], "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: k != F.col("tile")))
-    pairs = rooted.withColumn("other", other).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-    across = pairs.groupBy("cluster", "low", "high").applyInArrow(lambda rows: _join_tiles(rows, bands, True), "a long, b long")
-    return within.union(across)
+    # what is connected inside the tiles of a cluster is connected with each other by some nodes of each, as far as these link
+    rooted = _rooted(large, components(within))
+    some = Window.partitionBy("cluster", "tile", "root").orderBy("node")
+    first = rooted.withColumn("place", F.row_number().over(some)).where(F.col("place") <= SOME).drop("root", "place")
+    counts = first.groupBy("cluster").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    dealt = lookup(first, counts, ["cluster"], salts=8, spread=F.xxhash64("node")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "parts"))
+    met = dealt.drop("parts").groupBy("cluster", "part").applyInArrow(lambda rows: _join_tiles(rows, bands, False), "a long, b long")
+    known = save(within.union(met), "links")
+    return known.union(_across(_rooted(large, components(known)), bands, tile))
+
+
+def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sets`` with the root of each node, itself if it has no link."""
+    own = roots.withColumnRenamed("node", "_node")
+    return sets.join(own, sets["node"] == own["_node"], "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
+
+
+def _across(rooted: DataFrame, bands: Bands, tile: int) -> DataFrame:
+    """Links between the components of a cluster: (a, b). A cluster of one component is done.
+
+    Large components are cut in pieces, small ones packed together, both by size of sets. Two pieces meet if sets of their sizes
+    can be linked and they are not of one component, so a family of near copies, which is one component by now, meets only what
+    else there is of its size in its cluster.
+    """
+    sizes = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("cluster").agg(F.count("*").alias("roots")).where("roots > 1").select("cluster")
+    owned = sizes.join(several, "cluster").select("root", F.when(F.col("n") > tile, F.col("root")).alias("own"), F.lit(True).alias("open"))
+    placed = lookup(rooted, owned, ["root"], salts=8, spread=F.xxhash64("node")).where("open").drop("open", "tile", "tiles")
+    # sizes of linked sets differ by less than two bands; the base is a little larger, so that rounding loses none
+    base = math.log(bands.bottom / bands.top) * 1.0001
+    placed = placed.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / base).cast("int"))
+    cuts = placed.groupBy("cluster", "own", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
+    placed = lookup(placed, cuts, ["cluster", "own", "band"], salts=8, spread=F.xxhash64("node", F.lit(1)))
+    name = lambda own, band, chunk: F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("")), band, chunk)
+    placed = placed.withColumn("tile", name(F.col("own"), F.col("band"), F.pmod(F.xxhash64("node", F.lit(3)), "chunks"))).drop("chunks")
+    # some entries for about ``tile`` nodes of the cluster
+    listed = cuts.select("cluster", "own", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    listed = listed.select("cluster", F.struct(name(F.col("own"), F.col("band"), F.col("chunk")).alias("tile"), "own", "band").alias("piece"))
+    pieces = listed.groupBy("cluster").agg(F.collect_list("piece").alias("pieces"))
+    rows = lookup(placed, pieces, ["cluster"], salts=8, spread=F.xxhash64("node", F.lit(2)))
+    same = lambda q: F.coalesce(q["own"] == F.col("own"), F.lit(False))
+    meets = F.filter("pieces", lambda q: (F.abs(q["band"] - F.col("band")) <= 1) & ~same(q))
+    pairs = rows.select("*", F.explode(meets).alias("other")).drop("pieces", "own", "band")
+    pairs = pairs.withColumns({"low": F.least("tile", "other.tile"), "high": F.greatest("tile", "other.tile")}).drop("other")
+    return pairs.groupBy("cluster", "low", "high").applyInArrow(lambda rows: _join_tiles(rows, bands, True), "a long, b long")
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
