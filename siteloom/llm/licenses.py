@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line of a text, taken as the set of its words. It meets a template if it holds at least ``CONTAINED`` of the
-template's words. The join is exact: words are ordered by how many blocks of the whole corpus hold them, rare ones first;
+template's words, the ``TELLING`` ones among them, which tell a license from its neighbours. The join is exact: words are ordered by how many blocks of the whole corpus hold them, rare ones first;
 of each template only as many first words are indexed as a matching block cannot all lack, and of each block likewise
 (prefix filter); blocks with too few words of any template (length filter) and pairs whose first common word leaves too
 few words behind it (positional filter) are dropped before the sets are compared.
@@ -65,6 +65,11 @@ def needed(size: int) -> int:
     return math.ceil(CONTAINED * size - 1e-9)
 
 
+def _lower(text: Column) -> Column:
+    """``text`` in lower case, for comparison with template words: of all other letters only the Kelvin sign would become one of a-z."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138")))
+
+
 def _phrase(words: str) -> str:
     spelt = [("".join(f"[{c}{c.upper()}]" for c in w)) for w in words.split()]
     return f"(?<![^{_MARK}])" + f"[{_MARK}]+".join(spelt) + f"(?![^{_MARK}])"
@@ -93,7 +98,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     known = F.array(*[F.lit(v) for v in vocabulary])
     lines = F.transform(
-        F.split(F.lower(text), "\n"),
+        F.split(_lower(text), "\n"),
         lambda line, i: F.struct(i.alias("block"), F.array_intersect(F.split(line, _MARKS, -1), known).alias("held")),
     )
     places = [_places(text, p) for p in PHRASES]
@@ -121,10 +126,10 @@ def similar_blocks(found: DataFrame) -> DataFrame:
     rank = {t: i for i, t in enumerate(order)}
     sets = {label: sorted(tokens(text), key=rank.__getitem__) for label, text in TEMPLATES.items()}
     prefixes = [
-        (word, label, i, len(s), needed(len(s)), s) for label, s in sets.items() for i, word in enumerate(s[: len(s) - needed(len(s)) + 1])
+        (word, label, i, len(s), needed(len(s)), s, TELLING.get(label, [])) for label, s in sets.items() for i, word in enumerate(s[: len(s) - needed(len(s)) + 1])
     ]
     # the templates' index has some words per template, so its broadcast is bounded by the parameter
-    index = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, i int, size int, need int, words array<string>"))
+    index = F.broadcast(spark.createDataFrame(prefixes, "word string, label string, i int, size int, need int, words array<string>, telling array<string>"))
     ranks = F.create_map(*[x for t, i in rank.items() for x in (F.lit(t), F.lit(i))])
     by_rank = lambda held: F.transform(
         F.array_sort(F.transform(held, lambda w: F.struct(F.element_at(ranks, w).alias("rank"), w.alias("word")))), lambda x: x["word"]
@@ -139,8 +144,9 @@ def similar_blocks(found: DataFrame) -> DataFrame:
     length = F.size("held") >= F.col("need")
     position = F.least(F.col("size") - F.col("i"), F.size("held") - F.col("j")) >= F.col("need")
     overlap = F.size(F.array_intersect("held", "words"))
+    telling = F.size(F.array_except("telling", "held")) == 0
     return (
-        pairs.where(length & position)
+        pairs.where(length & position & telling)
         .where(overlap >= F.col("need"))
         .select("doc_id", "content", "block", "label", (overlap / F.col("size")).alias("contained"))
     )
@@ -226,13 +232,15 @@ def sql() -> str:
         same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
         places.append(f"list_filter(range(0, len(w)), lambda i: {same})")
         labels.append(f"CASE WHEN len(list_filter(range(0, len(w)), lambda i: {same})) > 0 THEN ['{label}'] ELSE [] END")
-    rows = ", ".join(f"('{label}', {tokens(text)!r}, {needed(len(tokens(text)))})" for label, text in TEMPLATES.items())
+    rows = ", ".join(
+        f"('{label}', {tokens(text)!r}, {needed(len(tokens(text)))}, CAST({TELLING.get(label, [])!r} AS VARCHAR[]))" for label, text in TEMPLATES.items()
+    )
     return f"""
 WITH d AS (SELECT doc_id, {lower} AS t, regexp_extract_all({lower}, '{word}') AS w FROM documents),
-templates(label, words, need) AS (VALUES {rows}),
+templates(label, words, need, telling) AS (VALUES {rows}),
 lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS b FROM d),
 met AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(b, words)) / len(words)) AS contained
-        FROM lines, templates WHERE len(list_intersect(b, words)) >= need GROUP BY doc_id),
+        FROM lines, templates WHERE len(list_intersect(b, words)) >= need AND list_has_all(b, telling) GROUP BY doc_id),
 p AS (SELECT doc_id, len(w) AS n_words, {' || '.join(places)} AS spots, {' || '.join(labels)} AS base FROM d)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,

@@ -149,6 +149,30 @@ def test_license_threshold(spark):
     assert got[1] == ("bsd", 1.0) and got[2][0] == "bsd" and 0.85 <= got[2][1] < 1 and got[3] == ("", 0.0)
 
 
+def test_scan_tells_neighbours_apart(spark, tmp_path):
+    lines = {
+        1: ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+        2: ("licensed under cc by-sa 4.0", "cc-by,cc-by-sa-4.0"),
+        3: ("Licensed under CC BY 4.0", "cc-by"),
+        4: ("Released under the MIT License", "mit"),
+        5: ("Released under the ISC License", ""),
+        6: ("Licensed under the Apache License, Version 1.0", ""),
+        7: ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+        8: ("This wor\u212a has been released into the public domain", "public-domain"),
+        9: ("This wor\u212a is licensed under the GNU General Public License, version \u212a3", "gpl"),
+        10: ("Released under the M\u0130T License", ""),
+        11: ("", ""),
+        12: (None, ""),
+    }
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, text) for i, (text, _) in lines.items()], DOCS).write.parquet(path)
+    got = licenses.scan(spark.read.parquet(path)).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: want for i, (_, want) in lines.items()}
+    with duckdb.connect() as database:
+        database.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        assert sorted(map(tuple, got)) == sorted(database.execute(licenses.sql()).fetchall())
+
+
 def test_wrapped_and_neighbouring_notices(spark):
     def wrapped(words, gap="\n"):
         return "Some text.\n\n" + gap.join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5)) + "\nmore text"
