@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import save
-from siteloom.llm.native import bind, in_pieces
+from siteloom.llm.native import bind
 
 # Fixed values of the contract: phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -50,7 +50,7 @@ TELLING = {
     "apache-2.0": ["apache", "2"], "cc-by-nc-4.0": ["nc", "4"], "cc-by-sa-4.0": ["sa", "4"], "gpl-3.0": ["gnu", "3"], "mit": ["mit"],
     "mpl-2.0": ["mozilla", "2"],
 }
-#: Marks between words, before and after A-Z are lowered, and words after that.
+#: Marks between words and, with A-Z kept, words.
 _MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MARK = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _WORD = f"[^{_MARK}]+"
@@ -70,25 +70,16 @@ def _lower(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138")))
 
 
-def _phrase(words: str) -> str:
-    spelt = [("".join(f"[{c}{c.upper()}]" for c in w)) for w in words.split()]
-    return f"(?<![^{_MARK}])" + f"[{_MARK}]+".join(spelt) + f"(?![^{_MARK}])"
+def _places(lower: Column, words: Column, phrase: str) -> Column:
+    """Numbers of the first words of a phrase's places, among the ``words`` of the text. Only texts that hold each of its words are searched."""
+    wanted = phrase.split()
 
+    def search(all_words: Column) -> Column:
+        follow = lambda i: reduce(lambda a, k: a & (F.get(all_words, i + k) == wanted[k]), range(1, len(wanted)), F.lit(True))
+        return F.array_compact(F.transform(all_words, lambda w, i: F.when((w == wanted[0]) & follow(i), i.cast("long"))))
 
-def _places(text: Column, phrase: str) -> Column:
-    """Numbers of the first words of a phrase's places. They are counted over the gaps between the places."""
-    pattern, length = _phrase(phrase), len(phrase.split())
-    none = F.array().cast("array<long>")
-
-    def at(gaps: Column) -> Column:
-        def step(state: Column, gap: Column) -> Column:
-            words = state["at"] + F.regexp_count(gap, F.lit(_WORD)).cast("long")
-            return F.struct((words + length).alias("at"), F.concat(state["places"], F.array(words)).alias("places"))
-
-        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("places"))
-        return bind(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda all_gaps: in_pieces(all_gaps, start, step, "places", "array<long>"))
-
-    return F.when(text.rlike(pattern), bind(F.split(text, pattern, -1), at)).otherwise(none)
+    held = reduce(lambda a, w: a & F.contains(lower, F.lit(w)), wanted[1:], F.contains(lower, F.lit(wanted[0])))
+    return F.when(held, bind(words, search)).otherwise(F.array().cast("array<long>"))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -96,20 +87,23 @@ def blocks(docs: DataFrame) -> DataFrame:
     vocabulary = sorted({t for text in TEMPLATES.values() for t in tokens(text)})
     least = min(needed(len(tokens(t))) for t in TEMPLATES.values())
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.array(*[F.lit(v) for v in vocabulary])
-    lines = F.transform(
-        F.split(_lower(text), "\n"),
-        lambda line, i: F.struct(i.alias("block"), F.array_intersect(F.split(line, _MARKS, -1), known).alias("held")),
-    )
-    places = [_places(text, p) for p in PHRASES]
-    return docs.select("doc_id", text.alias("text")).select(
-        "doc_id",
-        F.xxhash64("text").alias("content"),
-        F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"),
-        F.array(*places).alias("places"),
-        # blocks without template words hold nothing to count or to find
-        F.filter(lines, lambda b: F.size(b["held"]) > 0).alias("blocks"),
-        F.lit(least).alias("least"),
+
+    def facts(lower: Column, lines: Column) -> Column:
+        known = F.transform(
+            lines, lambda line, i: F.struct(i.alias("block"), F.array_distinct(F.filter(line, lambda w: w.isin(vocabulary))).alias("held"))
+        )
+        return F.struct(
+            F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + F.size(line)).alias("n_words"),
+            F.array(*[_places(lower, F.flatten(lines), p) for p in PHRASES]).alias("places"),
+            # blocks without template words hold nothing to count or to find
+            F.filter(known, lambda b: F.size(b["held"]) > 0).alias("blocks"),
+        )
+
+    # a text is cut into words once, line by line; all else is read from the words
+    words_of = lambda lower: F.transform(F.split(lower, "\n"), lambda line: F.filter(F.split(line, _MARKS, -1), lambda w: w != ""))
+    found = bind(_lower(text), lambda lower: bind(words_of(lower), lambda lines: facts(lower, lines)))
+    return docs.select("doc_id", F.xxhash64(text).alias("content"), found.alias("_facts"), F.lit(least).alias("least")).select(
+        "doc_id", "content", "_facts.n_words", "_facts.places", "_facts.blocks", "least"
     )
 
 
