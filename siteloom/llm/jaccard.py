@@ -6,6 +6,8 @@
    group's contents is a key. A task combines the keys of its texts before the shuffle, which carries packed rows of one
    hash bucket each; equal keys that meet give an edge. Small sets, whose groups would often be empty, are keyed by their
    rarest shingles instead (prefix filter with counts over all small sets). Nodes connected by edges are a cluster.
+   With ``rare`` all sets are keyed by their rarest shingles: at low thresholds a group holds so few shingles that texts which
+   only share a passage would meet. Shingles are counted in packed hash buckets; a set whose prefix nobody shares sends no key.
    No link is lost: both are pigeonhole arguments, not sampling. Edges are between the top 40 bits of node hashes; nodes that
    share these come into one cluster, which costs a check and changes no result.
 3. In a cluster, shingles are hashed into groups and the counts per group are points of an R-tree. For a point and a tree
@@ -45,6 +47,8 @@ SMALL = 128
 #: Shingles for each hash bucket of the key shuffle (about as many keys at most); keys that a task combines at a time; bytes
 #: of text that it cuts into words at a time.
 PER_BUCKET, HELD, SLICE = 1 << 20, 1 << 19, 1 << 20
+#: How many sets of a slice of text a key must be in to be called common there, and how many common keys are treated apart.
+OFTEN, COMMON = 6, 4096
 #: Nodes of each connected part of a tile that look for the parts of other tiles, before all nodes of different parts meet.
 SOME = 8
 _BITS = 24  # what an edge leaves out of a node's hash
@@ -135,13 +139,33 @@ def _mark() -> Column:
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.col("text").cast("string"))))
 
 
-def nodes_of(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """doc_id, mark, n_shingles, node (hash of the set, null if it is empty), grams (the set, if it is small)."""
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """Distinct 40-bit keys of a set's shingles."""
+    return np.unique(shingles >> np.uint64(_BITS))
+
+
+def _common(sets: list[np.ndarray]) -> list[int]:
+    """Keys in many of these sets, copies of a set counting once."""
+    distinct = {s.tobytes(): s for s in sets if len(s)}
+    if len(distinct) < OFTEN:
+        return []
+    keys, counts = np.unique(np.concatenate([_short(s) for s in distinct.values()]), return_counts=True)
+    often = np.flatnonzero(counts >= max(OFTEN, len(distinct) // 50))
+    return keys[often[np.argsort(-counts[often], kind="stable")][:COMMON]].tolist()
+
+
+def nodes_of(docs: DataFrame, words: int, bands: Bands, rare: bool = False) -> DataFrame:
+    """doc_id, mark, n_shingles, node (hash of the set, null if it is empty), grams (the set, if it is small).
+
+    With ``rare`` no grams, but beyond: the length of the set's prefix less its keys, and common: keys that are frequent near by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, "text", SLICE):
             sets = shingle_sets(as_bytes(rows.column("text")), words)
-            grams = [_long(s) if 0 < len(s) <= bands.small else None for s in sets]
+            grams = [_long(s) if not rare and 0 < len(s) <= bands.small else None for s in sets]
+            beyond = [bands.prefix(len(s)) - len(_short(s)) if rare else None for s in sets]
+            common = [_common(sets) if rare else None, *[None] * (len(sets) - 1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
@@ -149,12 +173,14 @@ def nodes_of(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_hash(s) for s in sets], pa.int64()),
                     pa.array(grams, pa.list_(pa.int64())),
+                    pa.array(beyond, pa.int64()),
+                    pa.array(common, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "mark", "n_shingles", "node", "grams"],
+                names=["doc_id", "mark", "n_shingles", "node", "grams", "beyond", "common"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark")).mapInArrow(
-        run, "doc_id long, mark binary, n_shingles long, node long, grams array<long>"
+        run, "doc_id long, mark binary, n_shingles long, node long, grams array<long>, beyond long, common array<long>"
     )
 
 
@@ -258,13 +284,117 @@ def small_edges(nodes: DataFrame, bands: Bands) -> DataFrame:
     order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "key")
     first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * bands.top / bands.bottom - 1e-9) + 1
     ranked = lookup(grams, counts, ["key"], salts=8).withColumn("rank", F.row_number().over(order))
-    keyed = save(ranked.where((F.col("rank") <= first) & F.col("n").isNotNull()).select("node", "key"), "rare")
+    return _met(save(ranked.where((F.col("rank") <= first) & F.col("n").isNotNull()).select("node", "key"), "rare"))
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """(a, b): top bits of each node and of the first node with the same key. ``keyed`` has node, key."""
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("key", "hub")
     met = lookup(keyed, hubs, ["key"], salts=8).where("hub is not null and node != hub")
     top = lambda c: F.shiftrightunsigned(F.col(c).bitwiseXOR(F.lit(-(1 << 63))), _BITS)
     return met.select(top("node").alias("a"), top("hub").alias("b"))
 
 
+def shared_keys(docs: DataFrame, words: int, common: list[int], buckets: int) -> DataFrame:
+    """node, key, n: keys that several sets hold, and in how many; common ones come last in the order of n, whatever their count.
+
+    Entries go in packed rows of one hash bucket each. Common keys are not counted, so no bucket gets all rows of a frequent passage.
+    """
+    low = np.uint64(40 - buckets.bit_length() + 1)
+    known = np.unique(np.array(common, np.uint64))
+
+    def packed(keys: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        key, at = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        node = np.array(nodes, np.int64)
+        often = np.isin(key, known)
+        rows = [(nodes[0] % buckets, True, key[often], at[often])] if often.any() else []
+        key, at = key[~often], at[~often]
+        bucket = (key >> low).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows += [(k, False, key[order[x:y]], at[order[x:y]]) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+        held = [np.unique(own, return_inverse=True) for _, _, _, own in rows]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.int32()),
+                pa.array([r[1] for r in rows], pa.bool_()),
+                pa.array([_five(r[2]) for r in rows], pa.binary()),
+                pa.array([i.astype("<u2").tobytes() for _, i in held], pa.binary()),
+                pa.array([node[u].tobytes() for u, _ in held], pa.binary()),
+            ],
+            names=["bucket", "often", "keys", "at", "nodes"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, held, seen = [], [], 0, set()
+        for rows in slices(batches, "text", SLICE):
+            for s in shingle_sets(as_bytes(rows.column("text")), words):
+                node = node_hash(s)
+                if node is None or node in seen:  # a copy that is met again counts once; those of other tasks are left out later
+                    continue
+                if len(seen) >= 1 << 18:
+                    seen.clear()
+                seen.add(node)
+                keys.append(_short(s))
+                nodes.append(node)
+                held += len(keys[-1])
+                if held >= HELD or len(keys) == 1 << 16:
+                    yield from packed(keys, nodes)
+                    keys, nodes, held = [], [], 0
+        if keys:
+            yield from packed(keys, nodes)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, nodes = None, [], []
+
+        def close() -> pa.RecordBatch:
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[fresh], node[fresh]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            lengths = np.diff(np.append(starts, len(key)))
+            n = np.repeat(lengths, lengths)
+            return entries(node[n > 1], key[n > 1], n[n > 1])
+
+        def entries(node: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(_long(key)), pa.array(n.astype(np.int64))], names=["node", "key", "n"])
+
+        for batch in batches:
+            for bucket, often, key, at, node in zip(*(batch.column(c).to_pylist() for c in ("bucket", "often", "keys", "at", "nodes"))):
+                if bucket != now and keys:
+                    yield close()
+                    keys, nodes = [], []
+                now = bucket
+                key, node = _from_five(key), np.frombuffer(node, np.int64)[np.frombuffer(at, "<u2")]
+                if often:
+                    yield entries(node, key, np.full(len(key), 1 << 40))
+                else:
+                    keys.append(key)
+                    nodes.append(node)
+        if keys:
+            yield close()
+
+    keyed = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, often boolean, keys binary, at binary, nodes binary")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, key long, n long")
+
+
+def rare_edges(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, buckets: int) -> DataFrame:
+    """(a, b): top bits of nodes that share a key of their prefixes, in the order of how many sets hold a key."""
+    # a bounded list of keys that are treated apart for their frequency; which ones changes no result
+    often = rows.select(F.explode("common").alias("key")).groupBy("key").count().orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    # copies of a set in several tasks send its common keys more than once
+    shared = shared_keys(docs, words, [r["key"] for r in often], buckets)
+    shared = shared.repartition("node").dropDuplicates(["node", "n", "key"])
+    own = Window.partitionBy("node")
+    ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("n", "key")), "shared": F.count("*").over(own)})
+    beyond = nodes.select("node", "beyond")
+    first = F.col("rank") <= F.col("beyond") + F.col("shared")
+    return _met(save(ranked.join(beyond, "node").where(first).select("node", "key"), "rare"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of ``edges`` (a, b) that has a neighbour: root is the smallest node it is connected with.
 
@@ -369,11 +499,16 @@ def _join_tiles(rows: pa.Table, bands: Bands, across: bool) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int = TILE) -> DataFrame:
-    """(a, b): links between nodes that connect all that any link connects. ``nodes`` has node, n_shingles, mark (of one of its rows), grams."""
+def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int = TILE, rows: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between nodes that connect all that any link connects. ``nodes`` has node, n_shingles, mark (of one of its rows), grams.
+    ``rows`` of ``nodes_of`` with ``rare``, if nodes are dealt together by their rarest shingles."""
     shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = 1 << max(6, (shingles // PER_BUCKET).bit_length())
-    clusters = components(large_edges(docs, words, bands, buckets).union(small_edges(nodes, bands)))
+    if rows is None:
+        edges = large_edges(docs, words, bands, buckets).union(small_edges(nodes, bands))
+    else:
+        edges = rare_edges(docs, rows, nodes, words, buckets)
+    clusters = components(edges)
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "top")
     top = F.shiftrightunsigned(F.col("node").bitwiseXOR(F.lit(-(1 << 63))), _BITS)
     placed = nodes.select("node", "mark", top.alias("top")).join(clusters, "top")
@@ -453,18 +588,19 @@ def _across(rooted: DataFrame, bands: Bands, tile: int) -> DataFrame:
     return pairs.groupBy("cluster", "low", "high").applyInArrow(lambda rows: _join_tiles(rows, bands, True), "a long, b long")
 
 
-def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
-    """doc_id, mark, n_shingles, node, root, component_id of every row of ``docs``. ``root`` is the component itself: the smallest node in it."""
+def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE, rare: bool = False) -> DataFrame:
+    """doc_id, mark, n_shingles, node, root, component_id of every row of ``docs``. ``root`` is the component itself: the smallest node in it.
+    ``rare`` chooses how candidates are found, not what is found."""
     bands = Bands(percent, 100)
-    rows = save(nodes_of(docs, words, bands), "nodes")
+    rows = save(nodes_of(docs, words, bands, rare), "nodes")
     nodes = save(
         rows.where("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"),
-            F.any_value("grams").alias("grams"),
+            F.any_value("grams").alias("grams"), F.max("beyond").alias("beyond"),
         ),
         "distinct",
     )
-    roots = components(links(docs, nodes, words, bands, tile))
+    roots = components(links(docs, nodes, words, bands, tile, rows if rare else None))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     known = nodes.select(F.col("node").alias("_node"), "least", "copies").join(roots, F.col("_node") == roots["node"], "left")
     known = known.withColumn("root", F.coalesce("root", "_node")).select("_node", "root", "least", "copies")
@@ -473,7 +609,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE) -
     named = lookup(known, smallest, ["root"], salts=8).where("n > 1 or copies > 1").select(
         F.col("_node").alias("node"), "root", "component_id", F.lit(True).alias("joined")
     )
-    out = lookup(rows.drop("grams"), named, ["node"], salts=16, spread=F.xxhash64("mark"))
+    out = lookup(rows.drop("grams", "beyond", "common"), named, ["node"], salts=16, spread=F.xxhash64("mark"))
     component_id = F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     return out.select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("root"), component_id)
 
@@ -484,7 +620,7 @@ def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     Components are told apart by their root, not by an id: ids may be missing or shared by texts that have nothing in common.
     """
     name = unused("_mark", docs)
-    found = join(docs, words, percent).where("node is not null")
+    found = join(docs, words, percent, rare=True).where("node is not null")
     # a row without an id stays only where no row of the component has one
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark"))
     kept = found.groupBy("root").agg(least.alias("least")).select(F.col("least.mark").alias(name))

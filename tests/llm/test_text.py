@@ -91,10 +91,12 @@ def family_rows(seed, families, share):
     return rows + [(9000, None), (9001, ""), (9002, " \n")]
 
 
-@pytest.mark.parametrize("words, percent, tile", [(3, 90, 1024), (5, 80, 4)])
-def test_jaccard_join(saved, words, percent, tile):
+@pytest.mark.parametrize("words, percent, tile, rare", [(3, 90, 1024, False), (5, 80, 4, False), (5, 80, 1024, True), (3, 90, 4, True)])
+def test_jaccard_join(saved, words, percent, tile, rare):
     rows = family_rows(words, 40, 18 if percent == 90 else 30)
-    got = jaccard.join(saved(rows), words, percent, tile).select("doc_id", "n_shingles", "component_id")
+    # a passage in every third text
+    rows += [(500 + i, " ".join(f"q{i}x{k}" for k in range(i)) + " shared passage " + " ".join(f"p{k}" for k in range(60))) for i in range(60)]
+    got = jaccard.join(saved(rows), words, percent, tile, rare).select("doc_id", "n_shingles", "component_id")
     want = brute_components(rows, words, percent)
     assert sorted(map(tuple, got.collect())) == want
     assert len({w[2] for w in want}) < len(want) - 20
