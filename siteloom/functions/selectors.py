@@ -128,8 +128,10 @@ def _unnest(selector: Column) -> Column:
     return F.aggregate(rounds, start, step)
 
 
-def is_supported(selector: Column) -> Column:
-    return F.coalesce(_unnest(selector)["text"].rlike(_WHOLE), F.lit(False))
+def is_supported(selector: Column, nested: bool = True) -> Column:
+    """Whether a selector matches anything here; without ``nested``, whether it does so without nested lists (plain ``:not()`` is none)."""
+    text = _unnest(selector)["text"] if nested else _trimmed(selector)
+    return F.coalesce(text.rlike(_WHOLE), F.lit(False))
 
 
 def _plain_name(value: Column) -> Column:

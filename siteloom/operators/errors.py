@@ -12,8 +12,11 @@ from siteloom.sources.pages import lookup, missing
 COLUMNS = ("plan_id", "level", "url", "kind", "detail")
 
 
-def selector_errors(levels: DataFrame) -> DataFrame:
-    """Selectors that match nothing because they are not supported, and fields without a name."""
+def selector_errors(levels: DataFrame, nested: bool = True) -> DataFrame:
+    """Selectors that match nothing because they are not supported, and fields without a name.
+
+    Without ``nested`` the levels are meant for a reader that knows no nested lists (``:has``, ``:is``, ``:where``), so these are named too.
+    """
     entry = lambda where, selector: F.struct(where.alias("place"), selector.alias("selector"))
     name = lambda f: F.coalesce(f["name"], F.lit(""))
     used = F.concat(
@@ -24,7 +27,7 @@ def selector_errors(levels: DataFrame) -> DataFrame:
     place = ["plan_id", "level", F.col("sample_url").alias("url")]
     wrong = (
         levels.select(*place, F.inline(used))
-        .where((F.col("selector") != "") & (F.col("selector") != WHOLE_PAGE) & ~is_supported(F.col("selector")))
+        .where((F.col("selector") != "") & (F.col("selector") != WHOLE_PAGE) & ~is_supported(F.col("selector"), nested))
         .select("plan_id", "level", "url", F.lit("unsupported selector").alias("kind"), F.concat_ws(": ", "place", "selector").alias("detail"))
     )
     nameless = levels.select(*place, F.posexplode("fields").alias("pos", "f")).where(F.coalesce(F.col("f.name"), F.lit("")) == "")
@@ -33,17 +36,17 @@ def selector_errors(levels: DataFrame) -> DataFrame:
     )
 
 
-def run_errors(levels: DataFrame, docs: DataFrame, index: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+def run_errors(levels: DataFrame, docs: DataFrame, index: DataFrame, lost: DataFrame | None = None, nested: bool = True) -> DataFrame:
     """Errors of a scrape: unsupported selectors, unnamed fields, pages that are missing or were read in part.
 
-    ``lost`` is ``Scrape.missing``; without it the levels' own pages are looked up.
+    ``lost`` is ``Scrape.missing``; without it the levels' own pages are looked up. ``nested`` as for ``selector_errors``.
     """
     asked = levels.where(F.col("sample_url") != "").select("plan_id", "level", F.col("sample_url").alias("url"))
     gone = missing(asked, index) if lost is None else lost
     broken = docs.where(F.col("error").isNotNull()).select("page_id", F.col("error").alias("detail"))
     parsed = lookup(asked, index).join(broken, "page_id").withColumn("kind", F.lit("page read in part"))
     return (
-        selector_errors(levels)
+        selector_errors(levels, nested)
         .unionByName(gone.select("plan_id", "level", "url", F.lit("missing page").alias("kind"), F.lit(None).cast("string").alias("detail")))
         .unionByName(parsed.select(*COLUMNS))
     )

@@ -82,6 +82,15 @@ def test_errors_of_a_run(spark, docs_of):
     assert sorted((r.plan_id, r.field) for r in request_errors(asked, levels, page_index(docs)).collect()) == [("good", "z"), ("none", "a")]
 
 
+def test_errors_for_a_reader_without_nested_lists(spark, docs_of):
+    docs = docs_of("<p>x</p>")
+    fields = [field("a", "b:not(.x, #y)"), field("c", "b:is(i, u)"), field("d", "i::before")]
+    levels = _levels(spark, [("p", 1, "https://h.com/0", "li:has(a)", True, None, fields)])
+    found = lambda **how: sorted(r.detail for r in run_errors(levels, docs, page_index(docs), **how).collect())
+    assert found() == ["field d: i::before"]
+    assert found(nested=False) == ["field c: b:is(i, u)", "field d: i::before", "item: li:has(a)"]
+
+
 def test_csv_keeps_blanks(spark, tmp_path):
     values = ["  a ", " ", 'say "x"', "a,b", "", None, "é\t"]
     write_csv(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").coalesce(1), str(tmp_path / "out"))
