@@ -16,6 +16,8 @@ value, so a long page costs time in proportion to its tokens.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,9 @@ ELEM = (
 TEXT = "struct<parent:int,before:int,kind:string,noise:boolean,text:string>"
 DOC_SCHEMA = f"page_id bigint, url string, elems array<{ELEM}>, texts array<{TEXT}>, error string"
 
+# Characters of HTML that one task parses.
+CHARS_PER_TASK = 1_000_000
+
 _TOKENS = "page_id bigint, url string, tokens array<struct<kind:string,value:string,attrs:map<string,string>>>, error string"
 # Tokens of a piece of the fold.
 _PIECE = 128
@@ -60,6 +65,16 @@ _WHOLE = f"struct<names:array<string>,open:array<{_OPEN}>,n:int,n_texts:int,at:i
 _KEPT = ("names", "open", "n", "n_texts", "at")
 
 
+def spread_pages(pages: DataFrame) -> DataFrame:
+    """Pages dealt out evenly, in tasks of about ``CHARS_PER_TASK`` characters: more pages make more tasks and not longer ones.
+
+    Parsing is dear for its bytes, so neither the files of a source nor the sizes of a shuffle tell how many tasks it needs. ``pages``
+    are read twice, so they should be a saved table.
+    """
+    chars = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    return pages.repartition(max(pages.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / CHARS_PER_TASK)))
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` to one document row per page.
 

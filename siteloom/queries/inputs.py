@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.operators.parse import parse_pages
+from siteloom.operators.parse import parse_pages, spread_pages
 from siteloom.operators.scrape import scrape
 from siteloom.plans.model import LEVEL, NESTING, PLAN, make_field, make_level, make_struct
-from siteloom.session import balance, checkpoint_dir
+from siteloom.session import checkpoint_dir, keep
 from siteloom.sources.pages import page_index, read_pages
 
 CUSTOMERS_PER_SITE = 500
@@ -46,7 +46,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed ``pages`` table."""
-    return once(spark, sf_dir, "docs", lambda: parse_pages(balance(pages(spark, sf_dir))))
+    return once(spark, sf_dir, "docs", lambda: parse_pages(spread_pages(pages(spark, sf_dir))))
 
 
 def _tag(name: str, body: Column | str, **attrs: Column | str) -> Column:
@@ -179,7 +179,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "site_docs", lambda: parse_pages(site_pages(spark, sf_dir)))
+    return once(spark, sf_dir, "site_docs", lambda: parse_pages(spread_pages(keep(site_pages(spark, sf_dir)))))
 
 
 def site_index(spark: SparkSession, sf_dir: str) -> DataFrame:

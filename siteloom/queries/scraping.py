@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import quality
 from siteloom.operators.extract import compile_levels, extract_items, sample_values, split_tasks
-from siteloom.operators.parse import parse_pages
+from siteloom.operators.parse import parse_pages, spread_pages
 from siteloom.operators.scrape import first_rows, sample, scrape
 from siteloom.operators.select import steps_sizes
 from siteloom.operators.skew import spread_join
@@ -67,15 +67,15 @@ def x6_scrape_round_trip(spark, sf):
 def x6_scrape_again(spark, sf):
     """A run over earlier pages, on which some nations miss customers, and one over those that have changed since."""
     dated = lambda pages: pages.select(F.xxhash64("url").alias("page_id"), "url", "html", F.md5("html").alias("digest"))
-    old = dated(I.customer_pages(spark, sf, "c_nationkey % 5 > 0 or c_custkey % 3 > 0"))
-    new = dated(I.customer_pages(spark, sf))
+    old = keep(dated(I.customer_pages(spark, sf, "c_nationkey % 5 > 0 or c_custkey % 3 > 0")))
+    new = keep(dated(I.customer_pages(spark, sf)))
     levels = I.customer_levels(spark, sf)
-    before = keep(parse_pages(old))
+    before = keep(parse_pages(spread_pages(old)))
     first = scrape(levels, before, index=page_index(before), digests=old.select("page_id", "digest"))
     known = keep(first.items)
-    changed = new.join(old, ["page_id", "digest"], "left_anti")
+    changed = keep(new.join(old, ["page_id", "digest"], "left_anti"))
     again = scrape(
-        levels, keep(parse_pages(changed)), index=page_index(new), digests=new.select("page_id", "digest"), known=known
+        levels, keep(parse_pages(spread_pages(changed))), index=page_index(new), digests=new.select("page_id", "digest"), known=known
     )
     return _wide(again.rows, _SHOP_FIELDS)
 

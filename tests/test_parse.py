@@ -105,3 +105,14 @@ def test_nodes_equal_a_recursive_reference(docs_of):
     reader.clear()
     reader.read(pages[3])
     assert [n.tag or n.kind for n in nodes] == [v if k == "start" else "script" if v == "a" else k for k, v in zip(reader.kind, reader.value) if k != "end"]
+
+
+def test_more_pages_make_more_tasks(spark, monkeypatch):
+    from siteloom.operators import parse
+
+    monkeypatch.setattr(parse, "CHARS_PER_TASK", 1000)
+    pages = spark.createDataFrame([(i, f"https://h.com/{i}", "<p>" + "x" * 97) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    docs = parse.parse_pages(parse.spread_pages(pages))
+    rows = docs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 20 and max(r["count"] for r in rows) <= 20
+    assert parse.spread_pages(pages.where("page_id < 0")).count() == 0
