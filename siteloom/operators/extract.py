@@ -10,7 +10,7 @@ from siteloom.functions.text import blank_to_null, collapse, cut
 from siteloom.functions.urls import DEAD_PREFIXES_IN_ITEM, resolved, starts_with_any
 from siteloom.operators.parse import text_of
 from siteloom.operators.select import DOCUMENT, candidates, first_below, settle, steps_sizes
-from siteloom.operators.skew import copy_to_parts, parts_of, spread_join
+from siteloom.operators.skew import parts_of, spread_join, tasks_for, with_pages
 from siteloom.session import keep, per_session
 from siteloom.sources.pages import lookup
 
@@ -105,10 +105,13 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int, int]
     """
     place = ["page_id", "part"]
     keys = [*place, "plan_id", "url"]
-    pages = copy_to_parts(docs.select("page_id", "elems", "texts"), tasks, "page_id")
+    asked = keep(tasks.select(*place).distinct())
+    n = asked.count()
+    spread = [tasks_for(n, tasks.sparkSession), *place]
+    pages = with_pages(asked, docs.select("page_id", "elems", "texts"), n)
     # from this join on, all steps keep the rows of a page (or part of its tasks) where they are
     found = candidates(
-        tasks.join(pages, place),
+        tasks.repartition(*spread).join(pages.select(*place, "elems", "texts").repartition(*spread), place),
         keys,
         lambda e, s: {
             "t0": e["t0"],
@@ -141,7 +144,7 @@ def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int, int]
         F.collect_list(F.struct("plan_id", "url", "item", "sel", "hit", "kind", "names", "drills", "own_href")).alias("refs")
     )
     valued = (
-        chosen.join(pages.select(*place, "texts"), place)
+        chosen.join(pages.select(*place, "texts").repartition(*spread), place)
         .withColumn("_read", _values())
         .select(*place, F.inline_outer("_read"))
     )

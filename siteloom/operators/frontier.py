@@ -17,8 +17,9 @@ from siteloom.functions.urls import (
 )
 from siteloom.operators.parse import strings_of
 from siteloom.operators.select import candidates, settle, steps_sizes
-from siteloom.operators.skew import spread_join
+from siteloom.operators.skew import spread_join, tasks_for, with_pages
 from siteloom.operators.summary import all_links
+from siteloom.session import keep
 
 # How many candidates and links a short decision shows, as callers that want one pass them.
 MAX_CANDIDATES = 8
@@ -59,9 +60,11 @@ def item_links(scopes: DataFrame, docs: DataFrame, label_length: int | None = No
         .agg(F.flatten(F.collect_list("steps")).alias("steps"))
     )
     sizes = steps_sizes(compiled)
-    tasks = spread_join(wanted, compiled, "item_container_selector").join(
-        docs.select("page_id", "elems", "texts"), "page_id"
-    )
+    asked = keep(wanted.select("page_id").distinct())
+    n = asked.count()
+    spread = [tasks_for(n, docs.sparkSession), "page_id"]
+    pages = with_pages(asked, docs.select("page_id", "elems", "texts"), n)
+    tasks = spread_join(wanted, compiled, "item_container_selector").repartition(*spread).join(pages.repartition(*spread), "page_id")
     text = lambda e: cut(F.array_join(strings_of(F.col("texts"), e), ""), label_length)
     found = candidates(
         tasks,
@@ -87,7 +90,7 @@ def item_links(scopes: DataFrame, docs: DataFrame, label_length: int | None = No
 
 
 def _page_links(scopes: DataFrame, docs: DataFrame, label_length: int | None) -> DataFrame:
-    rows = all_links(docs.join(scopes.select("page_id").distinct(), "page_id", "left_semi"), label_length)
+    rows = all_links(with_pages(keep(scopes.select("page_id").distinct()), docs), label_length)
     return scopes.select("page_id", "url").join(rows, "page_id")
 
 

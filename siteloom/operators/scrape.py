@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 
 from siteloom.operators.extract import compile_levels, extract_items, split_tasks
 from siteloom.operators.select import steps_sizes
-from siteloom.operators.skew import salted_join, spread_join
+from siteloom.operators.skew import salted_join, spread_join, with_pages
 from siteloom.session import keep
 from siteloom.sources.pages import lookup, missing, page_index
 
 _RANK_BUCKETS = 64
-# As many pages may be named in a broadcast; more are found by a join.
-_NAMED_PAGES = 100_000
 # What tells that a page need not be read again for a plan: the same page, contents and level definition.
 _SAME = ["plan_id", "url", "page_id", "digest", "definition"]
 
@@ -175,9 +173,7 @@ def _scrape(levels, docs, target_level, max_items, index, first, digests, known,
 
 def _pages_of(tasks: DataFrame, docs: DataFrame) -> DataFrame:
     """The documents that tasks are about. Up to a number of pages their list goes to the readers, else it is joined."""
-    pages = tasks.select("page_id").distinct()
-    few = pages.limit(_NAMED_PAGES + 1).count() <= _NAMED_PAGES
-    return docs.join(F.broadcast(pages) if few else pages, "page_id", "left_semi")
+    return with_pages(keep(tasks.select("page_id").distinct()), docs)
 
 
 def _ranked(rows: DataFrame, limit: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Where on a page, or on which pages, does a value stand?
 
-``find_values`` looks through the pages it is told. ``value_index`` lists the pages of every three characters in a row (and of
-every one and two, for short values); ``find_indexed`` intersects the lists of a value's rarest pieces and looks only
+``find_values`` looks through the pages it is told. ``value_index`` lists the pages of every eight characters in a row (and of
+every one, two and three, for short values); ``find_indexed`` intersects the lists of a value's rarest pieces and looks only
 through the pages that hold them all, so it needs no page and reads none without reason.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from siteloom.functions.columns import let
 from siteloom.functions.text import cut, strip
 from siteloom.operators.parse import strings_of
-from siteloom.operators.skew import copy_to_parts, parts_of, spread_join
+from siteloom.operators.skew import parts_of, spread_join, tasks_for, with_pages
+from siteloom.session import keep
 
 # Attributes searched after the text, in this order, and the most hits and characters of a short answer.
 SEARCHED_ATTRIBUTES = ("alt", "title", "value", "placeholder", "aria-label")
@@ -23,6 +24,8 @@ SHORT_PREVIEW, SHORT_TEXT = 100, 200
 _SEARCHES_PER_PART = 64
 # Pieces of a value whose pages are intersected; all are verified afterwards.
 _PIECES = 4
+# Characters of a piece: of a value that has as many, the longest of these, because long pieces are rare.
+_LENGTHS = (1, 2, 3, 8)
 
 _PLACE = "array<struct<tag:string,classes:array<string>,id:string>>"
 
@@ -44,13 +47,16 @@ def find_values(
     before attributes, each in document order. Searches that pile up on one page are split.
     """
     ids = [name for name in searches.columns if name not in ("page_id", "expected_value")]
-    asked = parts_of(
-        searches.withColumn("_q", _wanted(F.col("expected_value"))), "page_id", _SEARCHES_PER_PART, searches.columns
+    asked = keep(
+        parts_of(searches.withColumn("_q", _wanted(F.col("expected_value"))), "page_id", _SEARCHES_PER_PART, searches.columns)
     )
     # the searches of a page meet it once, in groups of limited size
-    grouped = asked.groupBy("page_id", "part").agg(F.collect_list(F.struct(*ids, "expected_value", "_q")).alias("asked"))
-    pages = copy_to_parts(docs.select("page_id", "elems", "texts"), asked, "page_id")
-    rows = grouped.join(pages, ["page_id", "part"])
+    place = ["page_id", "part"]
+    places = keep(asked.select(*place).distinct())
+    n = places.count()
+    spread = [tasks_for(n, docs.sparkSession), *place]
+    grouped = asked.repartition(*spread).groupBy(*place).agg(F.collect_list(F.struct(*ids, "expected_value", "_q")).alias("asked"))
+    rows = grouped.join(with_pages(places, docs.select("page_id", "elems", "texts"), n).repartition(*spread), place)
     first = lambda hits: hits if max_hits is None else F.slice(hits, 1, max_hits)
     hit = lambda h: _hit(h, preview_length, text_length)
     answer = lambda a, hay: F.struct(
@@ -78,11 +84,11 @@ def _pieces(text: Column, length: int) -> Column:
 
 
 def value_index(docs: DataFrame) -> DataFrame:
-    """``piece, page_id``: which pages hold a piece of one to three characters in a searchable string or attribute.
+    """``piece, page_id``: which pages hold a piece (``_LENGTHS``) in a searchable string or attribute.
 
     Built once per page, inside its row; save it (bucketed by ``piece`` for repeated use).
     """
-    own = F.flatten(F.transform("_hay", lambda t: F.flatten(F.array(*[_pieces(t, n) for n in (1, 2, 3)]))))
+    own = F.flatten(F.transform("_hay", lambda t: F.flatten(F.array(*[_pieces(t, n) for n in _LENGTHS]))))
     strings = docs.select("page_id", F.array_distinct(F.transform(_searchable(), lambda h: h["low"])).alias("_hay"))
     return strings.select("page_id", F.explode(F.array_distinct(own)).alias("piece")).select("piece", "page_id")
 
@@ -97,8 +103,10 @@ def find_indexed(
     keys = ["_q", "page_id"] if "page_id" in searches.columns else ["_q"]
     asked = searches.withColumn("_q", _wanted(F.col("expected_value"))).where(F.col("_q") != "")
     length = F.char_length("_q")
-    pieces = F.when(length == 1, _pieces(F.col("_q"), 1)).when(length == 2, _pieces(F.col("_q"), 2)).otherwise(_pieces(F.col("_q"), 3))
-    values = asked.select("_q").distinct().select("_q", F.explode(pieces).alias("piece"))
+    pieces = F.coalesce(*[F.when(length >= n, _pieces(F.col("_q"), n)) for n in reversed(_LENGTHS)])
+    # saved, because four steps read them; cutting a value is dear for its bytes, so it is dealt out
+    distinct = keep(asked.select("_q").distinct().repartition(asked.sparkSession.sparkContext.defaultParallelism))
+    values = keep(distinct.select("_q", F.explode_outer(pieces).alias("piece")))
     # a piece that no page holds is the rarest of all
     sizes = index.join(values.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("_q").orderBy(F.coalesce("n", F.lit(0)), "piece")
@@ -109,9 +117,9 @@ def find_indexed(
     else:
         held = spread_join(index, chosen, "piece")
     found = held.groupBy("_q", "page_id").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).where("n = wanted").select("_q", "page_id")
+    found = keep(found)
     told = asked.join(found, keys).drop("_q")
-    pages = docs.join(found.select("page_id").distinct(), "page_id", "left_semi")
-    return find_values(told, pages, max_hits, preview_length, text_length)
+    return find_values(told, docs, max_hits, preview_length, text_length)
 
 
 def _searchable() -> Column:

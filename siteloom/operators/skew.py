@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The keys that own the most rows are spread, whether there are few rows or many: so many of them, whatever the data, so
 # their list may be broadcast.
 HOT_KEYS = 1000
 SALTS = 64
+# As many pages may be named in a broadcast; more are found by a join.
+NAMED_PAGES = 1_000_000
+# Pages whose matches one task handles. The bytes of a shuffle do not tell: pages of one site are alike and pack well.
+PAGES_PER_TASK = 50
 
 
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -51,8 +57,12 @@ def parts_of(rows: DataFrame, key: str, size: int, spread: list[str]) -> DataFra
     return rows.join(many, key, "left").withColumn("part", part).drop("_parts")
 
 
-def copy_to_parts(one: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """One copy of a row for each part that ``rows`` has of its key; mostly there is one."""
-    last = rows.where("part > 0").groupBy(key).agg(F.max("part").alias("_last"))
-    parts = F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))
-    return one.join(last, key, "left").withColumn("part", F.explode(parts)).drop("_last")
+def tasks_for(pages: int, spark: SparkSession) -> int:
+    """How many tasks so many pages need: more pages make more tasks and not larger ones."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(pages / PAGES_PER_TASK))
+
+
+def with_pages(asked: DataFrame, docs: DataFrame, n: int | None = None) -> DataFrame:
+    """The documents that ``asked`` (distinct, saved, with ``page_id``) names, once per row of it; no other one is moved."""
+    few = (asked.count() if n is None else n) <= NAMED_PAGES
+    return docs.join(F.broadcast(asked) if few else asked, "page_id")

@@ -204,3 +204,17 @@ def test_a_sample_reads_no_page_twice(site, monkeypatch):
     )
     assert sample(levels, docs, 3).count() > 3
     assert len(read) == len(set(read)) > 3
+
+
+def test_more_pages_are_matched_by_more_tasks(spark, docs_of, monkeypatch):
+    docs = docs_of(*[f"<ul><li>{i}a<li>{i}b</ul>" for i in range(40)])
+    levels = spark.createDataFrame([level(f"P{i}", 1, f"https://h.com/{i}", "li", True, [field("v", "*", container="li")]) for i in range(0, 40, 2)], LEVEL_PLAN)
+    compiled = extract.compile_levels(levels)
+    pages = scraping.lookup(compiled.select("plan_id", F.col("sample_url").alias("url")), page_index(docs))
+    tasks = keep(extract.split_tasks(pages).join(compiled.drop("level", "sample_url"), "plan_id"))
+    monkeypatch.setattr(skew, "PAGES_PER_TASK", 1)
+    rows = extract.extract_items(tasks, docs, (1, 1, 0)).select("plan_id", "item", "fields", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 40 and len({r.task for r in rows}) > 4
+    monkeypatch.setattr(skew, "NAMED_PAGES", 0)
+    joined = extract.extract_items(tasks, docs, (1, 1, 0)).select("plan_id", "item", "fields").collect()
+    assert sorted(joined) == sorted(r[:3] for r in rows)

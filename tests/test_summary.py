@@ -154,3 +154,14 @@ def test_guard(spark):
 def test_uneven_links_need_no_pairs(docs_of):
     # ten thousand nested elements: settled by windows, not by pairs
     assert select(docs_of("<div>" * 10_000), "div div").count() == 9_999
+
+
+def test_long_values_are_looked_for_by_long_pieces(docs_of, spark, monkeypatch):
+    docs = docs_of("<p>see abcdefghij</p>", *["<p>abc</p><p>bcd</p><p>cde</p><p>def</p><p>efg</p><p>fgh</p><p>ghi</p><p>hij</p>"] * 5)
+    asked = spark.createDataFrame([("ABCDEFGHIJ",), ("abc",)], "expected_value string")
+    index = search.value_index(docs)
+    looked = []
+    monkeypatch.setattr(search, "find_values", lambda told, *_: looked.append(told))
+    search.find_indexed(asked, docs, index)
+    rows = looked[0].collect()
+    assert sorted(r.page_id for r in rows if r.expected_value == "ABCDEFGHIJ") == [0] and len(rows) == 7
