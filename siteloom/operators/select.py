@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siteloom.functions.columns import let
 from siteloom.functions.selectors import compile_selectors, step_holds
+from siteloom.operators.skew import tasks_for
 from siteloom.session import per_session
 
 _FAR = 2147483647
@@ -48,20 +50,42 @@ def candidates(
         F.transform("_passed", lambda p: F.transform(p["steps"], lambda s: entry(s, F.get("elems", p["node"]), p["node"])))
     )
     # the outer form, because the plain one tests the array for emptiness by computing it once more
-    rows = tasks.withColumn("_passed", _passed()).withColumn("_found", found).select(*keys, F.inline_outer("_found"))
+    rows = tasks.withColumn("_passed", _passed(depth)).withColumn("_found", found).select(*keys, F.inline_outer("_found"))
     return rows.where(F.col("sel").isNotNull())
 
 
 @per_session
-def _passed() -> Column:
+def _passed(depth: int) -> Column:
     """Elements of the row with the steps they pass."""
     # the document itself is no element; only a whole-page scope asks for it by name
     real = lambda s, node: (node > 0) | (s["tag"] == DOCUMENT)
     passed = lambda e, node: F.filter("steps", lambda s: step_holds(s, node, e, F.col("texts")) & real(s, node))
-    each = F.transform("elems", lambda e, node: F.struct(node.alias("node"), passed(e, node).alias("steps")))
+
+    def useful(own: Column, rounds: int) -> Column:
+        # what a list needs may be a list again, so there is a round for each level
+        return own if rounds == 0 else let(own, lambda o: useful(F.filter(o, lambda s: _useful(s, o)), rounds - 1))
+
+    each = F.transform("elems", lambda e, node: F.struct(node.alias("node"), useful(passed(e, node), depth).alias("steps")))
     return F.filter(each, lambda p: F.size(p["steps"]) > 0)
 
 
+def _useful(s: Column, own: Column) -> Column:
+    """Whether a step that an element passes can matter, as far as the element itself tells.
+
+    A list like ``:is()`` is about the element itself: one of its alternatives must be among the steps it passes (``own``), and an
+    alternative matters only where the compound that needs it passes. So ``:has(a)`` inside ``.x:is(:has(a), b)`` is no candidate everywhere.
+    """
+    passes = lambda sub: F.exists(own, lambda t: (t["sel"] == s["sel"]) & (t["sub"] == sub))
+    answered = F.forall(
+        s["needs"],
+        lambda n: n["negate"] | (n["rel"] != "self") | F.exists(s["needs"], lambda m: (m["list"] == n["list"]) & passes(m["sub"])),
+    )
+    wanted = (s["sub"] < 0) | (s["rel"] != "self") | F.exists(
+        own, lambda t: (t["sel"] == s["sel"]) & F.exists(t["needs"], lambda n: n["sub"] == s["sub"])
+    )
+    return answered & wanted
+
+
 def _nested(found: DataFrame, keys: list[str], depth: int) -> DataFrame:
     """Candidates of the selectors themselves whose nested lists hold.
 
@@ -152,18 +176,19 @@ def select(docs: DataFrame, selector: str, keys: list[str] | None = None) -> Dat
 
 
 def select_many(docs: DataFrame, selectors: dict[str, str], keys: list[str] | None = None) -> DataFrame:
-    """Several selectors in one pass: ``(page_id, selector_id, node, last, tag, t0, t1)``."""
+    """Several selectors in one pass: ``(page_id, selector_id, node, last, tag, t0, t1)``. ``docs`` are counted, so they should be saved."""
     keys = keys or ["page_id"]
     compiled, max_steps, max_alts, depth = literal_steps(tuple(selectors.values()))
+    pages = docs.select(*{"page_id": 0, **dict.fromkeys(keys), "elems": 0, "texts": 0})
+    if max_steps > 1 or depth:
+        # all windows of all steps stay inside a page, so this is the only exchange, and it moves pages, which are smaller than matches
+        pages = pages.repartition(tasks_for(docs.count(), docs.sparkSession), "page_id")
     found = candidates(
-        docs.withColumn("steps", compiled),
+        pages.withColumn("steps", compiled),
         keys,
         lambda e, s: {"tag": e["tag"], "t0": e["t0"], "t1": e["t1"]},
         depth,
     )
-    if max_steps > 1 or depth:
-        # all windows of all steps stay inside a page, so this is the only exchange
-        found = found.repartition("page_id")
     named = F.element_at(F.array(*[F.lit(name) for name in selectors]), F.col("sel") + 1)
     return settle(found, keys, max_steps, max_alts, depth).withColumn("selector_id", named).drop("sel")
 

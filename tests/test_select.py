@@ -153,3 +153,13 @@ def test_nested_lists_against_a_recursive_matcher(docs_of):
             some += bool(want)
             assert sorted(found.get((d.page_id, str(i)), [])) == want, made.text(chain)
     assert some > 60
+
+
+def test_nested_lists_about_an_element_make_no_candidates_elsewhere(docs_of):
+    from siteloom.operators.select import candidates, literal_steps
+
+    docs = docs_of("<div class=x><a>1</a></div><div class=x></div>" + "<p>q</p>" * 100)
+    for selector, n in ((".x:is(:has(a), b)", 1), ("body, .x:is(:not(:has(a)), i)", 1), (":is(div:has(a), u)", 1)):
+        steps, *_, depth = literal_steps((selector,))
+        assert depth > 0 and candidates(docs.withColumn("steps", steps), ["page_id"], depth=depth).count() < 12
+        assert select_many(docs, {"s": selector}).count() == n
