@@ -63,7 +63,7 @@ def observe(
     """Open sites with all that their decision depends on.
 
     ``schemas`` holds ``url_key, kind (list | detail), body`` and ``nestings`` ``url_key, body``, one
-    row per key. New columns: ``stop`` (too deep, visited before, or no page), ``schema``, ``detail``,
+    row per key. Every round reads them, so they should be saved tables. New columns: ``stop`` (too deep, visited before, or no page), ``schema``, ``detail``,
     ``nesting`` and ``links`` (unvisited, best first).
     """
     open_ = state.where(~F.col("done"))

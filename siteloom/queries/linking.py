@@ -108,7 +108,9 @@ def n9_guard_frontier(spark, sf):
 
 def _responses(spark, sf):
     """Raw answers about the pages of the shops, fenced or not, as a model might give them."""
-    pages = I.customer_pages(spark, sf).select("url")
+    # saved, so that answers are made and parsed per page and not per customer that is listed there
+    pages = I.once(spark, sf, "shop_urls", lambda: I.customer_pages(spark, sf).select("url"))
+    pages = pages.repartition(spark.sparkContext.defaultParallelism)
     kind = F.when(F.col("url").contains("/n/"), "customer").when(F.col("url").contains("/r/"), "nation").otherwise("region")
     fields = F.lit('[{"name":"name","selector":"b","type":"string"},{"name":"link","selector":"a","attribute":"href"}]')
     schema = F.concat(
@@ -131,9 +133,8 @@ def _roots(spark, sf):
 
 def _discovery_inputs(spark, sf):
     schemas, nestings = _responses(spark, sf)
-    return (
-        I.site_docs(spark, sf), I.site_index(spark, sf), parse_responses(schemas, "schema"), parse_responses(nestings, "nesting")
-    )
+    answered = lambda kind, raw: I.once(spark, sf, f"{kind}_answers", lambda: parse_responses(raw, kind))
+    return I.site_docs(spark, sf), I.site_index(spark, sf), answered("schema", schemas), answered("nesting", nestings)
 
 
 def _first_round(spark, sf, mode):

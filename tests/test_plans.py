@@ -177,3 +177,20 @@ def test_streams(spark, tmp_path):
         stream_batches(spark, source, str(tmp_path / "s2"), lambda docs, n: counts.append(docs.count())).awaitTermination(120)
     assert spark.read.parquet(out).selectExpr("page_id", "size(elems) n").orderBy("page_id").collect() == [(1, 2), (2, 2), (3, 2)]
     assert counts == [2, 1]
+
+
+def test_answers_of_a_discovery_are_saved_before_its_rounds(spark, tmp_path):
+    from siteloom.queries import linking
+
+    tables = {
+        "customer": "select id c_custkey, 'C' || id c_name, cast(id % 2 as int) c_nationkey, 1.0D c_acctbal, 'X' c_mktsegment from range(3)",
+        "nation": "select cast(id as int) n_nationkey, 'N' || id n_name, 0 n_regionkey from range(2)",
+        "region": "select 0 r_regionkey, 'R' r_name",
+        "supplier": "select id s_suppkey, 'S' s_name, 0 s_nationkey, 1.0D s_acctbal from range(1)",
+        "part": "select id p_partkey, 'P' p_name, 'B' p_brand, 'T' p_type, 1 p_size, 1.0D p_retailprice from range(1)",
+    }
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, index, schemas, nestings = linking._discovery_inputs(spark, str(tmp_path))
+    for saved, name in ((schemas, "schema_answers"), (nestings, "nesting_answers")):
+        assert all(name in f for f in saved.inputFiles()) and saved.count() == 4
