@@ -46,7 +46,8 @@ def x4_items(spark, sf):
 def x4_stream_items(spark, sf):
     """The items of x4_items from a stream: an outdated capture of every page, then the pages, some of them twice."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
-    pages = I.part_pages(spark, sf).where("url like '%/cards/%'").select(F.xxhash64("url").alias("page_id"), "url", "html")
+    # the files, and with them the batches, are as many at every size of the tables; batches are dealt out when they are parsed
+    pages = keep(I.part_pages(spark, sf).where("url like '%/cards/%'").select(F.xxhash64("url").alias("page_id"), "url", "html")).repartition(4)
     at = lambda rows, day: rows.withColumn("captured_at", F.to_timestamp(F.lit(f"2026-01-{day:02d}")))
     at(pages, 2).write.parquet(f"{base}/pages/b")
     at(pages.withColumn("html", F.replace("html", F.lit("title"), F.lit("old"))), 1).write.parquet(f"{base}/pages/c")

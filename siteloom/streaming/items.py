@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siteloom.functions.urls import normalized
 from siteloom.operators.extract import compile_levels, extract_items, split_tasks
-from siteloom.operators.parse import parse_pages
+from siteloom.operators.parse import parse_pages, spread_pages
 from siteloom.operators.select import steps_sizes
 from siteloom.operators.skew import spread_join
 from siteloom.session import keep
@@ -35,7 +35,7 @@ def stream_items(
     def write(batch: DataFrame, number: int) -> None:
         # of several captures in the batch each is a page of its own
         pages = keep(batch.withColumn("capture", F.xxhash64("page_id", "digest")))
-        docs = parse_pages(pages.select(F.col("capture").alias("page_id"), "url", "html"))
+        docs = parse_pages(spread_pages(pages.select(F.col("capture").alias("page_id"), "url", "html")))
         tasks = pages.select(F.col("capture").alias("page_id"), "url", normalized("url").alias("page_key"))
         wanted = tasks.join(compiled.select("page_key", "plan_id"), "page_key").drop("page_key")
         joined = spread_join(keep(split_tasks(wanted)), compiled.drop("level", "sample_url", "page_key", "definition"), "plan_id")

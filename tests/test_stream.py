@@ -2,6 +2,8 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from siteloom.operators.parse import parse_pages
 from siteloom.operators.scrape import scrape
 from siteloom.plans.model import LEVEL_PLAN
@@ -43,3 +45,17 @@ def test_late_and_repeated_files_and_a_restart(spark, tmp_path):
     # repeats were dropped by the state: six contents of the two pages of plans are left
     rows = spark.read.option("basePath", f"{base}/items").parquet(f"{base}/items/batch=*")
     assert rows.select("capture").distinct().count() == 6
+
+
+def test_pages_of_a_batch_are_dealt_out(spark, tmp_path, monkeypatch):
+    from siteloom.operators import parse
+    from siteloom.streaming import items
+
+    pages = [(i, f"https://h.com/{i}", "<p>" + "x" * 97, None) for i in range(50)]
+    rows = spark.createDataFrame(pages, items.CAPTURES).withColumn("captured_at", F.to_timestamp(F.lit("2026-01-01")))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(parse, "CHARS_PER_TASK", 500)
+    tasks = []
+    monkeypatch.setattr(items, "parse_pages", lambda dealt: tasks.append(dealt.rdd.getNumPartitions()) or parse.parse_pages(dealt))
+    items.stream_items(spark, _levels(spark), f"{tmp_path}/in", f"{tmp_path}/items", f"{tmp_path}/state").awaitTermination()
+    assert tasks[0] == 10
