@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +28,51 @@ def shared_path(spark: SparkSession, what: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def save(df: DataFrame, what: str = "table") -> DataFrame:
+#: Rows that go to Python at once. A task holds such a batch in the JVM, with room to grow, and in Python.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def save(df: DataFrame, what: str = "table", batch: int | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: lineage ends there, lost executors lose nothing.
 
-    Its shuffle files are of no further use then, so they are given up with the write.
+    Its shuffle files are of no further use then, so they are given up with the write. ``batch`` is for rows of whole texts: as
+    many go to Python at once, and not what the session says.
     """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    held = {_CLEANUP: "true"} | ({} if batch is None else {_BATCH: str(batch)})
+    before = {key: spark.conf.get(key, None) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Memory that Python has freed goes back to the system; allocators keep it else, as long as a worker waits for tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some systems have it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a ``mapInArrow`` whose worker holds no memory of a task that has ended, while the JVM goes on."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def lookup(many: DataFrame, small: DataFrame, on: list[str], salts: int = 32, spread: Column | None = None) -> DataFrame:
     """Left join to a table with one row per key, null keys equal; each of its rows is copied ``salts`` times.
 

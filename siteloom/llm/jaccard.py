@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from siteloom.llm.common import as_bytes, flat_ids, lookup, mixed, save, slices, unused
+from siteloom.llm.common import as_bytes, flat_ids, lookup, mixed, save, slices, tidy, unused
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Nodes of a tile, coordinates of a point, points or nodes below a tree node.
@@ -51,6 +51,8 @@ PER_BUCKET, HELD, SLICE = 1 << 20, 1 << 19, 1 << 20
 OFTEN, COMMON = 6, 4096
 #: Nodes of each connected part of a tile that look for the parts of other tiles, before all nodes of different parts meet.
 SOME = 8
+#: Rows (whole texts, packed buckets, sets) that go to Python at once, and entries that come back at once.
+ROWS, ENTRIES = 512, 1 << 16
 _BITS = 24  # what an edge leaves out of a node's hash
 
 
@@ -180,7 +182,7 @@ def nodes_of(docs: DataFrame, words: int, bands: Bands, rare: bool = False) -> D
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark().alias("mark")).mapInArrow(
-        run, "doc_id long, mark binary, n_shingles long, node long, grams array<long>, beyond long, common array<long>"
+        tidy(run), "doc_id long, mark binary, n_shingles long, node long, grams array<long>, beyond long, common array<long>"
     )
 
 
@@ -271,8 +273,8 @@ def large_edges(docs: DataFrame, words: int, bands: Bands, buckets: int) -> Data
         if keys:
             yield close()
 
-    keyed = docs.select(F.col("text").cast("string")).mapInArrow(run, _KEYED)
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    keyed = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), _KEYED)
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "a long, b long")
 
 
 def small_edges(nodes: DataFrame, bands: Bands) -> DataFrame:
@@ -347,7 +349,7 @@ def shared_keys(docs: DataFrame, words: int, common: list[int], buckets: int) ->
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, nodes = None, [], []
 
-        def close() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
             key, node = np.concatenate(keys), np.concatenate(nodes)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
@@ -357,28 +359,32 @@ def shared_keys(docs: DataFrame, words: int, common: list[int], buckets: int) ->
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             lengths = np.diff(np.append(starts, len(key)))
             n = np.repeat(lengths, lengths)
-            return entries(node[n > 1], key[n > 1], n[n > 1])
+            yield from entries(node[n > 1], key[n > 1], n[n > 1])
 
-        def entries(node: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(_long(key)), pa.array(n.astype(np.int64))], names=["node", "key", "n"])
+        def entries(node: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(node), ENTRIES):
+                some = slice(k, k + ENTRIES)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[some]), pa.array(_long(key[some])), pa.array(n[some].astype(np.int64))], names=["node", "key", "n"]
+                )
 
         for batch in batches:
             for bucket, often, key, at, node in zip(*(batch.column(c).to_pylist() for c in ("bucket", "often", "keys", "at", "nodes"))):
                 if bucket != now and keys:
-                    yield close()
+                    yield from close()
                     keys, nodes = [], []
                 now = bucket
                 key, node = _from_five(key), np.frombuffer(node, np.int64)[np.frombuffer(at, "<u2")]
                 if often:
-                    yield entries(node, key, np.full(len(key), 1 << 40))
+                    yield from entries(node, key, np.full(len(key), 1 << 40))
                 else:
                     keys.append(key)
                     nodes.append(node)
         if keys:
-            yield close()
+            yield from close()
 
-    keyed = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, often boolean, keys binary, at binary, nodes binary")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, key long, n long")
+    keyed = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "bucket int, often boolean, keys binary, at binary, nodes binary")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "node long, key long, n long")
 
 
 def rare_edges(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -392,7 +398,7 @@ def rare_edges(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, b
     ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("n", "key")), "shared": F.count("*").over(own)})
     beyond = nodes.select("node", "beyond")
     first = F.col("rank") <= F.col("beyond") + F.col("shared")
-    return _met(save(ranked.join(beyond, "node").where(first).select("node", "key"), "rare"))
+    return _met(save(ranked.join(beyond, "node").where(first).select("node", "key"), "rare", ROWS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -401,7 +407,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn; each halves long ways, and edges are written to the shared folder between
     rounds. A node with very many neighbours is joined with copies of its row.
     """
-    now = save(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = save(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", ROWS)
     state = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -534,9 +540,9 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
             )
 
     kinds = "node long, cluster long, tile int, tiles int, n_shingles long, shingles binary"
-    sets = save(rows.mapInArrow(run, kinds), "sets")
+    sets = save(rows.mapInArrow(tidy(run), kinds), "sets", ROWS)
     within = save(
-        sets.groupBy("cluster", "tile").applyInArrow(lambda rows: _join_tiles(rows, bands, False), "a long, b long"), "links"
+        sets.groupBy("cluster", "tile").applyInArrow(lambda rows: _join_tiles(rows, bands, False), "a long, b long"), "links", ROWS
     )
     large = sets.where("tiles > 1")
     if large.isEmpty():
@@ -548,7 +554,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, bands: Bands, tile: int
     counts = first.groupBy("cluster").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     dealt = lookup(first, counts, ["cluster"], salts=8, spread=F.xxhash64("node")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "parts"))
     met = dealt.drop("parts").groupBy("cluster", "part").applyInArrow(lambda rows: _join_tiles(rows, bands, False), "a long, b long")
-    known = save(within.union(met), "links")
+    known = save(within.union(met), "links", ROWS)
     return known.union(_across(_rooted(large, components(known)), bands, tile))
 
 
@@ -592,7 +598,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, tile: int = TILE, r
     """doc_id, mark, n_shingles, node, root, component_id of every row of ``docs``. ``root`` is the component itself: the smallest node in it.
     ``rare`` chooses how candidates are found, not what is found."""
     bands = Bands(percent, 100)
-    rows = save(nodes_of(docs, words, bands, rare), "nodes")
+    rows = save(nodes_of(docs, words, bands, rare), "nodes", ROWS)
     nodes = save(
         rows.where("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest, xxh64_intdigest
 
-from siteloom.llm.common import slices
+from siteloom.llm.common import slices, tidy
 
 #: Documents of each class in the sample, and most characters of one: longer labelled rows are not sampled.
 PER_CLASS = {1: 700, 0: 1600}
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, score double, predicted int, n_toxic double, spans array<struct<start:int,end:int>>"
+        tidy(run), f"doc_id {kind}, score double, predicted int, n_toxic double, spans array<struct<start:int,end:int>>"
     )
 
 
@@ -334,4 +334,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             value, _, _ = _judged(tag, pc.fill_null(rows.column("text"), "").to_pylist())
             yield rows.filter(pa.array(value < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -1,13 +1,17 @@
 """Tokens, toxicity, quality and near copies against brute force."""
 
+import ctypes
 import random
 from collections import defaultdict
 
 import numpy as np
+import psutil
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siteloom.llm import bpe, jaccard, mixture, quality, toxicity
+from siteloom.llm.common import give_back, save, tidy
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -145,6 +149,34 @@ def test_one_of_each_keeps_what_is_linked_with_nothing(saved):
     ]
 
 
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Whatever the session says: a batch is held by the JVM and by Python, and near copies once went over an executor's memory."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(jaccard, "save", lambda df, what="table", *size: seen.append((what, *size)) or save(df, what, *size))
+    sized = tidy(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches))
+    spark.conf.set(key, "10000")
+    try:
+        rows = save(spark.range(3000).coalesce(1).mapInArrow(sized, "n long"), "sizes", jaccard.ROWS).collect()
+        docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(20)], "doc_id long, text string")
+        assert jaccard.one_of_each(docs).count() == 10
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r.n for r in rows) == 3000 and max(r.n for r in rows) <= jaccard.ROWS
+    assert {("nodes", jaccard.ROWS), ("rare", jaccard.ROWS), ("sets", jaccard.ROWS)} <= set(seen)
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the allocator has no such call")
+def test_freed_memory_is_given_back():
+    size = lambda: psutil.Process().memory_info().rss >> 20
+    blocks = [np.ones(8000) for _ in range(3000)]  # small enough to stay with the allocator
+    held, blocks = blocks[-1], None
+    before = size()
+    give_back()
+    assert len(held) and size() < before - 100
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
