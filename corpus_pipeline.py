@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, their number, and the digests of the ids and of the text they decode to."""
     ranks, pattern = vocabulary(spark)
-    return bpe.decode(bpe.encode(docs, ranks, pattern), ranks, digests=True, with_ids=True)
+    return bpe.round_trip(docs, ranks, pattern, digests=True, with_ids=True)
 
 
 STAGES = [

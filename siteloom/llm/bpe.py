@@ -4,7 +4,8 @@ Texts are cut into pre-tokens ("words") by Spark's regular expressions. Blocks o
 words of the block and the sequence of their numbers, which is where each word stands. The words of all blocks are
 shuffled by word (in hash buckets), so that each distinct word is encoded once in the whole job however often it occurs; a
 word that is everywhere comes once per block, not once per occurrence. Ids go back to their block, where the sequence puts them in
-their places. Decoding looks token ids up in the token-byte table, whose size is that of the vocabulary file.
+their places. Decoding looks token ids up in the token-byte table, whose size is that of the vocabulary file, many at once.
+``round_trip`` decodes a block's ids in the task that has put them in their places.
 
 Cases: a null or empty text has no tokens; one very long word is encoded in n log n; repeated rows are encoded each;
 null ids stay null; an empty table gives an empty result. Other columns play no part. Letters that Java does not know yet
@@ -16,8 +17,9 @@ can only happen if ``docs`` changes between two reads).
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest, xxh64
 
+from siteloom.llm.common import give_back, tidy
+
 #: Words per block. A block's sequence and its ids are one row and one group, so this bounds a task's memory.
 BLOCK_WORDS = 1 << 21
 #: Hash buckets of the word shuffle. The distinct words of one bucket are held in memory, so a corpus with more distinct
 #: words takes more buckets: 1024 serve some hundred million.
 BUCKETS = 1024
+#: Words or tokens that are handled at once; what a step needs besides its block is bounded by this (and by one document).
+PIECE = 1 << 17
 #: White space as Unicode has it, in Java's spelling.
 _SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -147,6 +153,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, size: int) -> Itera
             if held >= size:
                 yield close(n)
                 waiting, held, n = [], 0, n + 1
+        if waiting:  # the next batch comes when this one is gone: what waits of it, its last part, is a copy
+            ids, counts, words = waiting[-1]
+            waiting[-1] = pa.concat_arrays([ids]), counts, pa.concat_arrays([words])
+        batch = lists = rows = ids = words = odd = None
     if waiting:
         yield close(n)
 
@@ -164,6 +174,10 @@ def _with_odd(rows: pa.RecordBatch, pattern: str) -> tuple[np.ndarray, pa.Array]
 
 def _small(numbers: np.ndarray) -> bytes:
     """Non-negative numbers below 2**21 or so in 7 bits a byte, the last byte of each marked; frequent ones are small."""
+    return b"".join(_small_piece(numbers[i : i + PIECE]) for i in range(0, len(numbers), PIECE))
+
+
+def _small_piece(numbers: np.ndarray) -> bytes:
     x = numbers.astype(np.uint32)
     width = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
     ends = np.cumsum(width)
@@ -174,22 +188,62 @@ def _small(numbers: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _unsmall(data: bytes) -> np.ndarray:
+def _unsmall(data: bytes, kind: type = np.int64) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(b & 0x80)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    out = np.zeros(len(ends), np.int64)
-    for k in range(5):
-        at = ends - k
-        has = at >= starts
-        out[has] |= (b[at[has]] & 0x7F).astype(np.int64) << (7 * k)
+    out = np.empty(len(ends), kind)
+    before = -1  # where the number before ends
+    for i in range(0, len(ends), PIECE):
+        last = ends[i : i + PIECE]
+        starts = np.concatenate([[before], last[:-1]]) + 1
+        numbers = np.zeros(len(last), np.int64)
+        for k in range(5):
+            at = last - k
+            has = at >= starts
+            numbers[has] |= (b[at[has]] & 0x7F).astype(np.int64) << (7 * k)
+        out[i : i + PIECE] = numbers
+        before = last[-1]
     return out
 
 
+def _runs(lengths: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of ``size`` elements together at most, or of one row."""
+    ends, a = np.cumsum(lengths), 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, b
+        a = b
+
+
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS
 ) -> DataFrame:
-    """doc_id and ids (array of token ids) of every document.
+    """doc_id and ids (array of token ids) of every document."""
+
+    def as_they_are(doc_ids: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_ids, ids], names=["doc_id", "ids"])
+
+    return _encoded(docs, ranks, pattern, block_words, buckets, as_they_are, "doc_id long, ids array<int>")
+
+
+def round_trip(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False, with_ids: bool = False,
+    block_words: int = BLOCK_WORDS, buckets: int = BUCKETS,
+) -> DataFrame:
+    """What ``decode`` gives of the rows of ``encode``, made in the same tasks: ids go to the JVM only if they are asked for."""
+    tables: Broadcast = docs.sparkSession.sparkContext.broadcast(TokenTable(ranks))
+
+    def decoded(doc_ids: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+        return _decoded(doc_ids, ids, tables.value, digests, with_ids)
+
+    return _encoded(docs, ranks, pattern, block_words, buckets, decoded, _decoded_kinds(digests, with_ids))
+
+
+def _encoded(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_words: int, buckets: int,
+    finish: Callable[[pa.Array, pa.ListArray], pa.RecordBatch], kinds: str,
+) -> DataFrame:
+    """What ``finish`` makes of doc ids and their token ids, for all documents.
 
     A row of the word shuffle holds one block's words of one hash bucket, and its numbers there; the words of a bucket meet
     in one task, which remembers the ids of the bucket's distinct words.
@@ -233,8 +287,8 @@ def encode(
                 names=["block", "ids", "counts", "sequence", "n_distinct"],
             )
 
-    found = cut.mapInArrow(words_of, "block long, bucket int, numbers binary, lengths binary, words binary")
-    sequences = cut.mapInArrow(sequences_of, "block long, ids array<long>, counts array<long>, sequence binary, n_distinct long")
+    found = cut.mapInArrow(tidy(words_of), "block long, bucket int, numbers binary, lengths binary, words binary")
+    sequences = cut.mapInArrow(tidy(sequences_of), "block long, ids array<long>, counts array<long>, sequence binary, n_distinct long")
     kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +319,7 @@ def encode(
     encoded = (
         found.repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(encode_words, "block long, numbers binary, counts binary, tokens binary")
+        .mapInArrow(tidy(encode_words), "block long, numbers binary, counts binary, tokens binary")
     )
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -280,17 +334,21 @@ def encode(
         size, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         each = np.concatenate(sizes) if sizes else number
         size[number], start[number] = each, np.cumsum(each) - each
-        sequence = _unsmall(left.column("sequence")[0].as_py())
-        per_word = size[sequence]
-        ends = np.cumsum(per_word)
-        counts = np.array(left.column("counts")[0].as_py(), np.int64)
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        take = np.repeat(start[sequence] - (ends - per_word), per_word)
-        take += np.arange(len(take))
-        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat[take].astype(np.int32)))
-        return pa.table({"doc_id": pa.array(left.column("ids")[0].as_py(), pa.int64()), "ids": lists})
-
-    return sequences.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
+        sequence = _unsmall(left.column("sequence")[0].as_py(), np.int32)
+        counts, ids = np.array(left.column("counts")[0].as_py(), np.int64), pa.array(left.column("ids")[0].as_py(), pa.int64())
+        edges, parts = np.concatenate([[0], np.cumsum(counts)]), []
+        for a, b in _runs(counts, PIECE):
+            words = sequence[edges[a] : edges[b]]
+            per_word = size[words]
+            ends = np.concatenate([[0], np.cumsum(per_word)])
+            take = np.repeat(start[words] - ends[:-1], per_word)
+            take += np.arange(len(take))
+            within = ends[edges[a : b + 1] - edges[a]].astype(np.int32)
+            parts.append(finish(ids[a:b], pa.ListArray.from_arrays(pa.array(within), pa.array(flat[take].astype(np.int32)))))
+        give_back()
+        return pa.Table.from_batches(parts)
+
+    return sequences.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(reassemble, kinds)
 
 
 def _by_frequency(sequence: np.ndarray, n: int) -> np.ndarray:
@@ -301,14 +359,52 @@ def _by_frequency(sequence: np.ndarray, n: int) -> np.ndarray:
 
 
 class TokenTable:
-    """Bytes of each token id, and its decimal form."""
+    """Bytes of each token id, and its decimal form with a blank after it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values(), default=-1) + 1
-        self.pieces: list[bytes] = [b""] * size
+        pieces = [b""] * size
         for piece, i in ranks.items():
-            self.pieces[i] = piece
-        self.numbers = [str(i).encode() for i in range(size)]
+            pieces[i] = piece
+        self.pieces = pa.array(pieces, pa.large_binary())
+        self.numbers = pa.array([b"%d " % i for i in range(size)], pa.large_binary())
+
+
+def _joined(table: pa.Array, tokens: pa.Array, edges: np.ndarray, tail: int = 0) -> list[memoryview]:
+    """The entries of ``tokens``, joined from edge to edge, without the last ``tail`` bytes of each."""
+    taken = table.take(tokens)
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1][edges].tolist()
+    view = memoryview(data if data is not None else b"")
+    return [view[x : max(x, y - tail)] for x, y in zip(at, at[1:])]
+
+
+def _decoded_kinds(digests: bool, with_ids: bool) -> str:
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, decoded binary"
+    return kinds + ", ids array<int>" * with_ids
+
+
+def _decoded(doc_ids: pa.Array, ids: pa.ListArray, table: TokenTable, digests: bool, with_ids: bool) -> pa.RecordBatch:
+    """Rows of ``decode``; tokens are looked up some PIECE at a time."""
+    counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = ids.flatten(), np.concatenate([[0], np.cumsum(counts)])
+    if flat.null_count:
+        raise ValueError("a token id is null")
+    ids_sha256, decoded = [], []
+    for a, b in _runs(counts, PIECE):
+        tokens, edges = flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+        texts = _joined(table.pieces, tokens, edges)
+        if digests:
+            decoded += [hashlib.sha256(x).hexdigest() for x in texts]
+            ids_sha256 += [hashlib.sha256(x).hexdigest() for x in _joined(table.numbers, tokens, edges, tail=1)]
+        else:
+            decoded += [x.tobytes() for x in texts]
+    if digests:
+        columns = {"doc_id": doc_ids, "n_tokens": pa.array(counts), "ids_sha256": pa.array(ids_sha256, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+    else:
+        columns = {"doc_id": doc_ids, "decoded": pa.array(decoded, pa.binary())}
+    columns |= {"ids": ids} if with_ids else {}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False, with_ids: bool = False) -> DataFrame:
@@ -317,31 +413,12 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False, w
     The join with the token-byte table is a broadcast one, made in the tasks: the table has one row per vocabulary entry.
     With ``digests`` the bytes and the ids are given as their SHA-256 instead (doc_id, n_tokens, ids_sha256, decoded_sha256).
     """
-    import hashlib
-
-    def batch_of(columns: dict[str, pa.Array], rows: pa.RecordBatch) -> pa.RecordBatch:
-        columns |= {"ids": rows.column("ids")} if with_ids else {}
-        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
     tables: Broadcast = encoded.sparkSession.sparkContext.broadcast(TokenTable(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, numbers = tables.value.pieces, tables.value.numbers
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256)
-                lists = [x or [] for x in rows.column("ids").to_pylist()]
-                texts = [b"".join([pieces[i] for i in x]) for x in lists]
-                if not digests:
-                    yield batch_of({"doc_id": rows.column("doc_id"), "decoded": pa.array(texts, pa.binary())}, rows)
-                    continue
-                found = {
-                    "doc_id": rows.column("doc_id"),
-                    "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(b" ".join([numbers[i] for i in x])).hexdigest() for x in lists]),
-                    "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                }
-                yield batch_of(found, rows)
+                yield _decoded(rows.column("doc_id"), rows.column("ids"), tables.value, digests, with_ids)
 
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, decoded binary"
-    return encoded.mapInArrow(run, kinds + ", ids array<int>" * with_ids)
+    return encoded.mapInArrow(tidy(run), _decoded_kinds(digests, with_ids))

@@ -1,6 +1,7 @@
 """Tokens, toxicity, quality and near copies against brute force."""
 
 import ctypes
+import hashlib
 import random
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siteloom.llm import bpe, jaccard, mixture, quality, toxicity
 from siteloom.llm.common import give_back, save, tidy
 
@@ -53,6 +55,47 @@ def test_bpe_equals_the_library(saved, vocabulary):
     assert bpe.encode(docs.limit(0), ranks, pattern).count() == 0
 
 
+def test_a_round_trip_is_encode_and_decode(saved, vocabulary):
+    ranks, pattern = vocabulary
+    docs = saved([(0, None), (1, ""), (2, "don't  stop\n\n1234 ü世"), (2, "again"), (None, "no id"), (3, "ab 12 " * 70_000), (4, "x" * 3000)])
+    for digests, with_ids in ((True, True), (True, False), (False, True), (False, False)):
+        want = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, digests, with_ids)
+        got = bpe.round_trip(docs, ranks, pattern, digests, with_ids, block_words=5000, buckets=7)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert bpe.round_trip(docs.limit(0), ranks, pattern, digests=True).count() == 0
+
+
+def test_decode_joins_pieces_of_any_list(spark):
+    ranks = {b"a": 0, b"\xff": 1, b"long piece": 3}  # 2 is no token
+    pieces, rnd = {0: b"a", 1: b"\xff", 2: b"", 3: b"long piece"}, random.Random(4)
+    lists = [None, [], [2], [3, 1, 2, 0], [rnd.randrange(4) for _ in range(3 * bpe.PIECE)], *([rnd.randrange(4) for _ in range(rnd.randrange(5))] for _ in range(600))]
+    encoded = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>").repartition(2)
+    plain = {r.doc_id: bytes(r.decoded) for r in bpe.decode(encoded, ranks).collect()}
+    assert plain == {k: b"".join(pieces[i] for i in x or []) for k, x in enumerate(lists)}
+    for r in bpe.decode(encoded, ranks, digests=True, with_ids=True).collect():
+        x = lists[r.doc_id] or []
+        assert r.ids == lists[r.doc_id] and r.n_tokens == len(x)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(plain[r.doc_id]).hexdigest()
+
+
+def test_ids_are_decoded_where_they_are_made(spark, saved, vocabulary, capsys):
+    """A second Python worker in each task of the last stage, and ids that go through the JVM, took the executor's memory and half of the time."""
+    docs = saved([(0, "one text", "en", "a", 8)], DOCS)
+    corpus_pipeline.encode(spark, docs, "").explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_numbers_in_few_bytes_come_back():
+    rnd = random.Random(9)
+    for n in (0, 1, 7, bpe.PIECE, 2 * bpe.PIECE + 3):
+        numbers = np.array([rnd.randrange(1 << rnd.choice([3, 7, 14, 21, 28, 31])) for _ in range(n)], np.int64)
+        data = bpe._small(numbers)
+        assert bpe._unsmall(data).tolist() == numbers.tolist() == bpe._unsmall(data, np.uint32).tolist()
+
+
 def brute_components(rows, words, percent):
     sets = []
     for _, t in rows:
