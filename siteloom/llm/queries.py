@@ -34,7 +34,7 @@ def vocabulary(spark: SparkSession) -> tuple[dict[bytes, int], str]:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = vocabulary(spark)
-    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, digests=True)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern, digests=True)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

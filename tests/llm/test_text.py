@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siteloom.llm import bpe, jaccard, mixture, quality, toxicity
+from siteloom.llm import bpe, jaccard, mixture, quality, queries, toxicity
 from siteloom.llm.common import give_back, save, tidy
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,12 +80,14 @@ def test_decode_joins_pieces_of_any_list(spark):
         assert r.decoded_sha256 == hashlib.sha256(plain[r.doc_id]).hexdigest()
 
 
-def test_ids_are_decoded_where_they_are_made(spark, saved, vocabulary, capsys):
+def test_ids_are_decoded_where_they_are_made(spark, saved, vocabulary, tmp_path, capsys):
     """A second Python worker in each task of the last stage, and ids that go through the JVM, took the executor's memory and half of the time."""
     docs = saved([(0, "one text", "en", "a", 8)], DOCS)
-    corpus_pipeline.encode(spark, docs, "").explain()
-    plan = capsys.readouterr().out
-    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for found in (corpus_pipeline.encode(spark, docs, ""), queries.op3_byte_bpe(spark, str(tmp_path))):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.split("FlatMapCoGroupsInArrow")[0]
 
 
 def test_numbers_in_few_bytes_come_back():
