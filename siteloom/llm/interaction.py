@@ -61,9 +61,9 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")
     )
     spread = F.xxhash64("doc_id", "digest")
-    rows = lookup(rows, first.where("first < last").select("digest", "first"), ["digest"], salts=16, spread=spread)
+    rows = lookup(rows, first.where("first < last").select("digest", "first"), ["digest"], salts=16, spread=spread, shuffled=True)
     rows = rows.withColumn("mask", F.col("mask") + F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0))
-    rows = lookup(rows.select("doc_id", "part", "mask", "digest"), marks, ["doc_id"], salts=16, spread=F.xxhash64("digest"))
+    rows = lookup(rows.select("doc_id", "part", "mask", "digest"), marks, ["doc_id"], salts=16, spread=F.xxhash64("digest"), shuffled=True)
     weight = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return rows.groupBy("part", "mask").agg(F.count("*").alias("docs"), weight("good"), weight("toxic"))
 

@@ -73,6 +73,13 @@ def test_interaction(docs, spark):
         assert [*(r[k] for k in interaction.SUMS), r["filter"], r["shapley"]] == want[r["part"], r["filter_order"], r["step"]]
 
 
+def test_interaction_broadcasts_no_copies(docs, spark):
+    """The looked-up tables grow with the documents and are copied, however little room their files take."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    plan = interaction.cells(docs([(i, "a", "en", "s") for i in range(3)]), labels)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_interaction_of_nothing(docs, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert interaction.audit(docs([(1, "a", "en", "s")]).limit(0), labels).count() == 0
