@@ -88,7 +88,7 @@ def compile_levels(levels: DataFrame) -> DataFrame:
         F.when(F.col("is_final_level"), own)
         .otherwise(F.concat(own, F.array(F.lit(_DRILL), F.lit(_ANY_LINK))))
         .alias("scopes"),
-    ).join(grouped, ["plan_id", "level"])
+    ).join(grouped.hint("merge"), ["plan_id", "level"])
 
 
 def split_tasks(tasks: DataFrame) -> DataFrame:
@@ -96,6 +96,11 @@ def split_tasks(tasks: DataFrame) -> DataFrame:
     return parts_of(tasks, "page_id", _TASKS_PER_PART, ["plan_id", "url"])
 
 
+def with_levels(tasks: DataFrame, compiled: DataFrame) -> DataFrame:
+    """Tasks with the compiled level that each is about. Steps are long, and there are as many levels as plans: they are not broadcast."""
+    return spread_join(tasks, compiled, "plan_id", shuffled=True)
+
+
 def extract_items(tasks: DataFrame, docs: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
     """Items of each task's page: ``plan_id, url, page_id, item, fields, drill_url``.
 

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.operators.extract import compile_levels, extract_items, split_tasks
+from siteloom.operators.extract import compile_levels, extract_items, split_tasks, with_levels
 from siteloom.operators.select import steps_sizes
-from siteloom.operators.skew import salted_join, spread_join, with_pages
+from siteloom.operators.skew import salted_join, with_pages
 from siteloom.session import keep
 from siteloom.sources.pages import lookup, missing, page_index
 
@@ -99,11 +99,11 @@ def _scrape(levels, docs, target_level, max_items, index, first, digests, known,
 
     def read(tasks: DataFrame, level: int, pages: DataFrame) -> DataFrame:
         plan = compiled.where(F.col("level") == level).drop("level", "sample_url", "definition")
-        return extract_items(spread_join(keep(split_tasks(tasks)), plan, "plan_id"), pages, sizes)
+        return extract_items(with_levels(keep(split_tasks(tasks)), plan), pages, sizes)
 
     def remembered(tasks: DataFrame, level: int) -> DataFrame:
         """Items of tasks, those known and those of the pages that must be read."""
-        tasks = spread_join(tasks, compiled.where(F.col("level") == level).select("plan_id", "definition"), "plan_id")
+        tasks = with_levels(tasks, compiled.where(F.col("level") == level).select("plan_id", "definition"))
         if digests is None:
             tasks = tasks.withColumn("digest", F.lit(""))
         else:

@@ -7,11 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from siteloom.operators import quality
-from siteloom.operators.extract import compile_levels, extract_items, sample_values, split_tasks
+from siteloom.operators.extract import compile_levels, extract_items, sample_values, split_tasks, with_levels
 from siteloom.operators.parse import parse_pages, spread_pages
 from siteloom.operators.scrape import first_rows, sample, scrape
 from siteloom.operators.select import steps_sizes
-from siteloom.operators.skew import spread_join
 from siteloom.plans.extraction import check_sample
 from siteloom.queries import inputs as I
 from siteloom.queries import sql as Q
@@ -31,7 +30,7 @@ def _items(spark, sf, kind):
     """Items of the part pages, through the steps that a scrape takes for one level."""
     compiled = keep(compile_levels(I.part_levels(spark, sf, kind).where("level = 1")))
     pages = lookup(compiled.select("plan_id", F.col("sample_url").alias("url")), I.site_index(spark, sf))
-    tasks = spread_join(split_tasks(pages), compiled.drop("level", "sample_url"), "plan_id")
+    tasks = with_levels(split_tasks(pages), compiled.drop("level", "sample_url"))
     return extract_items(tasks, I.site_docs(spark, sf), steps_sizes(compiled))
 
 

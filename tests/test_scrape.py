@@ -218,3 +218,38 @@ def test_more_pages_are_matched_by_more_tasks(spark, docs_of, monkeypatch):
     monkeypatch.setattr(skew, "NAMED_PAGES", 0)
     joined = extract.extract_items(tasks, docs, (1, 1, 0)).select("plan_id", "item", "fields").collect()
     assert sorted(joined) == sorted(r[:3] for r in rows)
+
+
+def joins_on(plan, key, kind):
+    """Joins of a kind on a column; plans are those that Spark makes from what the files tell."""
+    return [line for line in plan._jdf.queryExecution().sparkPlan().toString().splitlines() if kind in line and f"{key}#" in line.split("]")[0]]
+
+
+@pytest.fixture
+def parts(spark, tmp_path, monkeypatch, docs_of):
+    """A folder with a table of five parts that are shown on three pages; the tasks that are handed on to be extracted."""
+    from siteloom.queries import inputs, scraping as queries
+
+    spark.createDataFrame([(k,) for k in (1, 2, 200, 201, 400)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    row = "<tr class=row><td>1<td>2<td>3</tr>"
+    page = lambda kind, i, body: (f"https://parts.example.com/{kind}/{i}", body)
+    docs = docs_of(*[page("rows", i, f"<table>{row}</table>") for i in range(3)], *[page("cards", i, "<div class=card><h2>x</h2></div>") for i in range(3)])
+    monkeypatch.setattr(inputs, "site_docs", lambda *_: docs)
+    monkeypatch.setattr(inputs, "site_index", lambda *_: page_index(docs))
+    tasks, extract_items = [], extract.extract_items
+    for module in (extract, queries):
+        monkeypatch.setattr(module, "extract_items", lambda t, d, sizes: tasks.append(t) or extract_items(t, d, sizes))
+    return str(tmp_path), tasks
+
+
+def test_levels_of_field_values_are_not_broadcast(spark, parts):
+    from siteloom.queries.scraping import x3_field_values
+
+    folder, tasks = parts
+    assert [r.plan_id for r in x3_field_values(spark, folder).orderBy("plan_id").collect()] == ["rows0", "rows1", "rows2"]
+    assert len(tasks) == 1 and joins_on(tasks[0], "salt", "SortMergeJoin") and not joins_on(tasks[0], "salt", "Broadcast")
+
+
+def test_compiled_levels_are_not_broadcast(site):
+    compiled = extract.compile_levels(keep(site[0]))
+    assert joins_on(compiled, "level", "SortMergeJoin") and not joins_on(compiled, "level", "Broadcast")
