@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siteloom.functions.urls import normalized
-from siteloom.operators.extract import compile_levels, extract_items, split_tasks
+from siteloom.operators.extract import compile_levels, extract_items, split_tasks, with_levels
 from siteloom.operators.parse import parse_pages, spread_pages
 from siteloom.operators.select import steps_sizes
-from siteloom.operators.skew import spread_join
 from siteloom.session import keep
 
 CAPTURES = "page_id bigint, url string, html string, captured_at timestamp"
@@ -38,7 +37,7 @@ def stream_items(
         docs = parse_pages(spread_pages(pages.select(F.col("capture").alias("page_id"), "url", "html")))
         tasks = pages.select(F.col("capture").alias("page_id"), "url", normalized("url").alias("page_key"))
         wanted = tasks.join(compiled.select("page_key", "plan_id"), "page_key").drop("page_key")
-        joined = spread_join(keep(split_tasks(wanted)), compiled.drop("level", "sample_url", "page_key", "definition"), "plan_id")
+        joined = with_levels(keep(split_tasks(wanted)), compiled.drop("level", "sample_url", "page_key", "definition"))
         made = extract_items(joined, keep(docs), sizes).withColumnRenamed("page_id", "capture").drop("url")
         # a page that no longer shows items takes its earlier ones away
         rows = wanted.withColumnRenamed("page_id", "capture").join(made, ["capture", "plan_id"], "left")

@@ -59,3 +59,16 @@ def test_pages_of_a_batch_are_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(items, "parse_pages", lambda dealt: tasks.append(dealt.rdd.getNumPartitions()) or parse.parse_pages(dealt))
     items.stream_items(spark, _levels(spark), f"{tmp_path}/in", f"{tmp_path}/items", f"{tmp_path}/state").awaitTermination()
     assert tasks[0] == 10
+
+
+def test_levels_of_a_batch_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from siteloom.streaming import items
+
+    spark.createDataFrame(_rows((1, "a", "xy", 5), (2, "b", "z", 5)), items.CAPTURES).coalesce(1).write.parquet(f"{tmp_path}/in")
+    plans, extract_items = [], items.extract_items
+    plan = lambda tasks: tasks._jdf.queryExecution().sparkPlan().toString().splitlines()
+    monkeypatch.setattr(items, "extract_items", lambda tasks, docs, sizes: plans.append(plan(tasks)) or extract_items(tasks, docs, sizes))
+    items.stream_items(spark, _levels(spark), f"{tmp_path}/in", f"{tmp_path}/items", f"{tmp_path}/state").awaitTermination()
+    joins = [line for line in plans[0] if "salt#" in line.split("]")[0]]
+    assert any("SortMergeJoin" in line for line in joins) and not any("Broadcast" in line for line in joins)
+    assert items.current_items(spark, f"{tmp_path}/items").count() == 3
