@@ -248,7 +248,7 @@ def _first_items(levels: DataFrame, docs: DataFrame, index: DataFrame) -> DataFr
     keyed = levels.withColumn("plan_id", both).withColumn("drill_down_link_selector", F.lit(None).cast("string"))
     compiled = keep(compile_levels(keyed))
     pages = split_tasks(lookup(compiled.select("plan_id", F.col("sample_url").alias("url")).where("url != ''"), index))
-    tasks = spread_join(pages, compiled.drop("level", "sample_url"), "plan_id")
+    tasks = with_levels(pages, compiled.drop("level", "sample_url"))
     items = extract_items(tasks, docs, steps_sizes(compiled))
     first = items.groupBy("plan_id").agg(F.min_by("fields", "item").alias("fields"))
     kinds = levels.select("plan_id", "level").schema

@@ -253,3 +253,12 @@ def test_levels_of_field_values_are_not_broadcast(spark, parts):
 def test_compiled_levels_are_not_broadcast(site):
     compiled = extract.compile_levels(keep(site[0]))
     assert joins_on(compiled, "level", "SortMergeJoin") and not joins_on(compiled, "level", "Broadcast")
+
+
+def test_levels_of_sample_values_are_not_broadcast(spark, parts):
+    from siteloom.queries.scraping import x11_sample_values
+
+    folder, tasks = parts
+    got = x11_sample_values(spark, folder).orderBy("plan_id").collect()
+    assert got == [(f"cards{i}", "title", "x") for i in range(3)]
+    assert len(tasks) == 2 and all(joins_on(t, "salt", "SortMergeJoin") and not joins_on(t, "salt", "Broadcast") for t in tasks)
